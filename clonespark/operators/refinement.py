@@ -135,15 +135,15 @@ def evidence(rows: DataFrame, nodes: DataFrame, edges: DataFrame, options: Refin
         F.least(F.lit(1.0), F.exp((a["score"] - F.col("score")) / F.lit(max(1e-6, options.temperature)))),
     ).otherwise(F.lit(options.unscored_weight))
     listed = F.concat(
-        F.transform("calls", lambda c: F.struct(c.alias("call"), F.lit(1.0).alias("weight"), F.lit(1).alias("reported"))),
-        F.transform("alternatives", lambda a: F.struct(a["call"].alias("call"), relative(a).alias("weight"), F.lit(0).alias("reported"))),
+        F.transform("calls", lambda c: F.struct(c.alias("call"), F.lit(1.0).alias("weight"), F.lit(-1).alias("place"))),
+        F.transform("alternatives", lambda a, i: F.struct(a["call"].alias("call"), relative(a).alias("weight"), i.alias("place"))),
     )
     odds = neighbour_odds(F.col("shm"), options.baseline_odds, options.shm_sensitivity, options.max_shm, options.max_odds)
     keep = ["ordinal", "pool", "abundance", "odds"]
     direct = (
         rows.withColumn("odds", odds).select(*keep, F.explode(listed).alias("e")).select(*keep, "e.*").join(names, "call")
-        # one weight per node: a reported call first, else the strongest alternative
-        .groupBy(*keep, "node").agg(F.max(F.struct("reported", "weight"))["weight"].alias("weight"))
+        # one weight per node: a reported call, else the first alternative naming it
+        .groupBy(*keep, "node").agg(F.min(F.struct("place", "weight"))["weight"].alias("weight"))
     )
     base = max(0.0, min(options.max_odds, options.baseline_odds))
     near = edges.filter(F.col("distance") <= options.radius)
