@@ -278,11 +278,11 @@ def _describe(chosen: DataFrame, genes: dict[str, DataFrame], o: AnnotateOptions
     """Calls, coordinates, junction and flags from the chosen hits."""
     scoring = {"v": o.v_scoring, "d": o.d_scoring, "j": o.j_scoring, "c": o.c_scoring}
     out = chosen
-    sizes = None
+    # database sizes are scalar subqueries, evaluated once
     for s in "vdjc":
-        one = genes[s.upper()].agg(F.coalesce(F.sum(F.length("sequence")), F.lit(0)).alias(f"_{s}_bases"), F.count(F.lit(1)).alias(f"_{s}_n")).withColumn("_one", F.lit(1))
-        sizes = one if sizes is None else sizes.join(one, "_one")
-    out = out.withColumn("_one", F.lit(1)).join(sizes, "_one")
+        size = genes[s.upper()].agg(F.coalesce(F.sum(F.length("sequence")), F.lit(0)).alias("bases"))
+        number = genes[s.upper()].agg(F.count(F.lit(1)).alias("n"))
+        out = out.withColumns({f"_{s}_bases": size.scalar(), f"_{s}_n": number.scalar()})
     v_meta = genes["V"].select(F.col("name").alias("_vg"), F.col("sequence").alias("_vseq"), F.col("fwr3_end").alias("_vcys"), F.col("frame").alias("_vframe"))
     j_meta = genes["J"].select(F.col("name").alias("_jg"), F.col("sequence").alias("_jseq"), F.col("cdr3_stop").alias("_jstop"))
     out = out.withColumn("_vg", F.col("v.gene")).withColumn("_jg", F.col("j.gene")).join(v_meta, "_vg", "left").join(j_meta, "_jg", "left")

@@ -236,8 +236,8 @@ def character_frequencies(anchored: DataFrame) -> DataFrame:
     )
     every = anchored.sparkSession.createDataFrame([(s,) for s in states], "state string")
     joined = every.join(counts, "state", "left").select("state", (F.coalesce("n", F.lit(0)) + 1).cast("double").alias("n"))
-    total = joined.agg(F.sum("n").alias("total")).withColumn("one", F.lit(1))
-    return joined.withColumn("one", F.lit(1)).join(total, "one").select("state", (F.col("n") / F.col("total")).alias("frequency"))
+    total = joined.agg(F.sum("n")).scalar()
+    return joined.select("state", (F.col("n") / total).alias("frequency"))
 
 
 def stratified_rows(table: DataFrame, limit: int) -> DataFrame:

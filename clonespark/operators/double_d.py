@@ -127,11 +127,16 @@ def _contained_spans(spans: DataFrame, d_genes: DataFrame, o: DoubleDOptions) ->
     blocks = F.transform(
         F.sequence(F.lit(0), F.lit(m)), lambda i: F.struct(start(i).alias("at"), F.substring(F.col("part"), start(i) + 1, start(i + 1) - start(i)).alias("block"))
     )
-    keyed = rows.select("span", "locus", "n", "part", F.explode(blocks).alias("b")).select("span", "locus", "n", "part", "b.at", "b.block").withColumn("width", F.length("block"))
-    widths = keyed.select("width").distinct()
+    keyed = rows.select("span", "locus", "n", "part", F.explode(blocks).alias("b")).select("span", "locus", "n", "part", "b.at", "b.block")
+    # every substring of a D gene, a few hundred per allele: blocks then meet by equality
+    cuts = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.length("sequence")),
+            lambda w: F.transform(F.sequence(F.lit(1), F.length("sequence") - w + 1), lambda i: F.struct((i - 1).alias("p"), F.substring(F.col("sequence"), i, w).alias("block"))),
+        )
+    )
     genes = d_genes.select(F.col("locus").alias("gene_locus"), "sequence").distinct()
-    windows = genes.withColumn("one", F.lit(1)).join(widths.withColumn("one", F.lit(1)), "one").filter((F.col("width") > 0) & (F.length("sequence") >= F.col("width")))
-    windows = windows.select("gene_locus", "sequence", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("sequence") - F.col("width") + 1), lambda i: F.substring(F.col("sequence"), i, F.col("width")))).alias("p", "block"))
+    windows = genes.select("gene_locus", "sequence", F.explode(cuts).alias("c")).select("gene_locus", "sequence", "c.p", "c.block")
     met = keyed.join(windows, "block").filter((F.col("gene_locus") == "") | (F.col("locus") == "") | (F.col("gene_locus") == F.col("locus")))
     begin = F.col("p") - F.col("at")
     met = met.filter((begin >= 0) & (begin + F.col("n") <= F.length("sequence")))

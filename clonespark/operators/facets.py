@@ -63,12 +63,12 @@ def vj_pairs(table: DataFrame, mode: str = "fractional") -> DataFrame:
     if mode == "top":
         rows = buckets(table, top_call("v_call").alias("v"), top_call("j_call").alias("j")).filter("v <> '' AND j <> ''")
         return rows.groupBy("status", "locus_bucket", "v", "j").agg(F.count(F.lit(1)).cast("double").alias("records"))
-    pairs = F.flatten(
-        F.transform(calls("v_call"), lambda v: F.transform(calls("j_call"), lambda j: F.struct(v.alias("v"), j.alias("j"))))
-    )
-    listed = buckets(table, pairs.alias("pairs")).filter(F.size("pairs") > 0)
-    rows = listed.select("status", "locus_bucket", (1 / F.size("pairs")).alias("share"), F.explode("pairs").alias("p"))
-    return rows.groupBy("status", "locus_bucket", "p.v", "p.j").agg(F.sum("share").alias("records"))
+    # arrays are columns before the nested transform: lambda variables stay apart
+    listed = buckets(table, calls("v_call").alias("vs"), calls("j_call").alias("js"))
+    pairs = F.flatten(F.transform("vs", lambda v: F.transform("js", lambda j: F.struct(v.alias("v"), j.alias("j")))))
+    listed = listed.select("status", "locus_bucket", pairs.alias("pairs")).filter(F.size("pairs") > 0)
+    rows = listed.select("status", "locus_bucket", (1 / F.size("pairs")).alias("share"), F.explode("pairs").alias("p")).select("status", "locus_bucket", "share", "p.v", "p.j")
+    return rows.groupBy("status", "locus_bucket", "v", "j").agg(F.sum("share").alias("records"))
 
 
 def cdr3_lengths(table: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ def size_histogram(summary: DataFrame) -> DataFrame:
 
 def call_usage(summary: DataFrame, column: str) -> DataFrame:
     """Lineages and abundance per representative call (``v_calls`` or ``j_calls``)."""
-    return summary.groupBy(F.explode(column).alias("call")).agg(
+    return summary.select(F.explode(column).alias("call"), "abundance").groupBy("call").agg(
         F.count(F.lit(1)).alias("lineages"), F.sum("abundance").alias("abundance")
     )
 

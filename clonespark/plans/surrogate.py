@@ -25,30 +25,42 @@ def _dna(seed: str, parts: int) -> str:
     return f"translate(concat({pieces}), {HEX}, {BASES})"
 
 
-def _flip(base: str) -> str:
-    return f"translate({base}, 'ACGT', 'CATG')"
-
-
-def _put(sequence: str, position: str, value: str) -> str:
-    return f"concat(substr({sequence}, 1, {position} - 1), {value}, substr({sequence}, {position} + 1, 2000))"
-
-
-# Each layer adds columns computed from the ones before it.
-LAYERS: list[dict[str, str]] = [
+# Columns that depend on the customer alone: study unit, genes and germlines. They are
+# computed once per customer, below the join with the orders.
+CUSTOMER_LAYERS: list[dict[str, str]] = [
     {
-        "ordinal": "o_orderkey",
-        "k": "o_custkey % 120",
-        "vno": "o_custkey % 8 + 1",
-        "jno": "o_custkey % 3 + 1",
-        "dno": "o_custkey % 5 + 1",
+        "k": "c_custkey % 120",
+        "vno": "c_custkey % 8 + 1",
+        "dno": "c_custkey % 5 + 1",
+        "extra": "c_custkey % 3",
         "sample_id": "concat('sample_', c_nationkey)",
         "subject_id": "concat('donor_', n_regionkey)",
-        "dataset_id": "concat('lib_', c_nationkey, '_', o_orderkey % 2)",
         "cohort": "c_mktsegment",
+        "chain": "CASE WHEN c_custkey % 2 = 0 THEN 'IGH' ELSE 'IGK' END",
+    },
+    {
+        "v_gene": "concat(chain, 'V', vno, '-1')",
+        "v_next": "concat(chain, 'V', vno % 8 + 1, '-1')",
+        "j_gene": "concat(chain, 'J', extra + 1)",
+        "germ": f"substr({_dna('concat(chr(103), k)', 2)}, 1, CAST(24 + 3 * extra AS INT))",
+        "c_bases": _dna("concat(chr(99), extra)", 2),
+    },
+    {"v_reference": _dna("v_gene", 6), "j_reference": _dna("j_gene", 1)},
+    {
+        # two linked substitutions that the named alleles lack
+        "v_donor": "concat(substr(v_reference, 1, 39), CASE WHEN k >= 60 THEN translate(substr(v_reference, 40, 1), 'ACGT', 'CATG') ELSE substr(v_reference, 40, 1) END, "
+        "substr(v_reference, 41, 34), CASE WHEN k >= 60 THEN translate(substr(v_reference, 75, 1), 'ACGT', 'CATG') ELSE substr(v_reference, 75, 1) END, substr(v_reference, 76, 117))",
+    },
+]
+
+# Columns of one order; each layer may use the ones before it.
+ORDER_LAYERS: list[dict[str, str]] = [
+    {
+        "ordinal": "o_orderkey",
+        "dataset_id": "concat('lib_', c_nationkey, '_', o_orderkey % 2)",
         "timepoint": "o_orderpriority",
         "compartment": "CASE WHEN o_orderkey % 3 = 0 THEN 'blood' WHEN o_orderkey % 3 = 1 THEN 'marrow' ELSE '' END",
-        "locus": "CASE WHEN o_orderkey % 101 = 0 THEN '' WHEN o_custkey % 2 = 0 THEN 'IGH' ELSE 'IGK' END",
-        "chain": "CASE WHEN o_custkey % 2 = 0 THEN 'IGH' ELSE 'IGK' END",
+        "locus": "CASE WHEN o_orderkey % 101 = 0 THEN '' ELSE chain END",
         "c_call": "CASE WHEN o_orderstatus = 'F' THEN 'IGHM*01' WHEN o_orderstatus = 'O' THEN 'IGHG1*01' ELSE '' END",
         "productive": "CASE WHEN o_orderkey % 6 = 0 THEN 'F' WHEN o_orderkey % 17 = 0 THEN '' ELSE 'T' END",
         "vj_in_frame": "CASE WHEN o_orderkey % 6 = 0 THEN 'F' ELSE 'T' END",
@@ -63,60 +75,40 @@ LAYERS: list[dict[str, str]] = [
         "v_score": "CAST(200 - o_orderkey % 30 AS DOUBLE)",
         "m": "o_orderkey % 11",
         "shm": "o_orderkey % 9",
+        "p1": "CAST(100 + 7 * (o_orderkey % 9) AS INT)",
+        "p2": "CAST(20 + 3 * (o_orderkey % 9) AS INT)",
     },
     {
         "sequence_id": "concat('read_', ordinal)",
-        "v_gene": "concat(chain, 'V', vno, '-1')",
-        "v_next": "concat(chain, 'V', vno % 8 + 1, '-1')",
-        "j_gene": "concat(chain, 'J', jno)",
-        "germ": f"substr({_dna('concat(chr(103), k)', 2)}, 1, CAST(24 + 3 * (o_custkey % 3) AS INT))",
         "d_call": "CASE WHEN chain = 'IGH' AND ordinal % 9 <> 0 THEN concat('IGHD', dno, '*01') ELSE '' END",
         "d2_call": "CASE WHEN chain = 'IGH' AND k % 11 = 0 AND ordinal % 9 <> 0 THEN concat('IGHD', dno % 5 + 1, '*01') ELSE '' END",
-        "c_sequence_alignment": f"substr({_dna('concat(chr(99), o_custkey % 3)', 2)}, 1, CAST(20 + 10 * (ordinal % 3) AS INT))",
-    },
-    {
+        "c_sequence_alignment": "substr(c_bases, 1, CAST(20 + 10 * (ordinal % 3) AS INT))",
         "v_call": "CASE WHEN ordinal % 83 = 0 THEN '' ELSE concat(v_gene, '*01', CASE WHEN ordinal % 7 = 0 THEN concat(',', v_gene, '*02') ELSE '' END,"
         " CASE WHEN ordinal % 13 = 0 THEN concat(',', v_next, '*01') ELSE '' END) END",
         "j_call": "CASE WHEN ordinal % 79 = 0 THEN '' ELSE concat(j_gene, '*01') END",
         "v_alternatives": "CASE WHEN ordinal % 4 = 0 THEN concat(v_gene, '*02|', 198 - ordinal % 30, '|0.95|1|192|1|192;', v_next, '*01|', 190 - ordinal % 30, '|0.9|1|192|1|192')"
         " WHEN ordinal % 4 = 1 THEN concat(v_gene, '*03|||||') ELSE '' END",
-        "cdr3_raw": f"CASE WHEN m < 4 THEN germ ELSE {_put('germ', 'CAST(2 * (m - 4) + 1 AS INT)', 'substr(' + chr(39) + 'ACGT' + chr(39) + ', CAST(ordinal % 4 + 1 AS INT), 1)')} END",
-        "v_reference": _dna("v_gene", 6),
-        "j_reference": _dna("j_gene", 1),
-    },
-    {
-        "cdr3": "CASE WHEN ordinal % 89 = 0 THEN '' WHEN ordinal % 97 = 0 THEN concat('N', substr(cdr3_raw, 2, 200)) ELSE cdr3_raw END",
-        "v_donor": "CASE WHEN k >= 60 THEN "
-        + _put(_put("v_reference", "40", _flip("substr(v_reference, 40, 1)")), "75", _flip("substr(v_reference, 75, 1)"))
-        + " ELSE v_reference END",
-    },
-    {
-        "cdr3_aa": f"CASE WHEN cdr3 = '' THEN '' ELSE substr(translate(md5(concat('aa', k, m)), {HEX}, {RESIDUES}), 1, CAST(8 + o_custkey % 3 AS INT)) END",
-        "v_shm1": "CASE WHEN shm >= 3 THEN "
-        + _put("v_donor", "CAST(100 + shm * 7 AS INT)", "translate(substr(v_donor, CAST(100 + shm * 7 AS INT), 1), 'ACGT', 'GTAC')")
-        + " ELSE v_donor END",
-    },
-    {
-        "junction_aa": "CASE WHEN cdr3_aa = '' THEN '' ELSE concat('C', cdr3_aa, 'W') END",
-        "v_observed": "CASE WHEN shm >= 6 THEN "
-        + _put("v_shm1", "CAST(20 + shm * 3 AS INT)", "translate(substr(v_shm1, CAST(20 + shm * 3 AS INT), 1), 'ACGT', 'GTAC')")
-        + " ELSE v_shm1 END",
+        # one base of the germline is replaced in seven of eleven reads, one in 97 is an N
+        "cdr3": "CASE WHEN ordinal % 89 = 0 THEN '' ELSE concat(CASE WHEN ordinal % 97 = 0 THEN 'N' WHEN m = 4 THEN substr('ACGT', CAST(ordinal % 4 + 1 AS INT), 1) ELSE substr(germ, 1, 1) END,"
+        " CASE WHEN m <= 4 THEN substr(germ, 2, 200) ELSE concat(substr(germ, 2, CAST(2 * (m - 4) - 1 AS INT)), substr('ACGT', CAST(ordinal % 4 + 1 AS INT), 1), substr(germ, CAST(2 * (m - 4) + 2 AS INT), 200)) END) END",
+        "v_observed": "concat(substr(v_donor, 1, p2 - 1), CASE WHEN shm >= 6 THEN translate(substr(v_donor, p2, 1), 'ACGT', 'GTAC') ELSE substr(v_donor, p2, 1) END, substr(v_donor, p2 + 1, p1 - p2 - 1),"
+        " CASE WHEN shm >= 3 THEN translate(substr(v_donor, p1, 1), 'ACGT', 'GTAC') ELSE substr(v_donor, p1, 1) END, substr(v_donor, p1 + 1, 192))",
+        "quality": f"translate(concat(md5(concat('q', ordinal)), md5(concat('r', ordinal % 50)), md5(concat('s', ordinal % 7))), {HEX}, {PHRED})",
     },
     {
-        "v_sequence_alignment": "CASE WHEN ordinal % 23 = 0 THEN " + _put("v_observed", "150", "'-'") + " ELSE v_observed END",
+        "cdr3_aa": f"CASE WHEN cdr3 = '' THEN '' ELSE substr(translate(md5(concat('aa', k, m)), {HEX}, {RESIDUES}), 1, CAST(8 + extra AS INT)) END",
+        "v_sequence_alignment": "concat(substr(v_observed, 1, 149), CASE WHEN ordinal % 23 = 0 THEN '-' ELSE substr(v_observed, 150, 1) END, substr(v_observed, 151, 42))",
         "v_germline_alignment": "v_reference",
     },
     {
+        "junction_aa": "CASE WHEN cdr3_aa = '' THEN '' ELSE concat('C', cdr3_aa, 'W') END",
         "sequence": "concat(replace(v_sequence_alignment, '-', ''), cdr3, j_reference)",
         "sequence_alignment": "concat(v_sequence_alignment, cdr3, j_reference)",
-        "germline_alignment": "concat(v_reference, CASE WHEN cdr3 = '' THEN '' ELSE substr('NNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNN', 1, length(cdr3)) END, j_reference)",
-        "quality": f"translate(concat(md5(concat('q', ordinal)), md5(concat('r', ordinal % 50)), md5(concat('s', ordinal % 7))), {HEX}, {PHRED})",
-    },
-    {
+        "germline_alignment": "concat(v_reference, substr('NNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNN', 1, length(cdr3)), j_reference)",
         "v_sequence_start": "1",
-        "v_sequence_end": "length(replace(v_sequence_alignment, '-', ''))",
+        "v_sequence_end": "CASE WHEN ordinal % 23 = 0 THEN 191 ELSE 192 END",
         "v_germline_start": "1",
-        "j_sequence_end": "length(sequence)",
+        "j_sequence_end": "CASE WHEN ordinal % 23 = 0 THEN 223 ELSE 224 END + length(cdr3)",
         "sequence_frame": "1",
         "fwr1_start": "1",
         "fwr1_end": "60",
@@ -153,22 +145,30 @@ def rearrangements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey")
-    df = orders.join(customer, orders.o_custkey == customer.c_custkey).join(
-        nation, customer.c_nationkey == nation.n_nationkey
-    )
-    for layer in LAYERS:
+    donors = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
+    for layer in CUSTOMER_LAYERS:
+        donors = donors.selectExpr("*", *[f"{expression} AS {name}" for name, expression in layer.items()])
+    df = orders.join(donors, orders.o_custkey == donors.c_custkey)
+    for layer in ORDER_LAYERS:
         df = df.selectExpr("*", *[f"{expression} AS {name}" for name, expression in layer.items()])
     return df.select(*COLUMNS)
 
 
 def rearrangements_cte(name: str = "r") -> str:
     """The same definition as a chain of common table expressions (no WITH keyword)."""
-    steps = [
-        f"{name}_0 AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, c_nationkey, c_mktsegment, n_regionkey"
-        " FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
-    ]
-    for i, layer in enumerate(LAYERS):
-        added = ", ".join(f"{expression} AS {column}" for column, expression in layer.items())
-        steps.append(f"{name}_{i + 1} AS (SELECT *, {added} FROM {name}_{i})")
-    steps.append(f"{name} AS (SELECT {', '.join(COLUMNS)} FROM {name}_{len(LAYERS)})")
+    steps, last = [], f"{name}_donor"
+    steps.append(f"{last} AS (SELECT c_custkey, c_nationkey, c_mktsegment, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey)")
+
+    def extend(layers: list[dict[str, str]], prefix: str) -> None:
+        nonlocal last
+        for i, layer in enumerate(layers):
+            added = ", ".join(f"{expression} AS {column}" for column, expression in layer.items())
+            steps.append(f"{prefix}_{i} AS (SELECT *, {added} FROM {last})")
+            last = f"{prefix}_{i}"
+
+    extend(CUSTOMER_LAYERS, f"{name}_c")
+    steps.append(f"{name}_joined AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, x.* FROM orders JOIN {last} x ON o_custkey = c_custkey)")
+    last = f"{name}_joined"
+    extend(ORDER_LAYERS, f"{name}_o")
+    steps.append(f"{name} AS (SELECT {', '.join(COLUMNS)} FROM {last})")
     return ", ".join(steps)
