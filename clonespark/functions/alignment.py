@@ -154,7 +154,7 @@ def local_alignment(scoring: Scoring, chunk: int = 64):
                 out[k] = row
         return pd.DataFrame(out, columns=[f.split()[0] for f in ALIGNMENT_TYPE.split(", ")])
 
-    return align
+    return align.asNondeterministic()
 
 
 def map_reference(aligned_query: Column, aligned_reference: Column, query_start: Column, reference_start: Column, position: Column) -> Column:

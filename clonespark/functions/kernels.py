@@ -115,7 +115,7 @@ def edit_profile(maximum: int):
         ]
         return pd.DataFrame(rows, columns=["distance", "substitutions", "insertions", "deletions"]).astype("Int32")
 
-    return profile
+    return profile.asNondeterministic()
 
 
 @F.pandas_udf(T.IntegerType())
@@ -172,4 +172,4 @@ def three_prime_trim(offset: int = 33, window: int = 4, minimum_mean: float = 20
             rows.append((keep, float(np.power(10.0, -phred[:keep] / 10.0).sum())))
         return pd.DataFrame(rows, columns=["trimmed_length", "expected_errors"])
 
-    return trim
+    return trim.asNondeterministic()

@@ -183,7 +183,7 @@ def chimera_model(names: list[str], sequences: list[str], options: ChimeraOption
                 rows.append((float(p), names[path[0]], jumps))
         return pd.DataFrame(rows, columns=["probability", "starting_reference", "recombinations"])
 
-    return model
+    return model.asNondeterministic()
 
 
 def distance_from_reference(query: Column | str, germline: Column | str) -> Column:

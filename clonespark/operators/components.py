@@ -22,8 +22,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """
     links = edges.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).filter("a <> b")
     links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    touched = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    labels = cut(touched.select("id", F.col("id").alias("root")))
+    labels = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.col("id").alias("root"))
     seed = 0
     while not links.isEmpty():
         seed += 1
@@ -42,11 +41,11 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             .distinct()
         )
         links = cut(renamed)
-        labels = cut(
-            labels.join(jump.select(F.col("v").alias("root"), "to"), "root", "left").select(
-                "id", F.coalesce("to", "root").alias("root")
-            )
+        labels = labels.join(jump.select(F.col("v").alias("root"), "to"), "root", "left").select(
+            "id", F.coalesce("to", "root").alias("root")
         )
+        if seed % 4 == 0:  # keep the plan of the composed labels short
+            labels = cut(labels)
     smallest = labels.groupBy("root").agg(F.min("id").alias("component"))
     labelled = labels.join(smallest, "root").select("id", "component")
     return vertices.select("id").join(labelled, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,35 +56,36 @@ def observations(table: DataFrame) -> DataFrame:
         q.alias("q"), g.alias("g"), F.least(F.length(q), F.length(g)).alias("n"),
         F.when(start > 0, start).otherwise(1).cast("int").alias("first"),
     ).filter((F.col("lineage_id") > 0) & (F.col("v_call") != "") & (F.col("n") > 0))
-    bases = ["A", "C", "G", "T"]
-    # columns with a germline base, in order: their index is the germline offset
-    columns = F.filter(
-        F.zip_with(
-            F.split(F.substring(F.col("q"), F.lit(1), F.col("n")), ""), F.split(F.substring(F.col("g"), F.lit(1), F.col("n")), ""),
-            lambda a, b: F.struct(a.alias("q"), b.alias("g")),
-        ),
-        lambda c: c["g"] != "-",
+    rows = rows.withColumn("_o", germline_view()("q", "g", "first")).select(
+        *[c for c in rows.columns if c not in ("q", "g", "n")], "_o.bases", "_o.expected", "_o.events", "_o.aligned"
     )
-
-    def comparable(c: Column) -> Column:
-        return c["q"].isin(bases) & c["g"].isin(bases)
-
-    rows = rows.withColumn("columns", columns)
-    rows = rows.withColumn(
-        "bases", F.array_join(F.transform("columns", lambda c: F.when(comparable(c), c["q"]).otherwise(".")), "")
-    ).withColumn("expected", F.array_join(F.transform("columns", lambda c: F.when(comparable(c), c["g"]).otherwise(".")), ""))
-    events = F.filter(
-        F.transform(
-            "columns",
-            lambda c, i: F.when(
-                comparable(c) & (c["q"] != c["g"]), F.struct((i + F.col("first")).cast("int").alias("position"), c["g"].alias("ref"), c["q"].alias("alt"))
-            ),
-        ),
-        lambda e: e.isNotNull(),
-    )
-    rows = rows.withColumn("events", events).withColumn("aligned", F.length(F.translate("bases", ".", "")))
     rate = F.when(F.col("aligned") > 0, F.size("events") / F.col("aligned")).otherwise(1.0)
-    return rows.withColumn("rate", rate).drop("columns", "q", "g", "n")
+    return rows.withColumn("rate", rate)
+
+
+VIEW_TYPE = "bases string, expected string, events array<struct<position:int,ref:string,alt:string>>, aligned int"
+
+
+def germline_view():
+    """UDF aligned pair -> observed and germline letters per germline position."""
+
+    @F.pandas_udf(VIEW_TYPE)
+    def view(query: pd.Series, germline: pd.Series, first: pd.Series) -> pd.DataFrame:
+        known = np.zeros(256, dtype=bool)
+        known[[65, 67, 71, 84]] = True
+        rows = []
+        for q, g, start in zip(query, germline, first, strict=True):
+            n = min(len(q), len(g))
+            a, b = (np.frombuffer(x.encode("ascii"), dtype=np.uint8)[:n] for x in (q, g))
+            a, b = a[b != 45], b[b != 45]
+            comparable = known[a] & known[b]
+            seen, expected = np.where(comparable, a, 46).astype(np.uint8), np.where(comparable, b, 46).astype(np.uint8)
+            at = np.flatnonzero(comparable & (a != b))
+            events = [{"position": int(start + i), "ref": chr(b[i]), "alt": chr(a[i])} for i in at]
+            rows.append((seen.tobytes().decode(), expected.tobytes().decode(), events, int(comparable.sum())))
+        return pd.DataFrame(rows, columns=["bases", "expected", "events", "aligned"])
+
+    return view.asNondeterministic()
 
 
 def base_at(position: Column, letters: str = "bases") -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import clean_alignment, codon_map, gene_of, number, rounded_count, text, top_call
+from ..functions.sequences import CODON_TABLE, clean_alignment, gene_of, number, rounded_count, text, top_call
 
 METRICS = ("v_nt_mutations", "v_nt_rate", "v_aa_replacements", "v_aa_rate", "synonymous", "cdr_nt_rate", "framework_nt_rate")
 CDR_REGIONS = ("cdr1", "cdr2")
@@ -30,94 +32,125 @@ def _ratio(a: str, b: str) -> Column:
     return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
 
 
+COUNT_FIELDS = (
+    "compared_nt", "v_nt_mutations", "compared_codons", "v_aa_replacements", "synonymous",
+    "cdr_nt_compared", "cdr_nt_mutations", "framework_nt_compared", "framework_nt_mutations",
+)
+COUNT_TYPE = ", ".join(f"{name} int" for name in COUNT_FIELDS)
+
+_BASE = np.full(256, 4, dtype=np.int64)
+for _code, _letter in enumerate(b"TCAG"):
+    _BASE[_letter] = _code
+_RESIDUE = np.array([ord(CODON_TABLE[a + b + c]) for a in "TCAG" for b in "TCAG" for c in "TCAG"])
+
+
+def _letters(texts: list[str], width: int) -> np.ndarray:
+    """Texts as a byte matrix, padded with gaps."""
+    joined = "".join(t[:width].ljust(width, "-") for t in texts)
+    return np.frombuffer(joined.encode("ascii"), dtype=np.uint8).reshape(len(texts), width)
+
+
+def count_mutations(
+    queries: list[str], germlines: list[str], start: np.ndarray, phase: np.ndarray, cdr: np.ndarray, framework: np.ndarray
+) -> np.ndarray:
+    """The nine counts (see ``COUNT_FIELDS``) of many aligned pairs.
+
+    ``cdr`` and ``framework`` are (reads, regions, 2) query bounds. A codon is compared when
+    its three columns are adjacent, ungapped and unambiguous; an insertion or deletion
+    skips to the next frame boundary. Columns that are gaps on both sides do not exist.
+    """
+    lengths = [min(len(a), len(b)) for a, b in zip(queries, germlines, strict=True)]
+    cleaned = [(a[:n], b[:n]) for a, b, n in zip(queries, germlines, lengths, strict=True)]
+    for i, (a, b) in enumerate(cleaned):
+        if "-" in a and "-" in b:
+            kept = [(x, y) for x, y in zip(a, b, strict=True) if x != "-" or y != "-"]
+            cleaned[i] = ("".join(x for x, _ in kept), "".join(y for _, y in kept))
+    width = max(3, max(len(a) for a, _ in cleaned))
+    q, g = _letters([a for a, _ in cleaned], width), _letters([b for _, b in cleaned], width)
+    in_q, in_g = q != 45, g != 45
+    bq, bg = _BASE[q], _BASE[g]
+    valid = (bq < 4) & (bg < 4)
+    miss = valid & (bq != bg)
+    seen = np.cumsum(in_q, axis=1)
+    position = seen + (start - 1)[:, None]
+
+    def within(bounds: np.ndarray) -> np.ndarray:
+        inside = np.zeros(q.shape, dtype=bool)
+        for r in range(bounds.shape[1]):
+            lo, hi = bounds[:, r, 0][:, None], bounds[:, r, 1][:, None]
+            inside |= (lo > 0) & (hi >= lo) & (position >= lo) & (position <= hi)
+        return inside
+
+    both = in_q & in_g
+    closes = both & ((phase[:, None] + seen) % 3 == 0)
+
+    def three(m: np.ndarray) -> np.ndarray:
+        return m[:, 2:] & m[:, 1:-1] & m[:, :-2]
+
+    codon = closes[:, 2:] & three(both) & three(valid)
+    cq = bq[:, :-2] * 16 + bq[:, 1:-1] * 4 + bq[:, 2:]
+    cg = bg[:, :-2] * 16 + bg[:, 1:-1] * 4 + bg[:, 2:]
+    changed = codon & (cq != cg)
+    silent = changed & (_RESIDUE[np.minimum(cq, 63)] == _RESIDUE[np.minimum(cg, 63)])
+    in_cdr, in_framework = within(cdr), within(framework)
+    marks = (valid, miss, codon, changed & ~silent, silent, valid & in_cdr, miss & in_cdr, valid & in_framework, miss & in_framework)
+    return np.stack([m.sum(axis=1) for m in marks], axis=1)
+
+
+def mutation_counts():
+    """UDF over aligned pairs; ``bounds`` is a flat list of region starts and ends."""
+    split = len(CDR_REGIONS)
+
+    @F.pandas_udf(COUNT_TYPE)
+    def counts(query: pd.Series, germline: pd.Series, start: pd.Series, phase: pd.Series, bounds: pd.Series) -> pd.DataFrame:
+        if not len(query):
+            return pd.DataFrame(columns=list(COUNT_FIELDS), dtype="int32")
+        parts = []
+        for at in range(0, len(query), 1024):
+            cut_rows = slice(at, at + 1024)
+            regions = np.stack(bounds.iloc[cut_rows].to_list()).reshape(-1, split + len(FRAMEWORK_REGIONS), 2)
+            parts.append(
+                count_mutations(
+                    query.iloc[cut_rows].to_list(), germline.iloc[cut_rows].to_list(), start.iloc[cut_rows].to_numpy(), phase.iloc[cut_rows].to_numpy(),
+                    regions[:, :split], regions[:, split:],
+                )
+            )
+        return pd.DataFrame(np.concatenate(parts), columns=list(COUNT_FIELDS)).astype("int32")
+
+    # evaluated once per row, not once per field read from the struct
+    return counts.asNondeterministic()
+
+
 def shm_metrics(table: DataFrame) -> DataFrame:
     """Per-record mutation counts; records without a comparable base are dropped.
 
-    One fold over the aligned columns carries the query position, the reading frame
-    and the open codon, so a read costs one pass and never leaves the JVM.
+    The walk over the columns is the only Python step; it runs on Arrow batches and
+    needs no shuffle.
     """
     names = table.columns
     query = clean_alignment(_first_filled(names, "v_sequence_alignment", "sequence_alignment"))
     germline = clean_alignment(_first_filled(names, "v_germline_alignment", "germline_alignment"))
     frame = F.when(_position(names, "sequence_frame") > 0, _position(names, "sequence_frame")).otherwise(_position(names, "v_frame"))
-    bounds = {r: (_position(names, f"{r}_start"), _position(names, f"{r}_end")) for r in (*CDR_REGIONS, *FRAMEWORK_REGIONS)}
-    base = table.select(
-        "*",
-        query.alias("_q"),
-        germline.alias("_g"),
-        F.greatest(F.lit(1), _position(names, "v_sequence_start")).alias("_start"),
-        F.pmod(F.greatest(F.lit(1), frame) - 1, F.lit(3)).cast("int").alias("_phase"),
-        *[b.alias(f"_{r}_{side}") for r, pair in bounds.items() for side, b in zip(("lo", "hi"), pair, strict=True)],
-    ).filter((F.col("_q") != "") & (F.col("_g") != ""))
-
-    bases = ["A", "C", "G", "T"]
-    table_of_codons = codon_map()
-
-    def inside(position: Column, regions: tuple[str, ...]) -> Column:
-        out = F.lit(False)
-        for r in regions:
-            lo, hi = F.col(f"_{r}_lo"), F.col(f"_{r}_hi")
-            out = out | ((lo > 0) & (hi >= lo) & (position >= lo) & (position <= hi))
-        return out.cast("int")
-
-    length = F.least(F.length("_q"), F.length("_g"))
-    # substring mutations are sparse, so the heavy part of the fold sees few columns
-    pairs = F.zip_with(
-        F.split(F.substring(F.col("_q"), F.lit(1), length), ""),
-        F.split(F.substring(F.col("_g"), F.lit(1), length), ""),
-        lambda q, g: F.struct(q.alias("q"), g.alias("g")),
-    )
-    start = F.struct(
-        (F.col("_start") - 1).alias("pos"), F.col("_phase").alias("coding"), F.lit("").alias("cq"), F.lit("").alias("cg"),
-        *[F.lit(0).alias(n) for n in ("nt", "mut", "cdr", "cdrm", "fwr", "fwrm", "codons", "syn", "rep")],
-    )
-
-    def step(s: Column, p: Column) -> Column:
-        q, g = p["q"], p["g"]
-        pos = s["pos"] + (q != "-").cast("int")
-        valid = (q.isin(bases) & g.isin(bases)).cast("int")
-        miss = valid * (q != g).cast("int")
-        in_cdr, in_fwr = inside(pos, CDR_REGIONS), inside(pos, FRAMEWORK_REGIONS)
-        both = (q != "-") & (g != "-")
-        one = ((q != "-") | (g != "-")) & ~both
-        coding = s["coding"] + F.when(both | (q != "-"), 1).otherwise(0)
-        closes = both & (F.pmod(coding, F.lit(3)) == 0)
-        cq, cg = F.concat(s["cq"], q), F.concat(s["cg"], g)
-        whole = closes & (F.length(cq) == 3) & cq.rlike("^[ACGT]{3}$") & cg.rlike("^[ACGT]{3}$")
-        silent = F.try_element_at(table_of_codons, cq) == F.try_element_at(table_of_codons, cg)
-        keep = both & ~closes
-        return F.struct(
-            pos.alias("pos"),
-            coding.alias("coding"),
-            F.when(keep, cq).when(closes | one, "").otherwise(s["cq"]).alias("cq"),
-            F.when(keep, cg).when(closes | one, "").otherwise(s["cg"]).alias("cg"),
-            (s["nt"] + valid).alias("nt"),
-            (s["mut"] + miss).alias("mut"),
-            (s["cdr"] + valid * in_cdr).alias("cdr"),
-            (s["cdrm"] + miss * in_cdr).alias("cdrm"),
-            (s["fwr"] + valid * in_fwr).alias("fwr"),
-            (s["fwrm"] + miss * in_fwr).alias("fwrm"),
-            (s["codons"] + whole.cast("int")).alias("codons"),
-            (s["syn"] + F.when(whole & (cq != cg) & silent, 1).otherwise(0)).alias("syn"),
-            (s["rep"] + F.when(whole & (cq != cg) & ~silent, 1).otherwise(0)).alias("rep"),
-        )
-
-    walked = base.withColumn("_s", F.aggregate(pairs, start, step)).filter("_s.nt > 0")
-    named = {
-        "compared_nt": "nt", "v_nt_mutations": "mut", "compared_codons": "codons", "v_aa_replacements": "rep", "synonymous": "syn",
-        "cdr_nt_compared": "cdr", "cdr_nt_mutations": "cdrm", "framework_nt_compared": "fwr", "framework_nt_mutations": "fwrm",
-    }
+    bounds = [_position(names, f"{r}_{side}") for r in (*CDR_REGIONS, *FRAMEWORK_REGIONS) for side in ("start", "end")]
     weight = F.coalesce(*[F.nullif(text(c), F.lit("")) for c in ("duplicate_count", "consensus_count") if c in names], F.lit("1"))
     sample = F.when(text("sample_id") == "", "Unassigned sample").otherwise(text("sample_id")) if "sample_id" in names else F.lit("Unassigned sample")
-    out = walked.select(
+    rows = table.select(
         "ordinal",
         *(["lineage_id"] if "lineage_id" in names else []),
         top_call("v_call").alias("v_call"),
         top_call("j_call").alias("j_call"),
         sample.alias("sample_id"),
         rounded_count(weight).alias("weight"),
-        *[F.col(f"_s.{field}").alias(name) for name, field in named.items()],
-    )
+        query.alias("_q"),
+        germline.alias("_g"),
+        F.greatest(F.lit(1), _position(names, "v_sequence_start")).alias("_start"),
+        F.pmod(F.greatest(F.lit(1), frame) - 1, F.lit(3)).cast("int").alias("_phase"),
+        F.array(*bounds).alias("_bounds"),
+    ).filter((F.col("_q") != "") & (F.col("_g") != ""))
+    counted = rows.withColumn("_s", mutation_counts()("_q", "_g", "_start", "_phase", "_bounds"))
+    out = counted.select(
+        *[c for c in rows.columns if not c.startswith("_")], *[F.col(f"_s.{name}").alias(name) for name in COUNT_FIELDS]
+    ).filter("compared_nt > 0")
     return (
         out.withColumn("v_nt_rate", F.col("v_nt_mutations") / F.col("compared_nt"))
         .withColumn("v_aa_rate", _ratio("v_aa_replacements", "compared_codons"))

@@ -32,11 +32,6 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _words_for(nodes: DataFrame) -> int:
-    longest = nodes.agg(F.max(F.length("seq"))).first()[0] or 1
-    return -(-longest // PACK_WIDTH)
-
-
 def _hamming_keys(frame: DataFrame) -> DataFrame:
     """One row per block of ``rest``; ``key`` names the blocks agreed on so far."""
     count = F.greatest(F.lit(1), F.least(F.length("rest"), F.col("lim") + 1)).cast("int")
@@ -52,14 +47,17 @@ def _drop_block(keyed: DataFrame) -> DataFrame:
 
 
 def _hot_keys(left: DataFrame, right: DataFrame | None, hot_group: int) -> DataFrame | None:
+    """Buckets too large to pair inside, or None when there are none."""
     sizes = left.groupBy("part", "key").agg(F.count(F.lit(1)).alias("size"))
     if right is None:
         hot = sizes.filter(F.col("size") > hot_group)
     else:
+        # a bucket is small when either side, times the other, stays in bounds
         other = right.groupBy("part", "key").agg(F.count(F.lit(1)).alias("other"))
         hot = sizes.join(other, ["part", "key"]).filter(F.col("size") * F.col("other") > hot_group * hot_group)
-    hot = cut(hot.select("part", "key"))
-    return None if hot.isEmpty() else hot
+    hot = hot.select("part", "key")
+    # most inputs have no hot bucket: look for one before materialising them
+    return None if hot.isEmpty() else cut(hot)
 
 
 def _alias(frame: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
@@ -109,7 +107,8 @@ def hamming_pairs(
     Result: ``left_id, right_id, distance`` (distance NULL for such links).
     """
     own = right is None
-    words = _words_for(left) if own else max(_words_for(left), _words_for(right))
+    sides = left.select("seq") if own else left.select("seq").union(right.select("seq"))
+    words = -(-(sides.agg(F.max(F.length("seq"))).first()[0] or 1) // PACK_WIDTH)
     keep = _carried(words)
     distance = _packed_distance(words)
     extra = (F.col("l_id") < F.col("r_id")) if own else None

@@ -32,7 +32,7 @@ from ..operators import shm as SH
 from ..operators import study as ST
 from ..operators.components import connected_components
 from ..operators.records import records
-from ..session import ship_package
+from ..session import cut, ship_package
 from ..sources import writers as WR
 from .surrogate import rearrangements, rearrangements_cte
 
@@ -416,22 +416,29 @@ _TOKENS = (
     f"list_sort(list_distinct(list_transform({sql_calls('v_call')}, lambda c: {sql_gene('upper(c)')}))) AS vs, "
     f"list_sort(list_distinct(list_transform({sql_calls('j_call')}, lambda c: {sql_gene('upper(c)')}))) AS js"
 )
-LINEAGE_STEPS = (
+def _lineage_steps(identity: float) -> tuple[str, ...]:
+  return (
     STEP_REC,
     f"el AS (SELECT *, {_TOKENS} FROM rec WHERE productive AND cdr3_nt <> '' AND v_call <> '' AND j_call <> '')",
     "nd AS (SELECT subject_id, locus, vs, js, cdr3_nt, min(ordinal) AS id FROM el GROUP BY ALL)",
     # no blocks here: every pair of a subject, locus and length is compared
     "ed AS (SELECT a.id AS x, b.id AS y FROM nd a JOIN nd b ON a.subject_id = b.subject_id AND a.locus = b.locus AND length(a.cdr3_nt) = length(b.cdr3_nt) AND a.id <> b.id "
-    "WHERE list_has_any(a.vs, b.vs) AND list_has_any(a.js, b.js) AND hamming(a.cdr3_nt, b.cdr3_nt) <= floor(0.15 * length(a.cdr3_nt) + 1e-9))",
+    "WHERE list_has_any(a.vs, b.vs) AND list_has_any(a.js, b.js) AND hamming(a.cdr3_nt, b.cdr3_nt) <= floor({gap} * length(a.cdr3_nt) + 1e-9))".replace("{gap}", str(round(1 - identity, 6))),
     "reach(x, y) AS (SELECT id, id FROM nd UNION SELECT reach.x, ed.y FROM reach JOIN ed ON reach.y = ed.x)",
     "lb AS (SELECT x AS id, min(y) AS lineage_id FROM reach GROUP BY x)",
     "asg AS (SELECT el.ordinal, lb.lineage_id FROM el JOIN nd USING (subject_id, locus, vs, js, cdr3_nt) JOIN lb ON lb.id = nd.id)",
-)
+  )
+
+
+LINEAGE_STEPS = _lineage_steps(0.85)
+# narrow lineages: equal CDR3s only, so that near ones are neighbours
+NARROW = LI.LineageOptions(identity=0.97)
+NARROW_STEPS = _lineage_steps(0.97)
 
 
-def _assigned(spark, d):
+def _assigned(spark, d, options: LI.LineageOptions | None = None):
     rows = base(spark, d)
-    return rows, LI.assign_lineages(rows)
+    return rows, LI.assign_lineages(rows, options)
 
 
 @query("lineage_assign", with_steps(*LINEAGE_STEPS, body="SELECT ordinal, lineage_id FROM asg"))
@@ -669,7 +676,7 @@ def _neighbour_sql(edit: bool, identity: float) -> str:
     distance = "levenshtein(a.cdr3_nt, b.cdr3_nt)" if edit else "hamming(a.cdr3_nt, b.cdr3_nt)"
     calls = "" if edit else " AND list_has_any(a.vs, b.vs) AND list_has_any(a.js, b.js)"
     return with_steps(
-        *LINEAGE_STEPS, _SOURCES, "mm AS (SELECT DISTINCT lineage_id, subject_id, locus, vs, js, cdr3_nt FROM el JOIN asg USING (ordinal))",
+        *NARROW_STEPS, _SOURCES, "mm AS (SELECT DISTINCT lineage_id, subject_id, locus, vs, js, cdr3_nt FROM el JOIN asg USING (ordinal))",
         "lt AS (SELECT lineage_id, count(*) AS unique_members, CAST(sum(weight) AS BIGINT) AS abundance FROM el JOIN asg USING (ordinal) GROUP BY 1)",
         f"h AS (SELECT b.lineage_id, {distance} AS distance, 1 - {distance}::DOUBLE / {length} AS identity FROM mm a JOIN src ON src.lineage_id = a.lineage_id JOIN mm b ON a.subject_id = b.subject_id AND a.locus = b.locus "
         f"WHERE b.lineage_id NOT IN (SELECT lineage_id FROM src) AND {pair}{calls})",
@@ -677,17 +684,17 @@ def _neighbour_sql(edit: bool, identity: float) -> str:
     )
 
 
-@query("neighbours_hamming", _neighbour_sql(False, 0.6))
+@query("neighbours_hamming", _neighbour_sql(False, 0.9))
 def _(spark, d):
-    rows, assigned = _assigned(spark, d)
-    hits = SE.lineage_neighbours(rows, assigned, _sources(rows, assigned), SE.NeighbourOptions(min_identity=0.6))
+    rows, assigned = _assigned(spark, d, NARROW)
+    hits = SE.lineage_neighbours(rows, assigned, _sources(rows, assigned), SE.NeighbourOptions(min_identity=0.9))
     return _rounded(hits.select("lineage_id", "identity", "unique_members", "abundance"), "identity")
 
 
-@query("neighbours_edit", _neighbour_sql(True, 0.7))
+@query("neighbours_edit", _neighbour_sql(True, 0.88))
 def _(spark, d):
-    rows, assigned = _assigned(spark, d)
-    hits = SE.lineage_neighbours(rows, assigned, _sources(rows, assigned), SE.NeighbourOptions(min_identity=0.7, metric="edit", call_policy="ignore"))
+    rows, assigned = _assigned(spark, d, NARROW)
+    hits = SE.lineage_neighbours(rows, assigned, _sources(rows, assigned), SE.NeighbourOptions(min_identity=0.88, metric="edit", call_policy="ignore"))
     return _rounded(hits.select("lineage_id", "identity", "unique_members", "abundance"), "identity")
 
 
@@ -891,8 +898,8 @@ def _(spark, d):
 )
 def _(spark, d):
     options = RE.RefinementOptions()
-    nodes = RE.allele_nodes(_alleles(spark, d))
-    rows = RE.evidence(RE.refinement_rows(table(spark, d), options), nodes, RE.allele_edges(nodes, 2), options)
+    nodes = cut(RE.allele_nodes(_alleles(spark, d)))
+    rows = RE.evidence(RE.refinement_rows(table(spark, d), options), nodes, cut(RE.allele_edges(nodes, 2)), options)
     return _rounded(rows.select("ordinal", F.explode("entries").alias("e")).select("ordinal", "e.node", "e.weight"), "weight")
 
 

@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import default_parallelism
+
 HEX = "'0123456789abcdef'"
 BASES = "'ACGTACGTACGTACGT'"
 RESIDUES = "'ACDEFGHIKLMNPQRS'"
@@ -138,20 +140,37 @@ COLUMNS = [
 ]
 
 
+_TASKS: dict[tuple[str, str], int] = {}
+
+
+def _scan_tasks(spark: SparkSession, path: str) -> int:
+    """Tasks a scan of ``path`` splits into, looked up once per session."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _TASKS:
+        _TASKS[key] = spark.read.parquet(path).rdd.getNumPartitions()
+    return _TASKS[key]
+
+
 def rearrangements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The repertoire over the tables in ``sf_dir``; unused columns are pruned away."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"
+    """The repertoire over the tables in ``sf_dir``; unused columns are pruned away.
+
+    One SQL text, so that the layers are analysed in a single pass.
+    """
+
+    def extend(source: str, layers: list[dict[str, str]]) -> str:
+        for layer in layers:
+            source = f"SELECT *, {', '.join(f'{e} AS {name}' for name, e in layer.items())} FROM ({source})"
+        return source
+
+    donors = extend(
+        "SELECT c_custkey, c_nationkey, c_mktsegment, n_regionkey "
+        f"FROM parquet.`{sf_dir}/customer.parquet` JOIN parquet.`{sf_dir}/nation.parquet` ON c_nationkey = n_nationkey",
+        CUSTOMER_LAYERS,
     )
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment")
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey")
-    donors = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
-    for layer in CUSTOMER_LAYERS:
-        donors = donors.selectExpr("*", *[f"{expression} AS {name}" for name, expression in layer.items()])
-    df = orders.join(donors, orders.o_custkey == donors.c_custkey)
-    for layer in ORDER_LAYERS:
-        df = df.selectExpr("*", *[f"{expression} AS {name}" for name, expression in layer.items()])
-    return df.select(*COLUMNS)
+    # a file that scans as fewer tasks than there are cores is spread first
+    hint = "" if _scan_tasks(spark, f"{sf_dir}/orders.parquet") >= default_parallelism(spark) else f"/*+ REPARTITION({default_parallelism(spark)}) */ "
+    joined = f"SELECT {hint}o_orderkey, o_orderstatus, o_orderpriority, x.* FROM parquet.`{sf_dir}/orders.parquet` JOIN ({donors}) x ON o_custkey = c_custkey"
+    return spark.sql(f"SELECT {', '.join(COLUMNS)} FROM ({extend(joined, ORDER_LAYERS)})")
 
 
 def rearrangements_cte(name: str = "r") -> str:
