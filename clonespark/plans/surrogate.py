@@ -140,15 +140,19 @@ COLUMNS = [
 ]
 
 
-_TASKS: dict[tuple[str, str], int] = {}
+# A donor row is well below 1 kB, so this many are at most 200 MB.
+BROADCAST_ROWS = 200_000
 
+_SIZES: dict[tuple[str, str], tuple[int, int]] = {}
 
-def _scan_tasks(spark: SparkSession, path: str) -> int:
-    """Tasks a scan of ``path`` splits into, looked up once per session."""
+
+def _scan_size(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Tasks and rows of a scan, looked up once per session (rows come from the footers)."""
     key = (spark.sparkContext.applicationId, path)
-    if key not in _TASKS:
-        _TASKS[key] = spark.read.parquet(path).rdd.getNumPartitions()
-    return _TASKS[key]
+    if key not in _SIZES:
+        df = spark.read.parquet(path)
+        _SIZES[key] = (df.rdd.getNumPartitions(), df.count())
+    return _SIZES[key]
 
 
 def rearrangements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,9 +171,16 @@ def rearrangements(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"FROM parquet.`{sf_dir}/customer.parquet` JOIN parquet.`{sf_dir}/nation.parquet` ON c_nationkey = n_nationkey",
         CUSTOMER_LAYERS,
     )
-    # a file that scans as fewer tasks than there are cores is spread first
-    hint = "" if _scan_tasks(spark, f"{sf_dir}/orders.parquet") >= default_parallelism(spark) else f"/*+ REPARTITION({default_parallelism(spark)}) */ "
-    joined = f"SELECT {hint}o_orderkey, o_orderstatus, o_orderpriority, x.* FROM parquet.`{sf_dir}/orders.parquet` JOIN ({donors}) x ON o_custkey = c_custkey"
+    # Small files scan as one task: spread the orders over the cores first, and send the
+    # customers to them when their counted size allows it. Larger tables need neither.
+    orders, customers, cores = f"{sf_dir}/orders.parquet", f"{sf_dir}/customer.parquet", default_parallelism(spark)
+    spread = f"/*+ REPARTITION({cores}) */ " if _scan_size(spark, orders)[0] < cores else ""
+    tasks, rows = _scan_size(spark, customers)
+    send = "/*+ BROADCAST(x) */ " if spread and tasks < cores and rows <= BROADCAST_ROWS else ""
+    joined = (
+        f"SELECT {send}o.*, x.* FROM (SELECT {spread}o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM parquet.`{orders}`) o "
+        f"JOIN ({donors}) x ON o_custkey = c_custkey"
+    )
     return spark.sql(f"SELECT {', '.join(COLUMNS)} FROM ({extend(joined, ORDER_LAYERS)})")
 
 
