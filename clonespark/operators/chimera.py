@@ -14,8 +14,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.sequences import clean_alignment, gene_of, text, top_call
+from ..session import cut
 
 # Default mutation rates of the full model, 0 to 0.25 in equal steps.
 MUTATION_RATES = tuple(round(i / 14 * 0.25, 4) for i in range(15))
@@ -196,35 +198,30 @@ def distance_from_reference(query: Column | str, germline: Column | str) -> Colu
     return F.aggregate(pairs, F.lit(0), lambda s, x: s + x)
 
 
-def thread_to_panel() -> Column:
-    """Place a locally aligned read onto its panel row (columns ``q, g, gapped``).
+def thread_to_panel():
+    """UDF (read, germline, panel row) -> read on the panel's columns.
 
     Insertions against the germline are dropped; the read fills the non-gap columns of
     the panel row from where its germline part begins, N before it. NULL when the
     germline part does not occur in the panel row.
     """
-    local = F.translate("g", "-", "")
-    at = F.instr(F.translate(F.col("gapped"), "-", ""), local)
-    read = F.regexp_replace("q", "[^ACGT-]", "N")
-    kept = F.array_join(
-        F.transform(
-            F.filter(F.sequence(F.lit(1), F.length("g")), lambda i: F.substring(F.col("g"), i, F.lit(1)) != "-"),
-            lambda i: F.coalesce(F.nullif(F.substring(read, i, F.lit(1)), F.lit("")), F.lit("N")),
-        ),
-        "",
-    )
-    filled = F.concat(F.repeat(F.lit("N"), at - 1), kept)
-    # column i of the panel takes the read base at its ungapped offset
-    columns = F.split(F.col("gapped"), "")
-    folded = F.aggregate(
-        columns,
-        F.struct(F.lit(0).alias("i"), F.lit("").alias("out")),
-        lambda s, c: F.when(
-            (c != "-") & (s["i"] < F.length(filled)),
-            F.struct((s["i"] + 1).alias("i"), F.concat(s["out"], F.substring(filled, s["i"] + 1, F.lit(1))).alias("out")),
-        ).otherwise(F.struct(s["i"].alias("i"), F.concat(s["out"], F.lit("-")).alias("out"))),
-    )
-    return F.when((at > 0) & (local != ""), folded["out"])
+
+    @F.pandas_udf(T.StringType())
+    def thread(query: pd.Series, germline: pd.Series, gapped: pd.Series) -> pd.Series:
+        unknown = {c: "N" for c in range(128) if chr(c) not in "ACGT-"}
+        out: list[str | None] = []
+        for q, g, row in zip(query, germline, gapped, strict=True):
+            local = g.replace("-", "")
+            at = row.replace("-", "").find(local) if row is not None and local else -1
+            if at < 0:
+                out.append(None)
+                continue
+            read = q.translate(unknown).ljust(len(g), "N")
+            filled = iter("N" * at + "".join(c for c, r in zip(read, g, strict=False) if r != "-"))
+            out.append("".join("-" if column == "-" else next(filled, "-") for column in row))
+        return pd.Series(out, dtype=object)
+
+    return thread.asNondeterministic()
 
 
 def panel_rows(panel: DataFrame) -> list[tuple[str, str]]:
@@ -266,7 +263,8 @@ def score_chimeras(table: DataFrame, panel: DataFrame, options: ChimeraOptions |
     genes = exact.groupBy(gene_of("call").alias("gene")).agg(F.min_by("gapped", "call").alias("by_gene"))
     far = distinct.filter(F.col("dfr") >= options.min_dfr).join(exact, "call", "left").withColumn("gene", gene_of("call")).join(genes, "gene", "left")
     far = far.withColumn("gapped", F.coalesce("gapped", "by_gene"))
-    threaded = far.withColumn("threaded", F.when(F.col("gapped").isNotNull(), thread_to_panel()))
+    threaded = far.withColumn("threaded", thread_to_panel()("q", "g", "gapped"))
+    threaded = cut(threaded)  # two branches read it
     unplaced = threaded.filter(F.col("threaded").isNull()).select(
         "call", "q", "g", "dfr", F.when(F.col("gapped").isNull(), "missing_reference").otherwise("error").alias("status")
     )

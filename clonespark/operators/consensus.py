@@ -218,11 +218,13 @@ def region_labels(anchored: DataFrame, regions: tuple[str, ...] = ("fwr1", "cdr1
     names = [r for r in regions if f"{r}_start" in anchored.columns]
     start = F.greatest(F.lit(1), F.coalesce(F.floor(number("v_sequence_start")), F.lit(1)))
     cells = anchored.select("lineage_id", "aligned_read", start.alias("s"), *[F.col(f"{r}_{e}").cast("int").alias(f"{r}_{e}") for r in names for e in ("start", "end")])
-    exploded = cells.select("*", F.posexplode(F.split("aligned_read", "")).alias("pos", "q")).filter("q <> '-'")
-    before = F.length(F.translate(F.substring(F.col("aligned_read"), F.lit(1), F.col("pos") + 1), "-", ""))
-    position = before + F.col("s") - 1
+    # read bases in order: their index is the offset from the read's first aligned base
+    placed = F.filter(F.transform(F.split("aligned_read", ""), lambda c, i: F.struct(c.alias("q"), i.alias("at"))), lambda x: x["q"] != "-")
+    narrow = cells.withColumn("placed", placed).drop("aligned_read")
+    exploded = narrow.select(*[c for c in narrow.columns if c != "placed"], F.posexplode("placed").alias("offset", "x"))
+    position = F.col("s") + F.col("offset")
     label = F.coalesce(*[F.when((F.col(f"{r}_start") > 0) & position.between(F.col(f"{r}_start"), F.col(f"{r}_end")), F.lit(r)) for r in names])
-    counts = exploded.select("lineage_id", (F.col("pos") + 1).alias("column"), label.alias("region")).filter("region IS NOT NULL").groupBy("lineage_id", "column", "region").agg(
+    counts = exploded.select("lineage_id", (F.col("x.at") + 1).alias("column"), label.alias("region")).filter("region IS NOT NULL").groupBy("lineage_id", "column", "region").agg(
         F.count(F.lit(1)).alias("n")
     )
     return counts.groupBy("lineage_id", "column").agg(F.min_by("region", F.struct(-F.col("n"), F.col("region"))).alias("region"))
