@@ -122,7 +122,7 @@ def test_annotation_recovers_the_truth(spark):
     rng = random.Random(21)
     genes = [("V", f"IGHV{i}*01", "".join(rng.choice("ACGT") for _ in range(117)) + "TGT" + "".join(rng.choice("ACG") for _ in range(6))) for i in range(3)]
     genes += [("D", "IGHD1*01", "GGTACAACGATTAC"), ("J", "IGHJ1*01", "ACTACTGGGGCCAGGGAACCCTGGTCACC"), ("J", "IGHJ2*01", "TTCGATCTTTGGGGCCGTGGCACCATGGT")]
-    rows = [(s, n, "IGH", q, 0, (6 if n == "IGHJ1*01" else -1) - 1 if s == "J" else -1, 120 if s == "V" else -1) for s, n, q in genes]
+    rows = [(s, n, "IGH", q, 0, 4 if n == "IGHJ1*01" else -1, 120 if s == "V" else -1) for s, n, q in genes]
     germlines = spark.createDataFrame(rows, "segment string, name string, locus string, sequence string, frame int, cdr3_stop int, fwr3_end int")
     v, d, j = genes[1][2], "GGTACAACGATTAC", "ACTACTGGGGCCAGGGAACCCTGGTCACC"
     read = v[:40] + ("A" if v[40] != "A" else "C") + v[41:] + "AC" + d + "TTG" + j

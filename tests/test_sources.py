@@ -88,8 +88,8 @@ def test_study_and_lineage_files(spark, tmp_path):
     table = _study(spark)
     result = run_study(table, load_config('{"selection": {"enabled": true, "options": {"locus": "IGH"}}}'))
     counts = result.counts()
-    # 2 samples x (2 CDR3s, and variants that fall in the odd sample)
-    assert counts["groups"] == counts["working_set"] == 6 and counts["lineages"] == 2
+    # two CDR3s in each sample, and one variant that falls in the odd sample
+    assert counts["groups"] == counts["working_set"] == 5 and counts["lineages"] == 2
     summary = {r.representative_cdr3_nt: r.abundance for r in result.frames["lineages"].collect()}
     assert summary == {"TGTGCAAGAGACTACTGG": 8, "TGTACCCCCTTTAAATGG": 4}
     assert sum(r.abundance for r in result.frames["sample_counts"].collect()) == 12
