@@ -59,7 +59,10 @@ def align_chunk(queries: list[str], references: list[str], diagonals: list[int],
     best, best_i, best_o = np.zeros(count, np.int32), np.zeros(count, int), np.zeros(count, int)
     steps = s.gap_extend * np.arange(width, dtype=np.int32)[None, :]
     edge = np.full((count, 1), floor, dtype=np.int32)
-    for i in range(1, longest + 1):
+    # rows whose band misses every reference hold no cell
+    top_row = max(1, min(diagonals) - band)
+    last_row = min(longest, max(d + len(b) for d, b in zip(diagonals, references, strict=True)) + band)
+    for i in range(top_row, last_row + 1):
         column = i - diag - band + offsets  # 1-based reference column
         base = np.take_along_axis(r, np.clip(column - 1 + low, 0, r.shape[1] - 1), axis=1)
         read = q[:, i - 1][:, None]
@@ -134,7 +137,7 @@ def align_chunk(queries: list[str], references: list[str], diagonals: list[int],
     return results
 
 
-def local_alignment(scoring: Scoring, chunk: int = 64):
+def local_alignment(scoring: Scoring, chunk: int = 256):
     """UDF (query, reference, diagonal, band) -> alignment struct.
 
     Pairs of a batch are sorted by band and length so that padded tables stay small.
@@ -142,7 +145,7 @@ def local_alignment(scoring: Scoring, chunk: int = 64):
 
     @F.pandas_udf(ALIGNMENT_TYPE)
     def align(query: pd.Series, reference: pd.Series, diagonal: pd.Series, band: pd.Series) -> pd.DataFrame:
-        order = sorted(range(len(query)), key=lambda k: (band.iloc[k], len(query.iloc[k]), diagonal.iloc[k]))
+        order = sorted(range(len(query)), key=lambda k: (band.iloc[k], diagonal.iloc[k], len(query.iloc[k])))
         out: list[tuple] = [()] * len(query)
         for begin in range(0, len(order), chunk):
             picked = order[begin : begin + chunk]

@@ -647,7 +647,7 @@ def _(spark, d):
     with_steps(
         *LINEAGE_STEPS, _PROBE_SQL,
         "h AS (SELECT lineage_id, ordinal, query_index, hamming(cdr3_nt, query) AS distance, 1 - hamming(cdr3_nt, query)::DOUBLE / length(query) AS score FROM el JOIN asg USING (ordinal) JOIN qq ON length(cdr3_nt) = length(query) "
-        "WHERE NOT contains(cdr3_nt, 'N') AND hamming(cdr3_nt, query) <= floor(0.1 * length(query) + 1e-9))",
+        "WHERE NOT contains(cdr3_nt, 'N') AND NOT contains(query, 'N') AND hamming(cdr3_nt, query) <= floor(0.1 * length(query) + 1e-9))",
         "k AS (SELECT *, row_number() OVER (PARTITION BY lineage_id ORDER BY score DESC, distance, ordinal, query_index) AS rn FROM h)",
         body="SELECT k.lineage_id, k.ordinal, k.query_index, round(k.score, 6) AS score, CAST(k.distance AS INT) AS distance, s AS matched_sequences, q AS matched_queries FROM k "
              "JOIN (SELECT lineage_id, count(DISTINCT ordinal) AS s, count(DISTINCT query_index) AS q FROM h GROUP BY 1) USING (lineage_id) WHERE rn = 1",
