@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .boosting import Forest, fit_forest
-from .kernels import BLANKS, U, byte_set, covered, mix, ngram_hashes, row_sums, runs, segment_hashes, slices, text_bytes, window_starts, words_in
+from .kernels import BLANKS, U, byte_set, covered, distinct_keys, mix, ngram_hashes, row_sums, runs, segment_hashes, slices, text_bytes, window_starts, words_in
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -45,19 +45,19 @@ def statistics(column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     salt = mix(np.arange(len(n), dtype=U) + U(1))
     at = np.flatnonzero(window_starts(words.first, 3))
     keys = ngram_hashes(hashes, 3)[at] ^ salt[rows[at]]
-    _, inverse, times = np.unique(keys, return_inverse=True, return_counts=True)
-    repeat = covered(at[times[inverse] > 1], 3, len(hashes))
+    inverse = distinct_keys(keys)[2]
+    repeat = covered(at[np.bincount(inverse)[inverse] > 1], 3, len(hashes))
     starts, ends = runs(~NEWLINE[data], offsets)  # empty lines have no word and need no place
     line_row = np.searchsorted(offsets, starts, "right") - 1
     filled = np.concatenate([[0], np.cumsum(inside)])
     held = filled[ends] > filled[starts]
     lines = segment_hashes(data, starts, ends, seed=3) ^ salt[line_row]
-    _, first = np.unique(lines, return_index=True)
+    first = distinct_keys(lines)[1]
     again = np.ones(len(lines), bool)
     again[first] = False
     n_lines = np.bincount(line_row[held], minlength=len(n))
     n_dup = np.bincount(line_row[held & again], minlength=len(n))
-    distinct = np.bincount(rows[np.unique(hashes ^ salt[rows], return_index=True)[1]], minlength=len(n))
+    distinct = np.bincount(rows[distinct_keys(hashes ^ salt[rows])[1]], minlength=len(n))
     counts = {
         "n_words": n, "word_chars": chars(inside & point), "n_symbols": chars(SYMBOLS[data]), "n_dup_lines": n_dup,
         "n_repeat_words": row_sums(repeat.astype(np.int64), words.first),
