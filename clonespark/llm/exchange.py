@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 U = np.uint64
 ROWS = "bucket int, chunk int, kind int, payload binary"
 #: Bytes of text in a chunk, and bytes of text whose keys meet in one bucket.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 12 << 20
 BUCKET_BYTES = 16 << 20
 
 

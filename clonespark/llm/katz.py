@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import ROWS, bucket_of, chunked, groups_of, in_order, pack, pack_keys, read_keys, rows_table, spread, unpack
-from .kernels import U, mix, ngram_hashes, row_sums, words_of
+from .kernels import U, distinct_keys, mix, ngram_hashes, row_sums, words_of
 
 #: Kinds of packed rows: words, bigrams, what a chunk keeps for itself, reports and questions about histories.
 WORD, BIGRAM, OWN, REPORT, QUESTION = range(5)
@@ -86,7 +86,7 @@ def _read(table: pa.Table):
 
 
 def _distinct(keys: np.ndarray, train: np.ndarray):
-    distinct, inverse = np.unique(keys, return_inverse=True)
+    distinct, _, inverse = distinct_keys(keys)
     return distinct, inverse, np.bincount(inverse, train, len(distinct)).astype(np.uint32)
 
 
@@ -123,7 +123,7 @@ def katz_scores(docs: DataFrame, held_out: str = "false", key: str = "doc_id", t
                 continue
             keys = np.concatenate([read_keys(s[0], s[1]) for s in sent])
             counts = np.concatenate([s[2].astype(np.int64) for s in sent])
-            distinct, inverse = np.unique(keys, return_inverse=True)
+            distinct, _, inverse = distinct_keys(keys)
             totals = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
             bucket = own["bucket"][0].as_py()
             real = np.ones(len(distinct), bool)
@@ -137,7 +137,7 @@ def katz_scores(docs: DataFrame, held_out: str = "false", key: str = "doc_id", t
                 summary[-2] += (totals[real] > 0).sum()
             owner = np.zeros(len(keys), bool)
             trained = np.flatnonzero(counts > 0)
-            owner[trained[np.unique(inverse[trained], return_index=True)[1]]] = True
+            owner[trained[distinct_keys(inverse[trained])[1]]] = True
             at = 0
             for chunk, s in zip(own["chunk"].to_pylist(), sent, strict=True):
                 part = slice(at, at + len(s[0]))
@@ -157,14 +157,13 @@ def katz_scores(docs: DataFrame, held_out: str = "false", key: str = "doc_id", t
         lost1, lost2 = discounts(summary[: top + 1], top), discounts(summary[top + 1 : 2 * top + 2], top)
         table, tokens, train, after, pairs, bounds = _read(table)
         words, word_of, _ = _distinct(tokens, train)
-        bigrams, bigram_of, _ = _distinct(pairs, train[after])
+        bigrams, example, bigram_of = distinct_keys(pairs)
         c1, _ = _counts(answers, WORD, words, buckets)
         c2, owner = _counts(answers, BIGRAM, bigrams, buckets)
         p1, _ = unigrams(c1, summary, lost1, top)
         history, token = word_of[after - 1], word_of[after]
         # reports: what each owned bigram takes from its history
         seen = np.flatnonzero(owner)
-        _, example = np.unique(bigram_of, return_index=True)
         h, w = history[example[seen]], token[example[seen]]
         taken = np.bincount(h, starred(c2[seen], lost2), len(words)) if len(seen) else np.zeros(len(words))
         lower = np.bincount(h, p1[w], len(words)) if len(seen) else np.zeros(len(words))

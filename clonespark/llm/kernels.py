@@ -160,6 +160,20 @@ def window_starts(first: np.ndarray, n: int) -> np.ndarray:
     return left >= n
 
 
+def distinct_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the first place of each, and the number of the key at each place."""
+    if not len(keys):
+        return keys, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(keys)
+    arranged = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = arranged[1:] != arranged[:-1]
+    heads = np.flatnonzero(new)
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return arranged[heads], np.minimum.reduceat(order, heads), inverse
+
+
 def covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
     """Flags of the positions inside any window of ``n`` that begins at ``starts``."""
     marks = np.zeros(size + 1, np.int32)

@@ -19,7 +19,7 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 
 from .exchange import ROWS, bucket_of, chunked, groups_of, in_order, pack, rows_table, spread, unpack
-from .kernels import covered, ngram_hashes, row_sums, window_starts, words_of
+from .kernels import covered, distinct_keys, ngram_hashes, row_sums, window_starts, words_of
 
 #: A document without an id counts as the last one.
 LAST = np.iinfo(np.int64).max
@@ -28,27 +28,28 @@ RESULT = "doc_id long, n_words long, n_removed long, repeats array<struct<start:
 
 
 def _read(table: pa.Table, block: int):
+    """Sorted rows, their words, and the distinct rolling windows of ``block`` words with their places."""
     table = in_order(table)
     words = words_of(table["text"])
     hashes = words.hashes()
-    rolling = ngram_hashes(hashes, block)
-    return table, words, hashes, rolling, np.flatnonzero(window_starts(words.first, block))
+    at = np.flatnonzero(window_starts(words.first, block))
+    keys, _, which = distinct_keys(ngram_hashes(hashes, block)[at])
+    return table, words, hashes, at, keys, which
 
 
 def _ids(table: pa.Table) -> np.ndarray:
     return table["doc_id"].fill_null(LAST).to_numpy().astype(np.int64)
 
 
-def _windows(words, hashes: np.ndarray, rolling: np.ndarray, at: np.ndarray, hits: np.ndarray, block: int, window: int):
+def _windows(words, hashes: np.ndarray, at: np.ndarray, hits: np.ndarray, block: int, window: int):
     """Windows that hold a hit: their starts, the keys, and per distinct key its first window."""
     found = np.zeros(len(hashes) + 1, np.int32)
-    found[at + 1] = hits[np.searchsorted(np.unique(rolling[at]), rolling[at])] if len(at) else 0
+    found[at + 1] = hits
     total = np.cumsum(found)
     starts = np.flatnonzero(window_starts(words.first, window))
     starts = starts[total[starts + window - block + 1] > total[starts]]
     keys = ngram_hashes(hashes, window, seed=5)[starts]
-    distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    return starts, distinct, first, inverse
+    return starts, *distinct_keys(keys)
 
 
 def substring_dedup(docs: DataFrame, window: int = 20, block: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -71,10 +72,10 @@ def substring_dedup(docs: DataFrame, window: int = 20, block: int = 10, key: str
 
     def probe(table: pa.Table) -> pa.Table:
         chunk = table["chunk"][0].as_py()
-        _, words, _, rolling, at = _read(table, block)
-        keys, counts = np.unique(rolling[at], return_counts=True)
+        _, words, _, at, keys, which = _read(table, block)
+        counts = np.bincount(which, minlength=len(keys))
         reference = np.zeros(len(keys), bool)
-        reference[np.searchsorted(keys, rolling[at[words.positions[at] % block == 0]])] = True
+        reference[which[words.positions[at] % block == 0]] = True
         rows = []
         for b, part in groups_of(bucket_of(keys, buckets), buckets):
             rows.append((b, chunk, 0, pack(keys[part].astype(np.uint32), np.packbits(counts[part] > 1), np.packbits(reference[part]))))
@@ -87,7 +88,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, block: int = 10, key: str
         keys = np.concatenate([s[0] for s in sent])
         twice = np.concatenate([np.unpackbits(s[1], count=n) for s, n in zip(sent, sizes, strict=True)])
         block_here = np.concatenate([np.unpackbits(s[2], count=n) for s, n in zip(sent, sizes, strict=True)])
-        distinct, inverse = np.unique(keys, return_inverse=True)
+        distinct, _, inverse = distinct_keys(keys)
         times = np.bincount(inverse, 1.0 + twice, len(distinct))
         hit = ((times > 1) & (np.bincount(inverse, block_here, len(distinct)) > 0))[inverse]
         return _answers(table, hit, sizes)
@@ -96,9 +97,9 @@ def substring_dedup(docs: DataFrame, window: int = 20, block: int = 10, key: str
         if not table.num_rows:
             return rows_table([])
         chunk = table["chunk"][0].as_py()
-        table, words, hashes, rolling, at = _read(table, block)
-        hits = _bits(answers, np.unique(rolling[at]), buckets)
-        starts, distinct, first, _ = _windows(words, hashes, rolling, at, hits, block, window)
+        table, words, hashes, at, keys, which = _read(table, block)
+        hits = _bits(answers, keys, buckets)[which]
+        starts, distinct, first, _ = _windows(words, hashes, at, hits, block, window)
         order = np.argsort(first, kind="stable")  # by document and place, which compresses best
         order = order[np.argsort(bucket_of(distinct[order], buckets), kind="stable")]
         places = starts[first[order]]
@@ -127,11 +128,14 @@ def substring_dedup(docs: DataFrame, window: int = 20, block: int = 10, key: str
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _result([], [], [], [], [])
-        table, words, hashes, rolling, at = _read(table, block)
+        table = in_order(table)
+        words = words_of(table["text"])
+        hashes = words.hashes()
+        at = np.flatnonzero(window_starts(words.first, block))
         own = answers.filter(pa.compute.equal(answers["kind"], 1))
         packed, n = unpack(own["payload"][0].as_py())
         hits = np.unpackbits(packed, count=int(n[0])).astype(bool)
-        starts, distinct, first, inverse = _windows(words, hashes, rolling, at, hits, block, window)
+        starts, distinct, first, inverse = _windows(words, hashes, at, hits, block, window)
         order = np.argsort(first, kind="stable")
         order = order[np.argsort(bucket_of(distinct[order], buckets), kind="stable")]
         later = np.zeros(len(distinct), bool)
