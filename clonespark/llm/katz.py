@@ -121,14 +121,14 @@ def katz_scores(docs: DataFrame, held_out: str = "false", key: str = "doc_id", t
             sent = [unpack(p) for p in own["payload"].to_pylist()]
             if not sent:
                 continue
-            keys = np.concatenate([read_keys(s[0], s[1]) for s in sent])
-            counts = np.concatenate([s[2].astype(np.int64) for s in sent])
+            keys = np.concatenate([read_keys(*s[:3]) for s in sent])
+            counts = np.concatenate([s[3].astype(np.int64) for s in sent])
             distinct, _, inverse = distinct_keys(keys)
             totals = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
             bucket = own["bucket"][0].as_py()
             real = np.ones(len(distinct), bool)
             if kind == WORD and bucket_of(np.array([START], U), buckets)[0] == bucket:
-                real = distinct != (START & U((1 << 48) - 1))
+                real = distinct != START >> U(8)
                 summary[-1] += totals[~real].sum()
             at = kind * (top + 1)
             summary[at : at + top + 1] += np.bincount(np.minimum(totals[real], top + 2), minlength=top + 3)[1 : top + 2]
@@ -140,7 +140,7 @@ def katz_scores(docs: DataFrame, held_out: str = "false", key: str = "doc_id", t
             owner[trained[distinct_keys(inverse[trained])[1]]] = True
             at = 0
             for chunk, s in zip(own["chunk"].to_pylist(), sent, strict=True):
-                part = slice(at, at + len(s[0]))
+                part = slice(at, at + len(s[3]))
                 rows.append((bucket, chunk, kind, pack(_narrow(totals[inverse[part]]), np.packbits(owner[part]))))
                 at = part.stop
         rows.append((table["bucket"][0].as_py(), -1, OWN, b""))
@@ -198,9 +198,9 @@ def katz_scores(docs: DataFrame, held_out: str = "false", key: str = "doc_id", t
         reports = table.filter(pc.equal(table["kind"], REPORT)).sort_by("chunk")  # one order of adding: equal results each time
         questions = table.filter(pc.equal(table["kind"], QUESTION))
         sent = [unpack(p) for p in reports["payload"].to_pylist()]
-        keys = np.concatenate([read_keys(s[0], s[1]) for s in sent]) if sent else np.zeros(0, U)
+        keys = np.concatenate([read_keys(*s[:3]) for s in sent]) if sent else np.zeros(0, U)
         distinct, inverse = np.unique(keys, return_inverse=True)
-        taken, lower = (np.bincount(inverse, np.concatenate([s[k] for s in sent]), len(distinct)) if sent else np.zeros(0) for k in (2, 3))
+        taken, lower = (np.bincount(inverse, np.concatenate([s[k] for s in sent]), len(distinct)) if sent else np.zeros(0) for k in (3, 4))
         rows = []
         for chunk, bucket, payload in zip(questions["chunk"].to_pylist(), questions["bucket"].to_pylist(), questions["payload"].to_pylist(), strict=True):
             at = np.searchsorted(distinct, read_keys(*unpack(payload)))
