@@ -65,6 +65,34 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *COUNTS, "base_failed", "kept", "score")
 
 
+@query
+def op3_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .pieces import encode_texts
+
+    out = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_tokens", digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity(docs, docs.filter(fold(5) != 0), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs.select("doc_id", "text"), docs.filter(fold(4) != 2).select("text", "lang"))
+    return out.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op7_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .katz import katz_scores
