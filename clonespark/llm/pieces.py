@@ -32,6 +32,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 LONG_WORD = 4096
 #: Words kept with their ids in a Python worker.
 CACHE = 300_000
+#: Bytes of text taken up at once.
+PIECE = 1 << 20
 
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -111,7 +113,11 @@ class Codec:
         self.heads = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         self.flat = np.frombuffer(b"".join(self.raw), np.uint8)
         self.control = np.array([kind == CONTROL for kind in model.kinds])
-        self.cache: dict[str, np.ndarray] = {}
+        self._reset()
+        self.of_char = np.full(0x110000, self.width - 1, np.int64)
+        for symbol, number in self.symbol.items():
+            if len(symbol) == 1:
+                self.of_char[ord(symbol)] = number
 
     def _bytes(self, i: int) -> bytes:
         kind, piece = self.model.kinds[i], self.model.pieces[i]
@@ -126,36 +132,52 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one behind the other, and the number of ids of each."""
-        units = [self.unit.findall((SPACE if self.model.dummy_prefix else "") + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = list({u for text in units for u in text}.difference(self.cache))
+        units: list[str] = []
+        first = [0]
+        for text in texts:
+            if text:
+                units += self.unit.findall((SPACE if self.model.dummy_prefix else "") + text.replace(" ", SPACE))
+            first.append(len(units))
+        new = set(units).difference(self.cache)
         if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = list({u for text in units for u in text})
-        for begin in range(0, len(new), 50_000):
-            part = new[begin : begin + 50_000]
-            self.cache.update(zip(part, self.merge(part), strict=True))
-        found = [self.cache[u] for text in units for u in text]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        first = np.concatenate([[0], np.cumsum([len(text) for text in units])]).astype(np.int64)
+            self._reset()
+            new = set(units)
+        if new:
+            self._learn(list(new))
+        at = np.fromiter(map(self.cache.__getitem__, units), np.int64, len(units))
+        sizes = self.counts[at]
         total = np.concatenate([[0], np.cumsum(sizes)])
-        return np.concatenate(found) if found else np.zeros(0, np.int32), np.diff(total[first])
-
-    def merge(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word."""
-        out: list[np.ndarray | None] = [None] * len(words)
-        short = [k for k, w in enumerate(words) if len(w) <= LONG_WORD]
-        for k, w in enumerate(words):
-            if len(w) > LONG_WORD:
-                out[k] = self._finish([w], *self._heap(w))[0]
-        if short:
-            chosen = [words[k] for k in short]
-            for k, ids in zip(short, self._finish(chosen, *self._rounds(chosen)), strict=True):
-                out[k] = ids
-        return out
+        within = np.arange(int(total[-1])) - np.repeat(total[:-1], sizes)
+        return self.pool[np.repeat(self.begins[at], sizes) + within], np.diff(total[first])
+
+    def _reset(self) -> None:
+        self.cache: dict[str, int] = {}
+        self.pool = np.zeros(0, np.int32)
+        self.counts = self.begins = np.zeros(0, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        ids, counts = self.merge(words)
+        self.cache.update(zip(words, range(len(self.cache), len(self.cache) + len(words)), strict=True))
+        self.begins = np.concatenate([self.begins, len(self.pool) + np.cumsum(counts) - counts])
+        self.counts = np.concatenate([self.counts, counts])
+        self.pool = np.concatenate([self.pool, ids])
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one behind the other, and the number of ids of each."""
+        long = [k for k, w in enumerate(words) if len(w) > LONG_WORD]
+        if not long:
+            return self._finish(words, *self._rounds(words))
+        parts, done = [], 0
+        for k in [*long, len(words)]:
+            if k > done:
+                parts.append(self._finish(words[done:k], *self._rounds(words[done:k])))
+            if k < len(words):
+                parts.append(self._finish([words[k]], *self._heap(words[k])))
+            done = k + 1
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def _symbols(self, text: str) -> np.ndarray:
-        other = self.width - 1
-        return np.fromiter((self.symbol.get(c, other) for c in text), np.int64, len(text))
+        return self.of_char[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
     def _rounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols left over, their words, and the place of the first character of each."""
@@ -193,8 +215,10 @@ class Codec:
             keep[winners + 1] = False
             moved = np.cumsum(keep) - 1
             symbol, word, place, at = symbol[keep], word[keep], place[keep], at[keep]
-            changed = moved[winners]
-            changed = np.unique(np.concatenate([changed, changed[changed > 0] - 1]))
+            changed = np.zeros(len(symbol), bool)
+            changed[moved[winners]] = True
+            changed[:-1] |= changed[1:]
+            changed = np.flatnonzero(changed)
             at[changed] = self._lookup(symbol, word, changed)
         symbol, word, place = (np.concatenate([d[k] for d in done]) for k in range(3))
         order = np.argsort(place)
@@ -234,8 +258,8 @@ class Codec:
         left = np.array([k for k in range(n) if size[k]])
         return np.array(symbol)[left], np.zeros(len(left), np.int64), left
 
-    def _finish(self, words: list[str], symbol: np.ndarray, word: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-        """Characters that are no piece become bytes (or the unknown id); ids by word."""
+    def _finish(self, words: list[str], symbol: np.ndarray, word: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters that are no piece become bytes (or the unknown id); ids, and their number by word."""
         foreign = np.flatnonzero(symbol >= self.size)
         counts = np.ones(len(symbol), np.int64)
         if len(foreign):
@@ -248,8 +272,7 @@ class Codec:
                 ids[begin : begin + len(r)] = r
         else:
             ids = symbol
-        sizes = np.bincount(word, counts, len(words)).astype(np.int64)
-        return np.split(ids.astype(np.int32), np.cumsum(sizes)[:-1])
+        return ids.astype(np.int32), np.bincount(word, counts, len(words)).astype(np.int64)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """Texts of rows of ids; bytes that are no UTF-8 become one replacement character each."""
@@ -298,7 +321,7 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text") -> DataFr
     def run(batches):
         own = codec(shared.value)
         for batch in batches:
-            for piece in slices(batch, text):
+            for piece in slices(batch, text, PIECE):
                 texts = [t or "" for t in piece.column(text).to_pylist()]
                 ids, counts = own.encode(texts)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
