@@ -33,6 +33,8 @@ LEET[[ord(c) for c in "0123456789@$"]] = True
 CLASSES = 28  # a-z, any other letter, word break
 OTHER, BREAK = 26, 27
 FEATURE_BITS = 20
+#: Bytes of text taken up at once; a dozen arrays of eight bytes a character exist at a time.
+PIECE = 1 << 20
 PREFIXES = (4, 5, 6)
 SIGN_COST, DROP_COST, JOIN_COST, BREAK_COST = 0.5, 6.0, 1.0, 0.5
 
@@ -43,7 +45,7 @@ def char_counts(docs: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(CLASSES**3, np.int64)
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", PIECE):
                 data, offsets = text_bytes(pc.utf8_lower(piece.column("text").cast(pa.large_string())))
                 kind = np.where(LETTERS[data], np.where(data < 128, data - 97, OTHER), BREAK).astype(np.int64)
                 lead = np.append((data & 0xC0) != 0x80, True)[:-1]  # a letter of several bytes counts once
@@ -224,7 +226,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, cost: np.ndarray, sample: i
     def measure(batches):
         restorer = Restorer(cost)
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", PIECE):
                 row, slot = restorer.features(piece.column("text"))
                 keys = np.unique(row * (1 << FEATURE_BITS) + slot)
                 bounds = np.searchsorted(keys >> FEATURE_BITS, np.arange(piece.num_rows + 1))
@@ -280,7 +282,7 @@ def toxicity(docs: DataFrame, train: DataFrame, labels: DataFrame, sample: int =
         cost, weights, bias = shared.value
         restorer = Restorer(cost)
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", PIECE):
                 row, slot = restorer.features(piece.column("text"))
                 used = weights[slot] != 0
                 keys = distinct_keys(row[used] * (1 << FEATURE_BITS) + slot[used])[0]
