@@ -22,6 +22,8 @@ from .kernels import U, distinct_keys, mix, ngram_hashes, slices, stream, text_b
 from .storage import stored
 
 BANDS, ROWS = 32, 5
+#: Members of a bucket of which all pairs are compared.
+SMALL = 8
 
 
 def shingles(words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,8 +123,17 @@ def sketch(docs: DataFrame, size: int = 5, bands: int = BANDS, rows: int = ROWS)
     return docs.mapInArrow(run, "doc_id long, c1 long, c2 long, bands array<long>")
 
 
-def similarity(pairs: DataFrame, size: int = 5) -> DataFrame:
-    """``left_id, right_id, similarity``: exact weighted Jaccard of the shingles of two texts per row."""
+COMPARED = "left_id long, right_id long, similarity double, shared long, size long, novel array<long>"
+
+
+def similarity(pairs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
+    """Exact weighted Jaccard of the shingles of two texts per row.
+
+    ``shared`` is the weight of the common part and ``size`` that of the right text. Where ``wide`` is set,
+    ``novel`` holds what the right text has beyond the left one, as far as a third text can be
+    similar to the right one by it: copies of shingles in the order of their hashes, without
+    the last ones (prefix filter).
+    """
 
     def run(batches):
         for batch in batches:
@@ -130,26 +141,57 @@ def similarity(pairs: DataFrame, size: int = 5) -> DataFrame:
             group = np.cumsum(width) // (4 << 20)
             for g in np.unique(group):
                 span = np.flatnonzero(group == g)
-                piece = batch.slice(int(span[0]), len(span))
-                sides = []
-                for name in ("left_text", "right_text"):
-                    data, offsets = text_bytes(piece.column(name))
-                    words = words_in(data, offsets)
-                    sides.append(shingles(words, words.hashes(), size))
-                pair = np.concatenate([s[0] for s in sides])
-                salt = mix(np.arange(len(span), dtype=U) + U(1))
-                distinct, example, inverse = distinct_keys(np.concatenate([s[1] for s in sides]) ^ salt[pair])
-                n = len(sides[0][1])
-                left = np.bincount(inverse[:n], minlength=len(distinct))
-                right = np.bincount(inverse[n:], minlength=len(distinct))
-                both = np.bincount(pair[example], np.minimum(left, right), len(span))
-                either = np.bincount(pair[example], np.maximum(left, right), len(span))
-                yield pa.RecordBatch.from_pydict({
-                    "left_id": piece.column("left_id"), "right_id": piece.column("right_id"),
-                    "similarity": pa.array(np.divide(both, either, out=np.zeros(len(span)), where=either > 0)),
-                })
+                yield compare(batch.slice(int(span[0]), len(span)), size, threshold)
 
-    return pairs.select("left_id", "right_id", "left_text", "right_text").mapInArrow(run, "left_id long, right_id long, similarity double")
+    return pairs.select("left_id", "right_id", "left_text", "right_text", "wide").mapInArrow(run, COMPARED)
+
+
+def compare(piece: pa.RecordBatch, size: int, threshold: float) -> pa.RecordBatch:
+    sides = []
+    for name in ("left_text", "right_text"):
+        data, offsets = text_bytes(piece.column(name))
+        words = words_in(data, offsets)
+        sides.append(shingles(words, words.hashes(), size))
+    n_pairs = piece.num_rows
+    pair = np.concatenate([s[0] for s in sides])
+    keys = np.concatenate([s[1] for s in sides])
+    salt = mix(np.arange(n_pairs, dtype=U) + U(1))
+    distinct, example, inverse = distinct_keys(keys ^ salt[pair])
+    n = len(sides[0][1])
+    left = np.bincount(inverse[:n], minlength=len(distinct))
+    right = np.bincount(inverse[n:], minlength=len(distinct))
+    of = pair[example] if len(example) else pair
+    both = np.bincount(of, np.minimum(left, right), n_pairs)
+    either = np.bincount(of, np.maximum(left, right), n_pairs)
+    total = np.bincount(of, right, n_pairs)
+    wide = piece.column("wide").to_numpy(zero_copy_only=False).astype(bool)
+    extra = np.where(wide[of], np.maximum(right - left, 0), 0) if len(of) else np.zeros(0, np.int64)
+    element = np.repeat(np.arange(len(distinct)), extra)
+    copy = np.arange(len(element)) - np.repeat(np.cumsum(extra) - extra, extra) + left[element]
+    codes = mix(keys[example[element]] + mix(copy.astype(U))).view(np.int64) if len(element) else np.zeros(0, np.int64)
+    order = np.lexsort((codes, of[element])) if len(element) else np.zeros(0, np.int64)
+    counts = np.bincount(of[element], minlength=n_pairs) if len(element) else np.zeros(n_pairs, np.int64)
+    first = np.concatenate([[0], np.cumsum(counts)])
+    # a similar text shares at least ``threshold`` of this one's weight; what it can't share with the left text it shares here
+    needed = np.maximum(1, np.ceil(threshold * total - 1e-9) - both).astype(np.int64)
+    kept = np.maximum(0, counts - needed + 1)
+    flat = codes[order]
+    lists = [flat[a : a + k] for a, k in zip(first[:-1].tolist(), kept.tolist(), strict=True)]
+    return pa.RecordBatch.from_pydict({
+        "left_id": piece.column("left_id"), "right_id": piece.column("right_id"),
+        "similarity": pa.array(np.divide(both, either, out=np.zeros(n_pairs), where=either > 0)),
+        "shared": pa.array(both.astype(np.int64)), "size": pa.array(total.astype(np.int64)), "novel": pa.array(lists, pa.list_(pa.int64())),
+    })
+
+
+def _relabel(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes of all leads after links ``(left_id, right_id)`` between leads."""
+    left = label.select(F.col("lead").alias("left_id"), F.col("class").alias("a"))
+    right = label.select(F.col("lead").alias("right_id"), F.col("class").alias("b"))
+    edges = stored(links.join(left, "left_id").join(right, "right_id").filter("a <> b").select(F.col("a").alias("left_id"), F.col("b").alias("right_id")).distinct(), "dart-links")
+    ends = edges.select(F.explode(F.array("left_id", "right_id")).alias("id")).distinct()
+    merged = connected_components(ends, edges).select(F.col("id").alias("class"), "component")
+    return stored(label.join(merged, "class", "left").select("lead", F.coalesce("component", "class").alias("class")), "dart-classes")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -158,10 +200,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     Two texts are linked if the weighted Jaccard similarity of their ``size``-word shingles
     (words ``[^\\x20\\x09-\\x0D]+``, weight: how often a shingle occurs) is at least ``threshold``;
     groups are the connected components. Texts of equal words are one vertex. Others meet
-    where a band agrees, which two texts at 0.8 miss with probability 3e-6. In a bucket, pivots
-    (the members that share most buckets first) are compared with all members of other
-    groups, 1, 4, 16, ... pivots a round, until each bucket is one group or all its pairs between groups
-    are compared; every candidate is checked exactly. So a group of n copies costs about n comparisons.
+    where a band agrees, which two texts at 0.8 miss with probability 3e-6.
+
+    Buckets of equal members count once. In a bucket of up to ``SMALL`` members all pairs of different
+    classes are compared; the members of a larger one are compared with its pivot only, the member
+    that shares most buckets. Two others x, y that are not linked through the pivot p can be
+    similar in two ways. Either what they share with p is enough; these pairs are found by an
+    inequality over sizes and compared. Or they share something beyond p; then they meet in a new,
+    smaller bucket (p, shingle) in the next round. Rounds end when no bucket holds two classes. No pair of
+    texts that a band brought together is left undecided, and a group of n copies costs about n
+    comparisons, not n * n.
 
     Texts without words (null, empty) are groups of their own, and so are rows without an
     id (``class_id`` null). Rows that share an id are one document and share a class. An
@@ -179,41 +227,53 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     shared = band_rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     active = stored(band_rows.join(shared, "bucket"), "dart-buckets")
     weight = active.groupBy("lead").agg(F.sum("n").alias("weight"))
-    active = stored(active.join(weight, "lead").select("bucket", "lead", "weight"), "dart-members")
+    members = stored(active.join(weight, "lead").select("bucket", "lead", "weight"), "dart-members")
     # rows that share an id are one document: their texts are linked
     same = member.withColumn("first", F.min("right_id").over(Window.partitionBy("left_id"))).filter("first <> right_id")
-    same = same.select(F.col("first").alias("left_id"), "right_id")
-    label = leads.select("lead").distinct().withColumn("class", F.col("lead"))
-    tested, pivots = None, 1
+    label = _relabel(leads.select("lead").distinct().withColumn("class", F.col("lead")), same.select(F.col("first").alias("left_id"), "right_id"))
+    direct, pool, share = None, known, threshold / (1 + threshold)
     while True:
-        grouped = active.join(label, "lead")
-        mixed = grouped.groupBy("bucket").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.max_by(F.struct("lead", "class"), F.struct("weight", -F.col("lead"))).alias("p"))
-        mixed = mixed.filter("a < b")
-        if pivots == 1:
-            chosen = mixed.select("bucket", F.col("p.lead").alias("pivot"), F.col("p.class").alias("pivot_class"))
-        else:
-            remaining = grouped.join(mixed.select("bucket"), "bucket")
-            rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "lead"))
-            chosen = remaining.withColumn("rank", rank).filter(F.col("rank") <= pivots).select("bucket", F.col("lead").alias("pivot"), F.col("class").alias("pivot_class"))
-        chosen = stored(chosen, "dart-pivots")
-        if chosen.isEmpty() and pivots > 1:
+        grouped = members.join(label, "lead")
+        best = F.max_by(F.struct("lead", "class"), F.struct("weight", -F.col("lead"))).alias("p")
+        parity = [F.bit_xor(F.xxhash64("lead", F.lit(k))).alias(f"h{k}") for k in range(2)]
+        sets = grouped.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("a"), F.max("class").alias("b"), best, *parity).filter("a < b")
+        sets = sets.groupBy("n", "h0", "h1").agg(F.min(F.struct("bucket", "p")).alias("one")).select("n", "one.bucket", "one.p")
+        sets = stored(sets.select("bucket", "n", F.col("p.lead").alias("pivot")), "dart-sets")
+        held = grouped.join(sets, "bucket")
+        small = held.filter(F.col("n") <= SMALL).select("bucket", "lead", "class")
+        other = small.select("bucket", F.col("lead").alias("right_id"), F.col("class").alias("other"))
+        pairs = small.join(other, "bucket").filter("lead < right_id and class <> other").select(F.col("lead").alias("left_id"), "right_id").distinct()
+        pairs = pairs if direct is None else pairs.unionByName(direct).distinct()
+        # large buckets: in the first round those of one pivot are one group, later ones only shrink
+        group = F.col("pivot") if direct is None else F.col("bucket")
+        stars = stored(held.filter((F.col("n") > SMALL) & (F.col("lead") != F.col("pivot"))).select(group.alias("group"), F.col("pivot").alias("left_id"), F.col("lead").alias("right_id")).distinct(), "dart-stars")
+        pairs = pairs.withColumn("wide", F.lit(False)).unionByName(stars.select("left_id", "right_id").withColumn("wide", F.lit(True)))
+        pairs = stored(pairs.groupBy("left_id", "right_id").agg(F.max("wide").alias("wide")), "dart-pairs")
+        if pairs.isEmpty():
+            break
+        left = pool.select(F.col("doc_id").alias("left_id"), F.col("text").alias("left_text"))
+        right = pool.select(F.col("doc_id").alias("right_id"), F.col("text").alias("right_text"))
+        checked = stored(similarity(pairs.join(left, "left_id").join(right, "right_id"), size, threshold), "dart-compared")
+        label = _relabel(label, checked.filter(F.col("similarity") >= threshold).select("left_id", "right_id"))
+        if stars.isEmpty():
             break
-        members = grouped.join(chosen, "bucket").filter("class <> pivot_class")
-        pairs = members.select(F.least("pivot", "lead").alias("left_id"), F.greatest("pivot", "lead").alias("right_id")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["left_id", "right_id"], "left_anti")
-        left = known.select(F.col("doc_id").alias("left_id"), F.col("text").alias("left_text"))
-        right = known.select(F.col("doc_id").alias("right_id"), F.col("text").alias("right_text"))
-        checked = stored(similarity(pairs.join(left, "left_id").join(right, "right_id"), size), "dart-pairs")
-        done = checked.select("left_id", "right_id")
-        tested = done if tested is None else tested.unionByName(done)
-        found = checked.filter(F.col("similarity") >= threshold).select("left_id", "right_id")
-        vertices = label.select(F.col("lead").alias("id"))
-        own = found.unionByName(same) if pivots == 1 else found.unionByName(label.filter("lead <> class").select(F.col("lead").alias("left_id"), F.col("class").alias("right_id")))
-        label = stored(connected_components(vertices, own).select(F.col("id").alias("lead"), F.col("component").alias("class")), "dart-classes")
-        used = chosen.select("bucket", F.col("pivot").alias("lead"))
-        active = stored(active.join(mixed.select("bucket"), "bucket", "left_semi").join(used, ["bucket", "lead"], "left_anti"), "dart-members")
-        pivots *= 4
+        # what is left of a pivot's group: members of two or more classes
+        around = checked.join(stars, ["left_id", "right_id"]).join(label.withColumnRenamed("lead", "right_id"), "right_id")
+        mixed = around.groupBy("group").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.min("size").alias("least")).filter("a < b").select("group", "least")
+        around = stored(around.join(mixed, "group"), "dart-groups")
+        beyond = around.select(F.explode("novel").alias("s"), "group", "right_id", F.col("shared").alias("weight"))
+        beyond = beyond.select(F.xxhash64("group", "s").alias("bucket"), F.col("right_id").alias("lead"), "weight")
+        again = beyond.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+        members = stored(beyond.join(again, "bucket"), "dart-members")
+        # pairs for which the part shared with the pivot is enough
+        near = around.filter(F.col("similarity") < threshold).filter(F.col("shared") >= share * (F.col("size") + F.greatest(threshold * F.col("size"), F.col("least"))) - 1e-6)
+        x = near.select("group", F.col("right_id").alias("x"), F.col("class").alias("x_class"), F.col("shared").alias("x_shared"), F.col("size").alias("x_size"))
+        y = around.select("group", F.col("right_id").alias("y"), F.col("class").alias("y_class"), F.col("shared").alias("y_shared"), F.col("size").alias("y_size"))
+        enough = (F.col("x_class") != F.col("y_class")) & (F.least("x_shared", "y_shared") >= share * (F.col("x_size") + F.col("y_size")) - 1e-6)
+        direct = x.join(y, "group").filter(enough).select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id")).distinct()
+        if pool is known:
+            needed = around.select(F.col("right_id").alias("doc_id")).distinct()
+            pool = stored(known.join(needed, "doc_id", "left_semi"), "dart-texts")
     lead_class = member.join(label, F.col("right_id") == F.col("lead"), "left").select(F.col("left_id").alias("doc_id"), F.coalesce("class", "right_id").alias("class_id"))
     classes = lead_class.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     return texts.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
