@@ -155,5 +155,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     def listed(column: str) -> Column:
         return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("own", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return out.select("doc_id", *counts, digest(listed("own")).alias("base_sha256"), listed("spans").alias("spans"))
+    def count(kind: str) -> Column:
+        return F.size(F.filter("own", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select("doc_id", *map(count, KINDS), digest(listed("own")).alias("base_sha256"), listed("spans").alias("spans"))
