@@ -36,7 +36,7 @@ FEATURE_BITS = 20
 #: Bytes of text taken up at once; a dozen arrays of eight bytes a character exist at a time.
 PIECE = 1 << 20
 PREFIXES = (4, 5, 6)
-SIGN_COST, DROP_COST, JOIN_COST, BREAK_COST = 0.5, 6.0, 1.0, 0.5
+SIGN_COST, DROP_COST, JOIN_COST, BREAK_COST = 0.5, 12.0, 1.0, 0.5
 
 
 def char_counts(docs: DataFrame) -> np.ndarray:
