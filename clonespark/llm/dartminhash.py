@@ -22,7 +22,7 @@ from .kernels import U, distinct_keys, mix, ngram_hashes, slices, stream, text_b
 from .storage import stored
 
 BANDS, ROWS = 32, 5
-#: Members of a bucket of which all pairs are compared.
+#: Members of a bucket of which all pairs are compared if its pivot does not settle it.
 SMALL = 8
 
 
@@ -202,14 +202,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     groups are the connected components. Texts of equal words are one vertex. Others meet
     where a band agrees, which two texts at 0.8 miss with probability 3e-6.
 
-    Buckets of equal members count once. In a bucket of up to ``SMALL`` members all pairs of different
-    classes are compared; the members of a larger one are compared with its pivot only, the member
-    that shares most buckets. Two others x, y that are not linked through the pivot p can be
-    similar in two ways. Either what they share with p is enough; these pairs are found by an
-    inequality over sizes and compared. Or they share something beyond p; then they meet in a new,
-    smaller bucket (p, shingle) in the next round. Rounds end when no bucket holds two classes. No pair of
-    texts that a band brought together is left undecided, and a group of n copies costs about n
-    comparisons, not n * n.
+    Buckets of equal members count once. The members of a bucket are first compared with its pivot
+    only, the member that shares most buckets. That settles most buckets: all members are of one class.
+    In others of up to ``SMALL`` members all pairs of different classes are compared next. In larger
+    ones two members x, y that are not linked through the pivot p can be similar in two ways.
+    Either what they share with p is enough; these pairs are found by an inequality over sizes and
+    compared. Or they share something beyond p; then they meet in a new, smaller bucket (p, shingle).
+    Rounds end when no bucket holds two classes. No pair of texts that a band brought together is
+    left undecided, and a group of n copies costs about n comparisons, not n * n.
 
     Texts without words (null, empty) are groups of their own, and so are rows without an
     id (``class_id`` null). Rows that share an id are one document and share a class. An
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     # rows that share an id are one document: their texts are linked
     same = member.withColumn("first", F.min("right_id").over(Window.partitionBy("left_id"))).filter("first <> right_id")
     label = _relabel(leads.select("lead").distinct().withColumn("class", F.col("lead")), same.select(F.col("first").alias("left_id"), "right_id"))
-    direct, pool, share = None, known, threshold / (1 + threshold)
+    direct, tested, pool, share = None, None, known, threshold / (1 + threshold)
     while True:
         grouped = members.join(label, "lead")
         best = F.max_by(F.struct("lead", "class"), F.struct("weight", -F.col("lead"))).alias("p")
@@ -240,13 +240,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
         sets = sets.groupBy("n", "h0", "h1").agg(F.min(F.struct("bucket", "p")).alias("one")).select("n", "one.bucket", "one.p")
         sets = stored(sets.select("bucket", "n", F.col("p.lead").alias("pivot")), "dart-sets")
         held = grouped.join(sets, "bucket")
-        small = held.filter(F.col("n") <= SMALL).select("bucket", "lead", "class")
-        other = small.select("bucket", F.col("lead").alias("right_id"), F.col("class").alias("other"))
-        pairs = small.join(other, "bucket").filter("lead < right_id and class <> other").select(F.col("lead").alias("left_id"), "right_id").distinct()
-        pairs = pairs if direct is None else pairs.unionByName(direct).distinct()
+        small, large = held.filter(F.col("n") <= SMALL), held.filter(F.col("n") > SMALL)
+        if tested is None:
+            around_pivot = small.filter("lead <> pivot").select(F.least("pivot", "lead").alias("left_id"), F.greatest("pivot", "lead").alias("right_id"))
+            pairs = around_pivot.distinct()
+        else:
+            some = small.select("bucket", "lead", "class")
+            other = some.select("bucket", F.col("lead").alias("right_id"), F.col("class").alias("other"))
+            pairs = some.join(other, "bucket").filter("lead < right_id and class <> other").select(F.col("lead").alias("left_id"), "right_id")
+            pairs = pairs.unionByName(direct).distinct().join(tested, ["left_id", "right_id"], "left_anti")
         # large buckets: in the first round those of one pivot are one group, later ones only shrink
-        group = F.col("pivot") if direct is None else F.col("bucket")
-        stars = stored(held.filter((F.col("n") > SMALL) & (F.col("lead") != F.col("pivot"))).select(group.alias("group"), F.col("pivot").alias("left_id"), F.col("lead").alias("right_id")).distinct(), "dart-stars")
+        group = F.col("pivot") if tested is None else F.col("bucket")
+        stars = stored(large.filter("lead <> pivot").select(group.alias("group"), F.col("pivot").alias("left_id"), F.col("lead").alias("right_id")).distinct(), "dart-stars")
         pairs = pairs.withColumn("wide", F.lit(False)).unionByName(stars.select("left_id", "right_id").withColumn("wide", F.lit(True)))
         pairs = stored(pairs.groupBy("left_id", "right_id").agg(F.max("wide").alias("wide")), "dart-pairs")
         if pairs.isEmpty():
@@ -255,8 +260,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
         right = pool.select(F.col("doc_id").alias("right_id"), F.col("text").alias("right_text"))
         checked = stored(similarity(pairs.join(left, "left_id").join(right, "right_id"), size, threshold), "dart-compared")
         label = _relabel(label, checked.filter(F.col("similarity") >= threshold).select("left_id", "right_id"))
-        if stars.isEmpty():
-            break
+        done = checked.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"))
+        if tested is None:
+            tested, rest = done, stored(small.select("bucket", "lead", "weight"), "dart-small")
+        else:
+            tested, rest = tested.unionByName(done), None  # all pairs of small buckets are decided
         # what is left of a pivot's group: members of two or more classes
         around = checked.join(stars, ["left_id", "right_id"]).join(label.withColumnRenamed("lead", "right_id"), "right_id")
         mixed = around.groupBy("group").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.min("size").alias("least")).filter("a < b").select("group", "least")
@@ -264,7 +272,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
         beyond = around.select(F.explode("novel").alias("s"), "group", "right_id", F.col("shared").alias("weight"))
         beyond = beyond.select(F.xxhash64("group", "s").alias("bucket"), F.col("right_id").alias("lead"), "weight")
         again = beyond.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-        members = stored(beyond.join(again, "bucket"), "dart-members")
+        members = beyond.join(again, "bucket")
+        members = stored(members if rest is None else members.unionByName(rest), "dart-members")
         # pairs for which the part shared with the pivot is enough
         near = around.filter(F.col("similarity") < threshold).filter(F.col("shared") >= share * (F.col("size") + F.greatest(threshold * F.col("size"), F.col("least"))) - 1e-6)
         x = near.select("group", F.col("right_id").alias("x"), F.col("class").alias("x_class"), F.col("shared").alias("x_shared"), F.col("size").alias("x_size"))
@@ -272,7 +281,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
         enough = (F.col("x_class") != F.col("y_class")) & (F.least("x_shared", "y_shared") >= share * (F.col("x_size") + F.col("y_size")) - 1e-6)
         direct = x.join(y, "group").filter(enough).select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id")).distinct()
         if pool is known:
-            needed = around.select(F.col("right_id").alias("doc_id")).distinct()
+            mixed_sets = rest.join(label, "lead").withColumn("low", F.min("class").over(Window.partitionBy("bucket"))).withColumn("high", F.max("class").over(Window.partitionBy("bucket")))
+            needed = around.select(F.col("right_id").alias("doc_id")).unionByName(mixed_sets.filter("low < high").select(F.col("lead").alias("doc_id"))).distinct()
             pool = stored(known.join(needed, "doc_id", "left_semi"), "dart-texts")
     lead_class = member.join(label, F.col("right_id") == F.col("lead"), "left").select(F.col("left_id").alias("doc_id"), F.coalesce("class", "right_id").alias("class_id"))
     classes = lead_class.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
