@@ -22,6 +22,8 @@ from .kernels import U, distinct_keys, mix, ngram_hashes, slices, stream, text_b
 from .storage import stored
 
 BANDS, ROWS = 32, 5
+#: Bytes of text taken up at once; a few hundred bytes of arrays go with each shingle.
+PIECE = 512 << 10
 #: Members of a bucket of which all pairs are compared if its pivot does not settle it.
 SMALL = 8
 
@@ -76,19 +78,27 @@ def signatures(n_rows: int, rows: np.ndarray, elements: np.ndarray, weights: np.
     open_rows = total > 0
     while open_rows.any():
         active = np.flatnonzero(open_rows[cells])
-        rank = np.zeros(len(active))
-        step = 0
+        rank, step = np.zeros(len(active)), np.zeros(len(active), np.int64)
         while len(active):
-            step += 1
-            draw = mix(salt[active] + U(step * 0x9E3779B97F4A7C15 % 2**64))
-            rank -= np.log(((draw >> U(11)).astype(float) + 0.5) / 2.0**53) / width[active]
-            inside = rank <= limit[cells[active]]
-            active, rank, draw = active[inside], rank[inside], draw[inside]
+            # as many arrivals of each line at once as are expected up to the limit
+            ahead = np.clip(np.ceil(1.2 * (limit[cells[active]] - rank) * width[active]), 1, 256).astype(np.int64)
+            line = np.repeat(active, ahead)
+            first = np.cumsum(ahead) - ahead
+            nth = np.arange(len(line)) - np.repeat(first, ahead) + np.repeat(step, ahead)
+            draw = mix(salt[line] + (nth + 1).astype(U) * U(0x9E3779B97F4A7C15))
+            gaps = -np.log(((draw >> U(11)).astype(float) + 0.5) / 2.0**53) / width[line]
+            total_gap = np.cumsum(gaps)
+            reached = total_gap + np.repeat(rank - (total_gap[first] - gaps[first]), ahead)
+            inside = reached <= limit[cells[line]]
+            last = first + ahead - 1
+            more = inside[last]
+            active, rank, step = active[more], reached[last][more], (step + ahead)[more]
+            line, reached, draw = line[inside], reached[inside], draw[inside]
             second = mix(draw ^ U(0xA5A5A5A5A5A5A5A5))
-            height = low[active] + width[active] * ((second >> U(40)).astype(float) / 2.0**24)
-            owned = height < own[active]
-            at = cells[active[owned]] * k + ((second[owned] & U(0xFFFFFFFF)) * U(k) >> U(32)).astype(np.int64)
-            r = rank[owned]
+            height = low[line] + width[line] * ((second >> U(40)).astype(float) / 2.0**24)
+            owned = height < own[line]
+            at = cells[line[owned]] * k + ((second[owned] & U(0xFFFFFFFF)) * U(k) >> U(32)).astype(np.int64)
+            r = reached[owned]
             np.minimum.at(best.reshape(-1), at, r)
             won = best.reshape(-1)[at] == r
             out.reshape(-1)[at[won]] = draw[owned][won]
@@ -108,7 +118,7 @@ def sketch(docs: DataFrame, size: int = 5, bands: int = BANDS, rows: int = ROWS)
 
     def run(batches):
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", PIECE):
                 words = words_of(piece.column("text"))
                 hashes = words.hashes()
                 n = len(words.counts)
@@ -138,7 +148,7 @@ def similarity(pairs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataF
     def run(batches):
         for batch in batches:
             width = np.diff(text_bytes(batch.column("left_text"))[1]) + np.diff(text_bytes(batch.column("right_text"))[1])
-            group = np.cumsum(width) // (4 << 20)
+            group = np.cumsum(width) // (2 * PIECE)
             for g in np.unique(group):
                 span = np.flatnonzero(group == g)
                 yield compare(batch.slice(int(span[0]), len(span)), size, threshold)
