@@ -140,9 +140,8 @@ def similarity(pairs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataF
     """Exact weighted Jaccard of the shingles of two texts per row.
 
     ``shared`` is the weight of the common part and ``size`` that of the right text. Where ``wide`` is set,
-    ``novel`` holds what the right text has beyond the left one, as far as a third text can be
-    similar to the right one by it: copies of shingles in the order of their hashes, without
-    the last ones (prefix filter).
+    ``novel`` holds the shingles that the right text has more often than the left one, in the order of their
+    hashes and without the last ones, which a third text can't be similar by alone (weighted prefix filter).
     """
 
     def run(batches):
@@ -176,21 +175,22 @@ def compare(piece: pa.RecordBatch, size: int, threshold: float) -> pa.RecordBatc
     total = np.bincount(of, right, n_pairs)
     wide = piece.column("wide").to_numpy(zero_copy_only=False).astype(bool)
     extra = np.where(wide[of], np.maximum(right - left, 0), 0) if len(of) else np.zeros(0, np.int64)
-    element = np.repeat(np.arange(len(distinct)), extra)
-    copy = np.arange(len(element)) - np.repeat(np.cumsum(extra) - extra, extra) + left[element]
-    codes = mix(keys[example[element]] + mix(copy.astype(U))).view(np.int64) if len(element) else np.zeros(0, np.int64)
-    order = np.lexsort((codes, of[element])) if len(element) else np.zeros(0, np.int64)
-    counts = np.bincount(of[element], minlength=n_pairs) if len(element) else np.zeros(n_pairs, np.int64)
-    first = np.concatenate([[0], np.cumsum(counts)])
-    # a similar text shares at least ``threshold`` of this one's weight; what it can't share with the left text it shares here
-    needed = np.maximum(1, np.ceil(threshold * total - 1e-9) - both).astype(np.int64)
-    kept = np.maximum(0, counts - needed + 1)
-    flat = codes[order]
-    lists = [flat[a : a + k] for a, k in zip(first[:-1].tolist(), kept.tolist(), strict=True)]
+    beyond = np.flatnonzero(extra)
+    codes = keys[example[beyond]].view(np.int64) if len(beyond) else np.zeros(0, np.int64)
+    order = np.lexsort((codes, of[beyond])) if len(beyond) else np.zeros(0, np.int64)
+    owner, codes, extra = of[beyond][order], codes[order], extra[beyond][order]
+    # a similar text shares at least ``threshold`` of this one's weight; what it can't share with the left text it
+    # shares here, so one of the shingles from which on there is that much weight left
+    needed = np.maximum(1, np.ceil(threshold * total - 1e-9) - both)
+    first = np.searchsorted(owner, np.arange(n_pairs + 1))
+    before = np.concatenate([[0], np.cumsum(extra)])
+    kept = before[first[owner + 1]] - before[:-1] >= needed[owner] if len(owner) else np.zeros(0, bool)
+    bounds = np.concatenate([[0], np.cumsum(kept)])[first]
+    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(codes[kept], pa.int64()))
     return pa.RecordBatch.from_pydict({
         "left_id": piece.column("left_id"), "right_id": piece.column("right_id"),
         "similarity": pa.array(np.divide(both, either, out=np.zeros(n_pairs), where=either > 0)),
-        "shared": pa.array(both.astype(np.int64)), "size": pa.array(total.astype(np.int64)), "novel": pa.array(lists, pa.list_(pa.int64())),
+        "shared": pa.array(both.astype(np.int64)), "size": pa.array(total.astype(np.int64)), "novel": lists,
     })
 
 
