@@ -24,8 +24,9 @@ from .storage import stored
 BANDS, ROWS = 32, 5
 #: Bytes of text taken up at once; a few hundred bytes of arrays go with each shingle.
 PIECE = 512 << 10
-#: Members of a bucket of which all pairs are compared if its pivot does not settle it.
-SMALL = 8
+#: Members of a bucket of which all pairs of different classes are compared if its pivot does not settle it: of
+#: bands, and of the buckets (pivot, shingle) that come after. Larger ones are split by a further pivot.
+SMALL, MEDIUM = 8, 48
 
 
 def shingles(words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,7 +215,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
 
     Buckets of equal members count once. The members of a bucket are first compared with its pivot
     only, the member that shares most buckets. That settles most buckets: all members are of one class.
-    In others of up to ``SMALL`` members all pairs of different classes are compared next. In larger
+    In others of up to ``SMALL`` members (``MEDIUM`` after the first round) all pairs of different classes are compared. In larger
     ones two members x, y that are not linked through the pivot p can be similar in two ways.
     Either what they share with p is enough; these pairs are found by an inequality over sizes and
     compared. Or they share something beyond p; then they meet in a new, smaller bucket (p, shingle).
@@ -250,7 +251,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
         sets = sets.groupBy("n", "h0", "h1").agg(F.min(F.struct("bucket", "p")).alias("one")).select("n", "one.bucket", "one.p")
         sets = stored(sets.select("bucket", "n", F.col("p.lead").alias("pivot")), "dart-sets")
         held = grouped.join(sets, "bucket")
-        small, large = held.filter(F.col("n") <= SMALL), held.filter(F.col("n") > SMALL)
+        limit = SMALL if tested is None else MEDIUM
+        small, large = held.filter(F.col("n") <= limit), held.filter(F.col("n") > limit)
         if tested is None:
             around_pivot = small.filter("lead <> pivot").select(F.least("pivot", "lead").alias("left_id"), F.greatest("pivot", "lead").alias("right_id"))
             pairs = around_pivot.distinct()

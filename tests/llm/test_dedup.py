@@ -97,6 +97,7 @@ def test_size_of_small_buckets_plays_no_part(spark, monkeypatch):
     texts = variants(seed=8, n=30)
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     monkeypatch.setattr(dartminhash, "SMALL", 2)
+    monkeypatch.setattr(dartminhash, "MEDIUM", 3)
     assert {r.doc_id: r.class_id for r in near_duplicates(rows).collect()} == brute.near_classes(texts)
 
 
