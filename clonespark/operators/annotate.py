@@ -22,7 +22,6 @@ from ..session import cut
 
 SEED_LENGTH = {"V": 9, "D": 5, "J": 7, "C": 9}
 BIN = 4
-MAX_SEED_FREQUENCY = 96
 D_LOCI = ("IGH", "TRB", "TRD")
 
 
@@ -60,20 +59,18 @@ def _kmers(sequence: str, k: int) -> Column:
     return F.filter(grams, lambda g: (F.length(g["gram"]) == k) & ~g["gram"].contains("N"))
 
 
-def _germline_seeds(germlines: DataFrame, k: int, frequency: int) -> DataFrame:
-    seeds = germlines.select("name", "locus", F.explode(_kmers("sequence", k)).alias("s")).select(
+def _germline_seeds(germlines: DataFrame, k: int) -> DataFrame:
+    return germlines.select("name", "locus", F.explode(_kmers("sequence", k)).alias("s")).select(
         F.col("name").alias("gene"), F.col("locus").alias("gene_locus"), F.col("s.gram").alias("gram"), F.col("s.at").alias("gene_at")
     )
-    common = seeds.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > frequency).select("gram")
-    return seeds.join(common, "gram", "left_anti")
 
 
-def _votes(queries: DataFrame, germlines: DataFrame, k: int, weight: int, frequency: int) -> DataFrame:
+def _votes(queries: DataFrame, germlines: DataFrame, k: int, weight: int) -> DataFrame:
     seeds = queries.select("rid", "rev", "want_locus", F.explode(_kmers("query", k)).alias("s")).select(
         "rid", "rev", "want_locus", F.col("s.gram").alias("gram"), F.col("s.at").alias("read_at")
     )
     same = (F.col("want_locus") == "") | (F.col("gene_locus") == "") | (F.col("want_locus") == F.col("gene_locus"))
-    hits = seeds.join(_germline_seeds(germlines, k, frequency), "gram").filter(same)
+    hits = seeds.join(_germline_seeds(germlines, k), "gram").filter(same)
     diagonal = F.floor((F.col("read_at") - F.col("gene_at")) / BIN).cast("int") * BIN
     return hits.groupBy("rid", "rev", "gene", diagonal.alias("diagonal")).agg((F.count(F.lit(1)) * weight).alias("votes"))
 
@@ -82,15 +79,16 @@ def seed_candidates(queries: DataFrame, germlines: DataFrame, segment: str, top:
     """The alleles worth aligning per read: ``rid, rev, gene, diagonal, span, votes``.
 
     A read whose best diagonal is weak gets a second vote from shorter seeds and keeps
-    a wider pool.
+    a wider pool. Alleles with as many votes as the last one kept are kept too, and a read without
+    any seed on either strand is aligned to every allele.
     """
     k = SEED_LENGTH[segment]
-    primary = _votes(queries, germlines, k, 4, MAX_SEED_FREQUENCY)
+    primary = _votes(queries, germlines, k, 4)
     strongest = primary.groupBy("rid", "rev").agg(F.max("votes").alias("strongest"))
     threshold = max(32, k * 16)
     strong = strongest.filter(F.col("strongest") >= threshold).select("rid", "rev", F.lit(True).alias("strong"))
     weak_queries = queries.join(strong, ["rid", "rev"], "left_anti")
-    rescue = _votes(weak_queries, germlines, k - 2, 1, MAX_SEED_FREQUENCY * 4) if k > 4 else primary.limit(0)
+    rescue = _votes(weak_queries, germlines, k - 2, 1) if k > 4 else primary.limit(0)
     votes = primary.unionByName(rescue).groupBy("rid", "rev", "gene", "diagonal").agg(F.sum("votes").alias("votes"))
     per_gene = votes.groupBy("rid", "rev", "gene").agg(
         F.min_by(F.struct("diagonal", "votes"), F.struct(-F.col("votes"), F.col("diagonal"))).alias("lead"), F.collect_list(F.struct("diagonal", "votes")).alias("bins")
@@ -101,15 +99,22 @@ def seed_candidates(queries: DataFrame, germlines: DataFrame, segment: str, top:
         F.array_sort(F.collect_list(F.struct((-F.col("lead.votes")).alias("x"), F.col("gene"), F.col("lead.diagonal").alias("diagonal"), F.col("span")))).alias("pool")
     )
     limit = F.when(F.col("strong"), max(top, 3)).otherwise(max(top * 4, 16))
-    kept = ranked.join(strong, ["rid", "rev"], "left").select("rid", "rev", F.explode(F.slice("pool", 1, limit)).alias("c"))
-    return kept.select("rid", "rev", "c.gene", "c.diagonal", "c.span", (-F.col("c.x")).alias("votes"))
+    cutoff = F.element_at("pool", F.least(limit, F.size("pool")))["x"]
+    kept = ranked.join(strong, ["rid", "rev"], "left").select("rid", "rev", F.explode(F.filter("pool", lambda c: c["x"] <= cutoff)).alias("c"))
+    seeded = kept.select("rid", "rev", "c.gene", "c.diagonal", "c.span", (-F.col("c.x")).alias("votes"))
+    # few reads, a panel of bounded size: every allele on the widest band
+    silent = queries.join(seeded.select("rid").distinct(), "rid", "left_anti").withColumn("panel", F.lit(1))
+    alleles = germlines.select(F.lit(1).alias("panel"), F.col("name").alias("gene"), F.col("locus").alias("gene_locus"))
+    same = (F.col("want_locus") == "") | (F.col("gene_locus") == "") | (F.col("want_locus") == F.col("gene_locus"))
+    every = silent.join(alleles, "panel").filter(same)
+    return seeded.unionByName(every.select("rid", "rev", "gene", F.lit(0).alias("diagonal"), F.lit(1 << 20).alias("span"), F.lit(0).cast("long").alias("votes")))
 
 
 def aligned_hits(
     queries: DataFrame, candidates: DataFrame, germlines: DataFrame, scoring: Scoring, top: int, minimum: int, options: AnnotateOptions,
     extend_left: bool = False, extend_right: bool = False,
 ) -> DataFrame:
-    """Best alignments per read as one array ``hits`` (best first, at most ``top``)."""
+    """Best alignments per read as one array ``hits``: the best ``top``, and all with the score of the last of them."""
     genes = germlines.select(F.col("name").alias("gene"), F.col("locus").alias("gene_locus"), F.col("sequence").alias("reference"))
     band = F.greatest(F.lit(options.band), F.least(F.lit(options.max_band), F.col("span") + 8)).cast("int")
     rows = candidates.join(genes, "gene").join(queries.select("rid", "rev", "query"), ["rid", "rev"])
@@ -153,7 +158,8 @@ def aligned_hits(
         F.col("a.deletions").alias("deletions"),
     )
     order = F.struct((-hit["score"]).alias("o1"), (-hit["aligned"]).alias("o2"), (-hit["identity"]).alias("o3"), F.col("gene").alias("o4"), hit.alias("hit"))
-    packed = rows.groupBy("rid", "rev").agg(F.slice(F.array_sort(F.collect_list(order)), 1, top).alias("h"))
+    packed = rows.groupBy("rid", "rev").agg(F.array_sort(F.collect_list(order)).alias("all"))
+    packed = packed.withColumn("last", F.element_at("all", F.least(F.lit(top), F.size("all")))["o1"]).withColumn("h", F.filter("all", lambda x: x["o1"] <= F.col("last")))
     return packed.select("rid", "rev", F.transform("h", lambda x: x["hit"]).alias("hits"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import is_true_flag, number, text
@@ -27,7 +27,7 @@ def anchored_rows(table: DataFrame, productive_only: bool = False) -> DataFrame:
     given = normalized_alignment("germline_alignment")
     germline = F.when(given != "", given).otherwise(F.regexp_replace(raw, "[ACGT]", "N"))
     start = F.floor(number("v_germline_start"))
-    left = F.when((start >= 1) & (start <= 10_000), start - 1).otherwise(0).cast("int")
+    left = F.when(start >= 1, start - 1).otherwise(0).cast("int")
     width = F.greatest(F.length("raw"), F.length("given"))
     placed = rows.select("*", raw.alias("raw"), germline.alias("given"), left.alias("left"))
     return placed.withColumn("aligned_read", F.concat(F.repeat(F.lit("-"), F.col("left")), F.rpad("raw", width, "-"))).withColumn(
@@ -135,9 +135,9 @@ def consensus_columns(anchored: DataFrame) -> DataFrame:
     votes = column_votes(anchored).join(members, "lineage_id")
     g_base, g_top, g_votes = _plurality("g")
     q_base, q_top, q_votes = _plurality("q")
-    known = g_base.isNotNull() & (g_top / g_votes >= 0.8)
+    known = g_base.isNotNull() & (F.try_divide(g_top, g_votes) >= 0.8)
     open_ = F.when(F.col("coverage") > 0, "N").otherwise("-")
-    observed = F.when(q_base.isNotNull() & (q_top / q_votes >= 0.6), q_base).otherwise(open_)
+    observed = F.when(q_base.isNotNull() & (F.try_divide(q_top, q_votes) >= 0.6), q_base).otherwise(open_)
     return votes.select(
         "lineage_id", "column", "coverage", "members",
         F.when(known, g_base).otherwise(open_).alias("template"),
@@ -187,8 +187,11 @@ def germline_sketches(table: DataFrame) -> DataFrame:
     return best.select("lineage_id", "b.*").withColumn("sketch", minhash_sketch("proxy"))
 
 
-def screen_germlines(index: DataFrame, sources: DataFrame, limit: int = 200) -> DataFrame:
-    """Lineages of the same locus and study group whose germline sketch is most similar.
+def screen_germlines(index: DataFrame, sources: DataFrame, limit: int | None = None) -> DataFrame:
+    """Lineages of the same locus and study group whose germline sketch shares a slot.
+
+    All of them by default; ``limit`` keeps the most similar ones of each source. Verify by
+    ``germline_identity`` before cutting: the sketch only screens.
 
     ``sources(source_lineage_id, locus, study_group, sketch)``. Lineages that share no
     sketch slot have similarity zero and are not candidates.
@@ -203,7 +206,10 @@ def screen_germlines(index: DataFrame, sources: DataFrame, limit: int = 200) ->
     scored = pairs.groupBy("source_lineage_id", "lineage_id", "representative_ordinal").agg(
         F.first(sketch_similarity(F.col("source_sketch"), F.col("sketch"))).alias("similarity")
     )
-    return scored.orderBy(F.desc("similarity"), "lineage_id").limit(limit)
+    if limit is None:
+        return scored
+    rank = F.row_number().over(Window.partitionBy("source_lineage_id").orderBy(F.desc("similarity"), "lineage_id"))
+    return scored.withColumn("_rank", rank).filter(F.col("_rank") <= limit).drop("_rank")
 
 
 def germline_identity(left: str, right: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import calls, gene_of, number, text, top_call
+from ..functions.sequences import calls, gene_of, is_true_flag, number, text, top_call
 
 FACETS = (
     "dataset_id", "sample_id", "subject_id", "cohort", "timepoint", "compartment", "locus", "productive",
@@ -41,7 +41,7 @@ def buckets(table: DataFrame, *columns: Column | str) -> DataFrame:
     {all, productive} × {every locus, its own}; an empty locus counts only under ``*``.
     """
     locus = text("locus")
-    kinds = F.when(text("productive") == "T", F.array(F.lit("all"), F.lit("productive"))).otherwise(F.array(F.lit("all")))
+    kinds = F.when(is_true_flag("productive"), F.array(F.lit("all"), F.lit("productive"))).otherwise(F.array(F.lit("all")))
     loci = F.when(locus != "", F.array(F.lit("*"), locus)).otherwise(F.array(F.lit("*")))
     pairs = F.flatten(F.transform(kinds, lambda k: F.transform(loci, lambda p: F.struct(k.alias("status"), p.alias("locus")))))
     return table.select(F.explode(pairs).alias("bucket"), *columns).select("bucket.status", F.col("bucket.locus").alias("locus_bucket"), "*").drop("bucket")
@@ -117,7 +117,7 @@ def summary_counts(table: DataFrame) -> DataFrame:
     return table.agg(
         F.count(F.lit(1)).alias("records"),
         F.count_if((text("v_call") != "") & (text("j_call") != "")).alias("assigned"),
-        F.count_if(text("productive") == "T").alias("productive"),
+        F.count_if(is_true_flag("productive")).alias("productive"),
         F.count_if(text("cdr3") != "").alias("with_cdr3"),
     )
 

@@ -30,7 +30,7 @@ class MissingOptions:
     min_fraction: float = 0.2
     max_shm: float = 0.08
     min_aligned: int = 180
-    max_snps: int = 6
+    max_snps: int | None = None  # a bound ends linkage early, so a longer haplotype comes out short
     max_p: float = 1e-6
     min_j_calls: int = 3
     min_junction_lengths: int = 3
@@ -55,7 +55,7 @@ def observations(table: DataFrame) -> DataFrame:
         normalize_nt("cdr3").alias("cdr3"),
         q.alias("q"), g.alias("g"), F.least(F.length(q), F.length(g)).alias("n"),
         F.when(start > 0, start).otherwise(1).cast("int").alias("first"),
-    ).filter((F.col("lineage_id") > 0) & (F.col("v_call") != "") & (F.col("n") > 0))
+    ).filter(F.col("lineage_id").isNotNull() & (F.col("v_call") != "") & (F.col("n") > 0))
     rows = rows.withColumn("_o", germline_view()("q", "g", "first")).select(
         *[c for c in rows.columns if c not in ("q", "g", "n")], "_o.bases", "_o.expected", "_o.events", "_o.aligned"
     )
@@ -211,7 +211,8 @@ def linked_haplotypes(patterns: DataFrame, events: DataFrame, options: MissingOp
     last = events.agg(F.max("rank")).first()[0]
     for rank in range((last if last is not None else -1) + 1):
         has = events.filter(F.col("rank") == rank).select("v_call")
-        offered = state.join(has, "v_call", "left_semi").filter((F.size("chosen") < options.max_snps) & ~F.array_contains("chosen", rank))
+        room = F.lit(True) if options.max_snps is None else F.size("chosen") < options.max_snps
+        offered = state.join(has, "v_call", "left_semi").filter(room & ~F.array_contains("chosen", rank))
         joined = offered.join(counted, "v_call")
         supported, covered = F.array_contains("supports", rank), F.array_contains("covers", rank)
         whole = _holds_all("supports", "chosen")

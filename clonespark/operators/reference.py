@@ -96,10 +96,11 @@ def apply_internal_data(reference: DataFrame, internal: DataFrame) -> DataFrame:
     return joined.select(*[F.coalesce(f"_{c}", c).alias(c) if c in fields else F.col(c) for c in reference.columns])
 
 
-def nearest_templates(targets: DataFrame, templates: DataFrame, k: int = 9, keep: int = 5) -> DataFrame:
+def nearest_templates(targets: DataFrame, templates: DataFrame, k: int = 9, keep: int | None = None) -> DataFrame:
     """Nearest annotated templates by Jaccard similarity of distinct k-mers.
 
-    k-mers are joined within a locus and counted; only pairs sharing one exist.
+    k-mers are joined within a locus and counted; only pairs sharing one exist. ``keep``
+    cuts the ranking to so many templates a target.
     """
 
     def kmers(side: DataFrame, name: str) -> DataFrame:
@@ -113,8 +114,10 @@ def nearest_templates(targets: DataFrame, templates: DataFrame, k: int = 9, keep
     scored = shared.withColumn("jaccard", F.col("shared") / (F.col("target_size") + F.col("template_size") - F.col("shared")))
     # a target meets at most the alleles of its locus
     best = scored.groupBy("target").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("jaccard")).alias("x"), F.col("template")))), 1, keep).alias("b")
+        F.array_sort(F.collect_list(F.struct((-F.col("jaccard")).alias("x"), F.col("template")))).alias("b")
     )
+    if keep is not None:
+        best = best.withColumn("b", F.slice("b", 1, keep))
     return best.select("target", F.posexplode("b").alias("rank", "e")).select("target", "rank", F.col("e.template").alias("template"), (-F.col("e.x")).alias("jaccard"))
 
 

@@ -36,6 +36,7 @@ class RefinementOptions:
     weighting: str = "unique"  # or "abundance"
     max_iterations: int = 100
     tolerance: float = 1e-6
+    at_limit: str = "raise"  # or "flag": rows of pools that have not converged say so
 
 
 def allele_nodes(reference: DataFrame) -> DataFrame:
@@ -206,14 +207,15 @@ def fit_usage(rows: DataFrame, nodes: DataFrame, options: RefinementOptions) ->
         change = step.groupBy("pool").agg(F.max(F.abs(F.col("next") - F.col("gamma")) / F.greatest(F.lit(1.0), F.col("gamma"))).alias("change"))
         done = change.withColumn("converged", F.col("change") <= options.tolerance)
         gamma = step.join(done, "pool").select("pool", "node", F.col("next").alias("gamma"), "converged")
-        last = iteration == options.max_iterations
-        closed = gamma if last else gamma.filter("converged")
-        finished.append(closed.withColumn("iterations", F.lit(iteration)))
-        if last:
-            break
-        gamma = cut(gamma.filter("NOT converged").drop("converged"))
-        if gamma.isEmpty():
+        finished.append(gamma.filter("converged").withColumn("iterations", F.lit(iteration)))
+        rest = gamma.filter("NOT converged")
+        if rest.isEmpty():
             break
+        gamma = rest.drop("converged")
+    else:
+        if options.at_limit == "raise":
+            raise RuntimeError(f"A pool has not converged after {options.max_iterations} iterations; raise max_iterations or tolerance.")
+        finished.append(rest.withColumn("iterations", F.lit(options.max_iterations)))
     fitted = finished[0]
     for frame in finished[1:]:
         fitted = fitted.unionByName(frame)
@@ -222,13 +224,17 @@ def fit_usage(rows: DataFrame, nodes: DataFrame, options: RefinementOptions) ->
 
 
 def refine_calls(table: DataFrame, reference: DataFrame, options: RefinementOptions | None = None) -> DataFrame:
-    """Posterior call per record: ``ordinal, map_node, map_probability, entropy, local_top, local_probability``."""
+    """Posterior call per record: ``ordinal, map_node, map_probability, entropy, local_top, local_probability, iterations, converged``.
+
+    ``iterations`` is how many updates the pool of the record took. A pool that does not converge within
+    ``max_iterations`` is an error, or with ``at_limit="flag"`` has ``converged`` false.
+    """
     options = options or RefinementOptions()
     nodes = cut(allele_nodes(reference))
     edges = cut(allele_edges(nodes, options.radius))
     rows = cut(evidence(refinement_rows(table, options), nodes, edges, options))
     usage = fit_usage(rows, nodes, options)
-    maps = usage.groupBy("pool").agg(F.map_from_entries(F.collect_list(F.struct("node", "expected"))).alias("expected"))
+    maps = usage.groupBy("pool").agg(F.map_from_entries(F.collect_list(F.struct("node", "expected"))).alias("expected"), F.max("iterations").alias("iterations"), F.every("converged").alias("converged"))
     scored = rows.join(maps, "pool").withColumn("posterior", _posterior())
 
     def leading(column: str, value: str) -> Column:
@@ -239,7 +245,7 @@ def refine_calls(table: DataFrame, reference: DataFrame, options: RefinementOpti
     labels = nodes.select(F.col("node").alias("map_node"), F.array_join("names", ",").alias("map_call"))
     return scored.select(
         "ordinal", "pool", best["node"].alias("map_node"), (-best["x"]).alias("map_probability"), entropy.alias("entropy"),
-        local["node"].alias("local_top"), (-local["x"]).alias("local_probability"),
+        local["node"].alias("local_top"), (-local["x"]).alias("local_probability"), "iterations", "converged",
     ).join(labels, "map_node")
 
 

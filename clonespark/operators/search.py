@@ -22,7 +22,6 @@ class QueryOptions:
     target: str = "cdr3_nt"  # or "cdr3_aa", "trimmed"
     metric: str = "exact"
     identity: float = 0.85
-    max_results: int = 1000
     locus: str = ""
     v_call: str = ""
     j_call: str = ""
@@ -211,7 +210,6 @@ class NeighbourOptions:
     min_identity: float = 0.7
     metric: str = "hamming"  # or "edit"
     call_policy: str = "both"  # or "either", "ignore"
-    max_results: int = 200
     hot_group: int = HOT_GROUP
 
 

@@ -222,17 +222,17 @@ def validate_selection(s: Selection) -> list[str]:
     """Human-readable problems; an empty list means the selection can run."""
     problems = []
     for low, high, label in (
-        (s.min_cdr3_nt_length, s.max_cdr3_nt_length, "CDR3 nucleotide length"),
-        (s.min_cdr3_aa_length, s.max_cdr3_aa_length, "CDR3 amino-acid length"),
-        (s.min_v_mutation, s.max_v_mutation, "V mutation fraction"),
+        (s.min_cdr3_nt_length, s.max_cdr3_nt_length, "length of the CDR3 in bases"),
+        (s.min_cdr3_aa_length, s.max_cdr3_aa_length, "length of the CDR3 in residues"),
+        (s.min_v_mutation, s.max_v_mutation, "share of mutated V bases"),
     ):
         if high > 0 and low > high:
-            problems.append(f"{label}: the minimum exceeds the maximum.")
+            problems.append(f"The range for the {label} is empty ({low} to {high}).")
     try:
         for pattern in motif_patterns(s.motif, s.motif_syntax):
             re.compile(pattern)
     except (re.error, ValueError) as error:
-        problems.append(f"Motif expression: {error}")
+        problems.append(f"The motif cannot be read: {error}")
     return problems
 
 
@@ -331,4 +331,4 @@ def select_repertoire(table: DataFrame, s: Selection, mask: DataFrame | None = N
 def describe_selection(s: Selection) -> str:
     """Short label of what a selection asks for."""
     set_fields = [f"{f.name}={getattr(s, f.name)}" for f in fields(s) if getattr(s, f.name) != f.default]
-    return ", ".join(set_fields) or "all records in the upstream working set"
+    return ", ".join(set_fields) or "every record"

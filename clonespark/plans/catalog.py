@@ -574,21 +574,13 @@ def _(spark, d):
 
 # --- similarity search ------------------------------------------------------
 
-# the probes are the CDR3s of the hundredth part of customers with the largest balance
-_PROBE_SQL = (
-    "qq AS (SELECT row_number() OVER (ORDER BY s) - 1 AS query_index, s AS query FROM (SELECT DISTINCT cdr3_nt AS s FROM rec JOIN orders ON o_orderkey = ordinal JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 9900 AND cdr3_nt <> ''))"
-)
+# the stated query set: the CDR3s of the reads whose id is divisible by 100, each named by its first read
+_PROBE_SQL = "qq AS (SELECT min(ordinal) AS query_index, cdr3_nt AS query FROM rec WHERE ordinal % 100 = 0 AND cdr3_nt <> '' GROUP BY cdr3_nt)"
 
 
 def _probes(spark, d) -> DataFrame:
-    rows = base(spark, d).select("ordinal", "cdr3_nt")
-    customers = spark.read.parquet(f"{d}/customer.parquet").filter("c_acctbal > 9900").select(F.col("c_custkey").alias("o_custkey"))
-    owned = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("ordinal"), "o_custkey").join(customers, "o_custkey", "left_semi")
-    texts = rows.join(owned, "ordinal", "left_semi").filter("cdr3_nt <> ''").select("cdr3_nt").distinct()
-    # a list of search strings; numbered in text order so that both engines agree
-    from pyspark.sql import Window
-
-    return texts.select((F.row_number().over(Window.orderBy("cdr3_nt")) - 1).cast("bigint").alias("query_index"), F.col("cdr3_nt").alias("sequence"))
+    rows = base(spark, d).filter("ordinal % 100 = 0 AND cdr3_nt <> ''")
+    return rows.groupBy(F.col("cdr3_nt").alias("sequence")).agg(F.min("ordinal").alias("query_index")).select("query_index", "sequence")
 
 
 @query("query_exact", with_steps(STEP_REC, _PROBE_SQL, body="SELECT ordinal, query_index, 1.0::DOUBLE AS score, 0 AS distance, cdr3_nt AS matched FROM rec JOIN qq ON cdr3_nt = query WHERE productive"))
@@ -646,8 +638,9 @@ def _(spark, d):
     "query_best_per_lineage",
     with_steps(
         *LINEAGE_STEPS, _PROBE_SQL,
-        "h AS (SELECT lineage_id, ordinal, query_index, hamming(cdr3_nt, query) AS distance, 1 - hamming(cdr3_nt, query)::DOUBLE / length(query) AS score FROM el JOIN asg USING (ordinal) JOIN qq ON length(cdr3_nt) = length(query) "
-        "WHERE NOT contains(cdr3_nt, 'N') AND NOT contains(query, 'N') AND hamming(cdr3_nt, query) <= floor(0.1 * length(query) + 1e-9))",
+        "c AS (SELECT DISTINCT cdr3_nt FROM el)",
+        "hd AS (SELECT cdr3_nt, query_index, length(query) AS n, CAST(list_sum(list_transform(range(1, length(query) + 1), lambda i: CASE WHEN substr(query, i, 1) = substr(cdr3_nt, i, 1) OR substr(query, i, 1) = 'N' OR substr(cdr3_nt, i, 1) = 'N' THEN 0 ELSE 1 END)) AS INT) AS distance FROM c JOIN qq ON length(cdr3_nt) = length(query))",
+        "h AS (SELECT lineage_id, ordinal, query_index, distance, 1 - distance::DOUBLE / n AS score FROM el JOIN asg USING (ordinal) JOIN hd USING (cdr3_nt) WHERE distance <= floor(0.1 * n + 1e-9))",
         "k AS (SELECT *, row_number() OVER (PARTITION BY lineage_id ORDER BY score DESC, distance, ordinal, query_index) AS rn FROM h)",
         body="SELECT k.lineage_id, k.ordinal, k.query_index, round(k.score, 6) AS score, CAST(k.distance AS INT) AS distance, s AS matched_sequences, q AS matched_queries FROM k "
              "JOIN (SELECT lineage_id, count(DISTINCT ordinal) AS s, count(DISTINCT query_index) AS q FROM h GROUP BY 1) USING (lineage_id) WHERE rn = 1",
@@ -655,10 +648,7 @@ def _(spark, d):
 )
 def _(spark, d):
     rows, assigned = _assigned(spark, d)
-    # reads with N are left to query_hamming, where N is a wildcard
-    probes = _probes(spark, d)
-    clean = rows.filter(~F.col("cdr3_nt").contains("N"))
-    hits = SE.query_records(clean, probes.filter(~F.col("sequence").contains("N")), SE.QueryOptions(metric="hamming", identity=0.9))
+    hits = SE.query_records(rows, _probes(spark, d), SE.QueryOptions(metric="hamming", identity=0.9))
     return _rounded(SE.best_per_lineage(hits, assigned).drop("matched"), "score")
 
 
@@ -905,9 +895,9 @@ def _(spark, d):
 
 @query("refine_calls")
 def _(spark, d):
-    options = RE.RefinementOptions(max_iterations=8)
+    options = RE.RefinementOptions(at_limit="flag")
     refined = RE.refine_calls(table(spark, d), _alleles(spark, d), options)
-    return _rounded(refined.select("ordinal", "map_node", "map_probability", "local_top", "local_probability"), "map_probability", "local_probability", digits=4)
+    return _rounded(refined.select("ordinal", "map_node", "map_probability", "local_top", "local_probability", "converged"), "map_probability", "local_probability", digits=4)
 
 
 # --- sequence functions -----------------------------------------------------
@@ -945,16 +935,15 @@ def _(spark, d):
     "kmer_seed_votes",
     with_steps(
         "gk AS (SELECT DISTINCT j_gene AS gene, i AS gene_at, substr(j_reference, i, 7) AS gram FROM (SELECT DISTINCT j_gene, j_reference, unnest(range(1, length(j_reference) - 5)) AS i FROM r))",
-        "few AS (SELECT * FROM gk WHERE gram NOT IN (SELECT gram FROM gk GROUP BY 1 HAVING count(*) > 96))",
         f"rk AS (SELECT ordinal, i AS read_at, substr(s, i, 7) AS gram FROM (SELECT ordinal, s, unnest(range(1, length(s) - 5)) AS i FROM (SELECT ordinal, {sql_nt('sequence')} AS s FROM r)))",
-        body="SELECT ordinal AS rid, gene, CAST(floor((read_at - gene_at) / 4.0) * 4 AS INT) AS diagonal, count(*) * 4 AS votes FROM rk JOIN few USING (gram) WHERE NOT contains(gram, 'N') GROUP BY 1, 2, 3",
+        body="SELECT ordinal AS rid, gene, CAST(floor((read_at - gene_at) / 4.0) * 4 AS INT) AS diagonal, count(*) * 4 AS votes FROM rk JOIN gk USING (gram) WHERE NOT contains(gram, 'N') GROUP BY 1, 2, 3",
     ),
 )
 def _(spark, d):
     t = table(spark, d)
     queries = t.select(F.col("ordinal").alias("rid"), F.lit(False).alias("rev"), F.lit("").alias("want_locus"), S.normalize_nt("sequence").alias("query"))
     genes = t.select(F.col("j_gene").alias("name"), F.lit("").alias("locus"), F.col("j_reference").alias("sequence")).distinct()
-    return AN._votes(queries, genes, 7, 4, AN.MAX_SEED_FREQUENCY).select("rid", "gene", "diagonal", "votes")
+    return AN._votes(queries, genes, 7, 4).select("rid", "gene", "diagonal", "votes")
 
 
 # --- quality ----------------------------------------------------------------
@@ -1002,14 +991,15 @@ def _(spark, d):
         "cv AS (SELECT lineage_id, i, CASE WHEN i <= length(q) THEN substr(q, i, 1) ELSE '-' END AS a, CASE WHEN i <= length(g) THEN substr(g, i, 1) ELSE '-' END AS b FROM (SELECT lineage_id, q, g, unnest(range(1, greatest(length(q), length(g)) + 1)) AS i FROM an))",
         "vt AS (SELECT lineage_id, i, count(*) FILTER (a <> '-' OR b <> '-') AS coverage, list_transform(['A', 'C', 'G', 'T'], lambda x: len(list_filter(list(b), lambda y: y = x))) AS gv, list_transform(['A', 'C', 'G', 'T'], lambda x: len(list_filter(list(a), lambda y: y = x))) AS qv FROM cv GROUP BY 1, 2)",
         "pl AS (SELECT *, list_max(gv) AS gt, list_sum(gv) AS gs, list_max(qv) AS qt, list_sum(qv) AS qs, len(list_filter(gv, lambda x: x = list_max(gv))) AS gl, len(list_filter(qv, lambda x: x = list_max(qv))) AS ql FROM vt)",
-        body="SELECT lineage_id, CAST(i AS INT) AS \"column\", coverage, CASE WHEN gt > 0 AND gl = 1 AND gt / gs::DOUBLE >= 0.8 THEN ['A', 'C', 'G', 'T'][list_position(gv, gt)] WHEN coverage > 0 THEN 'N' ELSE '-' END AS template, "
-             "CASE WHEN gt > 0 AND gl = 1 AND gt / gs::DOUBLE >= 0.8 THEN ['A', 'C', 'G', 'T'][list_position(gv, gt)] WHEN qt > 0 AND ql = 1 AND qt / qs::DOUBLE >= 0.6 THEN ['A', 'C', 'G', 'T'][list_position(qv, qt)] WHEN coverage > 0 THEN 'N' ELSE '-' END AS uca FROM pl",
+        "mb AS (SELECT lineage_id, count(*) AS members FROM an GROUP BY 1)",
+        body="SELECT lineage_id, CAST(i AS INT) AS \"column\", coverage, members, CAST(gs > 0 AND NOT (gt > 0 AND gl = 1 AND gt / gs::DOUBLE >= 0.8) AS BOOLEAN) AS conflict, coverage >= greatest(1, ceil(members * 0.2)) AS supported, CASE WHEN gt > 0 AND gl = 1 AND gt / gs::DOUBLE >= 0.8 THEN ['A', 'C', 'G', 'T'][list_position(gv, gt)] WHEN coverage > 0 THEN 'N' ELSE '-' END AS template, "
+             "CASE WHEN gt > 0 AND gl = 1 AND gt / gs::DOUBLE >= 0.8 THEN ['A', 'C', 'G', 'T'][list_position(gv, gt)] WHEN qt > 0 AND ql = 1 AND qt / qs::DOUBLE >= 0.6 THEN ['A', 'C', 'G', 'T'][list_position(qv, qt)] WHEN coverage > 0 THEN 'N' ELSE '-' END AS uca FROM pl JOIN mb USING (lineage_id)",
     ),
 )
 def _(spark, d):
     _, assigned = _assigned(spark, d)
     anchored = CS.anchored_rows(table(spark, d).join(assigned, "ordinal"))
-    return CS.consensus_columns(anchored).select("lineage_id", "column", "coverage", "template", "uca")
+    return CS.consensus_columns(anchored)
 
 
 @query("closest_germline")
@@ -1116,7 +1106,7 @@ def _(spark, d):
     """Reads of every donor, half of them reverse-complemented, assigned from sequence alone."""
     t = table(spark, d)
     turned = F.when(F.col("rev_comp") == "T", S.reverse_complement("sequence")).otherwise(F.col("sequence"))
-    reads = t.filter("v_call <> ''").select("ordinal", turned.alias("sequence"))
+    reads = t.select("ordinal", turned.alias("sequence"))
     out = AN.annotate(reads, _germlines(spark, d), AN.AnnotateOptions(min_j=10))
     return out.select("ordinal", "rev_comp", "locus", "v_call", "j_call", "v_score", "j_score", "np1")
 
@@ -1133,7 +1123,7 @@ def _(spark, d):
 @query("nearest_templates")
 def _(spark, d):
     alleles = _alleles(spark, d).withColumn("locus", S.infer_locus("name"))
-    return _rounded(RF.nearest_templates(alleles.filter("name LIKE '%*03'"), alleles.filter("name NOT LIKE '%*03'")), "jaccard")
+    return _rounded(RF.nearest_templates(alleles, alleles, keep=5), "jaccard")
 
 
 @query("export_collapsed", with_steps(STEP_REC, body="SELECT min(ordinal) AS ordinal, CAST(sum(weight) AS BIGINT) AS duplicate_count FROM rec WHERE trimmed_nt <> '' GROUP BY sample_id, c_part, trimmed_nt"))

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import default_parallelism
 
 HEX = "'0123456789abcdef'"
 BASES = "'ACGTACGTACGTACGT'"
@@ -140,21 +139,6 @@ COLUMNS = [
 ]
 
 
-# A donor row is well below 1 kB, so this many are at most 200 MB.
-BROADCAST_ROWS = 200_000
-
-_SIZES: dict[tuple[str, str], tuple[int, int]] = {}
-
-
-def _scan_size(spark: SparkSession, path: str) -> tuple[int, int]:
-    """Tasks and rows of a scan, looked up once per session (rows come from the footers)."""
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _SIZES:
-        df = spark.read.parquet(path)
-        _SIZES[key] = (df.rdd.getNumPartitions(), df.count())
-    return _SIZES[key]
-
-
 def rearrangements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repertoire over the tables in ``sf_dir``; unused columns are pruned away.
 
@@ -171,14 +155,9 @@ def rearrangements(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"FROM parquet.`{sf_dir}/customer.parquet` JOIN parquet.`{sf_dir}/nation.parquet` ON c_nationkey = n_nationkey",
         CUSTOMER_LAYERS,
     )
-    # Small files scan as one task: spread the orders over the cores first, and send the
-    # customers to them when their counted size allows it. Larger tables need neither.
-    orders, customers, cores = f"{sf_dir}/orders.parquet", f"{sf_dir}/customer.parquet", default_parallelism(spark)
-    spread = f"/*+ REPARTITION({cores}) */ " if _scan_size(spark, orders)[0] < cores else ""
-    tasks, rows = _scan_size(spark, customers)
-    send = "/*+ BROADCAST(x) */ " if spread and tasks < cores and rows <= BROADCAST_ROWS else ""
+    # the strategy of the join is left to the planner and to adaptive execution
     joined = (
-        f"SELECT {send}o.*, x.* FROM (SELECT {spread}o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM parquet.`{orders}`) o "
+        f"SELECT o.*, x.* FROM (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM parquet.`{sf_dir}/orders.parquet`) o "
         f"JOIN ({donors}) x ON o_custkey = c_custkey"
     )
     return spark.sql(f"SELECT {', '.join(COLUMNS)} FROM ({extend(joined, ORDER_LAYERS)})")

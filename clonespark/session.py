@@ -24,6 +24,7 @@ def build_session(app: str = "clonespark", master: str | None = None, **conf: st
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     defaults.update(conf)
     for key, value in defaults.items():
@@ -39,9 +40,9 @@ def checkpoint_folder(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach.")
-        configured = tempfile.mkdtemp(prefix="clonespark-checkpoint-")
+        configured = tempfile.mkdtemp(prefix="clonespark-checkpoint-")  # one machine, nothing else to share with
     context.setCheckpointDir(configured)
     return configured
 

@@ -6,13 +6,14 @@ on the object stores and HDFS that Arrow supports. Spark schedules the byte rang
 
 from __future__ import annotations
 
-import gzip
 import io
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 RANGE_BYTES = 64 * 1024 * 1024
+#: Compressed files are read whole, by suffix.
+CODECS = {".gz": "gzip", ".bz2": "bz2", ".zst": "zstd"}
 
 
 class _Range(InputPartition):
@@ -30,27 +31,27 @@ def parse_records(lines: Iterator[str]) -> Iterator[tuple[str, str, str, str]]:
             if not line.strip():
                 continue
             if not line.startswith("@"):
-                raise ValueError("Expected a FASTQ header beginning with '@'.")
+                raise ValueError(f"A FASTQ record has to start with '@', found {line[:20]!r}.")
             header, sequence, quality, state = line[1:].strip(), "", "", "sequence"
         elif state == "sequence":
             if line.startswith("+"):
                 if not sequence:
-                    raise ValueError(f"Empty FASTQ sequence: {header or 'unnamed sequence'}.")
+                    raise ValueError(f"No bases in FASTQ record {header!r}.")
                 state = "quality"
             else:
                 sequence += "".join(line.split())
         else:
             quality += line
             if len(quality) > len(sequence):
-                raise ValueError(f"FASTQ sequence/quality length mismatch: {header or 'unnamed sequence'}.")
+                raise ValueError(f"More qualities than bases in FASTQ record {header!r}.")
             if len(quality) == len(sequence):
                 name, _, description = header.partition(" ")
                 yield name, description, sequence, quality
                 state = "header"
     if state == "sequence":
-        raise ValueError(f"The FASTQ input ended before a '+' line for {header or 'a sequence'}.")
+        raise ValueError(f"FASTQ record {header!r} has no '+' line.")
     if state == "quality":
-        raise ValueError(f"The FASTQ quality string is truncated for {header or 'a sequence'}.")
+        raise ValueError(f"FASTQ record {header!r} has fewer qualities than bases.")
 
 
 def record_start(handle, start: int) -> int:
@@ -97,7 +98,7 @@ class FastqReader(DataSourceReader):
         prefix = self.path.split("://")[0] + "://" if "://" in self.path else ""
         out: list[InputPartition] = []
         for f in sorted(files, key=lambda f: f.path):
-            whole = f.path.endswith(".gz") or self.layout == "wrapped"
+            whole = f.path.endswith(tuple(CODECS)) or self.layout == "wrapped"
             step = max(f.size, 1) if whole else self.range_bytes
             out += [_Range(prefix + f.path, at, min(at + step, f.size)) for at in range(0, max(f.size, 1), step)]
         return out
@@ -106,9 +107,10 @@ class FastqReader(DataSourceReader):
         from pyarrow import fs
 
         system, path = fs.FileSystem.from_uri(partition.path) if "://" in partition.path else (fs.LocalFileSystem(), partition.path)
-        if path.endswith(".gz"):
-            with system.open_input_stream(path, compression=None) as stream, gzip.open(stream, "rt") as text:
-                yield from parse_records(iter(text))
+        codec = next((c for suffix, c in CODECS.items() if path.endswith(suffix)), None)
+        if codec:
+            with system.open_input_stream(path, compression=codec) as stream, io.TextIOWrapper(stream, "ascii") as lines:
+                yield from parse_records(iter(lines))
             return
         with system.open_input_file(path) as handle:
             buffered = io.BufferedReader(handle, 1 << 20)

@@ -44,13 +44,17 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     # the first record of a file keeps its '>', the others lost it to the separator
     first = F.col("value").startswith(">")
     body = F.regexp_replace(F.regexp_replace(F.col("value"), "^>", ""), "\r", "")
-    rows = raw.filter(F.trim(F.regexp_replace("value", "[\r\n]", "")) != "").select("source_file", body.alias("body"), first.alias("first"))
+    blank = F.trim(F.regexp_replace("value", "[\r\n]", "")) == ""
+    # the separator takes the '>' of later records, so a proper file has one that kept it, or begins with blank lines
+    proper = raw.groupBy("source_file").agg(F.max(first | blank).alias("proper"))
+    rows = raw.filter(~blank).join(proper, "source_file").select("source_file", "proper", body.alias("body"))
     header = F.trim(F.substring_index("body", "\n", 1))
     bases = F.when(F.instr("body", "\n") > 0, F.regexp_replace(F.substring(F.col("body"), F.instr("body", "\n") + 1, F.length("body")), r"\s", "")).otherwise("")
-    parsed = rows.select("source_file", header.alias("header"), bases.alias("sequence"))
-    empty = F.raise_error(F.concat(F.lit("Empty FASTA record: "), F.coalesce(F.nullif(F.col("header"), F.lit("")), F.lit("unnamed sequence"))))
+    parsed = rows.select("source_file", "proper", header.alias("header"), bases.alias("sequence"))
+    empty = F.raise_error(F.concat(F.lit("FASTA record without bases: "), F.col("header")))
+    headless = F.raise_error(F.concat(F.lit("The first line of this FASTA file is no header: "), F.col("source_file")))
     return parsed.select(
-        F.regexp_extract("header", r"^(\S*)", 1).alias("id"),
+        F.when(F.col("proper"), F.regexp_extract("header", r"^(\S*)", 1)).otherwise(headless.cast("string")).alias("id"),
         F.trim(F.regexp_replace("header", r"^\S*", "")).alias("description"),
         F.when(F.col("sequence") == "", empty.cast("string")).otherwise(F.col("sequence")).alias("sequence"),
         "source_file",

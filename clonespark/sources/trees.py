@@ -17,7 +17,7 @@ def newick_edges(text: str) -> list[tuple[int, int | None, float | None, str]]:
     stack: list[int] = []
     position, text = 0, text.strip()
     if not text.startswith("("):
-        raise ValueError("A complete Newick tree is required.")
+        raise ValueError("Newick text has to open with a parenthesis.")
 
     def open_node() -> int:
         out.append([len(out), stack[-1] if stack else None, None, ""])
@@ -33,7 +33,7 @@ def newick_edges(text: str) -> list[tuple[int, int | None, float | None, str]]:
                     end += 1
                 name += text[end]
                 end += 1
-            raise ValueError("Unterminated quoted Newick label.")
+            raise ValueError("A quoted name in the Newick text has no closing quote.")
         end = at
         while end < len(text) and text[end] not in "(),:;[":
             end += 1
@@ -50,7 +50,7 @@ def newick_edges(text: str) -> list[tuple[int, int | None, float | None, str]]:
                 open_node()
             if c == ")":
                 if not stack:
-                    raise ValueError("Unbalanced Newick parentheses.")
+                    raise ValueError("Opening and closing parentheses of the Newick text do not match.")
                 current = stack.pop()
             else:
                 current = None
@@ -72,7 +72,7 @@ def newick_edges(text: str) -> list[tuple[int, int | None, float | None, str]]:
             current = open_node()
             out[current][3], position = label(position)
     if stack:
-        raise ValueError("Unbalanced Newick parentheses.")
+        raise ValueError("Opening and closing parentheses of the Newick text do not match.")
     return [tuple(row) for row in out]
 
 
@@ -88,7 +88,7 @@ def parse_newick(trees: DataFrame) -> DataFrame:
     return trees.select(F.col("tree_id").cast("string").alias("tree_id"), "newick").mapInPandas(parse, EDGE_TYPE)
 
 
-def node_depths(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def node_depths(edges: DataFrame) -> DataFrame:
     """Distance of every node from its root, for many trees at once.
 
     Pointer doubling: each round a node adopts its ancestor's ancestor and adds that
@@ -97,7 +97,7 @@ def node_depths(edges: DataFrame, rounds: int = 64) -> DataFrame:
     from ..session import cut
 
     state = cut(edges.select("tree_id", "node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0.0).otherwise(F.coalesce("length", F.lit(0.0))).alias("depth")))
-    for _ in range(rounds):
+    while True:
         above = state.select("tree_id", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
         state = cut(state.join(above, ["tree_id", "up"], "left").select("tree_id", "node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0.0))).alias("depth")))
         if state.filter("up IS NOT NULL").isEmpty():

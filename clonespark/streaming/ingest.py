@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..functions.sequences import text
+from ..functions.sequences import is_true_flag, text
 from ..operators.facets import FACETS
 
 
@@ -51,6 +51,6 @@ def running_summary(stream: DataFrame) -> DataFrame:
     return stream.groupBy().agg(
         F.count(F.lit(1)).alias("records"),
         F.count_if((text("v_call") != "") & (text("j_call") != "")).alias("assigned"),
-        F.count_if(text("productive") == "T").alias("productive"),
+        F.count_if(is_true_flag("productive")).alias("productive"),
         F.count_if(text("cdr3") != "").alias("with_cdr3"),
     )

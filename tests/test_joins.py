@@ -184,3 +184,15 @@ def test_lineages_equal_brute_force(spark, ambiguity):
                     label[i], changed = label[j], True
     assert got == dict(enumerate(label))
     assert F is not None
+
+
+def test_annotation_keeps_ties_common_seeds_and_seedless_reads(spark):
+    from pyspark.sql import functions as F
+
+    from clonespark.operators.annotate import seed_candidates
+
+    body = "ACGTTGCAAGGCTTACCATGACCGGTTAACCTGAGTCCATGGAACTTGCAGGATCCA"
+    germlines = spark.createDataFrame([(f"V{k:03d}*01", "IGH", body) for k in range(200)], "name string, locus string, sequence string")
+    queries = spark.createDataFrame([(1, False, "", body), (2, False, "", "T" * 40), (2, True, "", "A" * 40)], "rid long, rev boolean, want_locus string, query string")
+    found = {(r.rid, r.rev): r.n for r in seed_candidates(queries, germlines, "V", 3).groupBy("rid", "rev").agg(F.count_distinct("gene").alias("n")).collect()}
+    assert found == {(1, False): 200, (2, False): 200, (2, True): 200}

@@ -161,3 +161,35 @@ def test_config_round_trip():
     assert load_config(dump_config(config)) == config and load_config("{}") == StudyConfig()
     with pytest.raises(ValueError):
         load_config('{"collapse": {"colour": 1}}')
+
+
+def test_dashboards_count_productive_rows_of_typed_tables(spark):
+    from clonespark.operators.facets import gene_usage, summary_counts
+    from clonespark.sources.readers import typed
+
+    rows = [("a", "T", "IGHV1-1*01", "IGHJ1*01", "TGT", "IGH"), ("b", "F", "IGHV1-1*01", "IGHJ1*01", "TGT", "IGH")]
+    table = spark.createDataFrame(rows, "sequence_id string, productive string, v_call string, j_call string, cdr3 string, locus string")
+    for view in (table, typed(table)):
+        assert summary_counts(view).first()["productive"] == 1
+        usage = {(r.status, r.locus_bucket): r.records for r in gene_usage(view).collect()}
+        assert usage["productive", "*"] == 1 and usage["all", "IGH"] == 2
+
+
+def test_a_lineage_numbered_zero_is_observed(spark):
+    from clonespark.operators.missing import observations
+
+    rows = [(k, k, "IGHV1*01", "IGHJ1*01", "s", "TGTGCA", "ACGTAC", "ACGTAG", "1") for k in range(3)] + [(9, None, "IGHV1*01", "IGHJ1*01", "s", "TGT", "ACG", "ACG", "1")]
+    table = spark.createDataFrame(
+        rows, "ordinal long, lineage_id long, v_call string, j_call string, subject_id string, cdr3 string, v_sequence_alignment string, v_germline_alignment string, v_germline_start string"
+    )
+    assert sorted(r.lineage_id for r in observations(table).collect()) == [0, 1, 2]
+
+
+def test_consensus_of_columns_without_votes(spark):
+    from clonespark.operators.consensus import anchored_rows, consensus_germline
+
+    rows = [(0, 0, "a", "T", "NNAC", "NNAC", "ACAC", "1"), (1, 0, "b", "T", "NN-C", "NN-C", "NC", "20001")]
+    table = spark.createDataFrame(rows, "ordinal long, lineage_id long, sequence_id string, productive string, sequence_alignment string, germline_alignment string, sequence string, v_germline_start string")
+    first = consensus_germline(anchored_rows(table.filter("ordinal = 0"))).first()
+    assert first.template == "NNAC" and first.uca == "NNAC"
+    assert consensus_germline(anchored_rows(table)).first().end_column == 20_004  # a distant start is honoured

@@ -18,7 +18,7 @@ def test_fasta(spark, tmp_path):
     got = {r.id: (r.description, r.sequence) for r in readers.read_fasta(spark, str(tmp_path)).collect()}
     assert got == {"r1": ("first", "ACGTAC"), "r2": ("", "GG"), "r3": ("", "TT")}
     (tmp_path / "c.fasta").write_text(">empty\n")
-    with pytest.raises(Exception, match="Empty FASTA"):
+    with pytest.raises(Exception, match="without bases"):
         readers.read_fasta(spark, str(tmp_path / "c.fasta")).collect()
 
 
@@ -115,3 +115,30 @@ def test_stream_commits_once(spark, tmp_path):
     query = facets.writeStream.outputMode("complete").format("memory").queryName("facets").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert {(r.value, r.records) for r in spark.sql("SELECT * FROM facets").collect()} == {("s0", 6), ("s1", 6), ("IGH", 12)}
+
+
+def test_fasta_has_to_begin_with_a_header(spark, tmp_path):
+    import pytest
+
+    from clonespark.sources.readers import read_fasta
+
+    (tmp_path / "good.fa").write_text("\n\n>a x\nAC\nGT\n>b\nTT\n")
+    assert sorted((r.id, r.sequence) for r in read_fasta(spark, str(tmp_path / "good.fa")).collect()) == [("a", "ACGT"), ("b", "TT")]
+    (tmp_path / "bad.fa").write_text("ACGT\nTTTT\n>b\nACGT\n")
+    with pytest.raises(Exception, match="no header"):
+        read_fasta(spark, str(tmp_path / "bad.fa")).collect()
+
+
+def test_compressed_fastq(spark, tmp_path):
+    import bz2
+    import gzip
+
+    import zstandard
+
+    from clonespark.sources.readers import read_fastq
+
+    text = b"@r1 one\nACGT\n+\nIIII\n@r2\nTT\n+\n@@\n"
+    for suffix, pack in ((".gz", gzip.compress), (".bz2", bz2.compress), (".zst", zstandard.ZstdCompressor().compress)):
+        path = tmp_path / f"reads.fastq{suffix}"
+        path.write_bytes(pack(text))
+        assert sorted((r.id, r.sequence, r.quality) for r in read_fastq(spark, str(path)).collect()) == [("r1", "ACGT", "IIII"), ("r2", "TT", "@@")]
