@@ -21,7 +21,7 @@ from ..operators.components import connected_components
 from .kernels import U, distinct_keys, mix, ngram_hashes, slices, stream, text_bytes, window_starts, words_in, words_of
 from .storage import stored
 
-BANDS, ROWS = 32, 5
+BANDS, ROWS = 64, 7
 #: Bytes of text taken up at once; a few hundred bytes of arrays go with each shingle.
 PIECE = 512 << 10
 #: Members of a bucket of which all pairs of different classes are compared if its pivot does not settle it: of
@@ -200,6 +200,8 @@ def _relabel(label: DataFrame, links: DataFrame) -> DataFrame:
     left = label.select(F.col("lead").alias("left_id"), F.col("class").alias("a"))
     right = label.select(F.col("lead").alias("right_id"), F.col("class").alias("b"))
     edges = stored(links.join(left, "left_id").join(right, "right_id").filter("a <> b").select(F.col("a").alias("left_id"), F.col("b").alias("right_id")).distinct(), "dart-links")
+    if edges.isEmpty():
+        return label
     ends = edges.select(F.explode(F.array("left_id", "right_id")).alias("id")).distinct()
     merged = connected_components(ends, edges).select(F.col("id").alias("class"), "component")
     return stored(label.join(merged, "class", "left").select("lead", F.coalesce("component", "class").alias("class")), "dart-classes")
@@ -211,7 +213,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     Two texts are linked if the weighted Jaccard similarity of their ``size``-word shingles
     (words ``[^\\x20\\x09-\\x0D]+``, weight: how often a shingle occurs) is at least ``threshold``;
     groups are the connected components. Texts of equal words are one vertex. Others meet
-    where a band agrees, which two texts at 0.8 miss with probability 3e-6.
+    where a band agrees, which two texts at 0.8 miss with probability 3e-7.
 
     Buckets of equal members count once. The members of a bucket are first compared with its pivot
     only, the member that shares most buckets. That settles most buckets: all members are of one class.
@@ -277,6 +279,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
             tested, rest = done, stored(small.select("bucket", "lead", "weight"), "dart-small")
         else:
             tested, rest = tested.unionByName(done), None  # all pairs of small buckets are decided
+            if stars.isEmpty():
+                break
         # what is left of a pivot's group: members of two or more classes
         around = checked.join(stars, ["left_id", "right_id"]).join(label.withColumnRenamed("lead", "right_id"), "right_id")
         mixed = around.groupBy("group").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.min("size").alias("least")).filter("a < b").select("group", "least")
