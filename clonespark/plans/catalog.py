@@ -732,15 +732,14 @@ _CODON_VALUES = ", ".join(f"('{c}', '{a}')" for c, a in S.CODON_TABLE.items())
     "shm_codon_counts",
     with_steps(
         f"code(codon, aa) AS (VALUES {_CODON_VALUES})", _SHM_STEPS[0],
-        # reads without a gap: codons are triplets of columns
-        "cd AS (SELECT ordinal, substr(q, 3 * k + 1, 3) AS a, substr(g, 3 * k + 1, 3) AS b FROM (SELECT ordinal, q, g, unnest(range(0, length(q) // 3)) AS k FROM sh0 WHERE NOT contains(q, '-')))",
+        # a codon ends where the number of read bases so far is divisible by three, if its three columns have no gap
+        "cd AS (SELECT ordinal, substr(q, i - 2, 3) AS a, substr(g, i - 2, 3) AS b FROM (SELECT ordinal, q, g, unnest(range(3, length(q) + 1)) AS i FROM sh0) WHERE length(replace(substr(q, 1, i), '-', '')) % 3 = 0 AND NOT contains(substr(q, i - 2, 3), '-'))",
         body="SELECT ordinal, CAST(count(*) AS INT) AS compared_codons, CAST(count(*) FILTER (a <> b AND x.aa = y.aa) AS INT) AS synonymous, CAST(count(*) FILTER (a <> b AND x.aa <> y.aa) AS INT) AS v_aa_replacements "
              "FROM cd JOIN code x ON x.codon = a JOIN code y ON y.codon = b GROUP BY ordinal",
     ),
 )
 def _(spark, d):
-    whole = table(spark, d).filter(~F.col("v_sequence_alignment").contains("-"))
-    return SH.shm_metrics(whole).select("ordinal", "compared_codons", "synonymous", "v_aa_replacements")
+    return SH.shm_metrics(table(spark, d)).select("ordinal", "compared_codons", "synonymous", "v_aa_replacements")
 
 
 @query(
@@ -1140,12 +1139,14 @@ def _(spark, d):
 
 @query(
     "components_of_customers",
-    "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey * 2 AS x, o_orderdate::DATE::VARCHAR AS day FROM orders WHERE o_totalprice > 300000), p AS (SELECT a.x AS x, b.x AS y FROM e a JOIN e b ON a.day = b.day), "
-    "reach(x, y) AS (SELECT x, x FROM e UNION SELECT reach.x, p.y FROM reach JOIN p ON reach.y = p.x) SELECT x AS id, min(y) AS component FROM reach GROUP BY 1",
+    # smallest ids spread over the links of a day until nothing changes
+    "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey * 2 AS x, o_orderdate::DATE::VARCHAR AS day FROM orders), m AS (SELECT day, min(x) AS y FROM e GROUP BY day), "
+    "p AS (SELECT DISTINCT e.x AS x, m.y AS y FROM e JOIN m USING (day) WHERE e.x <> m.y), b AS (SELECT x, y FROM p UNION SELECT y, x FROM p), "
+    "reach(x, c) AS (SELECT DISTINCT x, x FROM e UNION SELECT b.y, min(r.c) FROM reach r JOIN b ON b.x = r.x WHERE r.c < b.y GROUP BY b.y) SELECT x AS id, min(c) AS component FROM reach GROUP BY 1",
 )
 def _(spark, d):
     ship_package(spark)
-    rows = spark.read.parquet(f"{d}/orders.parquet").filter("o_totalprice > 300000").select((F.col("o_custkey") * 2).alias("id"), F.to_date("o_orderdate").alias("day")).distinct()
+    rows = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_custkey") * 2).alias("id"), F.to_date("o_orderdate").alias("day")).distinct()
     first = rows.groupBy("day").agg(F.min("id").alias("left_id"))
     edges = rows.join(first, "day").select("left_id", F.col("id").alias("right_id"))
     return connected_components(rows.select("id").distinct(), edges)
