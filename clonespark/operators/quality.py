@@ -63,5 +63,5 @@ def subsample(reads: DataFrame, size: int, seed: int = 1, key: str = "ordinal")
     The ``size`` smallest salted hashes form the sample: a top-k per task, then one
     merge. Rows come back in input order.
     """
-    salted = reads.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
+    salted = reads.withColumn("_h", F.md5(F.concat_ws("\t", F.lit(str(seed)), F.col(key).cast("string"))))
     return salted.orderBy("_h", key).limit(size).drop("_h").orderBy(key)

@@ -416,17 +416,23 @@ _TOKENS = (
     f"list_sort(list_distinct(list_transform({sql_calls('v_call')}, lambda c: {sql_gene('upper(c)')}))) AS vs, "
     f"list_sort(list_distinct(list_transform({sql_calls('j_call')}, lambda c: {sql_gene('upper(c)')}))) AS js"
 )
-def _lineage_steps(identity: float) -> tuple[str, ...]:
+_STRICT_TOKENS = (
+    f"list_sort(list_distinct(list_transform({sql_calls('v_call')}, lambda c: upper(c)))) AS vs, list_sort(list_distinct(list_transform({sql_calls('j_call')}, lambda c: upper(c)))) AS js"
+)
+_SHARED = "list_has_any(a.vs, b.vs) AND list_has_any(a.js, b.js)"
+
+
+def _lineage_steps(identity: float, scope: str = "subject_id", tokens: str = _TOKENS, agree: str = _SHARED) -> tuple[str, ...]:
   return (
     STEP_REC,
-    f"el AS (SELECT *, {_TOKENS} FROM rec WHERE productive AND cdr3_nt <> '' AND v_call <> '' AND j_call <> '')",
-    "nd AS (SELECT subject_id, locus, vs, js, cdr3_nt, min(ordinal) AS id FROM el GROUP BY ALL)",
-    # no blocks here: every pair of a subject, locus and length is compared
-    "ed AS (SELECT a.id AS x, b.id AS y FROM nd a JOIN nd b ON a.subject_id = b.subject_id AND a.locus = b.locus AND length(a.cdr3_nt) = length(b.cdr3_nt) AND a.id <> b.id "
-    "WHERE list_has_any(a.vs, b.vs) AND list_has_any(a.js, b.js) AND hamming(a.cdr3_nt, b.cdr3_nt) <= floor({gap} * length(a.cdr3_nt) + 1e-9))".replace("{gap}", str(round(1 - identity, 6))),
+    f"el AS (SELECT *, {tokens} FROM rec WHERE productive AND cdr3_nt <> '' AND v_call <> '' AND j_call <> '')",
+    f"nd AS (SELECT {scope}, locus, vs, js, cdr3_nt, min(ordinal) AS id FROM el GROUP BY ALL)",
+    # no blocks here: every pair of a scope, locus and length is compared
+    f"ed AS (SELECT a.id AS x, b.id AS y FROM nd a JOIN nd b ON a.{scope} = b.{scope} AND a.locus = b.locus AND length(a.cdr3_nt) = length(b.cdr3_nt) AND a.id <> b.id WHERE {agree} "
+    "AND hamming(a.cdr3_nt, b.cdr3_nt) <= floor({gap} * length(a.cdr3_nt) + 1e-9))".replace("{gap}", str(round(1 - identity, 6))),
     "reach(x, y) AS (SELECT id, id FROM nd UNION SELECT reach.x, ed.y FROM reach JOIN ed ON reach.y = ed.x)",
     "lb AS (SELECT x AS id, min(y) AS lineage_id FROM reach GROUP BY x)",
-    "asg AS (SELECT el.ordinal, lb.lineage_id FROM el JOIN nd USING (subject_id, locus, vs, js, cdr3_nt) JOIN lb ON lb.id = nd.id)",
+    "asg AS (SELECT el.ordinal, lb.lineage_id FROM el JOIN nd USING ({scope}, locus, vs, js, cdr3_nt) JOIN lb ON lb.id = nd.id)".replace("{scope}", scope),
   )
 
 
@@ -567,7 +573,7 @@ def _(spark, d):
     return LI.merge_lineages(assigned, merges).select("ordinal", "lineage_id", "merged_lineage_id")
 
 
-@query("lineage_strict_allele")
+@query("lineage_strict_allele", with_steps(*_lineage_steps(0.9, "sample_id", _STRICT_TOKENS, "a.vs = b.vs AND a.js = b.js"), body="SELECT ordinal, lineage_id FROM asg"))
 def _(spark, d):
     return LI.assign_lineages(base(spark, d), LI.LineageOptions(resolution="allele", ambiguity="strict", identity=0.9, scope="sample"))
 
@@ -974,7 +980,7 @@ def _(spark, d):
     return QU.quality_statistics(QU.judged_reads(table(spark, d).select("ordinal", "sequence", "quality"), options))
 
 
-@query("subsample")
+@query("subsample", "SELECT ordinal, sequence_id FROM r ORDER BY md5(concat('7', chr(9), CAST(ordinal AS VARCHAR))), ordinal LIMIT 500")
 def _(spark, d):
     return QU.subsample(table(spark, d).select("ordinal", "sequence_id"), 500, seed=7)
 
@@ -982,19 +988,19 @@ def _(spark, d):
 # --- lineage consensus ------------------------------------------------------
 
 
-@query(
-    "consensus_columns",
-    with_steps(
-        *LINEAGE_STEPS,
-        "an AS (SELECT lineage_id, sequence_alignment AS q, germline_alignment AS g FROM asg JOIN r USING (ordinal))",
-        "cv AS (SELECT lineage_id, i, CASE WHEN i <= length(q) THEN substr(q, i, 1) ELSE '-' END AS a, CASE WHEN i <= length(g) THEN substr(g, i, 1) ELSE '-' END AS b FROM (SELECT lineage_id, q, g, unnest(range(1, greatest(length(q), length(g)) + 1)) AS i FROM an))",
-        "vt AS (SELECT lineage_id, i, count(*) FILTER (a <> '-' OR b <> '-') AS coverage, list_transform(['A', 'C', 'G', 'T'], lambda x: len(list_filter(list(b), lambda y: y = x))) AS gv, list_transform(['A', 'C', 'G', 'T'], lambda x: len(list_filter(list(a), lambda y: y = x))) AS qv FROM cv GROUP BY 1, 2)",
-        "pl AS (SELECT *, list_max(gv) AS gt, list_sum(gv) AS gs, list_max(qv) AS qt, list_sum(qv) AS qs, len(list_filter(gv, lambda x: x = list_max(gv))) AS gl, len(list_filter(qv, lambda x: x = list_max(qv))) AS ql FROM vt)",
-        "mb AS (SELECT lineage_id, count(*) AS members FROM an GROUP BY 1)",
-        body="SELECT lineage_id, CAST(i AS INT) AS \"column\", coverage, members, CAST(gs > 0 AND NOT (gt > 0 AND gl = 1 AND gt / gs::DOUBLE >= 0.8) AS BOOLEAN) AS conflict, coverage >= greatest(1, ceil(members * 0.2)) AS supported, CASE WHEN gt > 0 AND gl = 1 AND gt / gs::DOUBLE >= 0.8 THEN ['A', 'C', 'G', 'T'][list_position(gv, gt)] WHEN coverage > 0 THEN 'N' ELSE '-' END AS template, "
-             "CASE WHEN gt > 0 AND gl = 1 AND gt / gs::DOUBLE >= 0.8 THEN ['A', 'C', 'G', 'T'][list_position(gv, gt)] WHEN qt > 0 AND ql = 1 AND qt / qs::DOUBLE >= 0.6 THEN ['A', 'C', 'G', 'T'][list_position(qv, qt)] WHEN coverage > 0 THEN 'N' ELSE '-' END AS uca FROM pl JOIN mb USING (lineage_id)",
-    ),
+_CONSENSUS_STEPS = (
+    *LINEAGE_STEPS,
+    "an AS (SELECT lineage_id, sequence_alignment AS q, germline_alignment AS g FROM asg JOIN r USING (ordinal))",
+    "cv AS (SELECT lineage_id, i, CASE WHEN i <= length(q) THEN substr(q, i, 1) ELSE '-' END AS a, CASE WHEN i <= length(g) THEN substr(g, i, 1) ELSE '-' END AS b FROM (SELECT lineage_id, q, g, unnest(range(1, greatest(length(q), length(g)) + 1)) AS i FROM an))",
+    "vt AS (SELECT lineage_id, i, count(*) FILTER (a <> '-' OR b <> '-') AS coverage, list_transform(['A', 'C', 'G', 'T'], lambda x: len(list_filter(list(b), lambda y: y = x))) AS gv, list_transform(['A', 'C', 'G', 'T'], lambda x: len(list_filter(list(a), lambda y: y = x))) AS qv FROM cv GROUP BY 1, 2)",
+    "pl AS (SELECT *, list_max(gv) AS gt, list_sum(gv) AS gs, list_max(qv) AS qt, list_sum(qv) AS qs, len(list_filter(gv, lambda x: x = list_max(gv))) AS gl, len(list_filter(qv, lambda x: x = list_max(qv))) AS ql FROM vt)",
+    "mb AS (SELECT lineage_id, count(*) AS members FROM an GROUP BY 1)",
+    "cc AS (SELECT lineage_id, CAST(i AS INT) AS \"column\", coverage, members, CAST(gs > 0 AND NOT (gt > 0 AND gl = 1 AND gt / gs::DOUBLE >= 0.8) AS BOOLEAN) AS conflict, coverage >= greatest(1, ceil(members * 0.2)) AS supported, CASE WHEN gt > 0 AND gl = 1 AND gt / gs::DOUBLE >= 0.8 THEN ['A', 'C', 'G', 'T'][list_position(gv, gt)] WHEN coverage > 0 THEN 'N' ELSE '-' END AS template, "
+    "CASE WHEN gt > 0 AND gl = 1 AND gt / gs::DOUBLE >= 0.8 THEN ['A', 'C', 'G', 'T'][list_position(gv, gt)] WHEN qt > 0 AND ql = 1 AND qt / qs::DOUBLE >= 0.6 THEN ['A', 'C', 'G', 'T'][list_position(qv, qt)] WHEN coverage > 0 THEN 'N' ELSE '-' END AS uca FROM pl JOIN mb USING (lineage_id))",
 )
+
+
+@query("consensus_columns", with_steps(*_CONSENSUS_STEPS, body="SELECT * FROM cc"))
 def _(spark, d):
     _, assigned = _assigned(spark, d)
     anchored = CS.anchored_rows(table(spark, d).join(assigned, "ordinal"))
@@ -1007,7 +1013,16 @@ def _(spark, d):
     return CS.closest_germline(table(spark, d).join(assigned, "ordinal")).select("lineage_id", "ordinal", "template", "uca")
 
 
-@query("consensus_germline")
+@query(
+    "consensus_germline",
+    with_steps(
+        *_CONSENSUS_STEPS,
+        "ends AS (SELECT lineage_id, min(\"column\") FILTER (supported) AS s, max(\"column\") FILTER (supported) AS e FROM cc GROUP BY 1)",
+        body="SELECT lineage_id, any_value(members) AS rows_used, any_value(s) AS start_column, any_value(e) AS end_column, count(*) FILTER (conflict) AS conflicting_columns, "
+             "string_agg(template, '' ORDER BY \"column\") AS template, string_agg(uca, '' ORDER BY \"column\") AS uca, coalesce(string_agg(uca, '' ORDER BY \"column\") FILTER (\"column\" BETWEEN s AND e), '') AS trimmed_uca "
+             "FROM cc JOIN ends USING (lineage_id) GROUP BY lineage_id",
+    ),
+)
 def _(spark, d):
     _, assigned = _assigned(spark, d)
     return CS.consensus_germline(CS.anchored_rows(table(spark, d).join(assigned, "ordinal")))
@@ -1119,7 +1134,17 @@ def _(spark, d):
     return RF.exclude_alleles(_alleles(spark, d), used)[0]
 
 
-@query("nearest_templates")
+@query(
+    "nearest_templates",
+    with_steps(
+        _ALLELE_SQL, "lo AS (SELECT name, sequence, regexp_extract(upper(name), '^(IGH|IGK|IGL|TRA|TRB|TRD|TRG)', 1) AS locus FROM al)",
+        "gm AS (SELECT DISTINCT name, locus, substr(sequence, i, 9) AS gram FROM (SELECT name, locus, sequence, unnest(range(1, length(sequence) - 7)) AS i FROM lo))",
+        "sz AS (SELECT name, count(*) AS n FROM gm GROUP BY 1)",
+        "sh AS (SELECT a.name AS target, b.name AS template, count(*) AS shared FROM gm a JOIN gm b USING (locus, gram) GROUP BY 1, 2)",
+        "jc AS (SELECT target, template, shared::DOUBLE / (x.n + y.n - shared) AS jaccard FROM sh JOIN sz x ON x.name = target JOIN sz y ON y.name = template)",
+        body="SELECT target, CAST(rn - 1 AS INT) AS rank, template, round(jaccard, 6) AS jaccard FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY jaccard DESC, template) AS rn FROM jc) WHERE rn <= 5",
+    ),
+)
 def _(spark, d):
     alleles = _alleles(spark, d).withColumn("locus", S.infer_locus("name"))
     return _rounded(RF.nearest_templates(alleles, alleles, keep=5), "jaccard")
