@@ -974,7 +974,16 @@ def _(spark, d):
     return QU.judged_reads(table(spark, d).select("ordinal", "sequence", "quality"), options).select("ordinal", "trimmed_length")
 
 
-@query("quality_statistics")
+@query(
+    "quality_statistics",
+    with_steps(
+        "w AS (SELECT ordinal, e, list_sum(list_transform(range(greatest(1, e - 3), e + 1), lambda i: ord(substr(quality, i, 1)) - 33)) / least(e, 4)::DOUBLE AS mean FROM (SELECT ordinal, quality, unnest(range(1, length(quality) + 1)) AS e FROM r))",
+        "tl AS (SELECT r.ordinal, quality, coalesce(t, 0) AS t FROM r LEFT JOIN (SELECT ordinal, max(e) AS t FROM w WHERE mean >= 25 GROUP BY 1) x ON x.ordinal = r.ordinal)",
+        "oc AS (SELECT *, length(quality) - t AS removed, t >= 60 AS long, coalesce(list_sum(list_transform(range(1, t + 1), lambda i: pow(10, (33 - ord(substr(quality, i, 1))) / 10.0))), 0) <= 15 AS good FROM tl)",
+        body="SELECT count(*) AS evaluated, count(*) FILTER (long AND good) AS retained, count(*) FILTER (NOT long) AS rejected_length, count(*) FILTER (long AND NOT good) AS rejected_errors, "
+             "count(*) FILTER (long AND good AND removed > 0) AS trimmed_reads, CAST(coalesce(sum(removed) FILTER (long AND good), 0) AS BIGINT) AS trimmed_bases FROM oc",
+    ),
+)
 def _(spark, d):
     options = QU.QualityOptions(max_expected_errors=15.0, window=4, min_mean_phred=25.0, min_length=60)
     return QU.quality_statistics(QU.judged_reads(table(spark, d).select("ordinal", "sequence", "quality"), options))
