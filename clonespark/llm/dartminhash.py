@@ -21,12 +21,12 @@ from ..operators.components import connected_components
 from .kernels import U, distinct_keys, mix, ngram_hashes, slices, stream, text_bytes, window_starts, words_in, words_of
 from .storage import stored
 
-BANDS, ROWS = 64, 7
+BANDS, ROWS = 32, 5
 #: Bytes of text taken up at once; a few hundred bytes of arrays go with each shingle.
 PIECE = 512 << 10
 #: Members of a bucket of which all pairs of different classes are compared if its pivot does not settle it: of
 #: bands, and of the buckets (pivot, shingle) that come after. Larger ones are split by a further pivot.
-SMALL, MEDIUM = 8, 48
+SMALL, MEDIUM = 24, 128
 
 
 def shingles(words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +134,7 @@ def sketch(docs: DataFrame, size: int = 5, bands: int = BANDS, rows: int = ROWS)
     return docs.mapInArrow(run, "doc_id long, c1 long, c2 long, bands array<long>")
 
 
-COMPARED = "left_id long, right_id long, similarity double, shared long, size long, novel array<long>"
+COMPARED = "left_id long, right_id long, similarity double, shared long, size long, novel array<struct<s:long,rest:long>>"
 
 
 def similarity(pairs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -142,7 +142,8 @@ def similarity(pairs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataF
 
     ``shared`` is the weight of the common part and ``size`` that of the right text. Where ``wide`` is set,
     ``novel`` holds the shingles that the right text has more often than the left one, in the order of their
-    hashes and without the last ones, which a third text can't be similar by alone (weighted prefix filter).
+    hashes, each with the weight from there on, and without the last ones, which a third text can't be similar
+    by alone (weighted prefix filter).
     """
 
     def run(batches):
@@ -187,7 +188,9 @@ def compare(piece: pa.RecordBatch, size: int, threshold: float) -> pa.RecordBatc
     before = np.concatenate([[0], np.cumsum(extra)])
     kept = before[first[owner + 1]] - before[:-1] >= needed[owner] if len(owner) else np.zeros(0, bool)
     bounds = np.concatenate([[0], np.cumsum(kept)])[first]
-    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(codes[kept], pa.int64()))
+    rest = before[first[owner + 1]] - before[:-1] if len(owner) else before[:0]
+    values = pa.StructArray.from_arrays([pa.array(codes[kept], pa.int64()), pa.array(rest[kept], pa.int64())], ["s", "rest"])
+    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
     return pa.RecordBatch.from_pydict({
         "left_id": piece.column("left_id"), "right_id": piece.column("right_id"),
         "similarity": pa.array(np.divide(both, either, out=np.zeros(n_pairs), where=either > 0)),
@@ -207,13 +210,26 @@ def _relabel(label: DataFrame, links: DataFrame) -> DataFrame:
     return stored(label.join(merged, "class", "left").select("lead", F.coalesce("component", "class").alias("class")), "dart-classes")
 
 
+def _joined_groups(large: DataFrame) -> DataFrame:
+    """``group, left_id, right_id``: buckets of ``(pivot, lead)`` whose members mostly have one other pivot go to it.
+
+    The members of each bucket stay together. A group of near copies is in many buckets, some of which
+    lack the common original; all of them get it as their pivot.
+    """
+    sizes = large.groupBy("pivot").agg(F.count("*").alias("n"))
+    main = large.join(sizes, "pivot").groupBy("lead").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("main"))
+    votes = large.join(main, "lead").groupBy("pivot", "main").agg(F.count("*").alias("n"))
+    chosen = votes.groupBy("pivot").agg(F.max_by("main", F.struct("n", -F.col("main"))).alias("left_id"))
+    return large.join(chosen, "pivot").select(F.col("left_id").alias("group"), "left_id", F.col("lead").alias("right_id"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, class_id``: the group of near duplicates of every row, named by its smallest id.
 
     Two texts are linked if the weighted Jaccard similarity of their ``size``-word shingles
     (words ``[^\\x20\\x09-\\x0D]+``, weight: how often a shingle occurs) is at least ``threshold``;
     groups are the connected components. Texts of equal words are one vertex. Others meet
-    where a band agrees, which two texts at 0.8 miss with probability 3e-7.
+    where a band agrees, which two texts at 0.8 miss with probability 3e-6.
 
     Buckets of equal members count once. The members of a bucket are first compared with its pivot
     only, the member that shares most buckets. That settles most buckets: all members are of one class.
@@ -244,7 +260,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     # rows that share an id are one document: their texts are linked
     same = member.withColumn("first", F.min("right_id").over(Window.partitionBy("left_id"))).filter("first <> right_id")
     label = _relabel(leads.select("lead").distinct().withColumn("class", F.col("lead")), same.select(F.col("first").alias("left_id"), "right_id"))
-    direct, tested, pool, share = None, None, known, threshold / (1 + threshold)
+    direct, tested, pool, share, step = None, None, known, threshold / (1 + threshold), 0
     while True:
         grouped = members.join(label, "lead")
         best = F.max_by(F.struct("lead", "class"), F.struct("weight", -F.col("lead"))).alias("p")
@@ -263,9 +279,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
             other = some.select("bucket", F.col("lead").alias("right_id"), F.col("class").alias("other"))
             pairs = some.join(other, "bucket").filter("lead < right_id and class <> other").select(F.col("lead").alias("left_id"), "right_id")
             pairs = pairs.unionByName(direct).distinct().join(tested, ["left_id", "right_id"], "left_anti")
-        # large buckets: in the first round those of one pivot are one group, later ones only shrink
-        group = F.col("pivot") if tested is None else F.col("bucket")
-        stars = stored(large.filter("lead <> pivot").select(group.alias("group"), F.col("pivot").alias("left_id"), F.col("lead").alias("right_id")).distinct(), "dart-stars")
+        # large buckets: overlapping ones are one group in the first two rounds; from then on they only shrink
+        step += 1
+        if step <= 2:
+            stars = _joined_groups(stored(large.select("pivot", "lead").distinct(), "dart-large"))
+        else:
+            stars = large.select(F.col("bucket").alias("group"), F.col("pivot").alias("left_id"), F.col("lead").alias("right_id"))
+        stars = stored(stars.filter("left_id <> right_id").distinct(), "dart-stars")
         pairs = pairs.withColumn("wide", F.lit(False)).unionByName(stars.select("left_id", "right_id").withColumn("wide", F.lit(True)))
         pairs = stored(pairs.groupBy("left_id", "right_id").agg(F.max("wide").alias("wide")), "dart-pairs")
         if pairs.isEmpty():
@@ -283,15 +303,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
                 break
         # what is left of a pivot's group: members of two or more classes
         around = checked.join(stars, ["left_id", "right_id"]).join(label.withColumnRenamed("lead", "right_id"), "right_id")
-        mixed = around.groupBy("group").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.min("size").alias("least")).filter("a < b").select("group", "least")
-        around = stored(around.join(mixed, "group"), "dart-groups")
-        beyond = around.select(F.explode("novel").alias("s"), "group", "right_id", F.col("shared").alias("weight"))
+        mixed = around.groupBy("group").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.collect_set("size").alias("sizes")).filter("a < b").select("group", "sizes")
+        # the smallest text of the group that can be similar to this one; sizes are numbers of words, so there are few
+        least = F.array_min(F.filter("sizes", lambda z: z >= threshold * F.col("size") - 1e-6))
+        around = stored(around.join(mixed, "group").withColumn("least", least).drop("sizes"), "dart-groups")
+        needed = F.greatest(F.lit(1.0), F.ceil(share * (F.col("size") + F.col("least")) - 1e-6) - F.col("shared"))
+        left_over = F.transform(F.filter("novel", lambda e: e["rest"] >= needed), lambda e: e["s"])
+        beyond = around.select(F.explode(left_over).alias("s"), "group", "right_id", F.col("shared").alias("weight"))
         beyond = beyond.select(F.xxhash64("group", "s").alias("bucket"), F.col("right_id").alias("lead"), "weight")
         again = beyond.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
         members = beyond.join(again, "bucket")
         members = stored(members if rest is None else members.unionByName(rest), "dart-members")
         # pairs for which the part shared with the pivot is enough
-        near = around.filter(F.col("similarity") < threshold).filter(F.col("shared") >= share * (F.col("size") + F.greatest(threshold * F.col("size"), F.col("least"))) - 1e-6)
+        near = around.filter(F.col("similarity") < threshold).filter(F.col("shared") >= share * (F.col("size") + F.col("least")) - 1e-6)
         x = near.select("group", F.col("right_id").alias("x"), F.col("class").alias("x_class"), F.col("shared").alias("x_shared"), F.col("size").alias("x_size"))
         y = around.select("group", F.col("right_id").alias("y"), F.col("class").alias("y_class"), F.col("shared").alias("y_shared"), F.col("size").alias("y_size"))
         enough = (F.col("x_class") != F.col("y_class")) & (F.least("x_shared", "y_shared") >= share * (F.col("x_size") + F.col("y_size")) - 1e-6)
