@@ -310,7 +310,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
         needed = F.greatest(F.lit(1.0), F.ceil(share * (F.col("size") + F.col("least")) - 1e-6) - F.col("shared"))
         left_over = F.transform(F.filter("novel", lambda e: e["rest"] >= needed), lambda e: e["s"])
         beyond = around.select(F.explode(left_over).alias("s"), "group", "right_id", F.col("shared").alias("weight"))
-        beyond = beyond.select(F.xxhash64("group", "s").alias("bucket"), F.col("right_id").alias("lead"), "weight")
+        beyond = stored(beyond.select(F.xxhash64("group", "s").alias("bucket"), F.col("right_id").alias("lead"), "weight"), "dart-beyond")
         again = beyond.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
         members = beyond.join(again, "bucket")
         members = stored(members if rest is None else members.unionByName(rest), "dart-members")
