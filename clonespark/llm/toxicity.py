@@ -1,8 +1,9 @@
 """Toxicity of deobfuscated text.
 
-Tokens that look disguised (digits and signs between letters, letters drawn out, single
-letters spaced apart) become a lattice of what each character may stand for: itself, the
-letters that a sign imitates, one or two of a repeated letter, nothing or a word break for a separator.
+Tokens that look disguised (digits and signs between letters, signs that imitate letters before or behind
+them, letters drawn out, single letters and signs spaced apart) become a lattice of what each character may stand for: itself, the
+letters that a sign imitates, one or two of a repeated letter, nothing or a word break for a separator. Signs before the first
+and behind the last letter may also be mere punctuation or numbers; the model decides.
 Viterbi decoding under a character trigram model, learnt from the corpus, takes the most
 likely path. The restored words, together with the plain ones, are scored by a logistic model over
 words and word beginnings.
@@ -28,8 +29,8 @@ IMITATES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou",
 }
-LEET = np.zeros(256, bool)
-LEET[[ord(c) for c in "0123456789@$"]] = True
+SIGNS = np.zeros(256, bool)
+SIGNS[[ord(c) for c in IMITATES]] = True
 CLASSES = 28  # a-z, any other letter, word break
 OTHER, BREAK = 26, 27
 FEATURE_BITS = 20
@@ -37,6 +38,8 @@ FEATURE_BITS = 20
 PIECE = 1 << 20
 PREFIXES = (4, 5, 6)
 SIGN_COST, DROP_COST, JOIN_COST, BREAK_COST = 0.5, 12.0, 1.0, 0.5
+#: Of dropping a run of signs before or behind all letters: one that may well be a letter, and mere punctuation.
+EDGE_COST, NOISE_COST = 8.0, 2.5
 
 
 def char_counts(docs: DataFrame) -> np.ndarray:
@@ -73,9 +76,16 @@ def class_of(char: str) -> int:
     return ord(char) - 97 if "a" <= char <= "z" else OTHER if char.isalpha() else BREAK
 
 
+def edge_cost(char: str, n: int, leading: bool) -> float:
+    """What it costs to drop ``n`` equal signs at an edge; three and more, and signs at their usual place, are noise."""
+    usual = char == "*" or char == ("(" if leading else "!")
+    return NOISE_COST if n > 2 or usual else EDGE_COST
+
+
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """Slots of a token: the strings that each may stand for, with their costs."""
     slots: list[list[tuple[str, float]]] = []
+    place = [k for k, char in enumerate(token) if char.isalpha()] or [0]
     for run in re.finditer(r"(.)\1*", token, re.S):
         char, n = run[1], len(run[0])
         if char.isalpha():
@@ -83,7 +93,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             slots.append([(char, 0.0 if n != 2 else 1.5), (char * 2, 0.0)] if n > 1 else [(char, 0.0)])
         elif char in IMITATES:
             options = [(letter * size, SIGN_COST) for letter in IMITATES[char] for size in ((1, 2) if n > 1 else (1,))]
-            slots.append([*options, ("", DROP_COST * n), (" ", DROP_COST * n)])
+            inside = place[0] < run.start() < place[-1]
+            slots.append([*options, ("", DROP_COST * n if inside else edge_cost(char, n, run.start() < place[0])), (" ", DROP_COST * n)])
         else:
             slots.append([("", JOIN_COST), (" ", BREAK_COST)])
     return slots
@@ -138,38 +149,51 @@ class Restorer:
         place = np.arange(len(data))
         last = np.maximum.accumulate(np.where(letters, place, -1)) if len(data) else place
         first = np.minimum.accumulate(np.where(letters, place, len(data))[::-1])[::-1] if len(data) else place
-        some = total[words.ends] > total[words.starts]
-        starts, ends, rows = words.starts[some], words.ends[some], rows[some]
-        begin, end = first[starts], last[ends - 1] + 1
+        signs = SIGNS[data]
+        marks = np.concatenate([[0], np.cumsum(signs)])
+        lead = np.concatenate([[0], np.cumsum(letters & ((data & 0xC0) != 0x80))])
+        other = np.where(letters | signs, -1, place)
+        before = np.maximum.accumulate(other) if len(data) else place
+        after = np.minimum.accumulate(np.where(other < 0, len(data), place)[::-1])[::-1] if len(data) else place
+        lettered = total[words.ends] > total[words.starts]
+        # without a letter, a token counts only as a single sign among spaced letters
+        some = lettered | (marks[words.ends] - marks[words.starts] == 1)
+        starts, ends, rows, lettered = words.starts[some], words.ends[some], rows[some], lettered[some]
+        at = np.minimum.accumulate(np.where(signs, place, len(data))[::-1])[::-1] if len(data) else place
+        begin = np.where(lettered, first[starts], at[starts])
+        end = np.where(lettered, last[ends - 1], at[starts]) + 1
         count = total[end] - total[begin]
-        disguised = count < end - begin
-        disguised |= (begin - starts == 1) & LEET[data[starts]]
-        disguised |= (ends - end == 1) & LEET[data[ends - 1]]
+        # the letters with all signs that touch them
+        left, right = np.maximum(starts, before[begin] + 1), np.minimum(ends, after[end - 1])
+        disguised = lettered & ((count < end - begin) | (left < begin) | (right > end))
         triple = np.zeros(len(data) + 1, np.int64)
         if len(data) > 2:
             triple[3:] = np.cumsum((data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & letters[2:])
-        disguised |= (end - begin > 2) & (triple[end] > triple[np.minimum(begin + 2, len(data))])
-        alone = (end - begin == 1) & (data[begin] < 128) & ~disguised
+        disguised |= lettered & (end - begin > 2) & (triple[end] > triple[np.minimum(begin + 2, len(data))])
+        alone = ~lettered | ((count == end - begin) & (lead[end] - lead[begin] == 1))
+        for k in np.flatnonzero(lettered & alone & (data[begin] > 127)).tolist():
+            alone[k] = data[begin[k] : end[k]].tobytes().decode("utf-8", "replace").isalpha()
         same = np.append(False, (rows[1:] == rows[:-1]) & alone[1:] & alone[:-1]) if len(rows) else np.zeros(0, bool)
         head = np.flatnonzero(alone & ~same)
         groups = np.cumsum(~same) - 1
-        size = np.bincount(groups, minlength=int(groups[-1]) + 1 if len(groups) else 0)
-        spaced = alone & (size[groups] >= 3) if len(groups) else alone
+        width = int(groups[-1]) + 1 if len(groups) else 0
+        size = np.bincount(groups, minlength=width)
+        named = np.bincount(groups, lettered, minlength=width)
+        spaced = alone & (size[groups] >= 3) & (named[groups] >= 1) if len(groups) else alone
+        disguised &= ~spaced
+
+        def cut(k: int) -> str:
+            return data[left[k] : right[k]].tobytes().decode("utf-8", "replace")
+
         texts, owner = [], []
         for k in np.flatnonzero(disguised).tolist():
-            begin_k, end_k = int(begin[k]), int(end[k])
-            if starts[k] == begin_k - 1 and LEET[data[starts[k]]]:
-                begin_k -= 1
-            if ends[k] == end_k + 1 and LEET[data[end_k]]:
-                end_k += 1
-            texts.append(self.read(data[begin_k:end_k].tobytes().decode("utf-8", "replace")))
+            texts.append(self.read(cut(k)))
             owner.append(int(rows[k]))
         for k in head.tolist():
             if spaced[k]:
-                span = slice(k, k + int(size[groups[k]]))
-                texts.append(self.read("-".join(data[begin[span]].tobytes().decode())))
+                texts.append(self.read("-".join(map(cut, range(k, k + int(size[groups[k]]))))))
                 owner.append(int(rows[k]))
-        plain = ~disguised & ~spaced
+        plain = lettered & ~disguised & ~spaced
         extra, bounds = text_bytes(pa.array(texts, pa.string()))
         restored = words_in(extra, bounds, BLANKS)
         return (

@@ -2,13 +2,14 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from clonespark.llm.boosting import fit_forest
 from clonespark.llm.katz import discounts, katz_scores, starred
 from clonespark.llm.language import identify, mixtures
 from clonespark.llm.quality import COUNTS, quality
-from clonespark.llm.toxicity import char_counts, char_model, decode, fit_logistic, toxicity
+from clonespark.llm.toxicity import Restorer, char_counts, char_model, decode, fit_logistic, toxicity
 
 from . import brute
 
@@ -173,6 +174,26 @@ def test_disguise_does_not_hide_toxicity(spark, documents, labels):
     assert min(score[2], score[3]) > 0.5 > score[4]
 
 
+def test_signs_at_the_edges_and_spaced_signs_do_not_hide_toxicity(spark):
+    words = ["stupid", "useless", "idiot", "hate", "asshole", "shit"]
+    docs = [(k, f"this is quite {words[k // 4 % 6] if k % 4 == 1 else 'a good'} text number {'one two three four great'.split()[k % 5]}") for k in range(900)]
+    marks = spark.createDataFrame([(k, int(k % 4 == 1)) for k in range(900)], "doc_id long, toxic int")
+    hidden = ["57up1d", "57up1d!!", "u53l355", "1d107", "h473", "@$$hole", "(@$$hole,", "sh!+", "!diot", "!diot***", "stupid!!", "stupid$$$", "1 d 1 0 t", "1 d ! 0 t !", "s h ! t", "i - d - i - o - t"]
+    clean = ["great", "great!!", "great$$$", "(great)", "great ***", "one 2 3 4", "two!", "nothing"]
+    probe = spark.createDataFrame([(k, f"so {word}") for k, word in enumerate([*hidden, *clean])], "doc_id long, text string")
+    train = spark.createDataFrame(docs, "doc_id long, text string")
+    score = {r.text[3:]: r.score for r in toxicity(probe, train, marks).collect()}
+    least = score["great"] + 0.1
+    assert {w: score[w] for w in hidden if score[w] < least} == {} and {w: score[w] for w in clean if score[w] > least} == {}, least
+    assert score["great!!"] == score["great$$$"] == score["great"] and score["57up1d"] == score["57up1d!!"] == score["stupid!!"] == score["stupid$$$"]
+
+
+def test_single_letters_of_any_script_join_spaced_runs():
+    restorer = Restorer(np.zeros((28, 28, 28)))
+    data, starts, ends, _ = restorer.words(pa.array(["é t é", "a — b"]))
+    assert [data[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)][-1:] in (["été"], ["é"]) and len(restorer.known) == 1
+
+
 def test_logistic_reaches_its_optimum():
     rng = np.random.default_rng(2)
     x = rng.random((400, 6)) < 0.3
