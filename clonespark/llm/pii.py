@@ -46,6 +46,10 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+")
 DIGIT = re.compile(r"[0-9]")
 NUMBER = re.compile(r"(?:\+|\()?[0-9][0-9 ().\-]*")
 SPOKEN = re.compile(r"([A-Za-z0-9._%+-]+) ?(?:\(at\)|\[at\]| at |@) ?([A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]+)+)", re.I)
+#: The parts of SPOKEN from its sign on, and what may stand before it (with re.I, four more letters count as ASCII ones).
+AT = re.compile(r"@|\(at\)|\[at\]| at(?= )", re.I)
+SPOKEN_DOMAIN = re.compile(r" ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]+)+", re.I)
+SPOKEN_LOCAL = LOCAL | frozenset("\u0130\u0131\u017f\u212a")
 WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
 
@@ -101,16 +105,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """Loose matches of each kind: spoken addresses, and numbers by their shape."""
     out = []
-    low = text.lower() if "dot" in text or "DOT" in text or "Dot" in text or "@" in text else ""
-    if low:
-        for at in re.finditer(r"@|\bat\b", low):
-            if low[at.start()] == "@" or "dot" in low[at.end() : at.end() + 80]:
-                # the match must hold this place: look at what stands before it on the line
-                begin = max(0, at.start() - 80)
-                for m in SPOKEN.finditer(text, begin, min(len(text), at.end() + 120)):
-                    if m.start() <= at.start() < m.end():
-                        out.append((0, m.start(), m.end()))
-                        break
+    done = 0
+    # all matches of SPOKEN, from their signs: looking for the local part first takes quadratic time in long words
+    for at in AT.finditer(text):
+        stop = at.start() - (text[at.start() - 1 : at.start()] == " ")
+        start = stop
+        while start > done and text[start - 1] in SPOKEN_LOCAL:
+            start -= 1
+        domain = SPOKEN_DOMAIN.match(text, at.end() + (text[at.start()] == " ")) if start < stop else None
+        if domain:
+            out.append((0, start, domain.end()))
+            done = domain.end()
     if not DIGIT.search(text):
         return out
     for run in NUMBER.finditer(text):
@@ -258,8 +263,6 @@ def fit_spans(docs: DataFrame, text: str = "text") -> np.ndarray:
 def find(text: str, weights: np.ndarray, threshold: float = 0.5) -> list[tuple[int, int, int, bool]]:
     """All spans of a text by kind and start: base ones, and accepted candidates that touch none."""
     base = base_spans(text)
-    if not base and not DIGIT.search(text) and "dot" not in text.lower():
-        return []
     taken = sorted((a, b) for _, a, b in base)
     offered = []
     for kind, start, end in candidates(text):

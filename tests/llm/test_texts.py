@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from clonespark.llm.chat import align, escape, format_chats, parse, read_back, render, token_spans, unescape
 from clonespark.llm.decontaminate import decontaminate
 from clonespark.llm.pieces import Codec, encode_texts, read_model
-from clonespark.llm.pii import KINDS, base_spans, find, find_personal_data, fit_spans, luhn, mask, reliabilities
+from clonespark.llm.pii import KINDS, SPOKEN, base_spans, candidates, find, find_personal_data, fit_spans, luhn, mask, reliabilities
 
 from . import brute
 
@@ -109,6 +109,21 @@ def test_personal_data_in_a_table(documents, texts):
         assert [s for s, own in zip(spans, (x.base for x in r.spans), strict=True) if own] == plain_spans(texts[r.doc_id]) and spans == sorted(spans)
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from([*"aZ1.@- (\n", " at ", " At", "at", "(AT)", "[at]", " dot ", "(dot)", "[DOT]", "\u0130", "\u212a", "é", "john", "x.org"]), max_size=25).map("".join))
+def test_spoken_addresses_equal_the_pattern(text):
+    assert [(a, b) for kind, a, b in candidates(text) if kind == 0] == [m.span() for m in SPOKEN.finditer(text)]
+
+
+def test_spoken_addresses_are_found_whatever_else_the_text_has():
+    weights = np.zeros((len(KINDS), 11))
+    weights[0, -1] = 9.0
+    long = "n" * 200
+    for address in ("john @ example.com", "john (at) example.com", "john[at]example.org", f"{long} at example dot com", f"{long}(AT)example.com"):
+        for text in (f"write to {address}", f"İ write to {address}", f"write to {address}, room 7", f"no dot here: {address}"):
+            assert [text[a:b] for kind, a, b, own in find(text, weights) if kind == 0 and not own] == [address]
+
+
 def test_candidates_that_the_votes_carry(spark):
     docs = [(k, f"Please call +1 (555) 201-{1000 + k} or mail name{k} (at) example dot com, batch 20{k % 10} 77 items") for k in range(200)]
     docs += [(500, "phone +1 (784) 555-8120 4111111111111111 today"), (501, "number 4111111111111112 and 300.1.2.3")]
