@@ -1039,10 +1039,11 @@ def _(spark, d):
 
 @query("germline_neighbours")
 def _(spark, d):
-    rows, assigned = _assigned(spark, d)
+    """The stated source set: lineages with a read whose id is divisible by 100."""
+    _, assigned = _assigned(spark, d)
     t = table(spark, d).join(assigned, "ordinal").withColumn("study_group", ST.scope_value("subject"))
     index = CS.germline_sketches(t)
-    chosen = _sources(rows, assigned)
+    chosen = assigned.filter("ordinal % 100 = 0").select("lineage_id").distinct()
     probe = index.join(chosen, "lineage_id", "left_semi").select(F.col("lineage_id").alias("source_lineage_id"), "locus", "study_group", "sketch", F.col("proxy").alias("source_proxy"))
     found = CS.screen_germlines(index, probe.drop("source_proxy"))
     pairs = found.join(probe.select("source_lineage_id", "source_proxy"), "source_lineage_id").join(index.select("lineage_id", "proxy"), "lineage_id")

@@ -5,12 +5,15 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from clonespark.functions.kernels import edit_profile_of
+from clonespark.functions.kernels import EMPTY_SLOT, edit_profile_of
 from clonespark.functions.statistics import poisson_tail
 from clonespark.operators.components import connected_components
+from clonespark.operators.consensus import germline_sketches
 from clonespark.operators.denoise import DenoiseOptions, denoise
 from clonespark.operators.lineages import LineageOptions, assign_lineages
 from clonespark.operators.simjoin import edit_pairs, hamming_pairs
+from clonespark.operators.study import scope_value
+from clonespark.plans import catalog
 
 
 def _hamming(a, b):
@@ -196,3 +199,14 @@ def test_annotation_keeps_ties_common_seeds_and_seedless_reads(spark):
     queries = spark.createDataFrame([(1, False, "", body), (2, False, "", "T" * 40), (2, True, "", "A" * 40)], "rid long, rev boolean, want_locus string, query string")
     found = {(r.rid, r.rev): r.n for r in seed_candidates(queries, germlines, "V", 3).groupBy("rid", "rev").agg(F.count_distinct("gene").alias("n")).collect()}
     assert found == {(1, False): 200, (2, False): 200, (2, True): 200}
+
+
+def test_germline_neighbours_are_searched_for_a_source_set_that_grows(spark):
+    d = "/root/testdata/sf0.001"
+    _, assigned = catalog._assigned(spark, d)
+    t = catalog.table(spark, d).join(assigned, "ordinal").withColumn("study_group", scope_value("subject"))
+    index = [(r.lineage_id, r.locus, r.study_group, {(k, h) for k, h in enumerate(r.sketch) if h != EMPTY_SLOT}) for r in germline_sketches(t).collect()]
+    sources = {r.lineage_id for r in assigned.collect() if r.ordinal % 100 == 0}
+    expected = {(a[0], b[0]) for a in index for b in index if a[0] in sources and a[0] != b[0] and a[1:3] == b[1:3] and a[3] & b[3]}
+    found = [(r.source_lineage_id, r.lineage_id) for r in catalog.QUERIES["germline_neighbours"](spark, d).collect()]
+    assert set(found) == expected and len(found) == len(expected) and len({a for a, _ in found}) > 5
