@@ -159,3 +159,12 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("own", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return out.select("doc_id", *map(count, KINDS), digest(listed("own")).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    out = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    listed = out.select("*", F.posexplode(F.arrays_zip("whitened", "explained")).alias("nth", "c"))
+    return listed.select("vec_id", (F.col("nth") + 1).alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error")
