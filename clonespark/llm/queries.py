@@ -168,3 +168,42 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     listed = out.select("*", F.posexplode(F.arrays_zip("whitened", "explained")).alias("nth", "c"))
     return listed.select("vec_id", (F.col("nth") + 1).alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error")
+
+
+@query
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_files import read_documents, write_token_files
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return read_documents(write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pair_search import ranked_search
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+ORACLES["op11_ranked_search"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS word
+  FROM benchmark),
+items AS (SELECT item_id, word, count(*) AS times FROM asked GROUP BY item_id, word),
+size AS (SELECT count(*) AS n_docs, sum(len(ws)) AS n_words FROM docs WHERE len(ws) > 0),
+lengths AS (SELECT rid, doc_id, 75 + (25 * len(ws) * n_docs) // n_words AS m FROM docs, size WHERE len(ws) > 0),
+counts AS (SELECT rid, word, count(*) AS tf FROM (SELECT rid, unnest(ws) AS word FROM docs) GROUP BY rid, word),
+weights AS (SELECT word, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, size GROUP BY word),
+scores AS (
+  SELECT i.item_id, l.rid, any_value(l.doc_id) AS doc_id, CAST(sum(i.times * w.w * ((1000000000 * c.tf) // (1000 * c.tf + 12 * l.m))) AS BIGINT) AS score
+  FROM items i JOIN counts c USING (word) JOIN weights w USING (word) JOIN lengths l USING (rid) GROUP BY i.item_id, l.rid),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
