@@ -15,8 +15,8 @@ executors and repeated tasks leave no trace in it.
 
 Encoding works on words: between two characters that are surely no white space, a single blank starts a
 token of its own in the pattern of the vocabulary, so what lies between such blanks is encoded without regard to its
-neighbours. The distinct words of a piece of text are given to the library once, and the ids are
-put together by array operations.
+neighbours. The library is given each distinct word of a piece of text once, and none that the task knows
+already; the ids are put together by array operations.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ from .storage import stored
 SEQUENCE, BATCH = 2048, 64
 #: Bytes of text of one range partition and of one piece that is encoded at once.
 FILE_TEXT, PIECE = 24 << 20, 1 << 20
+#: Bytes of new words that are encoded as one text.
+JOINT = 8 << 10
 #: Bytes that the words kept by one task may take.
 CACHE = 48 << 20
 MANIFEST = "shard int, tokens_file string, documents_file string, n_documents long, n_tokens long, n_sequences long"
@@ -48,56 +50,124 @@ DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 class WordEncoder:
-    """Ids of whole texts, by way of their distinct words."""
+    """Ids of whole texts, by way of their distinct words.
+
+    Words that were met before are kept with their bytes and found by hash; bytes are always compared. New words are put
+    behind one another and encoded together, which changes no id, since a word begins with a blank between visible
+    characters. The lengths of the tokens in bytes tell which ids belong to which word.
+    """
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(model)
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.width[number] = len(token)  # one character stands for one byte
+        for number, token in self.library.get_added_tokens_decoder().items():
+            self.width[number] = len(token.content.encode())
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.size = 0
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.bounds: list[int] = [0]
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        """Place of each word in the pool; unknown ones are encoded by the library."""
-        fresh = [w for w in words if w not in self.known]
-        if self.size > CACHE and fresh:
-            self.forget()
-            fresh = words
-        if fresh:
-            coded = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)]
-            for w, ids in zip(fresh, coded, strict=True):
-                self.known[w] = len(self.bounds) - 1
-                self.used += len(ids)
-                self.bounds.append(self.used)
-            self.size += sum(map(len, fresh)) + 120 * len(fresh) + 4 * sum(map(len, coded))
-            begin = self.bounds[len(self.bounds) - 1 - len(fresh)]
-            if self.used > len(self.pool):
-                self.pool = np.concatenate([self.pool[:begin], np.zeros(2 * self.used - begin, np.uint32)])
-            self.pool[begin : self.used] = np.fromiter((i for ids in coded for i in ids), np.uint32, self.used - begin)
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.keys, self.places = np.zeros(0, U), np.zeros(0, np.int64)
+        self.letters, self.letter_bounds = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.pool, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    @property
+    def size(self) -> int:
+        return len(self.letters) + 4 * len(self.pool) + 32 * len(self.keys)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts behind one another (nulls are empty), and the bounds of each."""
         data, offsets = text_bytes(texts)
         starts = word_starts(data, offsets)
-        ends = np.append(starts[1:], len(data)).astype(np.int64) if len(starts) else starts
-        _, heads, of = distinct_keys(segment_hashes(data, starts, ends))
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        ends = np.append(starts[1:], len(data)).astype(np.int64)
+        keys, heads, of = distinct_keys(segment_hashes(data, starts, ends))
         heads, of = apart(data, starts, ends, heads, of)
-        raw = data.tobytes()
-        place = self.numbers([raw[a:b] for a, b in zip(starts[heads].tolist(), ends[heads].tolist(), strict=True)])[of] if len(of) else of
-        bounds = np.array(self.bounds, np.int64)
-        sizes = bounds[place + 1] - bounds[place] if len(place) else place
+        place = self._find(keys, data, starts[heads], ends[heads])
+        bounds = self.bounds
+        sizes = (bounds[place + 1] - bounds[place])[of]
         total = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.repeat(bounds[place] - total[:-1], sizes) + np.arange(total[-1]) if len(place) else place
+        at = np.repeat(bounds[place][of] - total[:-1], sizes) + np.arange(total[-1])
         return self.pool[at], total[np.searchsorted(starts, offsets)]
 
+    def _find(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Place in the pool of each word; the first have the ascending ``keys``, others share the hash of one of them."""
+        if self.size > CACHE:
+            self.forget()
+        place = np.full(len(starts), -1)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[at] == keys)
+            old = self.places[at[hit]]
+            same = equal_bytes(data, starts[hit], ends[hit], self.letters, self.letter_bounds[old], self.letter_bounds[old + 1])
+            place[hit[same]] = old[same]
+        fresh = np.flatnonzero(place < 0)
+        if len(fresh):
+            ids, bounds = self._by_library(data, starts[fresh], ends[fresh])
+            place[fresh] = len(self.bounds) - 1 + np.arange(len(fresh))
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + bounds[1:]])
+            self.pool = np.concatenate([self.pool, ids])
+            self.letter_bounds = np.concatenate([self.letter_bounds, self.letter_bounds[-1] + np.cumsum(ends[fresh] - starts[fresh])])
+            self.letters = np.concatenate([self.letters, data[spans(starts[fresh], ends[fresh])]])
+            kept = fresh[fresh < len(keys)]
+            merged = np.concatenate([self.keys, keys[kept]])
+            merged, first = np.unique(merged, return_index=True)
+            self.keys, self.places = merged, np.concatenate([self.places, place[kept]])[first]
+        return place
+
+    def _by_library(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        seen, two = visible(data)
+        closed = seen[ends - 1] | ((ends - starts > 1) & two[np.maximum(ends - 2, 0)])
+        joint = (ends - starts > 1) & (data[starts] == 32) & (seen | two)[np.minimum(starts + 1, len(data) - 1)] & closed
+        sizes = np.where(joint, ends - starts, 0)
+        flat = data[spans(starts[joint], ends[joint])]
+        edges = np.concatenate([[0], np.cumsum(sizes[joint])])
+        cuts = np.unique(np.append(edges[np.searchsorted(edges, np.arange(0, edges[-1], JOINT))], edges[-1]))
+        raw = flat.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        single = np.flatnonzero(~joint)
+        texts += [data[a:b].tobytes().decode() for a, b in zip(starts[single].tolist(), ends[single].tolist(), strict=True)]
+        coded = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        together, alone = coded[: len(cuts) - 1], coded[len(cuts) - 1 :]
+        ids = np.concatenate([np.zeros(0, np.uint32), *together])
+        last = np.searchsorted(np.cumsum(self.width[ids]), edges[1:])  # the token that ends where the word does
+        counts = np.zeros(len(starts), np.int64)
+        counts[joint] = np.diff(last, prepend=-1)
+        counts[single] = [len(c) for c in alone]
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        out = np.empty(bounds[-1], np.uint32)
+        out[spans(bounds[:-1][joint], bounds[1:][joint])] = ids
+        out[spans(bounds[:-1][single], bounds[1:][single])] = np.concatenate([np.zeros(0, np.uint32), *alone])
+        return out, bounds
+
+
+def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All places of the half-open spans, behind one another."""
+    sizes = ends - starts
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def equal_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Which segments of ``data`` have the bytes of the segments of ``other`` beside them."""
+    same = ends - starts == other_ends - other_starts
+    step = 1 << 17
+    for begin in range(0, len(starts), step):
+        part = np.flatnonzero(same[begin : begin + step]) + begin
+        unequal = data[spans(starts[part], ends[part])] != other[spans(other_starts[part], other_ends[part])]
+        edges = np.concatenate([[0], np.cumsum(ends[part] - starts[part])])
+        same[part] = np.diff(np.concatenate([[0], np.cumsum(unequal)])[edges]) == 0
+    return same
+
+
+def visible(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flags of surely visible ASCII characters, and of the first bytes of surely visible characters of two bytes."""
+    return (data > 32) & (data < 127), (data >= 0xC3) & (data <= 0xDF)
+
 
 def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where words begin: at texts, and at single blanks between characters that are surely visible.
@@ -105,13 +175,12 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     Surely visible are the ASCII characters from 33 to 126 and characters of two bytes whose first is C3 to
     DF; white space of Unicode is outside of both.
     """
-    ascii_seen = (data > 32) & (data < 127)
-    two = (data >= 0xC3) & (data <= 0xDF)
+    seen, two = visible(data)
     cut = np.zeros(len(data), bool)
     if len(data) > 2:
-        before = ascii_seen.copy()
+        before = seen.copy()
         before[1:] |= two[:-1]  # the second byte of two
-        cut[1:-1] = (data[1:-1] == 32) & before[:-2] & (ascii_seen | two)[2:]
+        cut[1:-1] = (data[1:-1] == 32) & before[:-2] & (seen | two)[2:]
     begin = offsets[:-1][offsets[:-1] < offsets[1:]]
     last = offsets[1:][offsets[:-1] < offsets[1:]] - 1
     cut[last] = False  # a blank at the end of a text has nothing behind it
@@ -122,17 +191,9 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def apart(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, heads: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words whose bytes are not those of the first word with their hash get a number of their own."""
     first = heads[of]
-    sizes = ends - starts
-    differs = sizes != sizes[first]
-    step = 1 << 17
-    for begin in range(0, len(starts), step):
-        part = np.flatnonzero(~differs[begin : begin + step]) + begin
-        part = part[first[part] != part]
-        own = sizes[part]
-        heads_at = np.concatenate([[0], np.cumsum(own)])
-        within = np.arange(heads_at[-1]) - np.repeat(heads_at[:-1], own)
-        unequal = data[np.repeat(starts[part], own) + within] != data[np.repeat(starts[first[part]], own) + within]
-        differs[part] |= np.diff(np.concatenate([[0], np.cumsum(unequal)])[heads_at]) > 0
+    differs = np.zeros(len(starts), bool)
+    again = np.flatnonzero(first != np.arange(len(starts)))
+    differs[again] = ~equal_bytes(data, starts[again], ends[again], data, starts[first[again]], ends[first[again]])
     odd = np.flatnonzero(differs)
     if len(odd):
         of = of.copy()
