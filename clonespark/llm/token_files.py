@@ -15,7 +15,7 @@ executors and repeated tasks leave no trace in it.
 
 Encoding works on words: between two characters that are surely no white space, a single blank starts a
 token of its own in the pattern of the vocabulary, so what lies between such blanks is encoded without regard to its
-neighbours. The library is given each distinct word of a piece of text once, and none that the task knows
+neighbours. The library is given each distinct word of a piece of text once, and none that the worker knows
 already; the ids are put together by array operations.
 """
 
@@ -39,16 +39,35 @@ from .storage import stored
 #: Tokens of one sequence, and sequences of one record batch.
 SEQUENCE, BATCH = 2048, 64
 #: Bytes of text of one range partition and of one piece that is encoded at once.
-FILE_TEXT, PIECE = 24 << 20, 1 << 20
+FILE_TEXT, PIECE = 24 << 20, 2 << 20
 #: Bytes of new words that are encoded as one text.
 JOINT = 8 << 10
-#: Bytes that the words kept by one task may take.
-CACHE = 48 << 20
+#: Bytes that the words kept by one Python worker may take; beyond them it begins anew.
+CACHE = 128 << 20
 MANIFEST = "shard int, tokens_file string, documents_file string, n_documents long, n_tokens long, n_sequences long"
 ROWS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+class Growing:
+    """An array that is appended to; its room doubles when it is full."""
+
+    def __init__(self, *begin: int, kind: type):
+        self.room, self.size = np.array(begin, kind), len(begin)
+
+    def append(self, values: np.ndarray) -> None:
+        if self.size + len(values) > len(self.room):
+            wider = np.empty(2 * (self.size + len(values)), self.room.dtype)
+            wider[: self.size] = self.values
+            self.room = wider
+        self.room[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
 class WordEncoder:
     """Ids of whole texts, by way of their distinct words.
 
@@ -72,12 +91,12 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.keys, self.places = np.zeros(0, U), np.zeros(0, np.int64)
-        self.letters, self.letter_bounds = np.zeros(0, np.uint8), np.zeros(1, np.int64)
-        self.pool, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.letters, self.letter_bounds = Growing(kind=np.uint8), Growing(0, kind=np.int64)
+        self.pool, self.bounds = Growing(kind=np.uint32), Growing(0, kind=np.int64)
 
     @property
     def size(self) -> int:
-        return len(self.letters) + 4 * len(self.pool) + 32 * len(self.keys)
+        return len(self.letters.room) + 4 * len(self.pool.room) + 32 * len(self.keys)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts behind one another (nulls are empty), and the bounds of each."""
@@ -89,11 +108,11 @@ class WordEncoder:
         keys, heads, of = distinct_keys(segment_hashes(data, starts, ends))
         heads, of = apart(data, starts, ends, heads, of)
         place = self._find(keys, data, starts[heads], ends[heads])
-        bounds = self.bounds
+        bounds = self.bounds.values
         sizes = (bounds[place + 1] - bounds[place])[of]
         total = np.concatenate([[0], np.cumsum(sizes)])
         at = np.repeat(bounds[place][of] - total[:-1], sizes) + np.arange(total[-1])
-        return self.pool[at], total[np.searchsorted(starts, offsets)]
+        return self.pool.values[at], total[np.searchsorted(starts, offsets)]
 
     def _find(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Place in the pool of each word; the first have the ascending ``keys``, others share the hash of one of them."""
@@ -104,20 +123,23 @@ class WordEncoder:
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             hit = np.flatnonzero(self.keys[at] == keys)
             old = self.places[at[hit]]
-            same = equal_bytes(data, starts[hit], ends[hit], self.letters, self.letter_bounds[old], self.letter_bounds[old + 1])
+            own = self.letter_bounds.values
+            same = equal_bytes(data, starts[hit], ends[hit], self.letters.values, own[old], own[old + 1])
             place[hit[same]] = old[same]
         fresh = np.flatnonzero(place < 0)
         if len(fresh):
             ids, bounds = self._by_library(data, starts[fresh], ends[fresh])
-            place[fresh] = len(self.bounds) - 1 + np.arange(len(fresh))
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + bounds[1:]])
-            self.pool = np.concatenate([self.pool, ids])
-            self.letter_bounds = np.concatenate([self.letter_bounds, self.letter_bounds[-1] + np.cumsum(ends[fresh] - starts[fresh])])
-            self.letters = np.concatenate([self.letters, data[spans(starts[fresh], ends[fresh])]])
-            kept = fresh[fresh < len(keys)]
-            merged = np.concatenate([self.keys, keys[kept]])
-            merged, first = np.unique(merged, return_index=True)
-            self.keys, self.places = merged, np.concatenate([self.places, place[kept]])[first]
+            place[fresh] = self.bounds.size - 1 + np.arange(len(fresh))
+            self.letter_bounds.append(self.letters.size + np.cumsum(ends[fresh] - starts[fresh]))
+            self.letters.append(data[spans(starts[fresh], ends[fresh])])
+            self.bounds.append(self.pool.size + bounds[1:])
+            self.pool.append(ids)
+            kept = fresh[fresh < len(keys)]  # in order; a key that is there already belongs to another word
+            at = np.searchsorted(self.keys, keys[kept])
+            if len(self.keys):
+                new = self.keys[np.minimum(at, len(self.keys) - 1)] != keys[kept]
+                kept, at = kept[new], at[new]
+            self.keys, self.places = np.insert(self.keys, at, keys[kept]), np.insert(self.places, at, place[kept])
         return place
 
     def _by_library(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,6 +168,17 @@ class WordEncoder:
         return out, bounds
 
 
+_LAST: dict[str, WordEncoder] = {}
+
+
+def encoder_of(model: str) -> WordEncoder:
+    """The worker's encoder, which keeps its words from task to task."""
+    if model not in _LAST:
+        _LAST.clear()
+        _LAST[model] = WordEncoder(model)
+    return _LAST[model]
+
+
 def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """All places of the half-open spans, behind one another."""
     sizes = ends - starts
@@ -266,7 +299,7 @@ def write_token_files(docs: DataFrame, model: str, end_id: int = 2, folder: str
         for batch in batches:
             for piece in slices(batch, "text", PIECE):
                 if writer is None:
-                    encoder = WordEncoder(model)
+                    encoder = encoder_of(model)
                     stem = f"part-{shard:06d}-{uuid.uuid4().hex}"
                     names = [f"{stem}.tokens.arrow", f"{stem}.documents.arrow"]
                     store.create_dir(path, recursive=True)
