@@ -14,7 +14,6 @@ core, so the work is split differently:
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +26,7 @@ from ..functions.kernels import edit_profile
 from ..functions.sequences import blocks, call_set
 from ..functions.statistics import alternative_count, exact_error_rate, poisson_upper_tail
 from ..session import cut
+from .centroids import KMER, nearest_centroids, squared_profile_distance
 from .collapse import constant_partition
 from .simjoin import HOT_GROUP, edit_pairs, hamming_pairs
 from .study import scope_key
@@ -167,21 +167,6 @@ def indel_targets(pool: DataFrame, options: DenoiseOptions) -> DataFrame:
     return _best_parent(kept, F.struct("distance", "subs", -F.col("parent_count"), "parent"))
 
 
-KMER = 6
-
-
-@F.pandas_udf(T.IntegerType())
-def kmer_squared_distance(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Squared Euclidean distance between two 6-mer count profiles."""
-
-    def distance(a: str, b: str) -> int:
-        delta = Counter(a[i : i + KMER] for i in range(len(a) - KMER + 1))
-        delta.subtract(b[i : i + KMER] for i in range(len(b) - KMER + 1))
-        return sum(v * v for v in delta.values())
-
-    return pd.Series([distance(a, b) for a, b in zip(left, right, strict=True)], dtype="int64")
-
-
 def kmer_block_tokens(block_count: int):
     """UDF sequence -> one token per k-mer block.
 
@@ -240,7 +225,7 @@ def kmer_pairs(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
     with_seq = candidates.join(left.select(F.col("id").alias("left_id"), F.col("seq").alias("ls")), "left_id").join(
         right.select(F.col("id").alias("right_id"), F.col("seq").alias("rs")), "right_id"
     )
-    return with_seq.withColumn("squared", kmer_squared_distance("ls", "rs")).filter(F.col("squared") <= radius).select(
+    return with_seq.withColumn("squared", squared_profile_distance()("ls", "rs")).filter(F.col("squared") <= radius).select(
         "left_id", "right_id", "squared"
     )
 
@@ -281,22 +266,8 @@ def abundance_targets(pool: DataFrame, options: DenoiseOptions) -> DataFrame:
     lead = bare.groupBy("part").agg(F.min_by(F.struct("id", "seq", "count"), F.struct(-F.col("count"), "id")).alias("v"))
     accepted = cut(accepted.unionByName(lead.select("v.id", "part", "v.seq", "v.count")))
 
-    pending = cut(pool.join(accepted.select("id"), "id", "left_anti"))
-    assigned: DataFrame | None = None
-    reach = max(radius, 1)
-    while not pending.isEmpty():
-        pairs = kmer_pairs(pending, accepted, reach)
-        weight = accepted.select(F.col("id").alias("right_id"), "count")
-        best = cut(
-            pairs.join(weight, "right_id").groupBy("left_id").agg(
-                F.min_by("right_id", F.struct("squared", -F.col("count"), "right_id")).alias("target")
-            ).select(F.col("left_id").alias("id"), "target")
-        )
-        assigned = best if assigned is None else assigned.unionByName(best)
-        pending = cut(pending.join(best, "id", "left_anti"))
-        reach *= 4
-    empty = pool.select("id", F.col("id").alias("target")).limit(0)
-    return (empty if assigned is None else assigned).withColumn("indel", F.lit(False))
+    pending = cut(pool.join(accepted.select("id"), "id", "left_anti").select("id", "part", "seq"))
+    return nearest_centroids(pending, accepted).select("id", "target", F.lit(False).alias("indel"))
 
 
 def denoise_targets(pool: DataFrame, options: DenoiseOptions) -> DataFrame:

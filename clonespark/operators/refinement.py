@@ -3,20 +3,22 @@
 Each read spreads its evidence over the alleles it may come from; a Dirichlet usage
 model per (study scope, locus, segment) then sharpens the calls. The model's state is
 a row per pool and allele. Reads with equal evidence are one weighted row, and every
-update is a join of that table with the state followed by a map-side-combined sum, so
-a pool holding most of the reads is spread over the cluster like any other.
+update is a sum over blocks of them (``allele_models``), so a pool holding most of the
+reads is spread over the cluster like any other. Beside the Dirichlet model there is one that
+gives absent alleles a usage of exactly zero.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import calls, infer_locus, multiplicity, normalize_nt, number, text
-from ..functions.statistics import digamma, neighbour_odds
+from ..functions.statistics import neighbour_odds
 from ..session import cut
+from . import allele_models
 from .simjoin import edit_pairs, hamming_pairs
 from .study import scope_value
 
@@ -34,8 +36,15 @@ class RefinementOptions:
     temperature: float = 2.0
     unscored_weight: float = 0.25
     weighting: str = "unique"  # or "abundance"
-    max_iterations: int = 100
+    max_iterations: int = 10_000
     tolerance: float = 1e-6
+    model: str = "dirichlet"  # or "active-set"
+    active_fraction: float = 0.15
+    inclusion_threshold: float = 0.5
+    tail_shape: float = 0.35
+    frequency_floor: float = 1e-6
+    quadrature_points: int = 12
+    max_sweeps: int = 8
     at_limit: str = "raise"  # or "flag": rows of pools that have not converged say so
 
 
@@ -162,8 +171,9 @@ def evidence(rows: DataFrame, nodes: DataFrame, edges: DataFrame, options: Refin
 
 
 def _posterior(entries: str = "entries", state: str = "expected") -> Column:
-    """Posterior over a row's own alleles given the pool's expected log usage."""
+    """Posterior over a row's own alleles given the pool's expected log usage; alleles without one have no part."""
     scored = F.transform(entries, lambda e: F.struct(e["node"].alias("node"), (F.log(e["weight"]) + F.element_at(state, e["node"])).alias("x")))
+    scored = F.filter(scored, lambda e: e["x"].isNotNull())
     peak = F.array_max(F.transform(scored, lambda e: e["x"]))
     raised = F.transform(scored, lambda e: F.struct(e["node"].alias("node"), F.exp(e["x"] - peak).alias("x")))
     total = F.aggregate(raised, F.lit(0.0), lambda s, e: s + e["x"])
@@ -171,104 +181,145 @@ def _posterior(entries: str = "entries", state: str = "expected") -> Column:
 
 
 def fit_usage(rows: DataFrame, nodes: DataFrame, options: RefinementOptions) -> DataFrame:
-    """Variational Dirichlet fit: ``(pool, node, gamma, expected, mean, iterations, converged)``.
+    """Usage of every allele of every pool that some read supports.
 
-    Alleles of the locus that no read supports stay implicit; only their prior mass
-    enters the normalisation.
+    ``pool, node, expected`` (log usage in the posterior of a read; null if the allele is not active), ``posterior_mean, posterior_sd,
+    expected_assignments, local_evidence, inclusion, active, iterations, converged, n_rows, effective_rows,
+    database_nodes, silent_nodes``. Alleles of the locus that no read supports stay implicit. A pool that does not
+    converge within ``max_iterations`` updates (an active set: ``max_sweeps`` sweeps) is an error, or with
+    ``at_limit="flag"`` has ``converged`` false.
     """
-    rounded = F.transform("entries", lambda e: F.struct(e["node"].alias("node"), F.round(F.log(e["weight"]), 6).alias("w")))
-    patterns = cut(
-        rows.withColumn("key", rounded).groupBy("pool", "key").agg(F.first("entries").alias("entries"), F.sum("read_weight").alias("weight")).drop("key")
-    )
-    alpha = max(1e-9, options.alpha)
-    local = patterns.select("pool", "weight", F.explode("entries").alias("e")).groupBy("pool", "e.node").agg(F.sum(F.col("weight") * F.col("e.weight")).alias("n"))
-    gamma = cut(local.select("pool", "node", (F.col("n") + alpha).alias("gamma")))
-    per_locus = nodes.groupBy("locus").agg(F.count(F.lit(1)).alias("database"))
-    active = gamma.groupBy("pool").agg(F.count(F.lit(1)).alias("active")).withColumn("locus", F.element_at(F.split("pool", "\t"), -1))
-    silent = cut(
-        active.join(per_locus, "locus", "left").select("pool", (F.greatest(F.lit(0), F.coalesce("database", F.lit(0)) - F.col("active")) * alpha).alias("silent"))
+    packed = allele_models.pack(rows, nodes)
+    fitted = cut(allele_models.fit_pools(packed, options))
+    if options.at_limit == "raise" and not fitted.filter("NOT converged").isEmpty():
+        raise RuntimeError(f"A pool has not converged after {options.max_iterations} updates or {options.max_sweeps} sweeps; raise the limit or the tolerance.")
+    pools = packed.pools.select(
+        "pool", "n_rows", F.col("database").alias("database_nodes"), F.greatest(F.lit(0), F.col("database") - F.size("names")).alias("silent_nodes")
     )
+    return fitted.join(pools, "pool")
 
-    def expectation(current: DataFrame) -> DataFrame:
-        totals = current.groupBy("pool").agg(F.sum("gamma").alias("mass")).join(silent, "pool").select("pool", (F.col("mass") + F.col("silent")).alias("mass"))
-        return current.join(totals, "pool").withColumn("expected", digamma(F.col("gamma")) - digamma(F.col("mass")))
-
-    finished: list[DataFrame] = []
-    open_patterns = patterns
-    for iteration in range(1, options.max_iterations + 1):
-        # one small map per pool, bounded by the alleles of its locus
-        maps = expectation(gamma).groupBy("pool").agg(F.map_from_entries(F.collect_list(F.struct("node", "expected"))).alias("expected"))
-        posterior = open_patterns.join(maps, "pool").select("pool", "weight", F.explode(_posterior()).alias("e"))
-        counts = posterior.groupBy("pool", "e.node").agg(F.sum(F.col("weight") * F.col("e.probability")).alias("n"))
-        updated = gamma.join(counts, ["pool", "node"], "left").select(
-            "pool", "node", "gamma", (F.coalesce("n", F.lit(0.0)) + alpha).alias("next")
-        )
-        step = cut(updated)
-        change = step.groupBy("pool").agg(F.max(F.abs(F.col("next") - F.col("gamma")) / F.greatest(F.lit(1.0), F.col("gamma"))).alias("change"))
-        done = change.withColumn("converged", F.col("change") <= options.tolerance)
-        gamma = step.join(done, "pool").select("pool", "node", F.col("next").alias("gamma"), "converged")
-        finished.append(gamma.filter("converged").withColumn("iterations", F.lit(iteration)))
-        rest = gamma.filter("NOT converged")
-        if rest.isEmpty():
-            break
-        gamma = rest.drop("converged")
-    else:
-        if options.at_limit == "raise":
-            raise RuntimeError(f"A pool has not converged after {options.max_iterations} iterations; raise max_iterations or tolerance.")
-        finished.append(rest.withColumn("iterations", F.lit(options.max_iterations)))
-    fitted = finished[0]
-    for frame in finished[1:]:
-        fitted = fitted.unionByName(frame)
-    fitted = cut(fitted)
-    return expectation(fitted).withColumn("mean", F.col("gamma") / F.col("mass")).select("pool", "node", "gamma", "expected", "mean", "iterations", "converged")
 
+@dataclass(frozen=True)
+class Refinement:
+    """A fit and what it was made from: evidence ``rows``, ``nodes``, ``usage`` (see ``fit_usage``) and ``calls`` per record."""
 
-def refine_calls(table: DataFrame, reference: DataFrame, options: RefinementOptions | None = None) -> DataFrame:
-    """Posterior call per record: ``ordinal, map_node, map_probability, entropy, local_top, local_probability, iterations, converged``.
+    options: RefinementOptions
+    rows: DataFrame
+    nodes: DataFrame
+    usage: DataFrame
+    calls: DataFrame
 
-    ``iterations`` is how many updates the pool of the record took. A pool that does not converge within
-    ``max_iterations`` is an error, or with ``at_limit="flag"`` has ``converged`` false.
-    """
+
+def refine(table: DataFrame, reference: DataFrame, options: RefinementOptions | None = None) -> Refinement:
     options = options or RefinementOptions()
     nodes = cut(allele_nodes(reference))
     edges = cut(allele_edges(nodes, options.radius))
     rows = cut(evidence(refinement_rows(table, options), nodes, edges, options))
     usage = fit_usage(rows, nodes, options)
-    maps = usage.groupBy("pool").agg(F.map_from_entries(F.collect_list(F.struct("node", "expected"))).alias("expected"), F.max("iterations").alias("iterations"), F.every("converged").alias("converged"))
-    scored = rows.join(maps, "pool").withColumn("posterior", _posterior())
+    return Refinement(options, rows, nodes, usage, _calls(_scored(rows, usage), nodes))
+
+
+def _scored(rows: DataFrame, usage: DataFrame) -> DataFrame:
+    """Evidence rows with their posterior, and what is known of their pool."""
+    known = F.map_from_entries(F.filter(F.collect_list(F.struct("node", "expected")), lambda e: e["expected"].isNotNull()))
+    maps = usage.groupBy("pool").agg(known.alias("expected"), F.max("iterations").alias("iterations"), F.every("converged").alias("converged"))
+    return rows.join(maps, "pool").withColumn("posterior", _posterior()).drop("expected")
 
-    def leading(column: str, value: str) -> Column:
-        return F.array_min(F.transform(column, lambda e: F.struct((-e[value]).alias("x"), e["node"].alias("node"))))
 
-    best, local = leading("posterior", "probability"), leading("entries", "weight")
+def _leading(column: str, value: str) -> Column:
+    return F.array_min(F.transform(column, lambda e: F.struct((-e[value]).alias("x"), e["node"].alias("node"))))
+
+
+def _decided(scored: DataFrame) -> DataFrame:
+    best, local = _leading("posterior", "probability"), _leading("entries", "weight")
     entropy = F.aggregate("posterior", F.lit(0.0), lambda s, e: s - F.when(e["probability"] > 0, e["probability"] * F.log(e["probability"])).otherwise(0.0))
+    none = F.size("posterior") == 0
+    return scored.withColumns({
+        "map_node": F.when(none, local["node"]).otherwise(best["node"]), "map_probability": F.when(none, F.lit(1.0)).otherwise(-best["x"]),
+        "entropy": entropy, "local_top": local["node"], "local_probability": -local["x"],
+    })
+
+
+def _calls(scored: DataFrame, nodes: DataFrame) -> DataFrame:
     labels = nodes.select(F.col("node").alias("map_node"), F.array_join("names", ",").alias("map_call"))
-    return scored.select(
-        "ordinal", "pool", best["node"].alias("map_node"), (-best["x"]).alias("map_probability"), entropy.alias("entropy"),
-        local["node"].alias("local_top"), (-local["x"]).alias("local_probability"), "iterations", "converged",
+    return _decided(scored).select(
+        "ordinal", "pool", "map_node", "map_probability", "entropy", "local_top", "local_probability", "iterations", "converged", "read_weight"
     ).join(labels, "map_node")
 
 
+def refine_calls(table: DataFrame, reference: DataFrame, options: RefinementOptions | None = None) -> DataFrame:
+    """Posterior call per record: ``ordinal, pool, map_node, map_call, map_probability, entropy, local_top, local_probability, iterations, converged, read_weight``.
+
+    ``iterations`` is how many updates the pool of the record took. A record none of whose alleles is active keeps
+    its best local allele with probability one.
+    """
+    return refine(table, reference, options).calls
+
+
+def passes_policy(probability: Column, policy: str, minimum: float) -> Column:
+    return F.lit(True) if policy == "best" else probability >= max(0.0, min(1.0, minimum))
+
+
+def posterior_rows(table: DataFrame, fit: Refinement, policy: str = "confidence", minimum: float = 0.8) -> DataFrame:
+    """One row per record and candidate allele: where the candidate comes from, its evidence and its posterior.
+
+    ``source`` is ``reported``, ``retained_alternative`` or ``reference_neighbour``; candidates that are not active have
+    a posterior of zero. Records of which no candidate is active have no rows.
+    """
+    given = refinement_rows(table, fit.options)
+    names = fit.nodes.select("node", F.explode("names").alias("call"))
+    named = given.select("ordinal", F.explode(F.concat(
+        F.transform("calls", lambda c: F.struct(c.alias("call"), F.lit(0).alias("kind"))), F.transform("alternatives", lambda a: F.struct(a["call"].alias("call"), F.lit(1).alias("kind")))
+    )).alias("e")).select("ordinal", "e.*").join(names, "call").groupBy("ordinal", "node").agg(F.min("kind").alias("kind"))
+    decided = _decided(_scored(fit.rows, fit.usage)).filter(F.size("posterior") > 0)
+    posterior = F.map_from_entries("posterior")
+    listed = decided.select("ordinal", "pool", "map_node", "map_probability", "entropy", posterior.alias("p"), F.explode("entries").alias("e")).select(
+        "ordinal", "pool", F.col("e.node").alias("node"), F.col("e.weight").alias("local_evidence"),
+        F.coalesce(F.element_at("p", F.col("e.node")), F.lit(0.0)).alias("repertoire_posterior"),
+        (F.col("map_node") == F.col("e.node")).alias("is_map"), "map_probability", "entropy",
+    )
+    pool = fit.usage.select("pool", "node", F.col("posterior_mean").alias("pool_posterior_mean"), F.col("active").alias("pool_active"), F.col("inclusion").alias("pool_inclusion"))
+    kind = F.element_at(F.array(F.lit("reported"), F.lit("retained_alternative"), F.lit("reference_neighbour")), F.coalesce("kind", F.lit(2)) + 1)
+    return (
+        listed.join(pool, ["pool", "node"], "left").join(named, ["ordinal", "node"], "left")
+        .withColumn("source", kind).withColumn("selected", F.col("is_map") & passes_policy(F.col("map_probability"), policy, minimum))
+        .join(fit.nodes.select("node", F.array_join("names", ",").alias("candidate_call")), "node").drop("kind")
+    )
+
+
+def pool_summary(fit: Refinement) -> DataFrame:
+    """The alleles of each pool in posterior order (``rank``): active ones by mean, inclusion (both to nine digits) and names, then the others."""
+    labelled = fit.usage.join(fit.nodes.select("node", F.array_join("names", ",").alias("labels")), "node")
+    of_pool = Window.partitionBy("pool")
+    order = of_pool.orderBy(F.desc("active"), F.desc(F.round("posterior_mean", 9)), F.desc(F.round(F.coalesce("inclusion", F.lit(0.0)), 9)), "labels")
+    return labelled.withColumn("rank", F.row_number().over(order)).withColumn("active_alleles", F.sum(F.col("active").cast("int")).over(of_pool)).drop("expected")
+
+
 def apply_refinement(table: DataFrame, refined: DataFrame, segment: str = "V", policy: str = "confidence", minimum: float = 0.8) -> DataFrame:
     """Overlay posterior calls; the original call is kept beside the chosen one."""
     column = f"{segment.lower()}_call"
-    passes = F.lit(True) if policy == "best" else F.col("map_probability") >= max(0.0, min(1.0, minimum))
-    chosen = refined.filter(passes).select("ordinal", F.col("map_call").alias("_refined"))
+    chosen = refined.filter(passes_policy(F.col("map_probability"), policy, minimum)).select("ordinal", F.col("map_call").alias("_refined"))
     joined = table.join(chosen, "ordinal", "left").withColumn(f"original_{column}", F.col(column))
     return joined.withColumn(column, F.coalesce("_refined", column)).drop("_refined")
 
 
-def assignment_shift(refined: DataFrame, minimum: float = 1.0) -> DataFrame:
-    """Records per allele before and after refinement, outer-joined; which appear or vanish."""
-    before = refined.groupBy(F.col("local_top").alias("node")).agg(F.count(F.lit(1)).alias("before"))
-    after = refined.groupBy(F.col("map_node").alias("node")).agg(F.count(F.lit(1)).alias("after"))
-    both = before.join(after, "node", "full_outer").fillna(0, ["before", "after"])
-    return both.withColumn("vanishes", (F.col("before") >= minimum) & (F.col("after") < minimum)).withColumn(
-        "appears", (F.col("before") < minimum) & (F.col("after") >= minimum)
+def assignment_shift(refined: DataFrame, policy: str = "confidence", minimum: float = 0.8) -> DataFrame:
+    """Weight of the records on each allele of a pool before and after refinement: ``pool, node, before, after, delta, vanishes, appears``.
+
+    A record whose posterior call the policy does not accept stays with its local call.
+    """
+    applied = F.when(passes_policy(F.col("map_probability"), policy, minimum), F.col("map_node")).otherwise(F.col("local_top"))
+    sides = F.array(
+        F.struct(F.col("local_top").alias("node"), F.col("read_weight").alias("before"), F.lit(0.0).alias("after")),
+        F.struct(applied.alias("node"), F.lit(0.0).alias("before"), F.col("read_weight").alias("after")),
     )
+    both = refined.select("pool", F.explode(sides).alias("s")).groupBy("pool", "s.node").agg(F.sum("s.before").alias("before"), F.sum("s.after").alias("after"))
+    return both.filter("before > 0 OR after > 0").withColumns({
+        "delta": F.col("after") - F.col("before"), "vanishes": (F.col("before") > 0) & (F.col("after") == 0), "appears": (F.col("before") == 0) & (F.col("after") > 0),
+    })
 
 
 def surviving_reference(shift: DataFrame, nodes: DataFrame, minimum: float = 1.0) -> DataFrame:
-    """Reference alleles still supported after refinement."""
-    kept = shift.filter(F.col("after") >= minimum).select("node")
+    """Reference alleles still supported after refinement, in all pools together."""
+    kept = shift.groupBy("node").agg(F.sum("after").alias("after")).filter(F.col("after") >= minimum).select("node")
     return nodes.join(kept, "node", "left_semi").select(F.explode("names").alias("name"), "sequence")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import EMPTY_SLOT, SKETCH_SEEDS, minhash_sketch, sketch_similarity
 from ..functions.sequences import blocks, call_set, calls_compatible, distance_limit, hamming, normalize_aa, normalize_nt, text
 from ..session import cut
-from .lineages import LineageOptions, eligible
+from .lineages import LineageOptions, assign_lineages, eligible
 from .simjoin import HOT_GROUP, edit_pairs, hamming_pairs
 from .study import scope_key, scope_value
 
@@ -292,12 +292,18 @@ def combined_neighbours(cdr3_hits: DataFrame, germline_hits: DataFrame) -> DataF
     return both.withColumn("best_identity", F.greatest(F.coalesce("cdr3_identity", F.lit(0.0)), F.coalesce("germline_identity", F.lit(0.0))))
 
 
-def expand_linkage(records: DataFrame, seeds: DataFrame, options: LineageOptions | None = None) -> DataFrame:
-    """Everything single-linkage reaches from the seeds: ``(ordinal, round)``.
+def expand_linkage(records: DataFrame, seeds: DataFrame, options: LineageOptions | None = None, rounds: bool = False) -> DataFrame:
+    """Everything single-linkage reaches from the seeds: ``ordinal``, with ``rounds`` also the number of steps, ``round``.
 
-    A breadth-first search whose frontier is a DataFrame. A round joins only newly
-    reached sequences, on the same exact blocks the lineage assignment uses.
+    What is reached are the components that hold a seed, so one contraction of the graph and a semi join
+    answer for any number of seeds and chains of any length. Steps are only known to a breadth-first search, whose
+    frontier is a DataFrame: a round joins newly reached sequences on the blocks of the lineage assignment, and
+    there are as many rounds as steps.
     """
+    if not rounds:
+        assigned = cut(assign_lineages(records, options))
+        wanted = assigned.join(seeds.select("ordinal"), "ordinal", "left_semi").select("lineage_id").distinct()
+        return assigned.join(wanted, "lineage_id", "left_semi").select("ordinal")
     options = options or LineageOptions()
     rows = eligible(records, options).select("ordinal", "scope", "hard_locus", "tokens", "cdr3_nt")
     key = ["scope", "hard_locus", "tokens", "cdr3_nt"]

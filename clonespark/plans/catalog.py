@@ -13,7 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import coordinates as CD
 from ..functions import sequences as S
+from ..operators import alignment_columns as AC
 from ..operators import annotate as AN
 from ..operators import chimera as CH
 from ..operators import collapse as CO
@@ -26,6 +28,7 @@ from ..operators import missing as MI
 from ..operators import quality as QU
 from ..operators import reference as RF
 from ..operators import refinement as RE
+from ..operators import sampling as SA
 from ..operators import search as SE
 from ..operators import selection as SL
 from ..operators import shm as SH
@@ -658,12 +661,12 @@ def _(spark, d):
     return _rounded(SE.best_per_lineage(hits, assigned).drop("matched"), "score")
 
 
-_SOURCES = "src AS (SELECT lineage_id FROM asg JOIN rec USING (ordinal) GROUP BY 1 HAVING sum(weight) >= (SELECT max(w) FROM (SELECT sum(weight) AS w FROM asg JOIN rec USING (ordinal) GROUP BY lineage_id)) * 0.8)"
+_SOURCES = "src AS (SELECT DISTINCT lineage_id FROM asg WHERE ordinal % 100 = 0)"
 
 
-def _sources(rows: DataFrame, assigned: DataFrame) -> DataFrame:
-    sizes = rows.join(assigned, "ordinal").groupBy("lineage_id").agg(F.sum("weight").alias("w"))
-    return sizes.filter(F.col("w") >= sizes.agg(F.max("w") * 0.8).scalar()).select("lineage_id")
+def _sources(assigned: DataFrame) -> DataFrame:
+    """Lineages with a read whose id is divisible by 100: a search that grows with the table."""
+    return assigned.filter("ordinal % 100 = 0").select("lineage_id").distinct()
 
 
 def _neighbour_sql(edit: bool, identity: float) -> str:
@@ -683,14 +686,14 @@ def _neighbour_sql(edit: bool, identity: float) -> str:
 @query("neighbours_hamming", _neighbour_sql(False, 0.9))
 def _(spark, d):
     rows, assigned = _assigned(spark, d, NARROW)
-    hits = SE.lineage_neighbours(rows, assigned, _sources(rows, assigned), SE.NeighbourOptions(min_identity=0.9))
+    hits = SE.lineage_neighbours(rows, assigned, _sources(assigned), SE.NeighbourOptions(min_identity=0.9))
     return _rounded(hits.select("lineage_id", "identity", "unique_members", "abundance"), "identity")
 
 
 @query("neighbours_edit", _neighbour_sql(True, 0.88))
 def _(spark, d):
     rows, assigned = _assigned(spark, d, NARROW)
-    hits = SE.lineage_neighbours(rows, assigned, _sources(rows, assigned), SE.NeighbourOptions(min_identity=0.88, metric="edit", call_policy="ignore"))
+    hits = SE.lineage_neighbours(rows, assigned, _sources(assigned), SE.NeighbourOptions(min_identity=0.88, metric="edit", call_policy="ignore"))
     return _rounded(hits.select("lineage_id", "identity", "unique_members", "abundance"), "identity")
 
 
@@ -875,19 +878,25 @@ def _(spark, d):
     return RE.allele_edges(RE.allele_nodes(_alleles(spark, d)), 2).select("node", "neighbour", "distance")
 
 
+_EVIDENCE_SQL = (
+    _ALLELE_SQL, _NODE_SQL, _EDGE_SQL,
+    "nm AS (SELECT names[1] AS node, unnest(names) AS call FROM nodes)",
+    "alt AS (SELECT ordinal, v_score, string_split(e, '|') AS p, k FROM (SELECT ordinal, v_score, unnest(string_split(v_alternatives, ';')) AS e, unnest(range(1, len(string_split(v_alternatives, ';')) + 1)) AS k FROM r WHERE v_alternatives <> ''))",
+    # an empty score field reads as zero
+    "lst AS (SELECT ordinal, unnest(list_distinct(string_split(v_call, ','))) AS call, 1.0::DOUBLE AS weight, 0 AS k FROM r WHERE v_call <> '' "
+    "UNION ALL SELECT ordinal, p[1], least(1.0, exp((coalesce(try_cast(nullif(p[2], '') AS DOUBLE), 0.0) - v_score) / 2.0)), k FROM alt)",
+    "dir AS (SELECT ordinal, node, arg_min(weight, k) AS weight FROM lst JOIN nm USING (call) GROUP BY 1, 2)",
+    # read mutation: the best of the reported and the alternatives' identities
+    "bi AS (SELECT ordinal, max(try_cast(nullif(p[3], '') AS DOUBLE)) AS x FROM alt GROUP BY 1)",
+    "od AS (SELECT ordinal, least(0.25, 0.01 + mu / (3 * (1 - mu))) AS odds FROM (SELECT r.ordinal, least(0.3, coalesce(greatest(0.0, 1 - coalesce(greatest(v_identity, x), v_identity, x)), 0)) AS mu FROM r LEFT JOIN bi ON bi.ordinal = r.ordinal))",
+    "sp AS (SELECT ordinal, node, max(weight) AS weight FROM (SELECT * FROM dir UNION ALL SELECT ordinal, neighbour, weight * pow(odds, distance) FROM dir JOIN edges USING (node) JOIN od USING (ordinal)) GROUP BY 1, 2)",
+)
+
+
 @query(
     "evidence_rows",
     with_steps(
-        _ALLELE_SQL, _NODE_SQL, _EDGE_SQL, "nm AS (SELECT names[1] AS node, unnest(names) AS call FROM nodes)",
-        "alt AS (SELECT ordinal, v_score, string_split(e, '|') AS p, k FROM (SELECT ordinal, v_score, unnest(string_split(v_alternatives, ';')) AS e, unnest(range(1, len(string_split(v_alternatives, ';')) + 1)) AS k FROM r WHERE v_alternatives <> ''))",
-        # an empty score field reads as zero
-        "lst AS (SELECT ordinal, unnest(list_distinct(string_split(v_call, ','))) AS call, 1.0::DOUBLE AS weight, 0 AS k FROM r WHERE v_call <> '' "
-        "UNION ALL SELECT ordinal, p[1], least(1.0, exp((coalesce(try_cast(nullif(p[2], '') AS DOUBLE), 0.0) - v_score) / 2.0)), k FROM alt)",
-        "dir AS (SELECT ordinal, node, arg_min(weight, k) AS weight FROM lst JOIN nm USING (call) GROUP BY 1, 2)",
-        # read mutation: the best of the reported and the alternatives' identities
-        "bi AS (SELECT ordinal, max(try_cast(nullif(p[3], '') AS DOUBLE)) AS x FROM alt GROUP BY 1)",
-        "od AS (SELECT ordinal, least(0.25, 0.01 + mu / (3 * (1 - mu))) AS odds FROM (SELECT r.ordinal, least(0.3, coalesce(greatest(0.0, 1 - coalesce(greatest(v_identity, x), v_identity, x)), 0)) AS mu FROM r LEFT JOIN bi ON bi.ordinal = r.ordinal))",
-        "sp AS (SELECT ordinal, node, max(weight) AS weight FROM (SELECT * FROM dir UNION ALL SELECT ordinal, neighbour, weight * pow(odds, distance) FROM dir JOIN edges USING (node) JOIN od USING (ordinal)) GROUP BY 1, 2)",
+        *_EVIDENCE_SQL,
         body="SELECT ordinal, node, round(weight / sum(weight) OVER (PARTITION BY ordinal), 6) AS weight FROM sp WHERE weight > 0",
     ),
 )
@@ -898,11 +907,110 @@ def _(spark, d):
     return _rounded(rows.select("ordinal", F.explode("entries").alias("e")).select("ordinal", "e.node", "e.weight"), "weight")
 
 
-@query("refine_calls")
+def _sql_digamma(x: str) -> str:
+    below = " + ".join(f"1.0 / ({x} + {i})" for i in range(8))
+    series = " - ".join([f"0.5 / ({x} + 8)", f"1.0 / (12 * pow({x} + 8, 2))"])
+    return f"(ln({x} + 8) - {series} + 1.0 / (120 * pow({x} + 8, 4)) - 1.0 / (252 * pow({x} + 8, 6)) + 1.0 / (240 * pow({x} + 8, 8)) - ({below}))"
+
+
+#: Plain updates of all pools until each changes by a billionth at most, reads of equal evidence together.
+_FIT_SQL = (
+    *_EVIDENCE_SQL,
+    "e AS (SELECT ordinal, node, weight / sum(weight) OVER (PARTITION BY ordinal) AS weight FROM sp WHERE weight > 0)",
+    "po AS (SELECT ordinal, concat(subject_id, chr(9), locus) AS pool, v_call FROM r)",
+    "ky AS (SELECT ordinal, string_agg(node || printf(':%.6f', ln(weight)), ',' ORDER BY node) AS key FROM e GROUP BY 1)",
+    "pt AS (SELECT pool, min(ordinal) AS lead, count(*) AS n FROM ky JOIN po USING (ordinal) GROUP BY pool, key)",
+    "pe AS (SELECT pool, lead, n, node, weight FROM pt JOIN e ON e.ordinal = lead)",
+    "st AS (SELECT pool, node, sum(n * weight) AS local FROM pe GROUP BY 1, 2)",
+    "si AS (SELECT pool, any_value(coalesce(d.k, 0)) AS known, greatest(0, any_value(coalesce(d.k, 0)) - count(*)) AS silent FROM st LEFT JOIN (SELECT locus, count(*) AS k FROM nodes GROUP BY 1) d ON d.locus = string_split(pool, chr(9))[2] GROUP BY pool)",
+    "fit AS (SELECT pool, node, local + 0.1 AS gamma, 0 AS step, 1.0::DOUBLE AS change FROM st UNION ALL "
+    "SELECT pool, node, next, step + 1, max(abs(next - gamma) / greatest(1, gamma)) OVER (PARTITION BY pool) FROM ("
+    "SELECT pool, node, any_value(gamma) AS gamma, any_value(step) AS step, 0.1 + sum(n * y / z) AS next FROM ("
+    "SELECT pe.pool, pe.node, n, gamma, step, weight * exp(el) AS y, sum(weight * exp(el)) OVER (PARTITION BY pe.pool, lead) AS z FROM pe JOIN ("
+    f"SELECT pool, node, gamma, step, {_sql_digamma('gamma')} - {_sql_digamma('mass')} AS el FROM ("
+    "SELECT f.pool, node, gamma, step, sum(gamma) OVER (PARTITION BY f.pool) + 0.1 * silent AS mass FROM fit f JOIN si USING (pool) WHERE change > 1e-9 AND step < 20000)"
+    ") g ON g.pool = pe.pool AND g.node = pe.node) GROUP BY 1, 2))",
+    "fin AS (SELECT pool, node, gamma, sum(gamma) OVER (PARTITION BY pool) + 0.1 * silent AS mass FROM (SELECT * FROM fit QUALIFY step = max(step) OVER (PARTITION BY pool)) JOIN si USING (pool))",
+    f"ex AS (SELECT *, {_sql_digamma('gamma')} - {_sql_digamma('mass')} AS el FROM fin)",
+    "ps AS (SELECT ordinal, pool, node, e.weight AS local, e.weight * exp(el) / sum(e.weight * exp(el)) OVER (PARTITION BY ordinal) AS p FROM e JOIN po USING (ordinal) JOIN ex USING (pool, node))",
+    "mp AS (SELECT ordinal, pool, arg_min(node, (-round(p, 9), node)) AS map_node, max(p) AS map_probability, arg_min(node, (-round(local, 9), node)) AS local_top, max(local) AS local_probability, sum(-p * ln(p)) AS entropy FROM ps GROUP BY 1, 2)",
+)
+
+
+def _fitted(spark, d, model: str = "dirichlet"):
+    return RE.refine(table(spark, d), _alleles(spark, d), RE.RefinementOptions(model=model, tolerance=1e-9))
+
+
+@query("refine_calls", with_steps(*_FIT_SQL, body="SELECT ordinal, map_node, round(map_probability, 4) AS map_probability, round(entropy, 4) AS entropy, local_top, round(local_probability, 4) AS local_probability, true AS converged FROM mp"))
+def _(spark, d):
+    refined = _fitted(spark, d).calls
+    return _rounded(refined.select("ordinal", "map_node", "map_probability", "entropy", "local_top", "local_probability", "converged"), "map_probability", "entropy", "local_probability", digits=4)
+
+
+@query(
+    "refine_pools",
+    with_steps(
+        *_FIT_SQL, "nr AS (SELECT pool, sum(n) AS n_rows FROM pt GROUP BY 1)",
+        body="SELECT pool, node, array_to_string(names, ',') AS labels, round(gamma / mass, 5) AS posterior_mean, round(sqrt(gamma * (mass - gamma) / (mass * mass * (mass + 1))), 5) AS posterior_sd, "
+        "round(gamma - 0.1, 3) AS expected_assignments, round(local, 3) AS local_evidence, CAST(n_rows AS BIGINT) AS n_rows, CAST(known AS INT) AS database_nodes, CAST(silent AS INT) AS silent_nodes, "
+        "CAST(row_number() OVER (PARTITION BY pool ORDER BY round(gamma / mass, 9) DESC, array_to_string(names, ',')) AS INT) AS rank FROM fin JOIN st USING (pool, node) JOIN si USING (pool) JOIN nr USING (pool) JOIN nodes ON names[1] = node",
+    ),
+)
+def _(spark, d):
+    found = RE.pool_summary(_fitted(spark, d)).select(
+        "pool", "node", "labels", "posterior_mean", "posterior_sd", "expected_assignments", "local_evidence", "n_rows", "database_nodes", F.col("silent_nodes").cast("int").alias("silent_nodes"), "rank"
+    )
+    return _rounded(_rounded(found, "posterior_mean", "posterior_sd", digits=5), "expected_assignments", "local_evidence", digits=3)
+
+
+@query(
+    "refine_posteriors",
+    with_steps(
+        *_FIT_SQL,
+        "sr AS (SELECT ordinal, node, min(kind) AS kind FROM (SELECT ordinal, unnest(string_split(v_call, ',')) AS call, 0 AS kind FROM r WHERE v_call <> '' UNION ALL SELECT ordinal, p[1], 1 FROM alt) JOIN nm USING (call) GROUP BY 1, 2)",
+        body="SELECT ordinal, node, array_to_string(names, ',') AS candidate_call, CASE kind WHEN 0 THEN 'reported' WHEN 1 THEN 'retained_alternative' ELSE 'reference_neighbour' END AS source, round(local, 4) AS local_evidence, round(p, 4) AS repertoire_posterior, "
+        "round(gamma / mass, 4) AS pool_posterior_mean, node = map_node AS is_map, node = map_node AND map_probability >= 0.8 AS selected FROM ps JOIN fin USING (pool, node) JOIN mp USING (ordinal, pool) LEFT JOIN sr USING (ordinal, node) JOIN nodes ON names[1] = node",
+    ),
+)
+def _(spark, d):
+    rows = RE.posterior_rows(table(spark, d), _fitted(spark, d))
+    return _rounded(rows.select("ordinal", "node", "candidate_call", "source", "local_evidence", "repertoire_posterior", "pool_posterior_mean", "is_map", "selected"), "local_evidence", "repertoire_posterior", "pool_posterior_mean", digits=4)
+
+
+@query(
+    "refine_shift",
+    with_steps(
+        *_FIT_SQL,
+        body="SELECT pool, node, sum(b) AS before, sum(a) AS after, sum(a) - sum(b) AS delta, sum(b) > 0 AND sum(a) = 0 AS vanishes, sum(b) = 0 AND sum(a) > 0 AS appears FROM ("
+        "SELECT pool, local_top AS node, 1.0::DOUBLE AS b, 0.0::DOUBLE AS a FROM mp UNION ALL SELECT pool, CASE WHEN map_probability >= 0.8 THEN map_node ELSE local_top END, 0.0, 1.0 FROM mp) GROUP BY 1, 2",
+    ),
+)
 def _(spark, d):
-    options = RE.RefinementOptions(at_limit="flag")
-    refined = RE.refine_calls(table(spark, d), _alleles(spark, d), options)
-    return _rounded(refined.select("ordinal", "map_node", "map_probability", "local_top", "local_probability", "converged"), "map_probability", "local_probability", digits=4)
+    return RE.assignment_shift(_fitted(spark, d).calls)
+
+
+@query(
+    "refine_surviving",
+    with_steps(
+        *_FIT_SQL,
+        body="SELECT unnest(names) AS name, sequence FROM nodes JOIN (SELECT CASE WHEN map_probability >= 0.8 THEN map_node ELSE local_top END AS node FROM mp GROUP BY 1) ON names[1] = node",
+    ),
+)
+def _(spark, d):
+    fit = _fitted(spark, d)
+    return RE.surviving_reference(RE.assignment_shift(fit.calls), fit.nodes)
+
+
+@query("refine_active_calls")
+def _(spark, d):
+    refined = _fitted(spark, d, "active-set").calls
+    return _rounded(refined.select("ordinal", "map_node", "map_probability", "entropy", "local_top", "local_probability", "converged"), "map_probability", "entropy", "local_probability", digits=4)
+
+
+@query("refine_active_pools")
+def _(spark, d):
+    found = RE.pool_summary(_fitted(spark, d, "active-set"))
+    return _rounded(found.select("pool", "node", "labels", "active", "inclusion", "posterior_mean", "expected_assignments", "n_rows", "active_alleles", "rank", "converged"), "inclusion", "posterior_mean", "expected_assignments", digits=4)
 
 
 # --- sequence functions -----------------------------------------------------
@@ -1185,3 +1293,168 @@ def _(spark, d):
     first = rows.groupBy("day").agg(F.min("id").alias("left_id"))
     edges = rows.join(first, "day").select("left_id", F.col("id").alias("right_id"))
     return connected_components(rows.select("id").distinct(), edges)
+
+
+# --- aligned coordinates ----------------------------------------------------
+
+_CODE_SQL = f"code(codon, aa) AS (VALUES {_CODON_VALUES})"
+
+
+def _sql_codons(source: str, key: str, sequence: str, first: str, cell: str, partial: bool = False) -> str:
+    """One row per ``key`` with the residues ``aa`` of ``sequence`` from 0-based place ``first`` on; ``cell`` reads the codon ``c``."""
+    count = f"(length({sequence}) - {first} + {2 if partial else 0}) // 3"
+    return (
+        f"SELECT {key}, coalesce(string_agg({cell}, '' ORDER BY n) FILTER (WHERE n IS NOT NULL), '') AS aa FROM ("
+        f"SELECT {key}, n, substr({sequence}, {first} + 3 * n + 1, 3) AS c FROM {source} LEFT JOIN (SELECT unnest(range(0, 400)) AS n) ON n < {count}) LEFT JOIN code ON codon = c GROUP BY {key}"
+    )
+
+
+@query(
+    "project_codons",
+    with_steps(
+        _CODE_SQL, "cl AS (SELECT ordinal, ordinal % 3 AS o, replace(v_sequence_alignment, '-', '') AS clean FROM r)",
+        f"tr AS ({_sql_codons('cl', 'ordinal', 'clean', 'o', 'coalesce(aa, chr(88))')})",
+        "al2 AS (SELECT ordinal, o, clean, concat(substr(aa, 1, ordinal % 5), '-', substr(aa, ordinal % 5 + 1, 40), '--', substr(aa, ordinal % 5 + 41, 60)) AS res FROM cl JOIN tr USING (ordinal))",
+        "pc AS (SELECT ordinal, string_agg(CASE WHEN substr(res, i, 1) = '-' THEN '---' ELSE rpad(substr(clean, o + 3 * length(replace(substr(res, 1, i), '-', '')) - 2, 3), 3, '-') END, '' ORDER BY i) AS mid FROM (SELECT *, unnest(range(1, length(res) + 1)) AS i FROM al2) GROUP BY 1)",
+        "sf AS (SELECT ordinal, res, mid, CASE WHEN o = 0 THEN '' ELSE rpad(substr(clean, 1, o), 3, '-') END AS pre, substr(clean, o + 3 * length(replace(res, '-', '')) + 1, 400) AS suf FROM al2 JOIN pc USING (ordinal))",
+        body="SELECT ordinal, res AS residues, concat(pre, mid, CASE WHEN suf = '' THEN '' WHEN length(suf) < 3 THEN rpad(suf, 3, '-') ELSE suf END) AS codons FROM sf",
+    ),
+)
+def _(spark, d):
+    frame, cut_at = F.col("ordinal") % 3, (F.col("ordinal") % 5).cast("int")
+    aa = CD.translate_ungapped("v_sequence_alignment", frame)
+    gapped = F.concat(F.substring(aa, F.lit(1), cut_at), F.lit("-"), F.substring(aa, cut_at + 1, F.lit(40)), F.lit("--"), F.substring(aa, cut_at + 41, F.lit(60)))
+    rows = table(spark, d).select("ordinal", "v_sequence_alignment", gapped.alias("residues"))
+    return rows.select("ordinal", "residues", CD.project_codons("v_sequence_alignment", "residues", F.col("ordinal") % 3).alias("codons"))
+
+
+@query(
+    "segment_residues",
+    with_steps(
+        _CODE_SQL, "fr AS (SELECT ordinal, ordinal % 4 AS f, ordinal % 5 AS s, v_sequence_alignment AS q, v_germline_alignment AS g FROM r WHERE ordinal % 4 > 0 AND ordinal % 5 > 0)",
+        "sk AS (SELECT *, (f - s + 6) % 3 AS k FROM fr)",
+        # column of the k-th base: the only gap is at 150, behind the first codon
+        f"qa AS ({_sql_codons('sk', 'ordinal', 'q', 'k', chr(67) + 'ASE WHEN contains(c, chr(45)) THEN chr(45) ELSE coalesce(aa, chr(88)) END')})",
+        f"ga AS ({_sql_codons('sk', 'ordinal', 'g', 'k', 'coalesce(aa, chr(88))')})",
+        body="SELECT ordinal, CAST(k AS INT) AS skipped, qa.aa AS query, ga.aa AS reference FROM sk JOIN qa USING (ordinal) JOIN ga USING (ordinal)",
+    ),
+)
+def _(spark, d):
+    rows = table(spark, d).filter("ordinal % 4 > 0 AND ordinal % 5 > 0").select("ordinal", "v_sequence_alignment", "v_germline_alignment", (F.col("ordinal") % 4).alias("f"), (F.col("ordinal") % 5).alias("s"))
+    pair = CD.segment_residues("v_sequence_alignment", "v_germline_alignment", "s", "f")
+    return rows.select("ordinal", CD.frame_offset("s", "f").cast("int").alias("skipped"), pair.alias("p")).select("ordinal", "skipped", "p.query", "p.reference")
+
+
+@query(
+    "motif_cells",
+    "SELECT ordinal, array_to_string(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN list_contains(m1, i) THEN '1' WHEN list_contains(m2, i) THEN '2' WHEN list_contains(m3, i) THEN '3' ELSE '0' END), '') AS cells FROM ("
+    "SELECT ordinal, s, " + ", ".join(
+        f"list_transform(flatten(list_transform(list_filter(range(1, length(q) - {size - 2}), lambda p: regexp_full_match(substr(q, p, {size}), '{pattern}')), lambda p: range(p, p + {size}))), lambda x: cols[x]) AS m{k}"
+        for k, (pattern, size) in enumerate([("[AT][AG]C[CT]", 4), ("[AG]G[CT][AT]", 4), ("TC[ACGT]", 3)], 1)
+    ) + " FROM (SELECT ordinal, v_sequence_alignment AS s, replace(v_sequence_alignment, '-', '') AS q, list_filter(range(1, length(v_sequence_alignment) + 1), lambda i: substr(v_sequence_alignment, i, 1) <> '-') AS cols FROM r))",
+)
+def _(spark, d):
+    cells = CD.motif_cells("v_sequence_alignment", ["WRCY", "RGYW", "TCN"])
+    return table(spark, d).select("ordinal", F.array_join(cells.cast("array<string>"), "").alias("cells"))
+
+
+#: Reads begin one or two bases into a codon, or in phase, by donor and V gene.
+_PHASED = "substr(v_sequence_alignment, 1 + (length(v_gene) + ascii(substr(v_gene, 5, 1)) + ascii(substr(subject_id, 7, 1))) % 3, 190)"
+
+
+@query(
+    "reading_frames",
+    with_steps(
+        _CODE_SQL, f"ph AS (SELECT ordinal, subject_id, v_gene, {_PHASED} AS s FROM r)",
+        "co AS (SELECT subject_id, v_gene, f, substr(s, CAST(f + 3 * n + 1 AS INT), 3) AS c FROM ph, (SELECT unnest(range(0, 3)) AS f), (SELECT unnest(range(0, 64)) AS n) WHERE f + 3 * n + 3 <= length(s))",
+        "ct AS (SELECT subject_id, v_gene, f, count(*) FILTER (c = '---') AS whole, count(*) FILTER (c <> '---' AND contains(c, '-')) AS mixed, count(*) FILTER (NOT contains(c, '-') AND regexp_matches(c, '[^ACGT]')) AS unclear, count(*) FILTER (aa = '*') AS stops FROM co LEFT JOIN code ON codon = c GROUP BY 1, 2, 3)",
+        body="SELECT subject_id, v_gene, CAST(f AS INT) AS frame, mixed AS mixed_gap_codons, stops AS stop_codons, whole AS complete_gap_codons, unclear AS ambiguous_codons FROM ct QUALIFY row_number() OVER (PARTITION BY subject_id, v_gene ORDER BY mixed, stops, whole DESC, unclear, f) = 1",
+    ),
+)
+def _(spark, d):
+    rows = table(spark, d).select("subject_id", "v_gene", F.expr(_PHASED).alias("aligned"))
+    return AC.reading_frame(rows, ["subject_id", "v_gene"])
+
+
+@query(
+    "framed_residues",
+    with_steps(
+        _CODE_SQL, f"ph AS (SELECT ordinal, subject_id, v_gene, {_PHASED} AS s FROM r)",
+        "co AS (SELECT subject_id, v_gene, f, substr(s, CAST(f + 3 * n + 1 AS INT), 3) AS c FROM ph, (SELECT unnest(range(0, 3)) AS f), (SELECT unnest(range(0, 64)) AS n) WHERE f + 3 * n + 3 <= length(s))",
+        "ct AS (SELECT subject_id, v_gene, f, count(*) FILTER (c <> '---' AND contains(c, '-')) AS mixed, count(*) FILTER (aa = '*') AS stops, count(*) FILTER (c = '---') AS whole FROM co LEFT JOIN code ON codon = c GROUP BY 1, 2, 3)",
+        "bf AS (SELECT subject_id, v_gene, f FROM ct QUALIFY row_number() OVER (PARTITION BY subject_id, v_gene ORDER BY mixed, stops, whole DESC, f) = 1)",
+        "fs AS (SELECT ordinal, s, f FROM ph JOIN bf USING (subject_id, v_gene))",
+        f"ra AS ({_sql_codons('fs', 'ordinal', 's', 'f', chr(67) + 'ASE WHEN c = repeat(chr(45), 3) THEN chr(45) ELSE coalesce(aa, chr(88)) END', partial=True)})",
+        body="SELECT ordinal, aa AS residues FROM ra",
+    ),
+)
+def _(spark, d):
+    rows = table(spark, d).select("ordinal", "subject_id", "v_gene", F.expr(_PHASED).alias("aligned"))
+    group = ["subject_id", "v_gene"]
+    return AC.translate_alignments(rows, AC.reading_frame(rows, group), group).select("ordinal", "residues")
+
+
+@query(
+    "column_subset",
+    with_steps(
+        *LINEAGE_STEPS, "an AS (SELECT lineage_id, ordinal, sequence_alignment AS q FROM asg JOIN r USING (ordinal))",
+        "cv AS (SELECT lineage_id, i, length(replace(substr(q, 1, i), '-', '')) AS p FROM (SELECT *, unnest(range(1, length(q) + 1)) AS i FROM an) WHERE substr(q, i, 1) <> '-')",
+        "lb2 AS (SELECT lineage_id, i, CASE WHEN p BETWEEN 1 AND 60 THEN 'fwr1' WHEN p BETWEEN 61 AND 84 THEN 'cdr1' WHEN p BETWEEN 85 AND 120 THEN 'fwr2' WHEN p BETWEEN 121 AND 144 THEN 'cdr2' WHEN p BETWEEN 145 AND 192 THEN 'fwr3' END AS region, count(*) AS n FROM cv GROUP BY 1, 2, 3)",
+        "lbl AS (SELECT lineage_id, i, region FROM lb2 WHERE region IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lineage_id, i ORDER BY n DESC, region) = 1)",
+        body="SELECT an.ordinal, coalesce(string_agg(substr(q, i, 1), '' ORDER BY i), '') AS cdrs FROM an LEFT JOIN lbl ON lbl.lineage_id = an.lineage_id AND region LIKE 'cdr%' GROUP BY 1",
+    ),
+)
+def _(spark, d):
+    _, assigned = _assigned(spark, d)
+    anchored = cut(CS.anchored_rows(table(spark, d).join(assigned, "ordinal")).select(
+        "lineage_id", "ordinal", "aligned_read", "v_sequence_start", *[f"{r}_{e}" for r in ("fwr1", "cdr1", "fwr2", "cdr2", "fwr3") for e in ("start", "end")]
+    ))
+    chosen = AC.preset_columns(CS.region_labels(anchored), "cdrs", ["lineage_id"])
+    return AC.take_columns(anchored.select("lineage_id", "ordinal", "aligned_read"), chosen, ["lineage_id"], "aligned_read").select("ordinal", F.col("aligned_read").alias("cdrs"))
+
+
+@query(
+    "column_ranges",
+    "SELECT ordinal, concat(substr(v_sequence_alignment, 31, 3), substr(v_sequence_alignment, 40, 1), substr(v_sequence_alignment, 149, 3)) AS columns FROM r",
+)
+def _(spark, d):
+    chosen = AC.parse_columns("31-33, 40;151-149 nonsense 999", maximum=192)
+    return AC.take_columns(table(spark, d).select("ordinal", "v_sequence_alignment"), chosen, [], "v_sequence_alignment").select("ordinal", F.col("v_sequence_alignment").alias("columns"))
+
+
+@query("alignment_retained", "SELECT ordinal, sequence_id, locus FROM r WHERE ordinal % 3 = 0")
+def _(spark, d):
+    rows = table(spark, d).select("ordinal", "sequence_id", "locus")
+    names = rows.select(F.when(F.col("ordinal") % 3 == 0, F.concat("sequence_id", F.lit("__"), F.col("ordinal") + 1)).otherwise(F.concat(F.lit("germline_"), F.col("ordinal"))).alias("name"))
+    return AC.retained_rows(names, rows)
+
+
+@query(
+    "probability_masses",
+    "SELECT ordinal, list_transform(list_transform([v_score - 180, ordinal % 7 - 3.0, v_identity, 0.0], lambda v: CASE WHEN v > 0 THEN CAST(v AS DOUBLE) ELSE 0.0 END), lambda v: round(v, 3)) AS raw, "
+    "list_transform(m, lambda v: round(CASE WHEN list_sum(m) > 0 THEN v / list_sum(m) ELSE 0.25 END, 9)) AS shares FROM (SELECT *, list_transform([v_score - 180, ordinal % 7 - 3.0, v_identity, 0.0], lambda v: CASE WHEN v > 0 THEN CAST(v AS DOUBLE) ELSE 0.0 END) AS m FROM r)",
+)
+def _(spark, d):
+    raw = F.array((F.col("v_score") - 180).cast("double"), (F.col("ordinal") % 7 - 3).cast("double"), F.col("v_identity").cast("double"), F.lit(0.0))
+    clean = F.transform(raw, lambda v: F.round(F.when(v > 0, v).otherwise(0.0), 3))
+    return table(spark, d).select("ordinal", clean.alias("raw"), F.transform(CD.normalized_masses(raw), lambda v: F.round(v, 9)).alias("shares"))
+
+
+# --- bounded samples --------------------------------------------------------
+
+
+@query(
+    "lineage_sample_cap",
+    with_steps(*LINEAGE_STEPS, body="SELECT ordinal, lineage_id, sample_id FROM (SELECT ordinal, lineage_id, sample_id, row_number() OVER (PARTITION BY lineage_id, sample_id ORDER BY ordinal) AS nth FROM asg JOIN r USING (ordinal)) WHERE nth <= 5"),
+)
+def _(spark, d):
+    rows = _assigned(spark, d)[1].join(table(spark, d).select("ordinal", "sample_id"), "ordinal")
+    return SA.capped_sample(rows, 5).select("ordinal", "lineage_id", "sample_id")
+
+
+@query(
+    "lineage_member_sample",
+    with_steps(*LINEAGE_STEPS, body="SELECT lineage_id, ordinal, total FROM (SELECT lineage_id, ordinal, count(*) OVER (PARTITION BY lineage_id) AS total, row_number() OVER (PARTITION BY lineage_id ORDER BY md5(concat('1', chr(9), CAST(lineage_id AS VARCHAR), chr(9), CAST(ordinal AS VARCHAR))), ordinal) AS nth FROM asg) WHERE nth <= 20"),
+)
+def _(spark, d):
+    return SA.member_sample(cut(_assigned(spark, d)[1]), 20)

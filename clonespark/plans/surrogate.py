@@ -15,6 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of the orders table whose rows, made wide, are one task.
+ORDERS_BYTES = 256 << 10
+
 HEX = "'0123456789abcdef'"
 BASES = "'ACGTACGTACGTACGT'"
 RESIDUES = "'ACDEFGHIKLMNPQRS'"
@@ -150,14 +153,19 @@ def rearrangements(spark: SparkSession, sf_dir: str) -> DataFrame:
             source = f"SELECT *, {', '.join(f'{e} AS {name}' for name, e in layer.items())} FROM ({source})"
         return source
 
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    size = int(str(orders._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(spark.sparkContext.defaultParallelism, -(-size // ORDERS_BYTES))
     donors = extend(
         "SELECT c_custkey, c_nationkey, c_mktsegment, n_regionkey "
         f"FROM parquet.`{sf_dir}/customer.parquet` JOIN parquet.`{sf_dir}/nation.parquet` ON c_nationkey = n_nationkey",
         CUSTOMER_LAYERS,
     )
-    # the strategy of the join is left to the planner and to adaptive execution
+    # Rows are spread behind the join and before the columns of an order are computed: with a stated number, as the few
+    # bytes that are there so far would be coalesced into one task. The shuffle also keeps the donors' columns from
+    # being written out again in every expression that uses them.
     joined = (
-        f"SELECT o.*, x.* FROM (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM parquet.`{sf_dir}/orders.parquet`) o "
+        f"SELECT /*+ REPARTITION({parts}, o_orderkey) */ o.*, x.* FROM (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM parquet.`{sf_dir}/orders.parquet`) o "
         f"JOIN ({donors}) x ON o_custkey = c_custkey"
     )
     return spark.sql(f"SELECT {', '.join(COLUMNS)} FROM ({extend(joined, ORDER_LAYERS)})")

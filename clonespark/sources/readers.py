@@ -6,6 +6,7 @@ and decompress as any text source does.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,29 +38,39 @@ def detect_format(path: str, requested: str = "auto") -> str:
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``id, description, sequence, source_file`` from wrapped or flat FASTA.
 
-    The record separator is ``\\n>``, so a file splits at record boundaries. A record
-    without a header or without bases is an error.
+    The record separator is ``\\n>``, so a file splits at record boundaries and is read once, without a shuffle. A record
+    without bases is an error, and so is a file whose first text is no header: that shows at the record that
+    begins the split at byte 0, the only one that keeps its ``>``. Blank lines before it are skipped.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("source_file"))
-    # the first record of a file keeps its '>', the others lost it to the separator
-    first = F.col("value").startswith(">")
-    body = F.regexp_replace(F.regexp_replace(F.col("value"), "^>", ""), "\r", "")
-    blank = F.trim(F.regexp_replace("value", "[\r\n]", "")) == ""
-    # the separator takes the '>' of later records, so a proper file has one that kept it, or begins with blank lines
-    proper = raw.groupBy("source_file").agg(F.max(first | blank).alias("proper"))
-    rows = raw.filter(~blank).join(proper, "source_file").select("source_file", "proper", body.alias("body"))
-    header = F.trim(F.substring_index("body", "\n", 1))
-    bases = F.when(F.instr("body", "\n") > 0, F.regexp_replace(F.substring(F.col("body"), F.instr("body", "\n") + 1, F.length("body")), r"\s", "")).otherwise("")
-    parsed = rows.select("source_file", "proper", header.alias("header"), bases.alias("sequence"))
-    empty = F.raise_error(F.concat(F.lit("FASTA record without bases: "), F.col("header")))
-    headless = F.raise_error(F.concat(F.lit("The first line of this FASTA file is no header: "), F.col("source_file")))
-    return parsed.select(
-        F.when(F.col("proper"), F.regexp_extract("header", r"^(\S*)", 1)).otherwise(headless.cast("string")).alias("id"),
-        F.trim(F.regexp_replace("header", r"^\S*", "")).alias("description"),
-        F.when(F.col("sequence") == "", empty.cast("string")).otherwise(F.col("sequence")).alias("sequence"),
-        "source_file",
+    raw = spark.read.option("lineSep", "\n>").text(path).select(
+        "value", F.col("_metadata.file_path").alias("source_file"), (F.col("_metadata.file_block_start") == 0).alias("head")
     )
 
+    def parse(batches):
+        before = None
+        for batch in batches:
+            ids, descriptions, sequences, files = [], [], [], []
+            for value, file, head in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                first = head and before != (file, True)  # splits follow one another within a task
+                before = (file, head)
+                if first and not value.strip():
+                    continue  # blank lines before the first header
+                if first and not value.startswith(">"):
+                    raise ValueError(f"The first line of this FASTA file is no header: {file}")
+                value = value.removeprefix(">") if first else value
+                header, _, body = value.partition("\n")
+                header, sequence = header.strip(), "".join(body.split())
+                if not sequence:
+                    raise ValueError(f"FASTA record without bases: {header}")
+                name = header.split(None, 1)
+                ids.append(name[0] if name else "")
+                descriptions.append(name[1] if len(name) > 1 else "")
+                sequences.append(sequence)
+                files.append(file)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (ids, descriptions, sequences, files)], names=["id", "description", "sequence", "source_file"])
+
+    return raw.mapInArrow(parse, "id string, description string, sequence string, source_file string")
+
 
 FASTQ_SCHEMA = T.StructType(
     [

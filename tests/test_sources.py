@@ -124,9 +124,35 @@ def test_fasta_has_to_begin_with_a_header(spark, tmp_path):
 
     (tmp_path / "good.fa").write_text("\n\n>a x\nAC\nGT\n>b\nTT\n")
     assert sorted((r.id, r.sequence) for r in read_fasta(spark, str(tmp_path / "good.fa")).collect()) == [("a", "ACGT"), ("b", "TT")]
-    (tmp_path / "bad.fa").write_text("ACGT\nTTTT\n>b\nACGT\n")
-    with pytest.raises(Exception, match="no header"):
-        read_fasta(spark, str(tmp_path / "bad.fa")).collect()
+    for k, text in enumerate(["ACGT\nTTTT\n>b\nACGT\n", "ACGT\nTTTT\n>\n>b\nACGT", "\n\nACGT\n>b\nAC\n", "  >a\nAC\n"]):
+        (tmp_path / f"bad{k}.fa").write_text(text)
+        with pytest.raises(Exception, match="no header"):
+            read_fasta(spark, str(tmp_path / f"bad{k}.fa")).collect()
+    (tmp_path / "hollow.fa").write_text(">a\nAC\n>\n>b\nACGT\n")
+    with pytest.raises(Exception, match="without bases"):
+        read_fasta(spark, str(tmp_path / "hollow.fa")).collect()
+
+
+def test_fasta_splits_without_a_shuffle(spark, tmp_path):
+    from clonespark.sources.readers import read_fasta
+
+    rng = random.Random(5)
+    want = {}
+    for name in ("x.fa", "y.fa"):
+        lines = []
+        for k in range(3000):
+            bases = "".join(rng.choice("ACGT") for _ in range(rng.randint(1, 90)))
+            want[f"{name}_{k}"] = bases
+            lines += [f">{name}_{k} some words", *(bases[i : i + 60] for i in range(0, len(bases), 60))]
+        (tmp_path / name).write_text("\n" + "\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        frame = read_fasta(spark, str(tmp_path))
+        assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+        assert {r.id: r.sequence for r in frame.collect()} == want and frame.rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_compressed_fastq(spark, tmp_path):
