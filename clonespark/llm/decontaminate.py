@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .kernels import NOT_ALNUM, U, slices, words_of
 from .storage import stored
 
-SHARD_TEXT = 4 << 20
+SHARD_TEXT = 1 << 20
 #: Bytes of item text in one block, which is sent to every task.
 BLOCK_TEXT = 8 << 20
 INDEX = "shard string, rows array<long>, ids array<long>, counts array<long>, terms binary, bounds binary, places binary"
@@ -141,8 +141,10 @@ def search(index: DataFrame, items: list[tuple[str, np.ndarray]], window: int =
     def match(batches):
         ready, names = shared.value
         for batch in batches:
-            for record in batch.to_pylist():
-                shard = Shard(record)
+            columns = [batch.column(k) for k in range(5)]
+            for number in range(batch.num_rows):  # one shard at a time, over the batch's own buffers
+                rows, counts, *lists = (column[number] for column in columns)
+                shard = Shard(dict(zip(("rows", "counts", "terms", "bounds", "places"), (rows.values.to_numpy(), counts.values.to_numpy(), *(x.as_buffer() for x in lists)), strict=True)))
                 parts = [(owner[p], a, b) for owner, (p, a, b) in ((owner, phrase_hits(shard, phrases, slop)) for phrases, owner in ready.values())]
                 item, start, end = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
                 row = np.searchsorted(shard.first, start, "right") - 1
