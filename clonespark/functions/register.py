@@ -6,10 +6,12 @@ from pyspark.sql import SparkSession
 
 from .kernels import edit_distance_wildcard, edit_profile, minhash_sketch
 from .statistics import binomial_survival, poisson_upper_tail
+from .tables import register_tables
 
 
 def register_functions(spark: SparkSession, edit_radius: int = 2) -> None:
-    """Register the Arrow UDFs and SQL functions in the session."""
+    """Register the Arrow UDFs, table functions and SQL functions in the session."""
+    register_tables(spark)
     spark.udf.register("edit_profile", edit_profile(edit_radius))
     spark.udf.register("edit_distance_wildcard", edit_distance_wildcard)
     spark.udf.register("minhash_sketch", minhash_sketch)

@@ -57,6 +57,8 @@ def gamma_p(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
             total += term
             if np.all(np.abs(term) < np.abs(total) * 1e-14):
                 break
+        else:
+            raise ArithmeticError("The series of the incomplete gamma function has not converged.")
         result[low] = total * scale[low]
     if (~low).any():
         ah, xh = a[~low], x[~low]
@@ -76,6 +78,8 @@ def gamma_p(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
             fraction = fraction * delta
             if np.all(np.abs(delta - 1) < 1e-14):
                 break
+        else:
+            raise ArithmeticError("The fraction of the incomplete gamma function has not converged.")
         result[~low] = 1 - scale[~low] * fraction
     out[live] = np.clip(result, 0, 1)
     return out
@@ -98,7 +102,7 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     c = np.ones_like(x)
     d = 1 / guard(1 - (a + b) * x / (a + 1))
     h = d.copy()
-    for m in range(1, 400):
+    for m in range(1, 100_000):
         even = m * (b - m) * x / ((a - 1 + 2 * m) * (a + 2 * m))
         d = 1 / guard(1 + even * d)
         c = guard(1 + even / c)
@@ -109,8 +113,8 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
         delta = d * c
         h = h * delta
         if np.all(np.abs(delta - 1) < 3e-12):
-            break
-    return h
+            return h
+    raise ArithmeticError("The fraction of the incomplete beta function has not converged.")
 
 
 def regularized_beta(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -102,9 +102,11 @@ def seed_candidates(queries: DataFrame, germlines: DataFrame, segment: str, top:
     cutoff = F.element_at("pool", F.least(limit, F.size("pool")))["x"]
     kept = ranked.join(strong, ["rid", "rev"], "left").select("rid", "rev", F.explode(F.filter("pool", lambda c: c["x"] <= cutoff)).alias("c"))
     seeded = kept.select("rid", "rev", "c.gene", "c.diagonal", "c.span", (-F.col("c.x")).alias("votes"))
-    # few reads, a panel of bounded size: every allele on the widest band
-    silent = queries.join(seeded.select("rid").distinct(), "rid", "left_anti").withColumn("panel", F.lit(1))
-    alleles = germlines.select(F.lit(1).alias("panel"), F.col("name").alias("gene"), F.col("locus").alias("gene_locus"))
+    # no seed at all: every allele of the panel on the widest band. Reads are dealt over parts and the panel, which does not
+    # grow with them, goes to each part, so any number of such reads is spread
+    parts = 4 * queries.sparkSession.sparkContext.defaultParallelism
+    silent = queries.join(seeded.select("rid").distinct(), "rid", "left_anti").withColumn("panel", F.pmod(F.xxhash64("rid", "rev"), F.lit(parts)).cast("int"))
+    alleles = germlines.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("panel"), F.col("name").alias("gene"), F.col("locus").alias("gene_locus"))
     same = (F.col("want_locus") == "") | (F.col("gene_locus") == "") | (F.col("want_locus") == F.col("gene_locus"))
     every = silent.join(alleles, "panel").filter(same)
     return seeded.unionByName(every.select("rid", "rev", "gene", F.lit(0).alias("diagonal"), F.lit(1 << 20).alias("span"), F.lit(0).cast("long").alias("votes")))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coordinates as CD
 from ..functions import sequences as S
+from ..functions.tables import register_tables
 from ..operators import alignment_columns as AC
 from ..operators import annotate as AN
 from ..operators import chimera as CH
@@ -1458,3 +1459,32 @@ def _(spark, d):
 )
 def _(spark, d):
     return SA.member_sample(cut(_assigned(spark, d)[1]), 20)
+
+
+# --- table functions --------------------------------------------------------
+
+
+@query(
+    "kmer_counts",
+    "SELECT j_gene, kmer, count(*) AS windows, count(DISTINCT ordinal) AS records, CAST(min(p) AS INT) AS first_position FROM (SELECT j_gene, ordinal, p, substr(cdr3, p, 6) AS kmer FROM (SELECT *, unnest(range(1, length(cdr3) - 4)) AS p FROM r)) GROUP BY 1, 2",
+)
+def _(spark, d):
+    register_tables(spark)
+    cut(table(spark, d).select("ordinal", "j_gene", "cdr3")).createOrReplaceTempView("clonespark_reads")
+    return spark.sql(
+        "SELECT j_gene, kmer, count(*) AS windows, count(DISTINCT ordinal) AS records, min(position) AS first_position FROM clonespark_reads, LATERAL kmers(cdr3, 6) GROUP BY j_gene, kmer"
+    )
+
+
+@query(
+    "column_mismatches",
+    "SELECT v_gene, CAST(i AS INT) AS \"column\", count(*) AS records, count(*) FILTER (a <> '-' AND a <> b) AS mismatches, count(*) FILTER (a = '-') AS gaps, CAST(max(CASE WHEN a <> '-' THEN qp END) AS INT) AS last_position FROM ("
+    "SELECT v_gene, i, substr(q, i, 1) AS a, substr(g, i, 1) AS b, length(replace(substr(q, 1, i), '-', '')) AS qp FROM (SELECT v_gene, v_sequence_alignment AS q, v_germline_alignment AS g, unnest(range(1, 193)) AS i FROM r)) GROUP BY 1, 2",
+)
+def _(spark, d):
+    register_tables(spark)
+    cut(table(spark, d).select("v_gene", "v_sequence_alignment", "v_germline_alignment")).createOrReplaceTempView("clonespark_pairs")
+    return spark.sql(
+        "SELECT v_gene, `column`, count(*) AS records, count_if(query <> '-' AND query <> reference) AS mismatches, count_if(query = '-') AS gaps, max(query_position) AS last_position "
+        "FROM clonespark_pairs, LATERAL alignment_columns(v_sequence_alignment, v_germline_alignment) GROUP BY v_gene, `column`"
+    )
