@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import calls, gene_of, is_true_flag, number, text, top_call
+from .sampling import first_per_group
 
 FACETS = (
     "dataset_id", "sample_id", "subject_id", "cohort", "timepoint", "compartment", "locus", "productive",
@@ -20,6 +21,14 @@ def facet_counts(table: DataFrame, facets: tuple[str, ...] = FACETS) -> DataFram
     return exploded.groupBy("facet", "value").agg(F.count(F.lit(1)).alias("records"))
 
 
+def ordered_facets(counts: DataFrame, limit: int | None = None) -> DataFrame:
+    """Facet values with their ``rank`` within the facet: most records first, then by value; the first ``limit`` if one is given."""
+    order = [F.desc("records"), F.col("value")]
+    if limit is None:
+        return counts.withColumn("rank", F.row_number().over(Window.partitionBy("facet").orderBy(*order)))
+    return first_per_group(counts, ["facet"], order, limit, "value").withColumnRenamed("nth", "rank")
+
+
 def facet_grouping_sets(table: DataFrame, first: str, second: str) -> DataFrame:
     """Counts by each of two columns and by both (grouping sets)."""
     view = table.select(text(first).alias(first), text(second).alias(second))

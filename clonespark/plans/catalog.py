@@ -1488,3 +1488,19 @@ def _(spark, d):
         "SELECT v_gene, `column`, count(*) AS records, count_if(query <> '-' AND query <> reference) AS mismatches, count_if(query = '-') AS gaps, max(query_position) AS last_position "
         "FROM clonespark_pairs, LATERAL alignment_columns(v_sequence_alignment, v_germline_alignment) GROUP BY v_gene, `column`"
     )
+
+
+# --- ordered facets ---------------------------------------------------------
+
+_FACET_SQL = "fc AS (SELECT facet, value, count(*) AS records FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS facet, {f} AS value FROM r" for f in ("sample_id", "cohort", "v_call")) + ") WHERE value <> '' GROUP BY 1, 2)"
+
+
+@query("facet_order", with_steps(_FACET_SQL, body="SELECT facet, value, records, CAST(row_number() OVER (PARTITION BY facet ORDER BY records DESC, value) AS INT) AS rank FROM fc"))
+def _(spark, d):
+    return FA.ordered_facets(FA.facet_counts(table(spark, d), ("sample_id", "cohort", "v_call")))
+
+
+@query("facet_leading", with_steps(_FACET_SQL, body="SELECT * FROM (SELECT facet, value, records, CAST(row_number() OVER (PARTITION BY facet ORDER BY records DESC, value) AS INT) AS rank FROM fc) WHERE rank <= 10"))
+def _(spark, d):
+    """The leading ten values of each facet, as a composition chart shows them."""
+    return FA.ordered_facets(FA.facet_counts(table(spark, d), ("sample_id", "cohort", "v_call")), 10)
