@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .letters import COLUMN_RESIDUE, translation
 from .sequences import codon_map, col, text
 
 #: Nucleotides that an IUPAC code of a motif stands for; other letters stand for themselves.
@@ -104,7 +105,7 @@ def _translated(codon: Column) -> Column:
 
 def translate_ungapped(value: Column | str, frame: Column | int = 0) -> Column:
     """Complete codons of the sequence without its gaps; anything that is no codon reads ``X``."""
-    return F.array_join(F.transform(_codons(ungapped(value), _offset(frame), False), _translated), "")
+    return translation(COLUMN_RESIDUE, False)(ungapped(value), _offset(frame))
 
 
 def translate_segment(value: Column | str) -> Column:
@@ -114,7 +115,7 @@ def translate_segment(value: Column | str) -> Column:
 
 def translate_columns(value: Column | str, frame: Column | int = 0) -> Column:
     """One residue per column triple: ``---`` reads ``-``, a mixed, ambiguous or incomplete triple ``X``."""
-    return F.array_join(F.transform(_codons(F.upper(text(value)), _offset(frame), True), lambda c: F.when(c == "---", "-").otherwise(_translated(c))), "")
+    return translation(COLUMN_RESIDUE, True)(F.upper(text(value)), _offset(frame))
 
 
 def frame_offset(query_start: Column | str, sequence_frame: Column | str) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coordinates import let, translate_columns
-from ..functions.sequences import codon_map, text
+from ..functions.letters import FRAME_COUNTS, frame_counts
+from ..functions.sequences import text
 
 PRESETS = ("full", "variable", "cdrs")
 
@@ -21,22 +22,10 @@ def reading_frame(rows: DataFrame, group: list[str], aligned: str = "aligned", p
     alignment of any number of rows is combined before it is shuffled.
     """
     cleaned = F.translate(F.upper(text(aligned)), ".", "-")
-    table = codon_map()
-
-    def counts(phase: int) -> Column:
-        s = F.substring(cleaned, phase + 1, 2_000_000_000)
-        n = F.floor(F.length(s) / 3).cast("int")
-        codons = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: F.substring(s, k * 3 + 1, F.lit(3)))).otherwise(F.array().cast("array<string>"))
-        gap, any_gap = (lambda c: c == "---"), (lambda c: F.contains(c, F.lit("-")))
-        unclear = lambda c: ~any_gap(c) & c.rlike("[^ACGT]")
-        kinds = {
-            "complete_gap_codons": gap, "mixed_gap_codons": lambda c: any_gap(c) & ~gap(c), "ambiguous_codons": unclear,
-            "stop_codons": lambda c: F.coalesce(F.try_element_at(table, c), F.lit("")) == "*",
-        }
-        return F.struct(F.lit(phase).alias("frame"), *[F.size(F.filter(codons, test)).cast("long").alias(name) for name, test in kinds.items()])
-
-    names = ["complete_gap_codons", "mixed_gap_codons", "ambiguous_codons", "stop_codons"]
-    each = rows.select(*group, F.explode(F.array(*[counts(p) for p in range(3)])).alias("c")).groupBy(*group, "c.frame").agg(*[F.sum(f"c.{n}").alias(n) for n in names])
+    names = list(FRAME_COUNTS)
+    counted = rows.select(*group, frame_counts(cleaned).alias("c")).groupBy(*group).agg(*[F.sum(f"c.{n}_{p}").alias(f"{n}_{p}") for p in range(3) for n in names])
+    phases = [F.struct(F.lit(p).alias("frame"), *[F.col(f"{n}_{p}").alias(n) for n in names]) for p in range(3)]
+    each = counted.select(*group, F.inline(F.array(*phases)))
     order = F.struct("mixed_gap_codons", "stop_codons", -F.col("complete_gap_codons"), "ambiguous_codons", (F.col("frame") != preferred).cast("int"), "frame")
     best = each.groupBy(*group).agg(F.min_by(F.struct("frame", *names), order).alias("b"))
     return best.select(*group, "b.*")
