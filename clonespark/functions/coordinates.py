@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .letters import COLUMN_RESIDUE, translation
+from .letters import COLUMN_RESIDUE, motif_cover, translation
 from .sequences import codon_map, col, text
 
 #: Nucleotides that an IUPAC code of a motif stands for; other letters stand for themselves.
@@ -21,6 +21,8 @@ MOTIF_CODES = {
     "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT", "X": "ACGT", ".": "ACGT",
 }
 _LITERAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ*.")
+#: Any letter at a place of a motif.
+ANY = "any"
 
 
 def _characters(value: Column) -> Column:
@@ -136,17 +138,15 @@ def segment_residues(query: Column | str, reference: Column | str, query_start:
     return F.when(known, let(let(first, residues), lambda p: F.when((p["query"] != "") | (p["reference"] != ""), p)))
 
 
-def motif_pattern(motif: str, alphabet: str = "nt") -> tuple[str, int]:
-    """A motif as a regular expression, and its length. White space and gaps are left out; in proteins X and ``.`` are open."""
+def motif_letters(motif: str, alphabet: str = "nt") -> list[str]:
+    """The letters that fit each place of a motif. White space and gaps are left out; in proteins X and ``.`` are open."""
     letters = [c for c in motif.upper() if not c.isspace() and c != "-"]
     unknown = set(letters) - _LITERAL
     if unknown:
         raise ValueError(f"Motif {motif!r} holds {sorted(unknown)}.")
     if alphabet == "nt":
-        parts = [f"[{MOTIF_CODES.get(c, c)}]" for c in letters]
-    else:
-        parts = ["[^\\n]" if c in "X." else f"[{c}]" for c in letters]
-    return "".join(parts), len(letters)
+        return [MOTIF_CODES.get(c, c) for c in letters]
+    return [ANY if c in "X." else c for c in letters]
 
 
 def motif_cells(aligned: Column | str, motifs: list[str], alphabet: str = "nt") -> Column:
@@ -154,26 +154,8 @@ def motif_cells(aligned: Column | str, motifs: list[str], alphabet: str = "nt")
 
     Motifs are sought in the sequence without gaps, overlapping matches included, and put back on its columns.
     """
-    whole = F.upper(text(aligned))
-    parts = F.struct(F.translate(whole, "-", "").alias("query"), residue_columns(whole).alias("columns"))
-
-    def columns_of(motif: str) -> Column:
-        pattern, size = motif_pattern(motif, alphabet)
-        if not size:
-            return F.array().cast("array<int>")
-
-        def cover(p: Column) -> Column:
-            places = F.sequence(F.lit(1), F.greatest(F.length(p["query"]) - size + 1, F.lit(1)))
-            starts = F.filter(places, lambda at: F.substring(p["query"], at, F.lit(size)).rlike(f"^{pattern}$") & (at + size - 1 <= F.length(p["query"])))
-            return F.array_distinct(F.flatten(F.transform(starts, lambda at: F.slice(p["columns"], at, size))))
-
-        return let(parts, cover)
-
-    if not motifs:
-        return F.transform(_characters(whole), lambda c: F.lit(0))
-    covered = F.array(*[columns_of(motif) for motif in motifs])
-    numbers = range(len(motifs))
-    return let(covered, lambda own: F.transform(_characters(whole), lambda c, i: F.coalesce(*[F.when(F.array_contains(F.get(own, F.lit(k)), i + 1), F.lit(k + 1)) for k in numbers], F.lit(0))))
+    letters = [motif_letters(motif, alphabet) for motif in motifs]
+    return motif_cover(letters, ANY)(F.upper(text(aligned)))
 
 
 def normalized_masses(values: Column | str) -> Column:

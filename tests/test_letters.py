@@ -2,7 +2,9 @@
 
 import random
 import time
+from collections import Counter
 
+from clonespark.functions import coordinates as CD
 from clonespark.functions import letters as LT
 from clonespark.operators import alignment_columns as AC
 
@@ -31,3 +33,12 @@ def test_pieces_of_a_batch(monkeypatch):
     texts = ["", "ACG", "-" * 30, "AC", "TTTTTTTTT", ""]
     parts = [texts[p] for p in LT.pieces(LT.np.array([len(t) for t in texts]))]
     assert len(parts) > 2 and [t for p in parts for t in p] == texts
+
+
+def test_motifs_of_long_rows(spark):
+    s = _long(60_000, 2)
+    frame = spark.createDataFrame([(s,), ("",), ("é" + s[:50],)], "s string")
+    rows, seconds = _timed(lambda: frame.select(CD.motif_cells("s", ["WRCY", "TCN"]).alias("x")).collect())
+    assert [len(r.x) for r in rows] == [len(s), 0, 51] and set(Counter(rows[0].x)) == {0, 1, 2}
+    assert rows[2].x[1:40] == rows[0].x[:39]
+    assert seconds < 20  # every column used to look through all covered columns
