@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .letters import COLUMN_RESIDUE, motif_cover, translation
+from .letters import COLUMN_RESIDUE, motif_cover, projected, translation
 from .sequences import codon_map, col, text
 
 #: Nucleotides that an IUPAC code of a motif stands for; other letters stand for themselves.
@@ -80,17 +80,7 @@ def project_codons(dna: Column | str, aligned_residues: Column | str, frame: Col
     Bases before the frame and behind the last residue are kept, filled up to a codon. A residue for which bases are
     missing is filled up too.
     """
-    letters = F.arrays_zip(_characters(text(aligned_residues)).alias("c"), residue_ranks(aligned_residues).alias("r"))
-    parts = F.struct(ungapped(dna).alias("clean"), _offset(frame).alias("offset"), letters.alias("letters"))
-
-    def project(p: Column) -> Column:
-        clean, offset, letters = p["clean"], p["offset"], p["letters"]
-        # residue number of each column of the protein; a gap has none of its own
-        codons = F.transform(letters, lambda x: F.when(x["c"] == "-", "---").otherwise(F.rpad(F.substring(clean, offset + (x["r"] - 1) * 3 + 1, F.lit(3)), 3, "-")))
-        used = offset + F.coalesce(F.array_max(letters.getField("r")), F.lit(0)) * 3
-        return F.concat(_pad(F.substring(clean, F.lit(1), offset)), F.array_join(codons, ""), _pad(F.substring(clean, used + 1, F.length(clean))))
-
-    return let(parts, project)
+    return projected(ungapped(dna), _offset(frame), text(aligned_residues))
 
 
 def _codons(value: Column, offset: Column, partial: bool) -> Column:

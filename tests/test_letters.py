@@ -42,3 +42,10 @@ def test_motifs_of_long_rows(spark):
     assert [len(r.x) for r in rows] == [len(s), 0, 51] and set(Counter(rows[0].x)) == {0, 1, 2}
     assert rows[2].x[1:40] == rows[0].x[:39]
     assert seconds < 20  # every column used to look through all covered columns
+
+
+def test_projection_walks_no_lambdas(spark, capsys):
+    frame = spark.createDataFrame([("ACGTACGTA", "TY-V", 1)], "d string, p string, f int").select(CD.project_codons("d", "p", 1).alias("x"))
+    assert frame.first().x == "A--CGTACG---TA-"
+    frame.explain()
+    assert "lambdafunction" not in capsys.readouterr().out
