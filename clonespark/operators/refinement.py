@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.coordinates import let
 from ..functions.sequences import calls, infer_locus, multiplicity, normalize_nt, number, text
 from ..functions.statistics import neighbour_odds
 from ..session import cut
@@ -83,8 +84,7 @@ def allele_edges(nodes: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def _fraction(value: Column) -> Column:
-    scaled = F.when(value > 1, value / 100).otherwise(value)
-    return F.when((scaled >= 0) & (scaled <= 1), scaled)
+    return let(value, lambda v: let(F.when(v > 1, v / 100).otherwise(v), lambda x: F.when((x >= 0) & (x <= 1), x)))
 
 
 def alternatives(column: str) -> Column:
@@ -110,17 +110,20 @@ def refinement_rows(table: DataFrame, options: RefinementOptions) -> DataFrame:
     """Input of the evidence model: calls, alternatives, read mutation rate and weight."""
     s = options.segment.lower()
     names = table.columns
+    # each list is parsed once, in a column of its own
+    parsed = {p: f"{p} alternatives parsed" for p in ("v", s) if f"{p}_alternatives" in names}
+    table = table.withColumns({column: alternatives(f"{p}_alternatives") for p, column in parsed.items()}) if parsed else table
 
     def best_identity(prefix: str) -> Column:
         direct = _fraction(number(f"{prefix}_identity")) if f"{prefix}_identity" in names else F.lit(None).cast("double")
         if f"{prefix}_alternatives" not in names:
             return direct
-        listed = F.array_max(F.transform(alternatives(f"{prefix}_alternatives"), lambda a: a["identity"]))
+        listed = F.array_max(F.transform(parsed[prefix], lambda a: a["identity"]))
         return F.greatest(direct, listed)
 
-    identity = F.coalesce(best_identity("v"), best_identity(s))
+    identity = F.coalesce(*[best_identity(p) for p in dict.fromkeys(("v", s))])
     score = number(f"{s}_score") if f"{s}_score" in names else F.lit(None).cast("double")
-    listed = alternatives(f"{s}_alternatives") if f"{s}_alternatives" in names else F.array().cast("array<struct<call:string,score:double,identity:double>>")
+    listed = F.col(parsed[s]) if s in parsed else F.array().cast("array<struct<call:string,score:double,identity:double>>")
     return table.select(
         "ordinal",
         F.concat_ws("\t", scope_value(options.scope), text("locus")).alias("pool"),
@@ -139,35 +142,60 @@ def evidence(rows: DataFrame, nodes: DataFrame, edges: DataFrame, options: Refin
     Reported calls weigh one, alternatives decay with their score gap, and reference
     neighbours of either receive ``odds ** distance`` of their source.
     """
-    names = nodes.select("node", F.explode("names").alias("call"))
     relative = lambda a: F.when(
         a["score"].isNotNull() & F.col("score").isNotNull(),
         F.least(F.lit(1.0), F.exp((a["score"] - F.col("score")) / F.lit(max(1e-6, options.temperature)))),
     ).otherwise(F.lit(options.unscored_weight))
     listed = F.concat(
-        F.transform("calls", lambda c: F.struct(c.alias("call"), F.lit(1.0).alias("weight"), F.lit(-1).alias("place"))),
-        F.transform("alternatives", lambda a, i: F.struct(a["call"].alias("call"), relative(a).alias("weight"), i.alias("place"))),
+        F.transform("calls", lambda c: F.struct(c.alias("call"), F.lit(1.0).alias("weight"))),
+        F.transform("alternatives", lambda a: F.struct(a["call"].alias("call"), relative(a).alias("weight"))),
     )
     odds = neighbour_odds(F.col("shm"), options.baseline_odds, options.shm_sensitivity, options.max_shm, options.max_odds)
-    keep = ["ordinal", "pool", "abundance", "odds"]
-    direct = (
-        rows.withColumn("odds", odds).select(*keep, F.explode(listed).alias("e")).select(*keep, "e.*").join(names, "call")
-        # one weight per node: a reported call, else the first alternative naming it
-        .groupBy(*keep, "node").agg(F.min(F.struct("place", "weight"))["weight"].alias("weight"))
-    )
     base = max(0.0, min(options.max_odds, options.baseline_odds))
-    near = edges.filter(F.col("distance") <= options.radius)
-    leaked = direct.join(near, "node").select(
-        *keep, F.col("neighbour").alias("node"),
-        (F.col("weight") * F.pow(F.when(F.col("substitution_only"), F.col("odds")).otherwise(F.lit(base)), F.col("distance"))).alias("weight"),
-    )
-    spread = direct.unionByName(leaked).groupBy("ordinal", "pool", "abundance", "node").agg(F.max("weight").alias("weight")).filter("weight > 0")
-    # a read's row is bounded by the reference neighbourhood of its calls
-    packed = spread.groupBy("ordinal", "pool", "abundance").agg(F.array_sort(F.collect_list(F.struct("node", "weight"))).alias("entries"), F.sum("weight").alias("total"))
-    return packed.select(
-        "ordinal", "pool", (F.col("abundance").cast("double") if options.weighting == "abundance" else F.lit(1.0)).alias("read_weight"),
-        F.transform("entries", lambda e: F.struct(e["node"].alias("node"), (e["weight"] / F.col("total")).alias("weight"))).alias("entries"),
+    given = rows.select("ordinal", "pool", "abundance", odds.alias("odds"), listed.alias("listed")).crossJoin(F.broadcast(_reach(nodes, edges, options.radius)))
+    unknown = F.array().cast("array<struct<node:string,near:array<struct<node:string,distance:int,substitution_only:boolean>>>>")
+    named = F.flatten(F.transform("listed", lambda e: F.transform(
+        F.coalesce(F.try_element_at("reach", e["call"]), unknown), lambda n: F.struct(n["node"].alias("node"), e["weight"].alias("weight"), n["near"].alias("near"))
+    )))
+
+    def first_of_node(found: Column) -> Column:
+        """One weight per node: a reported call, else the first alternative naming it."""
+        return let(F.transform(found, lambda d: d["node"]), lambda own: F.filter(found, lambda d, i: F.array_position(own, d["node"]) == i + 1))
+
+    def spread(direct: Column) -> Column:
+        leaked = F.flatten(F.transform(direct, lambda d: F.transform(d["near"], lambda n: F.struct(
+            n["node"].alias("node"), (d["weight"] * F.pow(F.when(n["substitution_only"], F.col("odds")).otherwise(F.lit(base)), n["distance"])).alias("weight")
+        ))))
+        return F.concat(F.transform(direct, lambda d: F.struct(d["node"].alias("node"), d["weight"].alias("weight"))), leaked)
+
+    def strongest(entries: Column) -> Column:
+        own = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["node"])))
+        best = F.transform(own, lambda n: F.struct(n.alias("node"), F.array_max(F.transform(F.filter(entries, lambda e: e["node"] == n), lambda e: e["weight"])).alias("weight")))
+        return F.filter(best, lambda e: e["weight"] > 0)
+
+    def shares(entries: Column) -> Column:
+        total = F.aggregate(entries, F.lit(0.0), lambda t, e: t + e["weight"])
+        return let(total, lambda t: F.transform(entries, lambda e: F.struct(e["node"].alias("node"), (e["weight"] / t).alias("weight"))))
+
+    packed = let(let(let(let(named, first_of_node), spread), strongest), shares)
+    # written once: the filter would be moved below and work the entries out a second time
+    return cut(given.select(
+        "ordinal", "pool", (F.col("abundance").cast("double") if options.weighting == "abundance" else F.lit(1.0)).alias("read_weight"), packed.alias("entries")
+    )).filter(F.size("entries") > 0)
+
+
+def _reach(nodes: DataFrame, edges: DataFrame, radius: int) -> DataFrame:
+    """One row, as large as the reference: ``reach``, from a call to the nodes it names and their neighbours.
+
+    Every read looks up its calls in it, so reads are neither shuffled nor dealt by call.
+    """
+    near = edges.filter(F.col("distance") <= radius).groupBy("node").agg(
+        F.collect_list(F.struct(F.col("neighbour").alias("node"), F.col("distance").cast("int").alias("distance"), "substitution_only")).alias("near")
     )
+    named = nodes.select("node", F.explode("names").alias("call")).join(near, "node", "left")
+    none = F.array().cast("array<struct<node:string,distance:int,substitution_only:boolean>>")
+    by_call = named.groupBy("call").agg(F.collect_list(F.struct("node", F.coalesce("near", none).alias("near"))).alias("named"))
+    return by_call.agg(F.map_from_entries(F.collect_list(F.struct("call", "named"))).alias("reach"))
 
 
 def _posterior(entries: str = "entries", state: str = "expected") -> Column:
@@ -214,7 +242,7 @@ def refine(table: DataFrame, reference: DataFrame, options: RefinementOptions |
     options = options or RefinementOptions()
     nodes = cut(allele_nodes(reference))
     edges = cut(allele_edges(nodes, options.radius))
-    rows = cut(evidence(refinement_rows(table, options), nodes, edges, options))
+    rows = evidence(refinement_rows(table, options), nodes, edges, options)
     usage = fit_usage(rows, nodes, options)
     return Refinement(options, rows, nodes, usage, _calls(_scored(rows, usage), nodes))
 

@@ -797,7 +797,7 @@ def _(spark, d):
 
 def _v_reference(spark, d) -> DataFrame:
     """Named V alleles behind the reads: *01 of every gene."""
-    return table(spark, d).select(F.concat("v_gene", F.lit("*01")).alias("name"), F.col("v_reference").alias("sequence")).distinct()
+    return cut(table(spark, d).select(F.concat("v_gene", F.lit("*01")).alias("name"), F.col("v_reference").alias("sequence")).distinct())
 
 
 _UNIT_STEPS = (
@@ -854,7 +854,8 @@ _ALLELE_SQL = (
 
 
 def _alleles(spark, d) -> DataFrame:
-    t = table(spark, d).select("v_gene", "v_reference", "v_donor").distinct()
+    # written once: four reads of it would derive the repertoire four times, with the filter below inside the derivation
+    t = cut(table(spark, d).select("v_gene", "v_reference", "v_donor").distinct())
     one = t.select(F.concat("v_gene", F.lit("*01")).alias("name"), F.col("v_reference").alias("sequence"))
     flipped = F.concat(F.substring("v_reference", 1, 39), F.translate(F.substring("v_reference", 40, 1), "ACGT", "CATG"), F.substring("v_reference", 41, 200))
     two = t.select(F.concat("v_gene", F.lit("*02")).alias("name"), flipped.alias("sequence"))
