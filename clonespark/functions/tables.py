@@ -6,18 +6,25 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 
-@F.udtf(returnType="kmer string, position int", useArrow=True)
+# Not by Arrow: that makes a frame of its own for every call, and there is one call per sequence.
+@F.udtf(returnType="kmer string, position int, occurrence int", useArrow=False)
 class Kmers:
-    """``kmers(sequence, k)``: every window of ``k`` letters with its 1-based position; none for null or shorter texts."""
+    """``kmers(sequence, k)``: every window of ``k`` letters with its 1-based position; none for null or shorter texts.
+
+    ``occurrence`` numbers the equal windows of a sequence from 1, so that those with 1 count the sequences that hold it.
+    """
 
     def eval(self, sequence, k):
         if sequence is None or k is None or k < 1:
             return
+        seen: dict[str, int] = {}
         for at in range(len(sequence) - k + 1):
-            yield sequence[at : at + k], at + 1
+            kmer = sequence[at : at + k]
+            seen[kmer] = seen.get(kmer, 0) + 1
+            yield kmer, at + 1, seen[kmer]
 
 
-@F.udtf(returnType="`column` int, query string, reference string, query_position int, reference_position int", useArrow=True)
+@F.udtf(returnType="`column` int, query string, reference string, query_position int, reference_position int", useArrow=False)
 class AlignmentColumns:
     """``alignment_columns(query, reference)``: one row per column with the letters and their positions without gaps.
 

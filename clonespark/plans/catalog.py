@@ -1473,7 +1473,7 @@ def _(spark, d):
     register_tables(spark)
     cut(table(spark, d).select("ordinal", "j_gene", "cdr3")).createOrReplaceTempView("clonespark_reads")
     return spark.sql(
-        "SELECT j_gene, kmer, count(*) AS windows, count(DISTINCT ordinal) AS records, min(position) AS first_position FROM clonespark_reads, LATERAL kmers(cdr3, 6) GROUP BY j_gene, kmer"
+        "SELECT j_gene, kmer, count(*) AS windows, count_if(occurrence = 1) AS records, min(position) AS first_position FROM clonespark_reads, LATERAL kmers(cdr3, 6) GROUP BY j_gene, kmer"
     )
 
 

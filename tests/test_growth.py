@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from clonespark.functions.register import register_functions
 from clonespark.plans import catalog as C
 
 SMALL = "/root/testdata/sf0.001"
@@ -22,3 +23,9 @@ def test_evidence_does_not_shuffle_reads(spark, capsys):
     rows = C.QUERIES["evidence_rows"](spark, SMALL)
     assert "Exchange" not in _plan(rows, capsys)
     assert rows.groupBy("ordinal").agg(F.sum("weight").alias("w")).filter("abs(w - 1) > 1e-5").isEmpty()
+
+
+def test_kmer_occurrences(spark):
+    register_functions(spark)
+    got = spark.sql("SELECT * FROM kmers('ACACA', 2)").collect()
+    assert [tuple(r) for r in got] == [("AC", 1, 1), ("CA", 2, 1), ("AC", 3, 2), ("CA", 4, 2)]
