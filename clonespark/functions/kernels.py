@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,6 +103,130 @@ def edit_profile_of(parent: str, child: str, maximum: int) -> tuple[int, int, in
 EDIT_PROFILE_TYPE = "distance int, substitutions int, insertions int, deletions int"
 
 
+def _letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Flat letters of all texts, first letter and length of each."""
+    flat = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
+    data = np.frombuffer(flat.buffers()[2] or b"", np.uint8)
+    if len(data) and data[offsets[0] : offsets[-1]].max(initial=0) > 127:
+        length = np.array([len(t) for t in texts.to_pylist()], np.int64)
+        return np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32), np.cumsum(length) - length, length
+    return data, offsets[:-1], np.diff(offsets)
+
+
+def _agreeing(a: np.ndarray, b: np.ndarray, from_a: np.ndarray, from_b: np.ndarray, room: np.ndarray, step: int) -> np.ndarray:
+    """How many letters agree from two places on, at most ``room``, going by ``step``."""
+    count = np.zeros(len(room), np.int64)
+    open_rows = np.flatnonzero(room > 0)
+    width = 8
+    while len(open_rows):
+        # as many letters at once as the last round found agreeing; the first letter that differs ends a row
+        at = step * (count[open_rows][:, None] + np.arange(width))
+        inside = np.abs(at) < room[open_rows][:, None]
+        x = a[np.where(inside, from_a[open_rows][:, None] + at, 0)]
+        y = b[np.where(inside, from_b[open_rows][:, None] + at, 0)]
+        same = np.logical_and.accumulate((x == y) & inside, axis=1)
+        count[open_rows] += same.sum(axis=1)
+        open_rows = open_rows[same[:, -1] & (count[open_rows] < room[open_rows])]
+        width = min(2 * width, 64)
+    return count
+
+
+#: Pairs whose profiles are computed at once.
+PROFILE_ROWS = 4096
+
+
+def edit_distances(left: pa.Array, right: pa.Array, limit: np.ndarray) -> np.ndarray:
+    """Levenshtein distance of each pair, -1 above its limit.
+
+    For 0, 1, 2, ... edits every diagonal keeps the furthest place of the left text that so many edits reach. Only diagonals
+    from which the edits left over lead to the end of both texts are followed.
+    """
+    a, start_a, length_a = _letters(left)
+    b, start_b, length_b = _letters(right)
+    out = np.full(len(limit), -1, np.int64)
+    rows = np.flatnonzero(np.abs(length_b - length_a) <= limit)
+    most = int(limit[rows].max(initial=0))
+    never = np.int64(-(1 << 40))
+    # one column more on either side, which is never reached
+    reach = np.full((2 * most + 3, len(rows)), never)
+    for edits in range(most + 1):
+        new = np.full_like(reach, never)
+        n_a, n_b, left_over = length_a[rows], length_b[rows], limit[rows] - edits
+        for d in range(-edits, edits + 1):
+            at = d + most + 1
+            if edits:
+                i = np.maximum(np.maximum(reach[at] + 1, reach[at - 1]), reach[at + 1] + 1)
+                i = np.minimum(np.minimum(i, n_a), n_b - d)
+            else:
+                i = np.zeros(len(rows), np.int64)
+            on = np.flatnonzero((i >= 0) & (i + d >= 0) & (np.abs(n_b - n_a - d) <= left_over))
+            i = i[on]
+            from_a, from_b = start_a[rows[on]] + i, start_b[rows[on]] + i + d
+            new[at, on] = i + _agreeing(a, b, from_a, from_b, np.minimum(n_a[on] - i, n_b[on] - i - d), 1)
+        ended = new[n_b - n_a + most + 1, np.arange(len(rows))] == n_a
+        out[rows[ended]] = edits
+        open_rows = ~ended & (left_over > 0)
+        rows, reach = rows[open_rows], new[:, open_rows]
+    return out
+
+
+def edit_profiles(parents: pa.Array, children: pa.Array, maximum: int) -> np.ndarray:
+    """``edit_profile_of`` of many pairs, one row of four numbers each, -1 beyond ``maximum`` edits.
+
+    What agrees at both ends is left out: some best alignment pairs it letter by letter. The rest goes through the same
+    band of cells for all pairs together. A cell is one number, whose digits are cost, indels, substitutions
+    and deletions, so that the preference order is the order of numbers.
+    """
+    out = np.full((len(parents), 4), -1, np.int64)
+    a, start_a, length_a = _letters(parents)
+    b, start_b, length_b = _letters(children)
+    near = np.flatnonzero(np.abs(length_a - length_b) <= maximum)
+    start_a, length_a, start_b, length_b = start_a[near], length_a[near], start_b[near], length_b[near]
+    shorter = np.minimum(length_a, length_b)
+    front = _agreeing(a, b, start_a, start_b, shorter, 1)
+    back = _agreeing(a, b, start_a + length_a - 1, start_b + length_b - 1, shorter - front, -1)
+    start_a, start_b = start_a + front, start_b + front
+    length_a, length_b = length_a - front - back, length_b - front - back
+    digit = maximum + 2
+    unit = digit**3
+    beyond = np.int64(digit * unit)
+    miss, insertion, deletion = unit + digit, unit + digit**2, unit + digit**2 + 1
+    order = np.argsort(length_a, kind="stable")
+    a, b = (np.append(x, x.dtype.type(0)) for x in (a, b))
+    for low in range(0, len(order), PROFILE_ROWS):
+        rows = order[low : low + PROFILE_ROWS]
+        n_a, n_b, at_a, at_b = length_a[rows], length_b[rows], start_a[rows], start_b[rows]
+        # cell[d] is column j = i + d - maximum of the current letter i of the parent
+        width = 2 * maximum + 1
+        cell = np.full((width, len(rows)), beyond)
+        for j in range(maximum + 1):
+            cell[maximum + j] = np.where(j <= n_b, j * insertion, beyond)
+        for i in range(1, int(n_a.max(initial=0)) + 1):
+            going = i <= n_a
+            base = a[np.where(going, at_a + i - 1, 0)]
+            new = np.full_like(cell, beyond)
+            for d in range(width):
+                j = i + d - maximum
+                if j < 0:
+                    continue
+                best = cell[d + 1] + deletion if d + 1 < width else np.full(len(rows), beyond)
+                if j > 0:
+                    other = b[np.where(j <= n_b, at_b + j - 1, len(b) - 1)]
+                    best = np.minimum(best, cell[d] + np.where(base == other, 0, miss))
+                    if d:
+                        best = np.minimum(best, new[d - 1] + insertion)
+                new[d] = np.where((j <= n_b) & (best < (maximum + 1) * unit), best, beyond)
+            cell = np.where(going, new, cell)
+        last = cell[n_b - n_a + maximum, np.arange(len(rows))]
+        cost, rest = np.divmod(last, unit)
+        indels, rest = np.divmod(rest, digit**2)
+        substitutions, deletions = np.divmod(rest, digit)
+        done = np.stack([cost, substitutions, indels - deletions, deletions], axis=1)
+        out[near[rows]] = np.where((last < beyond)[:, None], done, -1)
+    return out
+
+
 def edit_profile(maximum: int):
     """UDF (parent, child) -> profile struct, all NULL beyond ``maximum`` edits."""
     if not 0 <= maximum <= 8:
@@ -109,11 +234,9 @@ def edit_profile(maximum: int):
 
     @F.pandas_udf(EDIT_PROFILE_TYPE)
     def profile(parent: pd.Series, child: pd.Series) -> pd.DataFrame:
-        rows = [
-            edit_profile_of(p, c, maximum) or (None, None, None, None)
-            for p, c in zip(parent.fillna(""), child.fillna(""), strict=True)
-        ]
-        return pd.DataFrame(rows, columns=["distance", "substitutions", "insertions", "deletions"]).astype("Int32")
+        rows = edit_profiles(pa.array(parent.fillna(""), pa.string()), pa.array(child.fillna(""), pa.string()), maximum)
+        frame = pd.DataFrame(rows, columns=["distance", "substitutions", "insertions", "deletions"]).astype("Int32")
+        return frame.mask(frame["distance"] < 0)
 
     return profile.asNondeterministic()
 

@@ -146,10 +146,10 @@ def indel_targets(pool: DataFrame, options: DenoiseOptions) -> DataFrame:
     """Indel-aware model: the closest plausible and strictly more abundant parent."""
     limit = options.max_edit
     indexed = pool.filter(F.col("count") >= options.min_parent_count)
-    pairs = edit_pairs(pool, indexed, limit=limit, hot_group=options.hot_group).select(
+    pairs = edit_pairs(pool, indexed, limit=limit, hot_group=options.hot_group, above="count").select(
         F.col("left_id").alias("child"), F.col("right_id").alias("parent")
     )
-    edges = _edges(pairs.filter("child <> parent"), pool).filter("parent_count > child_count")
+    edges = _edges(pairs, pool)
     profiled = edges.withColumn("p", edit_profile(limit)(F.col("parent_seq"), F.col("child_seq"))).filter("p.distance >= 1")
     length, subs = F.length("child_seq"), F.col("p.substitutions")
     indels = F.col("p.insertions") + F.col("p.deletions")

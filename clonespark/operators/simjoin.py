@@ -18,9 +18,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.kernels import edit_distances
 from ..functions.sequences import PACK_WIDTH, blocks, packed_hamming, packed_words
 from ..session import cut
 
@@ -74,6 +77,46 @@ def _verified(left: DataFrame, right: DataFrame, key: str, keep: list[str], dist
     return joined.filter(within).select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), "distance")
 
 
+#: Columns with the numbers of these letters in a text.
+NUMBERS = {f"n_{c}": c for c in "ACGT"}
+
+
+def _numbered(frame: DataFrame) -> DataFrame:
+    return frame.withColumns({name: F.length("seq") - F.length(F.translate("seq", letter, "")) for name, letter in NUMBERS.items()})
+
+
+#: Candidate pairs measured at once.
+MEASURED = 8192
+
+
+def _measured(left: DataFrame, right: DataFrame, extra: Column | None) -> DataFrame:
+    """Pairs of equal ``part`` and ``key`` whose edit distance is within ``lim`` of the left row, measured many at once.
+
+    An edit changes the numbers of two letters by one at most, so pairs whose numbers differ by more are not measured.
+    """
+    a, b = _alias(left, "l_", left.columns), _alias(right, "r_", right.columns)
+    condition = (F.col("l_part") == F.col("r_part")) & (F.col("l_key") == F.col("r_key")) & (F.col("l_path") == F.col("r_path"))
+    unlike = sum((F.abs(F.col(f"l_{c}") - F.col(f"r_{c}")) for c in NUMBERS), F.lit(0))
+    condition = condition & (unlike <= 2 * F.col("l_lim"))
+    if extra is not None:
+        condition = condition & extra
+
+    def measure(batches):
+        for batch in batches:
+            for low in range(0, len(batch), MEASURED):
+                rows = batch.slice(low, MEASURED)
+                found = edit_distances(rows.column("l_seq"), rows.column("r_seq"), rows.column("l_lim").to_numpy().astype(np.int64))
+                kept = np.flatnonzero(found >= 0)
+                at = pa.array(kept)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("l_id").take(at), rows.column("r_id").take(at), pa.array(found[kept].astype(np.int32))], names=["left_id", "right_id", "distance"]
+                )
+
+    left_id, right_id = (side.schema["id"].dataType.simpleString() for side in (left, right))
+    candidates = a.join(b, condition).select("l_id", "r_id", "l_lim", "l_seq", "r_seq")
+    return candidates.mapInArrow(measure, f"left_id {left_id}, right_id {right_id}, distance int")
+
+
 def _carried(words: int) -> list[str]:
     return ["id", "lim", *[f"w{i}" for i in range(words)]]
 
@@ -146,6 +189,11 @@ def hamming_pairs(
     return pairs if links_only else pairs.dropDuplicates(["left_id", "right_id"])
 
 
+def _segment_key(*agreed: Column) -> Column:
+    """Bucket of what two rows agree on, as a number. Rows of one path that fall together by chance are measured and told apart."""
+    return F.xxhash64("path", *agreed)
+
+
 def _indexed_segments(frame: DataFrame) -> DataFrame:
     """Indexed side of the edit join: ``lim + 1`` segments, or one key if too short."""
     length = F.length("rest")
@@ -158,14 +206,19 @@ def _indexed_segments(frame: DataFrame) -> DataFrame:
         keyed.withColumn("short", length <= F.col("lim"))
         .withColumn("start", start)
         .withColumn("span", F.length("value"))
-        .withColumn("key", F.when(F.col("short"), F.concat_ws("|", "path", F.lit("short")))
-                    .otherwise(F.concat_ws("|", "path", F.col("b").cast("string"), "value")))
+        .withColumn("key", F.when(F.col("short"), _segment_key(F.lit("short"))).otherwise(_segment_key(F.col("b"), F.col("value"))))
         .drop("n", "value")
     )
 
 
 def _probing_segments(frame: DataFrame) -> DataFrame:
-    """Probing side: every placement of each indexed segment within ``lim`` shifts."""
+    """Probing side: every placement of each indexed segment that an alignment within ``lim`` edits can need.
+
+    Of ``lim + 1`` segments and at most ``lim`` edits some segment ``b`` (from 0) is free of edits and has exactly ``b``
+    edits before it: the edits up to a segment less the segments so far start at 0, fall by at most one a
+    segment and end below 0. At most ``lim - b`` edits then lie behind it, so that it is shifted by at most
+    ``b`` from the front and by at most ``lim - b`` from the back.
+    """
     n = F.col("lim") + 1
     spans = F.transform(
         F.sequence(F.lit(0), F.col("lim")),
@@ -180,11 +233,13 @@ def _probing_segments(frame: DataFrame) -> DataFrame:
         F.lit(True).alias("short"),
         F.lit(0).alias("start"),
         F.lit(0).alias("span"),
-        F.concat_ws("|", "path", F.lit("short")).alias("key"),
+        _segment_key(F.lit("short")).alias("key"),
     )
     seg = frame.filter(F.col("rlen") > F.col("lim")).select("*", F.explode(spans).alias("s"))
-    first = F.greatest(F.lit(0), F.col("s.start") - F.col("lim"))
-    last = F.least(F.length("rest") - F.col("s.span"), F.col("s.start") + F.col("lim"))
+    before, behind = F.col("s.b"), F.col("lim") - F.col("s.b")
+    from_back = F.col("s.start") + F.length("rest") - F.col("rlen")
+    first = F.greatest(F.lit(0), F.col("s.start") - before, from_back - behind)
+    last = F.least(F.length("rest") - F.col("s.span"), F.col("s.start") + before, from_back + behind)
     placed = seg.filter(last >= first).select("*", F.explode(F.sequence(first, last)).alias("at"))
     value = F.substring("rest", F.col("at") + 1, F.col("s.span"))
     long = placed.select(
@@ -192,7 +247,7 @@ def _probing_segments(frame: DataFrame) -> DataFrame:
         F.lit(False).alias("short"),
         F.col("at").alias("start"),
         F.col("s.span").alias("span"),
-        F.concat_ws("|", "path", F.col("s.b").cast("string"), value).alias("key"),
+        _segment_key(F.col("s.b"), value).alias("key"),
     )
     return short.unionByName(long)
 
@@ -202,10 +257,10 @@ def _drop_segment(keyed: DataFrame, probing: bool) -> DataFrame:
         F.substring("rest", F.lit(1), F.col("start")),
         F.substring("rest", F.col("start") + F.col("span") + 1, F.length("rest")),
     )
-    out = keyed.withColumn("rest", rest).withColumn("path", F.col("key"))
+    out = keyed.withColumn("rest", rest).withColumn("path", F.concat_ws("|", F.substring_index("path", "|", 1), F.col("key").cast("string")))
     if probing:
         out = out.withColumn("rlen", F.col("rlen") - F.col("span"))
-    return out.drop("b", "start", "span", "key", "short").dropDuplicates(["id", "part", "path", "rest"])
+    return out.drop("b", "start", "span", "key", "short").dropDuplicates(["id", "part", "path", "rest", "lim", *(["rlen"] if probing else [])])
 
 
 def edit_pairs(
@@ -215,12 +270,16 @@ def edit_pairs(
     limit: int | None = None,
     identity: float | None = None,
     hot_group: int = HOT_GROUP,
+    above: str | None = None,
 ) -> DataFrame:
     """Pairs within a Levenshtein limit; ``right`` is indexed, ``left`` probes it.
 
     The limit is either a constant or ``floor((1 - identity) * longer length)``.
     Inputs carry ``id``, ``part`` and ``seq``; result ``left_id, right_id, distance``.
+    With ``above``, a number both inputs carry, only pairs whose right row has more of it are measured.
     """
+    left, right = _numbered(left), _numbered(right)
+    carried = [*NUMBERS, *([] if above is None else [above])]
     if (limit is None) == (identity is None):
         raise ValueError("give either a limit or an identity")
     r_len, l_len = F.length("seq"), F.length("seq")
@@ -244,32 +303,26 @@ def edit_pairs(
         def lim_of(other: Column) -> Column:
             return F.floor(slack * F.greatest(l_len, other) + 1e-9).cast("int")
 
-    frame_r = right.select("id", "part", F.explode(lims).alias("lim"), "seq").select(
+    frame_r = right.select("id", "part", F.explode(lims).alias("lim"), "seq", *carried).select(
         "*", F.col("seq").alias("rest"), F.concat_ws("~", F.length("seq").cast("string"), F.col("lim").cast("string")).alias("path")
     )
     frame_l = (
-        left.select("id", "part", "seq", F.explode(lengths).alias("rlen"))
+        left.select("id", "part", "seq", *carried, F.explode(lengths).alias("rlen"))
         .withColumn("lim", lim_of(F.col("rlen")))
         .filter(F.abs(F.length("seq") - F.col("rlen")) <= F.col("lim"))
         .select("*", F.col("seq").alias("rest"), F.concat_ws("~", F.col("rlen").cast("string"), F.col("lim").cast("string")).alias("path"))
     )
-    keep = ["id", "lim", "seq"]
-    distance = F.expr("CASE WHEN l_seq = r_seq THEN 0 ELSE levenshtein(l_seq, r_seq, l_lim) END")
+    wanted = None if above is None else F.col(f"r_{above}") > F.col(f"l_{above}")
     found: list[DataFrame] = []
     while True:
         keyed_l, keyed_r = _probing_segments(frame_l), _indexed_segments(frame_r)
-        slim_l = keyed_l.select("part", "key", *keep).distinct()
         hot = _hot_keys(keyed_l.filter(~F.col("short")), keyed_r.filter(~F.col("short")), hot_group)
         if hot is None:
-            found.append(_verified(slim_l, keyed_r, "key", keep, distance, None))
+            found.append(_measured(keyed_l, keyed_r, wanted))
             break
-        found.append(
-            _verified(
-                slim_l.join(hot, ["part", "key"], "left_anti"),
-                keyed_r.join(hot, ["part", "key"], "left_anti"),
-                "key", keep, distance, None,
-            )
-        )
-        frame_l = cut(_drop_segment(keyed_l.join(hot, ["part", "key"], "left_semi"), True))
-        frame_r = cut(_drop_segment(keyed_r.join(hot, ["part", "key"], "left_semi"), False))
+        hot = hot.withColumn("short", F.lit(False))
+        at = ["part", "key", "short"]
+        found.append(_measured(keyed_l.join(hot, at, "left_anti"), keyed_r.join(hot, at, "left_anti"), wanted))
+        frame_l = cut(_drop_segment(keyed_l.join(hot, at, "left_semi"), True))
+        frame_r = cut(_drop_segment(keyed_r.join(hot, at, "left_semi"), False))
     return _union(found).dropDuplicates(["left_id", "right_id"])

@@ -1,8 +1,14 @@
 """Steps whose cost must follow the number of reads."""
 
+import random
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from clonespark.functions.kernels import edit_distances, edit_profile_of, edit_profiles
 from clonespark.functions.register import register_functions
+from clonespark.operators import simjoin
 from clonespark.plans import catalog as C
 
 SMALL = "/root/testdata/sf0.001"
@@ -29,3 +35,29 @@ def test_kmer_occurrences(spark):
     register_functions(spark)
     got = spark.sql("SELECT * FROM kmers('ACACA', 2)").collect()
     assert [tuple(r) for r in got] == [("AC", 1, 1), ("CA", 2, 1), ("AC", 3, 2), ("CA", 4, 2)]
+
+
+def test_edit_join_probes_few_places_and_measures_wanted_pairs_only(spark):
+    texts = spark.createDataFrame([(i, "p", "ACGT" * 10 + "AC" * i, i) for i in range(1, 4)], "id long, part string, seq string, count long")
+    frame = texts.select("id", "part", "seq", F.col("seq").alias("rest"), F.explode(F.array(*[F.length("seq") + d for d in range(-2, 3)])).alias("rlen"), F.lit(2).alias("lim"), F.lit("").alias("path"))
+    assert {r["count"] for r in simjoin._probing_segments(frame).groupBy("id").count().collect()} == {19}  # 75 with every shift by two
+    found = simjoin.edit_pairs(texts, texts, limit=2, above="count").collect()
+    assert {tuple(r) for r in found} == {(1, 2, 2), (2, 3, 2)}
+
+
+def test_edit_kernels_equal_the_plain_rules():
+    pick = random.Random(5)
+    for limit in (0, 1, 2, 4):
+        pairs = []
+        for _ in range(400):
+            letters = pick.choice(["ACGT", "AC", "Aé"])
+            parent = "".join(pick.choices(letters, k=pick.choice([0, 1, 2, 5, 30])))
+            child = list(parent)
+            for _ in range(pick.randint(0, limit + 1)):
+                at = pick.randint(0, len(child))
+                child[at : at + pick.randint(0, 1)] = pick.choices(letters, k=pick.randint(0, 1))
+            pairs.append((parent, "".join(child)))
+        parents, children = (pa.array(x, pa.string()) for x in zip(*pairs, strict=True))
+        wanted = [list(edit_profile_of(*p, limit) or [-1] * 4) for p in pairs]
+        assert edit_profiles(parents, children, limit).tolist() == wanted
+        assert edit_distances(parents.slice(7), children.slice(7), np.full(len(pairs) - 7, limit)).tolist() == [w[0] for w in wanted[7:]]
