@@ -202,10 +202,16 @@ def _posterior(entries: str = "entries", state: str = "expected") -> Column:
     """Posterior over a row's own alleles given the pool's expected log usage; alleles without one have no part."""
     scored = F.transform(entries, lambda e: F.struct(e["node"].alias("node"), (F.log(e["weight"]) + F.element_at(state, e["node"])).alias("x")))
     scored = F.filter(scored, lambda e: e["x"].isNotNull())
-    peak = F.array_max(F.transform(scored, lambda e: e["x"]))
-    raised = F.transform(scored, lambda e: F.struct(e["node"].alias("node"), F.exp(e["x"] - peak).alias("x")))
-    total = F.aggregate(raised, F.lit(0.0), lambda s, e: s + e["x"])
-    return F.transform(raised, lambda e: F.struct(e["node"].alias("node"), (e["x"] / total).alias("probability")))
+
+    def raised(found: Column) -> Column:
+        return let(F.array_max(F.transform(found, lambda e: e["x"])), lambda peak: F.transform(found, lambda e: F.struct(e["node"].alias("node"), F.exp(e["x"] - peak).alias("x"))))
+
+    def shares(found: Column) -> Column:
+        total = F.aggregate(found, F.lit(0.0), lambda t, e: t + e["x"])
+        return let(total, lambda t: F.transform(found, lambda e: F.struct(e["node"].alias("node"), (e["x"] / t).alias("probability"))))
+
+    # every step is worked out once a read, not once for every allele of the step behind it
+    return let(let(scored, raised), shares)
 
 
 def fit_usage(rows: DataFrame, nodes: DataFrame, options: RefinementOptions) -> DataFrame:
@@ -251,7 +257,9 @@ def _scored(rows: DataFrame, usage: DataFrame) -> DataFrame:
     """Evidence rows with their posterior, and what is known of their pool."""
     known = F.map_from_entries(F.filter(F.collect_list(F.struct("node", "expected")), lambda e: e["expected"].isNotNull()))
     maps = usage.groupBy("pool").agg(known.alias("expected"), F.max("iterations").alias("iterations"), F.every("converged").alias("converged"))
-    return rows.join(maps, "pool").withColumn("posterior", _posterior()).drop("expected")
+    # reads of a pool stay where they are as long as the usages are small: pools are few and large
+    few = usage.count() * allele_models.STATE_BYTES <= allele_models.BROADCAST
+    return rows.join(F.broadcast(maps) if few else maps, "pool").withColumn("posterior", _posterior()).drop("expected")
 
 
 def _leading(column: str, value: str) -> Column:

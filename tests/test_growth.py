@@ -1,5 +1,6 @@
 """Steps whose cost must follow the number of reads."""
 
+import math
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clonespark.functions.kernels import edit_distances, edit_profile_of, edit_profiles
 from clonespark.functions.register import register_functions
-from clonespark.operators import simjoin
+from clonespark.operators import refinement, simjoin
 from clonespark.plans import catalog as C
 
 SMALL = "/root/testdata/sf0.001"
@@ -61,3 +62,18 @@ def test_edit_kernels_equal_the_plain_rules():
         wanted = [list(edit_profile_of(*p, limit) or [-1] * 4) for p in pairs]
         assert edit_profiles(parents, children, limit).tolist() == wanted
         assert edit_distances(parents.slice(7), children.slice(7), np.full(len(pairs) - 7, limit)).tolist() == [w[0] for w in wanted[7:]]
+
+
+def test_reads_are_not_dealt_by_pool_and_posteriors_are_worked_out_once(spark, capsys):
+    rows = spark.createDataFrame([(1, "p", [("a", 0.5), ("b", 0.5)])], "ordinal long, pool string, entries array<struct<node:string,weight:double>>")
+    usage = spark.createDataFrame([("p", "a", -1.0, 3, True), ("p", "b", -2.0, 3, True)], "pool string, node string, expected double, iterations int, converged boolean")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored = refinement._scored(rows, usage)
+        plan = _plan(scored, capsys)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and plan.count("ln(") + plan.count("LOG(") == 1
+    share = {e["node"]: e["probability"] for e in scored.first()["posterior"]}
+    assert abs(share["a"] - 1 / (1 + math.exp(-1))) < 1e-12
