@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.letters import GAP, ends_of, flat, pieces
 from ..functions.sequences import is_true_flag, number, text
 from ..functions.kernels import edit_distance_wildcard, minhash_sketch, sketch_similarity, EMPTY_SLOT
 
@@ -220,19 +223,52 @@ def germline_identity(left: str, right: str) -> Column:
 
 
 def region_labels(anchored: DataFrame, regions: tuple[str, ...] = ("fwr1", "cdr1", "fwr2", "cdr2", "fwr3", "cdr3", "fwr4")) -> DataFrame:
-    """Majority region per alignment column, from the members' own coordinates."""
+    """Majority region per alignment column, from the members' own coordinates.
+
+    A read has few runs of columns of one region. Only where they begin and end leaves the read; how many reads
+    cover a column is added up along the columns of a lineage and region.
+    """
     names = [r for r in regions if f"{r}_start" in anchored.columns]
     start = F.greatest(F.lit(1), F.coalesce(F.floor(number("v_sequence_start")), F.lit(1)))
-    cells = anchored.select("lineage_id", "aligned_read", start.alias("s"), *[F.col(f"{r}_{e}").cast("int").alias(f"{r}_{e}") for r in names for e in ("start", "end")])
-    # read bases in order: their index is the offset from the read's first aligned base
-    placed = F.filter(F.transform(F.split("aligned_read", ""), lambda c, i: F.struct(c.alias("q"), i.alias("at"))), lambda x: x["q"] != "-")
-    narrow = cells.withColumn("placed", placed).drop("aligned_read")
-    exploded = narrow.select(*[c for c in narrow.columns if c != "placed"], F.posexplode("placed").alias("offset", "x"))
-    position = F.col("s") + F.col("offset")
-    label = F.coalesce(*[F.when((F.col(f"{r}_start") > 0) & position.between(F.col(f"{r}_start"), F.col(f"{r}_end")), F.lit(r)) for r in names])
-    counts = exploded.select("lineage_id", (F.col("x.at") + 1).alias("column"), label.alias("region")).filter("region IS NOT NULL").groupBy("lineage_id", "column", "region").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    # a region without a start or an end has no columns
+    bounds = [F.coalesce(F.col(f"{r}_{e}").cast("int"), F.lit(0)).alias(f"{r}_{e}") for r in names for e in ("start", "end")]
+    cells = anchored.select("lineage_id", F.coalesce("aligned_read", F.lit("")).alias("aligned_read"), start.cast("long").alias("s"), *bounds)
+
+    def runs(batches):
+        for batch in batches:
+            texts = batch.column("aligned_read").to_pylist()
+            first_base = batch.column("s").to_numpy()
+            limits = [(batch.column(f"{r}_start").to_numpy(), batch.column(f"{r}_end").to_numpy()) for r in names]
+            for part in pieces(np.fromiter(map(len, texts), np.int64, len(texts))):
+                codes, starts = flat(texts[part])
+                owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+                base = codes != GAP
+                before = ends_of(base)
+                position = first_base[part][owner] + before[:-1] - before[starts[:-1]][owner]
+                label = np.full(len(codes), -1, np.int8)
+                for k in reversed(range(len(names))):
+                    low, high = limits[k][0][part][owner], limits[k][1][part][owner]
+                    label[base & (low > 0) & (position >= low) & (position <= high)] = k
+                edge = np.ones(len(codes) + 1, bool)
+                edge[1:-1] = (label[1:] != label[:-1]) | (owner[1:] != owner[:-1])
+                at = np.flatnonzero(edge)
+                labelled = label[at[:-1]] >= 0
+                first, last = at[:-1][labelled], at[1:][labelled]
+                of = owner[first]
+                both = np.concatenate([of, of])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("lineage_id").take(pa.array(both + part.start)), pa.array(names, pa.string()).take(pa.array(np.tile(label[first], 2))),
+                        pa.array((np.concatenate([first, last]) - starts[both] + 1).astype(np.int32)), pa.array(np.repeat(np.array([1, -1]), len(first))),
+                    ],
+                    names=["lineage_id", "region", "column", "delta"],
+                )
+
+    kind = anchored.schema["lineage_id"].dataType.simpleString()
+    changes = cells.mapInArrow(runs, f"lineage_id {kind}, region string, column int, delta long").groupBy("lineage_id", "region", "column").agg(F.sum("delta").alias("delta"))
+    along = Window.partitionBy("lineage_id", "region").orderBy("column")
+    covered = changes.select("lineage_id", "region", "column", F.sum("delta").over(along).alias("n"), F.lead("column").over(along).alias("next")).filter("n > 0")
+    counts = covered.select("lineage_id", "region", "n", F.explode(F.sequence(F.col("column"), F.col("next") - 1)).alias("column"))
     return counts.groupBy("lineage_id", "column").agg(F.min_by("region", F.struct(-F.col("n"), F.col("region"))).alias("region"))
 
 

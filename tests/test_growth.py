@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clonespark.functions.kernels import edit_distances, edit_profile_of, edit_profiles
 from clonespark.functions.register import register_functions
-from clonespark.operators import refinement, simjoin
+from clonespark.operators import consensus, refinement, simjoin
 from clonespark.plans import catalog as C
 
 SMALL = "/root/testdata/sf0.001"
@@ -77,3 +77,18 @@ def test_reads_are_not_dealt_by_pool_and_posteriors_are_worked_out_once(spark, c
     assert "SortMergeJoin" not in plan and plan.count("ln(") + plan.count("LOG(") == 1
     share = {e["node"]: e["probability"] for e in scored.first()["posterior"]}
     assert abs(share["a"] - 1 / (1 + math.exp(-1))) < 1e-12
+
+
+def test_region_labels_send_ends_of_runs_only(spark, capsys):
+    reads = [(1, "-ACG--TA", 1, 1, 2, 3, 5), (1, "AACGTTTA", 1, 1, 4, 3, 8), (1, "AACGT", 3, 1, 4, None, 8), (2, "", 1, 1, 4, 5, 8), (2, "--é", 1, 0, 4, 1, 1)]
+    anchored = spark.createDataFrame(reads, "lineage_id long, aligned_read string, v_sequence_start int, fwr1_start int, fwr1_end int, cdr1_start int, cdr1_end int")
+    found = consensus.region_labels(anchored)
+    assert "posexplode" not in _plan(found, capsys)
+    votes = {}
+    for lineage, text, start, *bounds in reads:
+        for rank, i in enumerate(i for i, c in enumerate(text) if c != "-"):
+            inside = [r for r, (a, b) in zip(("fwr1", "cdr1"), (bounds[:2], bounds[2:]), strict=True) if a and b and a <= start + rank <= b]
+            if inside:
+                count = votes.setdefault((lineage, i + 1), {})
+                count[inside[0]] = count.get(inside[0], 0) + 1
+    assert {tuple(r) for r in found.collect()} == {(*at, min(count, key=lambda r: (-count[r], r))) for at, count in votes.items()}
