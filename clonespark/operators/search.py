@@ -70,8 +70,10 @@ def _hamming(t: DataFrame, q: DataFrame, identity: float, wildcard: bool) -> Dat
 
     A block with a wildcard may differ without costing anything, so a pair whose
     strings hold n wildcards together needs ``d + n + 1`` blocks to be sure that one
-    agrees. Targets are keyed once per wildcard total that the queries can produce.
+    agrees. Targets are keyed once per wildcard total that the queries can produce. Each distinct
+    target is searched once and its hits go back to all records that have it.
     """
+    texts = cut(t.select("target").distinct())
     limit = distance_limit(identity, F.length("target"))
 
     def wild(value: str) -> Column:
@@ -91,15 +93,16 @@ def _hamming(t: DataFrame, q: DataFrame, identity: float, wildcard: bool) -> Dat
         return out.select("*", F.posexplode(parts).alias("b", "block"))
 
     extra = F.explode(F.array(*[F.lit(x) for x in totals]))
-    targets = keyed(t.withColumn("qn", extra), "target", wild("target") + F.col("qn"))
+    targets = keyed(texts.withColumn("qn", extra), "target", wild("target") + F.col("qn"))
     own = q.withColumn("own", wild("query"))
-    target_totals = sorted(r[0] for r in t.select(wild("target")).distinct().collect())
+    target_totals = sorted(r[0] for r in texts.select(wild("target")).distinct().collect())
     queries = keyed(own.withColumn("tn", F.explode(F.array(*[F.lit(x) for x in target_totals]))), "query", F.col("own") + F.col("tn"))
     joined = targets.withColumn("own", F.col("qn")).drop("qn").join(
         queries.drop("tn"), ["own", "wild", "len", "b", "block"]
     )
     scored = joined.withColumn("distance", hamming("target", "query", wildcard)).filter(F.col("distance") <= limit)
-    hits = scored.select(*t.columns, *q.columns, "distance").dropDuplicates(["ordinal", "query_index"])
+    pairs = scored.select("target", *q.columns, "distance").dropDuplicates(["target", "query_index"])
+    hits = t.join(pairs, "target").select(*t.columns, *q.columns, "distance")
     return hits.withColumn("score", 1 - F.col("distance") / F.length("target"))
 
 

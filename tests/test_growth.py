@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clonespark.functions.kernels import edit_distances, edit_profile_of, edit_profiles
 from clonespark.functions.register import register_functions
-from clonespark.operators import consensus, refinement, simjoin
+from clonespark.operators import consensus, refinement, search, simjoin
 from clonespark.plans import catalog as C
 
 SMALL = "/root/testdata/sf0.001"
@@ -92,3 +92,13 @@ def test_region_labels_send_ends_of_runs_only(spark, capsys):
                 count = votes.setdefault((lineage, i + 1), {})
                 count[inside[0]] = count.get(inside[0], 0) + 1
     assert {tuple(r) for r in found.collect()} == {(*at, min(count, key=lambda r: (-count[r], r))) for at, count in votes.items()}
+
+
+def test_hamming_query_searches_each_distinct_target_once(spark, capsys):
+    texts = ["ACGTACGTAC", "ACGTACGTAG", "ACNTACGTAG", "TTTTTTTTTT"]
+    targets = spark.createDataFrame([(i, texts[i % 4]) for i in range(40)], "ordinal long, target string")
+    queries = spark.createDataFrame([(7, "ACGTACGTAC")], "query_index long, query string")
+    hits = search._hamming(targets, queries, 0.9, True)
+    assert "Scan ExistingRDD[target#" in _plan(hits, capsys)  # blocks are cut from these
+    assert {(r.ordinal, r.query_index, r.distance) for r in hits.collect()} == {(i, 7, min(i % 4, 1)) for i in range(40) if i % 4 < 3}
+    assert hits.count() == 30
