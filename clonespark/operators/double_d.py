@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.letters import dealt, ends_of, flat, pieces
 from ..functions.sequences import text
+from ..session import cut
 
 
 @dataclass(frozen=True)
@@ -26,20 +30,46 @@ def _kmers(sequence: str, k: int) -> Column:
     return F.filter(grams, lambda g: g["gram"].rlike(f"^[ACGT]{{{k}}}$"))
 
 
-def _best_prefix(a: Column, b: Column) -> Column:
-    """Length and score of the best-scoring common prefix, +2 a match and -2 a mismatch."""
-    cells = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when(x == y, 2).otherwise(-2))
-    n = F.least(F.length(a), F.length(b))
-    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("i"), F.lit(0).alias("best"), F.lit(0).alias("at"))
-    walked = F.aggregate(
-        F.slice(cells, 1, F.greatest(n, F.lit(1))), start,
-        lambda s, x: F.struct(
-            (s["run"] + x).alias("run"), (s["i"] + 1).alias("i"),
-            F.greatest(s["best"], s["run"] + x).alias("best"),
-            F.when(s["run"] + x > s["best"], s["i"] + 1).otherwise(s["at"]).alias("at"),
-        ),
-    )
-    return F.when(n > 0, walked["at"]).otherwise(0)
+def best_prefixes(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, counts: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Length and equal letters of the best-scoring common prefix of many pairs, +2 a match and -2 a mismatch.
+
+    A prefix runs from ``a[at]`` and ``b[bt]`` over at most ``counts`` letters, backwards for a ``step`` of -1. The shortest of the best is taken.
+    """
+    owner, nth = dealt(counts)
+    run = ends_of(np.where(a[at[owner] + step * nth] == b[bt[owner] + step * nth], 2, -2))
+    first = ends_of(counts)
+    run = run[1:] - run[first[:-1]][owner]
+    best = np.zeros(len(counts), np.int64)
+    some = np.flatnonzero(counts)
+    if len(some):
+        best[some] = np.maximum(np.maximum.reduceat(run, first[some]), 0)
+    length = np.zeros(len(counts), np.int64)
+    top = np.flatnonzero((run == best[owner]) & (run > 0))
+    who, where = np.unique(owner[top], return_index=True)
+    length[who] = nth[top[where]] + 1
+    return length, (best // 2 + length) // 2
+
+
+def _grown(k: int):
+    """UDF (window, gene, 1-based places of an exact seed) -> letters it grows by to the left and right, and all equal letters."""
+
+    @F.arrow_udf("l int, r int, matches int")
+    def grown(window: pa.Array, sequence: pa.Array, q: pa.Array, g: pa.Array) -> pa.Array:
+        texts, genes = window.to_pylist(), sequence.to_pylist()
+        places = [x.to_numpy(zero_copy_only=False).astype(np.int64) - 1 for x in (q, g)]
+        found = [np.zeros((0, 3), np.int32)]
+        for part in pieces(np.fromiter((len(x) + len(y) for x, y in zip(texts, genes, strict=True)), np.int64, len(texts))):
+            a, a0 = flat(texts[part])
+            b, b0 = flat(genes[part])
+            at, bt = places[0][part], places[1][part]
+            l, left = best_prefixes(a, a0[:-1] + at - 1, b, b0[:-1] + bt - 1, np.minimum(at, bt), -1)
+            rest = np.minimum(np.diff(a0) - at, np.diff(b0) - bt) - k
+            r, right = best_prefixes(a, a0[:-1] + at + k, b, b0[:-1] + bt + k, rest, 1)
+            found.append(np.stack([l, r, left + right + k], axis=1).astype(np.int32))
+        out = np.concatenate(found)
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(out[:, i])) for i in range(3)], ["l", "r", "matches"])
+
+    return grown
 
 
 def d_hits(windows: DataFrame, d_genes: DataFrame, options: DoubleDOptions) -> DataFrame:
@@ -48,22 +78,19 @@ def d_hits(windows: DataFrame, d_genes: DataFrame, options: DoubleDOptions) -> D
     ``windows(ordinal, window, locus)``; one hit per read, gene and diagonal.
     """
     k = options.seed
-    reads = windows.select("ordinal", "locus", "window", F.explode(_kmers("window", k)).alias("s")).select("ordinal", "locus", "window", F.col("s.at").alias("q"), F.col("s.gram").alias("gram"))
+    # windows need no test of their letters: the genes' seeds, which they must equal, have been tested
+    places = F.sequence(F.lit(1), F.length("window") - k + 1)
+    reads = windows.filter(F.length("window") >= k).select("ordinal", "locus", "window", F.explode(places).alias("q")).select(
+        "ordinal", "locus", "window", "q", F.substring("window", F.col("q"), F.lit(k)).alias("gram")
+    )
     genes = d_genes.select(F.col("name").alias("gene"), F.col("locus").alias("gene_locus"), "sequence", F.explode(_kmers("sequence", k)).alias("s")).select(
         "gene", "gene_locus", "sequence", F.col("s.at").alias("g"), F.col("s.gram").alias("gram")
     )
     same = (F.col("gene_locus") == "") | (F.col("locus") == "") | (F.col("gene_locus") == F.col("locus"))
     seeds = reads.join(genes, "gram").filter(same)
     first = seeds.groupBy("ordinal", "gene", (F.col("q") - F.col("g")).alias("diagonal")).agg(F.min_by(F.struct("window", "sequence", "q", "g"), "q").alias("s"))
-    rows = first.select("ordinal", "gene", "s.*")
-    left = _best_prefix(F.reverse(F.substring(F.col("window"), F.lit(1), F.col("q") - 1)), F.reverse(F.substring(F.col("sequence"), F.lit(1), F.col("g") - 1)))
-    right = _best_prefix(F.substring(F.col("window"), F.col("q") + k, F.length("window")), F.substring(F.col("sequence"), F.col("g") + k, F.length("sequence")))
-    rows = rows.withColumn("l", left).withColumn("r", right)
+    rows = first.select("ordinal", "gene", "s.*").withColumn("w", _grown(k)("window", "sequence", "q", "g")).select("ordinal", "gene", "q", "g", "w.*")
     rows = rows.withColumn("start", F.col("q") - 1 - F.col("l")).withColumn("end", F.col("q") - 1 + k + F.col("r")).withColumn("gene_start", F.col("g") - 1 - F.col("l"))
-    a = F.substring(F.col("window"), F.col("start") + 1, F.col("end") - F.col("start"))
-    b = F.substring(F.col("sequence"), F.col("gene_start") + 1, F.col("end") - F.col("start"))
-    equal = F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x == y), lambda t: t))
-    rows = rows.withColumn("matches", equal)
     return rows.select("ordinal", "gene", "start", "end", "gene_start", "matches", (F.col("matches") * 4 - (F.col("end") - F.col("start")) * 2).alias("score"))
 
 
@@ -72,11 +99,20 @@ def screen_double_d(windows: DataFrame, d_genes: DataFrame, options: DoubleDOpti
 
     A pair is dropped when its whole outer span, less a few bases, is nearly contained
     in one germline D: that is one D read twice. A read has few hits, so its pairs are
-    formed inside one row.
+    formed inside one row. Reads of equal window and locus have the same pair: each
+    distinct window is screened once.
     """
     o = options or DoubleDOptions()
     usable = windows.filter((F.length("window") >= 2 * o.seed) & (F.length("window") >= o.min_vj_span) & F.col("locus").isin("IGH", "TRB", "TRD"))
-    hits = d_hits(usable, d_genes, o)
+    texts = cut(usable.select("window", "locus").distinct().withColumn("ordinal", F.monotonically_increasing_id()))
+    screened = _screen_distinct(texts, d_genes, o).withColumnRenamed("ordinal", "text")
+    owners = usable.select("ordinal", "window", "locus").join(texts.withColumnRenamed("ordinal", "text"), ["window", "locus"]).select("ordinal", "text")
+    return owners.join(screened, "text").drop("text")
+
+
+def _screen_distinct(windows: DataFrame, d_genes: DataFrame, o: DoubleDOptions) -> DataFrame:
+    """``screen_double_d`` for usable windows that are on disk."""
+    hits = cut(d_hits(windows, d_genes, o))  # read four times
     # bounded by (read length x number of D alleles)
     per_read = hits.groupBy("ordinal").agg(F.collect_list(F.struct("start", "end", "score", "gene", "matches", "gene_start")).alias("h"), F.max("score").alias("single"))
     listed = F.flatten(

@@ -1196,9 +1196,9 @@ def _(spark, d):
     t = table(spark, d)
     windows = t.filter("cdr3 <> ''").select("ordinal", F.lit("IGH").alias("locus"), F.col("cdr3").alias("window"))
     seeds = t.filter("cdr3 <> ''").select(F.col("cdr3").alias("s")).distinct()
-    genes = seeds.select(F.explode(F.array(F.substring("s", 2, 11), F.substring("s", 14, 11))).alias("sequence")).distinct().select(
+    genes = cut(seeds.select(F.explode(F.array(F.substring("s", 2, 11), F.substring("s", 14, 11))).alias("sequence")).distinct().select(
         F.concat(F.lit("IGHD"), F.substring(F.md5("sequence"), 1, 12)).alias("name"), F.lit("IGH").alias("locus"), "sequence"
-    )
+    ))
     return DD.screen_double_d(windows, genes, DD.DoubleDOptions(seed=9, min_gain=6))
 
 

@@ -7,9 +7,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from clonespark.functions import letters
 from clonespark.functions.kernels import edit_distances, edit_profile_of, edit_profiles
 from clonespark.functions.register import register_functions
-from clonespark.operators import consensus, refinement, search, simjoin
+from clonespark.operators import consensus, double_d, refinement, search, simjoin
 from clonespark.plans import catalog as C
 
 SMALL = "/root/testdata/sf0.001"
@@ -102,3 +103,33 @@ def test_hamming_query_searches_each_distinct_target_once(spark, capsys):
     assert "Scan ExistingRDD[target#" in _plan(hits, capsys)  # blocks are cut from these
     assert {(r.ordinal, r.query_index, r.distance) for r in hits.collect()} == {(i, 7, min(i % 4, 1)) for i in range(40) if i % 4 < 3}
     assert hits.count() == 30
+
+
+def _best_prefix(a: str, b: str) -> tuple[int, int]:
+    run = best = at = 0
+    for i, (x, y) in enumerate(zip(a, b, strict=False), 1):
+        run += 2 if x == y else -2
+        if run > best:
+            best, at = run, i
+    return at, sum(x == y for x, y in zip(a[:at], b[:at], strict=True))
+
+
+def test_seeds_grow_as_by_the_plain_rule():
+    pick = random.Random(3)
+    pairs = [tuple("".join(pick.choices("ACé", k=pick.randint(0, 12))) for _ in "ab") for _ in range(500)]
+    (a, a0), (b, b0) = (letters.flat([p[side] for p in pairs]) for side in (0, 1))
+    counts = np.minimum(np.diff(a0), np.diff(b0))
+    forward = double_d.best_prefixes(a, a0[:-1], b, b0[:-1], counts, 1)
+    backward = double_d.best_prefixes(a, a0[1:] - 1, b, b0[1:] - 1, counts, -1)
+    assert list(zip(*map(np.ndarray.tolist, forward), strict=True)) == [_best_prefix(x, y) for x, y in pairs]
+    assert list(zip(*map(np.ndarray.tolist, backward), strict=True)) == [_best_prefix(x[::-1], y[::-1]) for x, y in pairs]
+
+
+def test_equal_windows_are_screened_once(spark, monkeypatch):
+    screened, plain = [], double_d.d_hits
+    monkeypatch.setattr(double_d, "d_hits", lambda windows, *rest: screened.append(windows.count()) or plain(windows, *rest))
+    genes = spark.createDataFrame([("D1", "IGH", "GGTACAACGATTACGT"), ("D2", "IGH", "CCATGGCTAAGCCTAT")], "name string, locus string, sequence string")
+    window = "AAGGTACAACGATTACGTTTTCCATGGCTAAGCCTATCC"
+    rows = spark.createDataFrame([(i, window, "IGH") for i in range(5)] + [(9, window, "TRB")], "ordinal long, window string, locus string")
+    found = double_d.screen_double_d(rows, genes)
+    assert sorted(r.ordinal for r in found.collect()) == [0, 1, 2, 3, 4] and screened == [2]
