@@ -45,10 +45,36 @@ def sketch_of(sequence: str, k: int = SKETCH_KMER) -> list[int]:
     return _window_hashes(codes, max(1, min(k, len(codes)))).min(axis=1).astype(np.int64).tolist()
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def minhash_sketch(sequence: pd.Series) -> pd.Series:
+#: Letters that are hashed at once, few enough to stay in a core's cache.
+HASHED = 1 << 16
+
+
+def sketches_of(sequences: list[str]) -> np.ndarray:
+    """``sketch_of`` many sequences, as (sequences, seeds)."""
+    clean = [s.replace("N", "") for s in sequences]
+    lengths = np.fromiter(map(len, clean), np.int64, len(clean))
+    out = np.full((len(clean), len(SKETCH_SEEDS)), EMPTY_SLOT, np.int64)
+    for i in np.flatnonzero((lengths > 0) & (lengths < SKETCH_KMER)):
+        out[i] = sketch_of(clean[i])
+    usable = np.flatnonzero(lengths >= SKETCH_KMER)
+    part = np.cumsum(lengths[usable]) // HASHED
+    for rows in np.split(usable, np.flatnonzero(np.diff(part)) + 1):
+        if not len(rows):
+            continue
+        codes = np.frombuffer("".join([clean[i] for i in rows]).encode("ascii"), dtype=np.uint8)
+        ends = np.cumsum(lengths[rows])
+        hashes = _window_hashes(codes, SKETCH_KMER)
+        for back in range(1, SKETCH_KMER):  # windows that reach into the next sequence
+            hashes[:, ends[:-1] - back] = EMPTY_SLOT
+        out[rows] = np.minimum.reduceat(hashes, np.concatenate(([0], ends[:-1])), axis=1).T
+    return out
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def minhash_sketch(sequence: pa.Array) -> pa.Array:
     """MinHash sketch of normalised nucleotide text (see ``normalize_nt``)."""
-    return sequence.fillna("").map(sketch_of)
+    found = sketches_of([s or "" for s in sequence.to_pylist()])
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * len(SKETCH_SEEDS), pa.int32()), pa.array(found.ravel()))
 
 
 def sketch_similarity(left: Column, right: Column) -> Column:

@@ -77,7 +77,8 @@ def is_true_flag(value: Column | str) -> Column:
 
 
 def normalize_nt(value: Column | str) -> Column:
-    return F.regexp_replace(F.translate(F.upper(text(value)), "U", "T"), "[^ACGTN]", "")
+    # replace passes over bytes, translate makes a string of every letter
+    return F.regexp_replace(F.replace(F.upper(text(value)), F.lit("U"), F.lit("T")), "[^ACGTN]", "")
 
 
 def normalize_aa(value: Column | str) -> Column:
@@ -86,7 +87,7 @@ def normalize_aa(value: Column | str) -> Column:
 
 def clean_alignment(value: Column | str) -> Column:
     """Upper case with ``.`` read as a gap."""
-    return F.translate(F.upper(text(value)), ".", "-")
+    return F.replace(F.upper(text(value)), F.lit("."), F.lit("-"))
 
 
 def gene_of(call: Column | str) -> Column:

@@ -120,7 +120,8 @@ def _sketch(t: DataFrame, q: DataFrame, identity: float) -> DataFrame:
     """Sketch similarity at or above the identity.
 
     Equal slots needed are at least ``ceil(identity * 8)``, so two matching sketches
-    agree within any ``9 - needed`` of the slots; the rest need no index entries.
+    agree within any ``9 - needed`` of the slots; the rest need no index entries. A pair that meets in several
+    slots counts in the first of them.
     """
     if identity <= 0:
         raise ValueError("sketch search needs an identity above zero")
@@ -135,9 +136,11 @@ def _sketch(t: DataFrame, q: DataFrame, identity: float) -> DataFrame:
 
     a = keyed(t.withColumn("ts", minhash_sketch("target")), "ts")
     b = keyed(q.withColumn("qs", minhash_sketch("query")), "qs")
-    joined = a.join(b, ["slot", "hash"]).withColumn("score", sketch_similarity(F.col("ts"), F.col("qs")))
+    met = F.zip_with(F.slice("ts", 1, used), F.slice("qs", 1, used), lambda x, y: (x == y) & (x != EMPTY_SLOT))
+    joined = a.join(b, ["slot", "hash"]).filter(F.array_position(met, True) == F.col("slot") + 1)
+    joined = joined.withColumn("score", sketch_similarity(F.col("ts"), F.col("qs")))
     hits = joined.filter(F.col("score") >= identity).select(*t.columns, *q.columns, "score")
-    return hits.dropDuplicates(["ordinal", "query_index"]).withColumn("distance", F.round((1 - F.col("score")) * 1000).cast("int"))
+    return hits.withColumn("distance", F.round((1 - F.col("score")) * 1000).cast("int"))
 
 
 def query_records(records: DataFrame, queries: DataFrame, options: QueryOptions) -> DataFrame:
@@ -155,7 +158,9 @@ def query_records(records: DataFrame, queries: DataFrame, options: QueryOptions)
     for column, wanted in (("v_call", options.v_call), ("j_call", options.j_call)):
         if wanted:
             rows = rows.filter(_compatible(F.col(column), F.lit(wanted), options))
-    t = rows.select("ordinal", "locus", "v_call", "j_call", F.col(value).alias("target")).filter("target <> ''")
+    t = rows.select("ordinal", "locus", "v_call", "j_call", F.col(value).alias("target"))
+    if options.target != "trimmed":  # an empty text has an empty sketch and is no hit
+        t = t.filter("target <> ''")
     clean = normalize_aa("sequence") if options.target == "cdr3_aa" else normalize_nt("sequence")
     optional = [
         (F.col(c) if c in queries.columns else F.lit("")).alias(f"q_{c}") for c in ("locus", "v_call", "j_call")

@@ -5,12 +5,13 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from clonespark.functions import letters
-from clonespark.functions.kernels import edit_distances, edit_profile_of, edit_profiles
+from clonespark.functions.kernels import edit_distances, edit_profile_of, edit_profiles, sketch_of, sketches_of
 from clonespark.functions.register import register_functions
-from clonespark.operators import consensus, double_d, refinement, search, simjoin
+from clonespark.operators import alignment_columns, annotate, consensus, double_d, refinement, search, simjoin
 from clonespark.plans import catalog as C
 
 SMALL = "/root/testdata/sf0.001"
@@ -133,3 +134,18 @@ def test_equal_windows_are_screened_once(spark, monkeypatch):
     rows = spark.createDataFrame([(i, window, "IGH") for i in range(5)] + [(9, window, "TRB")], "ordinal long, window string, locus string")
     found = double_d.screen_double_d(rows, genes)
     assert sorted(r.ordinal for r in found.collect()) == [0, 1, 2, 3, 4] and screened == [2]
+
+
+def test_sketches_of_many_texts():
+    pick = random.Random(7)
+    texts = ["".join(pick.choices("ACGTN", k=pick.choice([0, 1, 3, 6, 7, 8, 40, 300]))) for _ in range(400)] + ["NNN", "", "ACGT" * 20_000]
+    assert sketches_of(texts).tolist() == [sketch_of(t) for t in texts]
+    assert sketches_of([]).shape == (0, 8)
+
+
+def test_sketch_hits_are_one_row_a_pair(spark):
+    text = "ACGTTGCAACGGTTACCAGTAGGCATTA"
+    rows = spark.createDataFrame([(1, "", "", "", text), (2, "", "", "", ""), (3, "", "", "", "NNN")], "ordinal long, locus string, v_call string, j_call string, trimmed_nt string")
+    queries = spark.createDataFrame([(7, text), (8, "")], "query_index long, sequence string")
+    got = search.query_records(rows, queries, search.QueryOptions(target="trimmed", metric="sketch", identity=0.75)).collect()
+    assert [(r.ordinal, r.query_index, r.score) for r in got] == [(1, 7, 1.0)]
