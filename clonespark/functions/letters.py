@@ -204,3 +204,30 @@ def projected(clean: pa.Array, offset: pa.Array, protein: pa.Array) -> pa.Array:
         return unflat(out, starts)
 
     return pa.array(_by_pieces([d + a for d, a in zip(dna, aligned, strict=True)], project), pa.string())
+
+
+def kmer_codes(k: int):
+    """UDF text -> a number for the window of ``k`` letters at each place, -1 where a letter is not A, C, G or T."""
+    if not 1 <= k <= 31:
+        raise ValueError("a window of 1 to 31 letters has a number")
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def codes_of(value: pa.Array) -> pa.Array:
+        texts = [x or "" for x in value.to_pylist()]
+        found, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for part in pieces(np.fromiter(map(len, texts), np.int64, len(texts))):
+            letters, starts = flat(texts[part])
+            kinds = LETTER_KIND[np.minimum(letters, 255)].astype(np.int64)
+            n = np.maximum(np.diff(starts) - k + 1, 0)
+            owner, nth = dealt(n)
+            windows = max(len(kinds) - k + 1, 0)
+            code = np.zeros(windows, np.int64)
+            for j in range(k):
+                code = code * 4 + (kinds[j : j + windows] & 3)
+            bad = ends_of(kinds > 3)
+            code[bad[k:] > bad[:windows]] = -1
+            found.append(code[starts[owner] + nth])
+            counts.append(n)
+        return pa.ListArray.from_arrays(pa.array(ends_of(np.concatenate(counts)), pa.int32()), pa.array(np.concatenate(found)))
+
+    return codes_of

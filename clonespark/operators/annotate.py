@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alignment import Scoring, alignment_evalue, local_alignment, map_reference
+from ..functions.letters import kmer_codes
 from ..functions.sequences import longest_match_run, normalize_nt, reverse_complement, translate_nt
 from ..session import cut
 
@@ -51,23 +52,16 @@ AGREEMENT_PROFILE = AnnotateOptions(
 )
 
 
-def _kmers(sequence: str, k: int) -> Column:
-    last = F.length(sequence) - k + 1
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.struct(i.alias("at"), F.substring(F.col(sequence), i, F.lit(k)).alias("gram"))
-    )
-    return F.filter(grams, lambda g: (F.length(g["gram"]) == k) & ~g["gram"].contains("N"))
-
-
 def _germline_seeds(germlines: DataFrame, k: int) -> DataFrame:
-    return germlines.select("name", "locus", F.explode(_kmers("sequence", k)).alias("s")).select(
-        F.col("name").alias("gene"), F.col("locus").alias("gene_locus"), F.col("s.gram").alias("gram"), F.col("s.at").alias("gene_at")
+    return germlines.select("name", "locus", F.posexplode(kmer_codes(k)("sequence")).alias("at", "gram")).filter("gram >= 0").select(
+        F.col("name").alias("gene"), F.col("locus").alias("gene_locus"), "gram", (F.col("at") + 1).alias("gene_at")
     )
 
 
 def _votes(queries: DataFrame, germlines: DataFrame, k: int, weight: int) -> DataFrame:
-    seeds = queries.select("rid", "rev", "want_locus", F.explode(_kmers("query", k)).alias("s")).select(
-        "rid", "rev", "want_locus", F.col("s.gram").alias("gram"), F.col("s.at").alias("read_at")
+    # a window with another letter than A, C, G, T has a number that no germline seed has
+    seeds = queries.select("rid", "rev", "want_locus", F.posexplode(kmer_codes(k)("query")).alias("at", "gram")).select(
+        "rid", "rev", "want_locus", "gram", (F.col("at") + 1).alias("read_at")
     )
     same = (F.col("want_locus") == "") | (F.col("gene_locus") == "") | (F.col("want_locus") == F.col("gene_locus"))
     hits = seeds.join(_germline_seeds(germlines, k), "gram").filter(same)

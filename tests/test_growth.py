@@ -149,3 +149,21 @@ def test_sketch_hits_are_one_row_a_pair(spark):
     queries = spark.createDataFrame([(7, text), (8, "")], "query_index long, sequence string")
     got = search.query_records(rows, queries, search.QueryOptions(target="trimmed", metric="sketch", identity=0.75)).collect()
     assert [(r.ordinal, r.query_index, r.score) for r in got] == [(1, 7, 1.0)]
+
+
+def test_votes_of_numbered_windows(spark):
+    pick = random.Random(9)
+    reads = ["".join(pick.choices("ACGTN", [9, 9, 9, 9, 1], k=n)) for n in (0, 3, 4, 50, 200)] + [None]
+    genes = ["ACGTACGTTGCA", "ACRTNACGTT", "AC"]
+    queries = spark.createDataFrame([(i, False, "", r) for i, r in enumerate(reads)], "rid long, rev boolean, want_locus string, query string")
+    germlines = spark.createDataFrame([(f"g{i}", "", g) for i, g in enumerate(genes)], "name string, locus string, sequence string")
+    want: dict = {}
+    for i, r in enumerate(reads):
+        for j, g in enumerate(genes):
+            for a in range(len(r or "") - 3):
+                for b in range(len(g) - 3):
+                    if r[a : a + 4] == g[b : b + 4] and set(r[a : a + 4]) <= set("ACGT"):
+                        key = (i, f"g{j}", (a - b) // 4 * 4)
+                        want[key] = want.get(key, 0) + 4
+    votes = annotate._votes(queries, germlines, 4, 4)
+    assert {(v.rid, v.gene, v.diagonal): v.votes for v in votes.collect()} == want and want
