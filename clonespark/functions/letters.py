@@ -231,3 +231,16 @@ def kmer_codes(k: int):
         return pa.ListArray.from_arrays(pa.array(ends_of(np.concatenate(counts)), pa.int32()), pa.array(np.concatenate(found)))
 
     return codes_of
+
+
+@F.arrow_udf(T.IntegerType())
+def unequal_columns(query: pa.Array, germline: pa.Array) -> pa.Array:
+    """Unequal letters over the common length."""
+    texts, others = query.to_pylist(), germline.to_pylist()
+
+    found = [np.zeros(0, np.int64)]
+    for part in pieces(np.fromiter((len(q) + len(g) for q, g in zip(texts, others, strict=True)), np.int64, len(texts))):
+        (q, q0), (g, g0) = flat(texts[part]), flat(others[part])
+        owner, nth = dealt(np.minimum(np.diff(q0), np.diff(g0)))
+        found.append(np.bincount(owner[q[q0[owner] + nth] != g[g0[owner] + nth]], minlength=len(q0) - 1))
+    return pa.array(np.concatenate(found), pa.int32())

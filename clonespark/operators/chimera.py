@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.letters import unequal_columns
 from ..functions.sequences import clean_alignment, gene_of, text, top_call
 from ..session import cut
 
@@ -190,12 +191,7 @@ def chimera_model(names: list[str], sequences: list[str], options: ChimeraOption
 
 def distance_from_reference(query: Column | str, germline: Column | str) -> Column:
     """Unequal columns over the common length; gaps and N count."""
-    q, g = clean_alignment(query), clean_alignment(germline)
-    n = F.least(F.length(q), F.length(g))
-    pairs = F.zip_with(
-        F.split(F.substring(q, F.lit(1), n), ""), F.split(F.substring(g, F.lit(1), n), ""), lambda a, b: F.when(a != b, 1).otherwise(0)
-    )
-    return F.aggregate(pairs, F.lit(0), lambda s, x: s + x)
+    return unequal_columns(clean_alignment(query), clean_alignment(germline))
 
 
 def thread_to_panel():
@@ -248,8 +244,12 @@ def score_chimeras(table: DataFrame, panel: DataFrame, options: ChimeraOptions |
     rows = table.select(
         "ordinal", call.alias("call"), clean_alignment(f"{s}_sequence_alignment").alias("q"), clean_alignment(f"{s}_germline_alignment").alias("g")
     )
-    rows = rows.withColumn("present", (F.col("call") != "") & (F.col("q") != "") & (F.col("g") != ""))
-    distinct = rows.filter("present").select("call", "q", "g").distinct().withColumn("dfr", distance_from_reference("q", "g"))
+    # All that is decided about an observation is decided once, behind its own row on disk. A filter on the reads would be
+    # worked out where the texts are derived, once more for each of its terms.
+    present = (F.col("call") != "") & (F.col("q") != "") & (F.col("g") != "")
+    observed = cut(rows.select("call", "q", "g").distinct())
+    absent = observed.filter(~present).select("call", "q", "g", F.lit("missing_alignment").alias("status"), F.lit(0).alias("dfr"))
+    distinct = observed.filter(present).withColumn("dfr", distance_from_reference("q", "g"))
     low = distinct.filter(F.col("dfr") < options.min_dfr).select("call", "q", "g", "dfr", F.lit("low_dfr").alias("status"))
 
     # panel lookup: exact name first, then any allele of the gene
@@ -271,10 +271,10 @@ def score_chimeras(table: DataFrame, panel: DataFrame, options: ChimeraOptions |
     model = chimera_model([n for n, _ in pairs], [x for _, x in pairs], options)
     scored = threaded.filter(F.col("threaded").isNotNull()).select("call", "q", "g", "dfr", F.lit("evaluated").alias("status"), model("threaded").alias("m"))
     scored = scored.select("call", "q", "g", "dfr", "status", "m.*")
-    known = scored.unionByName(low, allowMissingColumns=True).unionByName(unplaced, allowMissingColumns=True)
-    found = rows.filter("present").join(known, ["call", "q", "g"]).drop("call", "q", "g", "present")
-    absent = rows.filter("NOT present").select("ordinal", F.lit("missing_alignment").alias("status"), F.lit(0).alias("dfr"))
-    out = found.unionByName(absent, allowMissingColumns=True)
+    known = scored
+    for others in (low, unplaced, absent):
+        known = known.unionByName(others, allowMissingColumns=True)
+    out = rows.join(known, ["call", "q", "g"]).drop("call", "q", "g")
     return out.withColumn("flagged", (F.col("status") == "evaluated") & (F.col("probability") >= options.threshold))
 
 
