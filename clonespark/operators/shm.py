@@ -146,7 +146,8 @@ def shm_metrics(table: DataFrame) -> DataFrame:
         F.greatest(F.lit(1), _position(names, "v_sequence_start")).alias("_start"),
         F.pmod(F.greatest(F.lit(1), frame) - 1, F.lit(3)).cast("int").alias("_phase"),
         F.array(*bounds).alias("_bounds"),
-    ).filter((F.col("_q") != "") & (F.col("_g") != ""))
+    )
+    # empty texts have no comparable base: testing them here would only work out both texts once more
     counted = rows.withColumn("_s", mutation_counts()("_q", "_g", "_start", "_phase", "_bounds"))
     out = counted.select(
         *[c for c in rows.columns if not c.startswith("_")], *[F.col(f"_s.{name}").alias(name) for name in COUNT_FIELDS]

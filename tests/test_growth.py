@@ -136,6 +136,13 @@ def test_equal_windows_are_screened_once(spark, monkeypatch):
     assert sorted(r.ordinal for r in found.collect()) == [0, 1, 2, 3, 4] and screened == [2]
 
 
+@pytest.mark.parametrize("name", ["chimera_scores", "shm_lowest_member", "query_sketch"])
+def test_texts_are_not_worked_out_again_for_a_filter(spark, capsys, name):
+    plan = _plan(C.QUERIES[name](spark, SMALL), capsys)
+    derived = [line for line in plan.splitlines() if "Filter" in line and "v_donor" in line]
+    assert not derived
+
+
 def test_sketches_of_many_texts():
     pick = random.Random(7)
     texts = ["".join(pick.choices("ACGTN", k=pick.choice([0, 1, 3, 6, 7, 8, 40, 300]))) for _ in range(400)] + ["NNN", "", "ACGT" * 20_000]
