@@ -206,6 +206,28 @@ def projected(clean: pa.Array, offset: pa.Array, protein: pa.Array) -> pa.Array:
     return pa.array(_by_pieces([d + a for d, a in zip(dna, aligned, strict=True)], project), pa.string())
 
 
+@F.arrow_udf(T.StringType())
+def taken(value: pa.Array, columns: pa.Array) -> pa.Array:
+    """The letters in the given 1-based columns, in their order; columns outside the text have none, and null columns none at all."""
+    texts = value.to_pylist()
+    counts = columns.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat_columns = columns.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = ends_of(counts)
+
+    def take(part: slice) -> list[str]:
+        codes, starts = flat(texts[part])
+        owner, _ = dealt(counts[part])
+        column = flat_columns[first[part.start] : first[part.stop]]
+        inside = (column >= 1) & (column <= np.diff(starts)[owner])
+        chosen = codes[starts[owner[inside]] + column[inside] - 1]
+        return unflat(chosen, ends_of(np.bincount(owner[inside], minlength=len(starts) - 1)))
+
+    out: list[str] = []
+    for part in pieces(np.fromiter(map(len, texts), np.int64, len(texts)) + counts):
+        out += take(part)
+    return pa.array(out, pa.string())
+
+
 def kmer_codes(k: int):
     """UDF text -> a number for the window of ``k`` letters at each place, -1 where a letter is not A, C, G or T."""
     if not 1 <= k <= 31:

@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.coordinates import let, translate_columns
-from ..functions.letters import FRAME_COUNTS, frame_counts
+from ..functions.coordinates import translate_columns
+from ..functions.letters import FRAME_COUNTS, frame_counts, taken
 from ..functions.sequences import text
 
 PRESETS = ("full", "variable", "cdrs")
@@ -87,8 +87,7 @@ def take_columns(rows: DataFrame, columns: DataFrame | list[int], group: list[st
     is joined to its rows. Rows of alignments without a chosen column become empty.
     """
     def picked(columns: Column) -> Column:
-        own = F.struct(F.split(text(aligned), "").alias("letters"), columns.alias("columns"))
-        return let(own, lambda o: F.array_join(F.filter(F.transform(o["columns"], lambda c: F.get(o["letters"], c - 1)), lambda c: c.isNotNull()), ""))
+        return taken(text(aligned), columns)
 
     if isinstance(columns, list):
         return rows.withColumn(aligned, picked(F.array(*map(F.lit, columns)).cast("array<int>")) if columns else F.lit(""))

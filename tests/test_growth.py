@@ -174,3 +174,11 @@ def test_votes_of_numbered_windows(spark):
                         want[key] = want.get(key, 0) + 4
     votes = annotate._votes(queries, germlines, 4, 4)
     assert {(v.rid, v.gene, v.diagonal): v.votes for v in votes.collect()} == want and want
+
+
+def test_taken_columns(spark):
+    rows = spark.createDataFrame([(1, "ACé-T", [5, 3, 9, 0, 1]), (2, "", [1]), (3, None, [1]), (4, "AC", None), (5, "AC", [])], "id int, aligned string, columns array<int>")
+    got = {r.id: r.t for r in rows.select("id", letters.taken(F.coalesce("aligned", F.lit("")), "columns").alias("t")).collect()}
+    assert got == {1: "TéA", 2: "", 3: "", 4: "", 5: ""}
+    chosen = spark.createDataFrame([(1, 2), (1, 1)], "id int, column int")
+    assert {r.id: r.aligned for r in alignment_columns.take_columns(rows.drop("columns"), chosen, ["id"]).collect()} == {1: "AC", 2: "", 3: "", 4: "", 5: ""}
