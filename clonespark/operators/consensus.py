@@ -6,16 +6,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.letters import GAP, ends_of, flat, pieces
-from ..functions.sequences import is_true_flag, number, text
+from ..functions.letters import GAP, LETTER_KIND, dealt, ends_of, flat, pieces
+from ..functions.sequences import clean_alignment, is_true_flag, number, text
 from ..functions.kernels import edit_distance_wildcard, minhash_sketch, sketch_similarity, EMPTY_SLOT
+from ..session import cut
 
 BASES = ("A", "C", "G", "T")
 
 
 def normalized_alignment(value: Column | str) -> Column:
-    return F.regexp_replace(F.translate(F.translate(F.upper(text(value)), ".", "-"), "U", "T"), "[^ACGTN-]", "N")
+    return F.regexp_replace(F.replace(clean_alignment(value), F.lit("U"), F.lit("T")), "[^ACGTN-]", "N")
 
 
 def anchored_rows(table: DataFrame, productive_only: bool = False) -> DataFrame:
@@ -47,14 +49,33 @@ def padded(anchored: DataFrame) -> DataFrame:
     )
 
 
-def _identity(query: str, germline: str) -> tuple[Column, Column]:
-    """Matches and compared columns of an aligned pair."""
-    pairs = F.zip_with(
-        F.split(normalized_alignment(query), ""), F.split(normalized_alignment(germline), ""),
-        lambda q, g: F.when(q.isin(*BASES) & g.isin(*BASES), F.when(q == g, 1).otherwise(0)),
-    )
-    compared = F.filter(pairs, lambda x: x.isNotNull())
-    return F.aggregate(compared, F.lit(0), lambda s, x: s + x), F.size(compared)
+_BASE = np.full(256, 4, np.uint8)
+for _code, _letter in enumerate(BASES):
+    _BASE[ord(_letter)] = _code
+_BASE[ord("U")] = _BASE[ord("T")]
+
+
+@F.arrow_udf(T.StructType([T.StructField("matches", T.IntegerType()), T.StructField("compared", T.IntegerType())]))
+def identity_counts(query: pa.Array, germline: pa.Array) -> pa.Array:
+    """Matches and compared columns of upper-case aligned pairs: those where both have a base; nothing for null."""
+    texts, others = ([x or "" for x in side.to_pylist()] for side in (query, germline))
+    found = [np.zeros((2, 0), np.int32)]
+    for part in pieces(np.fromiter((len(q) + len(g) for q, g in zip(texts, others, strict=True)), np.int64, len(texts))):
+        (q, q0), (g, g0) = flat(texts[part]), flat(others[part])
+        n = len(q0) - 1
+        owner, nth = dealt(np.minimum(np.diff(q0), np.diff(g0)))
+        a, b = _BASE[np.minimum(q[q0[owner] + nth], 255)], _BASE[np.minimum(g[g0[owner] + nth], 255)]
+        known = (a < 4) & (b < 4)
+        found.append(np.stack([np.bincount(owner[known & (a == b)], minlength=n), np.bincount(owner[known], minlength=n)]).astype(np.int32))
+    whole = np.concatenate(found, axis=1)
+    return pa.StructArray.from_arrays([pa.array(whole[0]), pa.array(whole[1])], ["matches", "compared"])
+
+
+def _identity(query: str, germline: str, wanted: Column | None = None) -> Column:
+    """Matches and compared columns of an aligned pair; only for rows that are ``wanted``."""
+    q, g = F.upper(text(query)), F.upper(text(germline))
+    counts = identity_counts.asNondeterministic()
+    return counts(q, g) if wanted is None else counts(F.when(wanted, q), F.when(wanted, g))
 
 
 def closest_members(table: DataFrame) -> DataFrame:
@@ -67,16 +88,18 @@ def closest_members(table: DataFrame) -> DataFrame:
     staged = table
     for s in "vj":
         if {f"{s}_sequence_alignment", f"{s}_germline_alignment"} <= set(names):
-            match, compared = _identity(f"{s}_sequence_alignment", f"{s}_germline_alignment")
+            staged = staged.withColumn(f"_{s}", _identity(f"{s}_sequence_alignment", f"{s}_germline_alignment"))
+            match, compared = F.col(f"_{s}.matches"), F.col(f"_{s}.compared")
         else:
             match, compared = F.lit(0), F.lit(0)
         staged = staged.withColumn(f"_{s}m", match).withColumn(f"_{s}c", compared)
         reported = number(f"{s}_identity") if f"{s}_identity" in names else F.lit(None).cast("double")
         reported = F.when((reported >= 0) & (reported <= 1), reported)
         staged = staged.withColumn(f"_{s}i", F.when(F.col(f"_{s}c") > 0, F.col(f"_{s}m") / F.col(f"_{s}c")).otherwise(reported))
-    whole_match, whole_compared = _identity("sequence_alignment", "germline_alignment")
     segments = F.col("_vi").isNotNull().cast("int") + F.col("_ji").isNotNull().cast("int")
     none = segments == 0
+    staged = staged.withColumn("_whole", _identity("sequence_alignment", "germline_alignment", none))
+    whole_match, whole_compared = F.col("_whole.matches"), F.col("_whole.compared")
     mean = (F.coalesce("_vi", F.lit(0.0)) + F.coalesce("_ji", F.lit(0.0))) / F.nullif(segments, F.lit(0))
     compared = F.when(none, whole_compared).otherwise(F.col("_vc") + F.col("_jc"))
     matches = F.when(none, whole_match).otherwise(F.col("_vm") + F.col("_jm"))
@@ -105,17 +128,81 @@ def closest_germline(table: DataFrame) -> DataFrame:
     )
 
 
-def column_votes(anchored: DataFrame) -> DataFrame:
-    """Base counts per lineage and column, for germline and read.
+VOTES = [f"{side}_{b}" for side in ("g", "q") for b in BASES]
+
+
+#: Lineage columns whose counts a task holds before it hands them on.
+HELD_COLUMNS = 1 << 19
+
+
+def _counts(ids: np.ndarray, reads: list[str], germlines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts (votes and coverage) by lineage and column, one lineage behind the other, and where each of them begins."""
+    q, starts = flat(reads)
+    g, _ = flat(germlines)
+    width = np.ones(ids.max(initial=-1) + 1, np.int64)
+    np.maximum.at(width, ids, np.diff(starts) + 1)
+    first = ends_of(width)
+    owner, nth = dealt(np.diff(starts))
+    cell = first[ids[owner]] + nth + 1
+    by_kind = [np.bincount(cell * 6 + LETTER_KIND[np.minimum(side, 255)], minlength=6 * first[-1]).reshape(-1, 6) for side in (g, q)]
+    covered = by_kind[1].sum(axis=1) - np.bincount(cell[(q == GAP) & (g == GAP)], minlength=first[-1])
+    covered[first[:-1]] = np.bincount(ids, minlength=len(width))
+    return np.column_stack([by_kind[0][:, :4], by_kind[1][:, :4], covered]), first
 
-    Members explode to columns and the counts combine map-side, so a lineage of any
-    size ends as one row per column.
+
+def _tallies(anchored: DataFrame) -> DataFrame:
+    """Base counts per lineage and column; column 0 has the number of members as its coverage.
+
+    A task counts its members before anything leaves it, so that it hands on a row per lineage and column and not
+    one per letter, and holds a bounded number of columns; the counts of tasks are added up by a two-level aggregate.
     """
-    cells = F.arrays_zip(F.split("aligned_read", "").alias("q"), F.split("aligned_germline", "").alias("g"))
-    rows = anchored.select("lineage_id", F.posexplode(cells).alias("pos", "c")).select("lineage_id", (F.col("pos") + 1).alias("column"), "c.q", "c.g")
-    counts = [F.count_if(F.col(side) == b).alias(f"{side}_{b}") for side in ("g", "q") for b in BASES]
-    covered = F.count_if((F.col("q") != "-") | (F.col("g") != "-")).alias("coverage")
-    return rows.groupBy("lineage_id", "column").agg(*counts, covered)
+    kind = anchored.schema["lineage_id"].dataType
+    names = ["lineage_id", "column", *VOTES, "coverage"]
+
+    def counted(batches):
+        held: dict = {}
+        size = 0
+
+        def rows():
+            keys, counts = list(held), list(held.values())
+            of, column = dealt(np.array([len(c) for c in counts]))
+            whole = np.concatenate(counts)
+            ids = pa.array(keys, id_type).take(pa.array(of))
+            return pa.RecordBatch.from_arrays([ids, pa.array(column.astype(np.int32)), *[pa.array(np.ascontiguousarray(whole[:, i])) for i in range(whole.shape[1])]], names=names)
+
+        for batch in batches:
+            id_type = batch.schema.field("lineage_id").type
+            pairs = [("", "") if q is None or g is None else (q, g) for q, g in zip(batch.column("q").to_pylist(), batch.column("g").to_pylist(), strict=True)]
+            pairs = [(q, g) if len(q) == len(g) else (q.ljust(len(g), "-"), g.ljust(len(q), "-")) for q, g in pairs]
+            for part in pieces(np.fromiter((len(q) for q, _ in pairs), np.int64, len(pairs))):
+                ids = batch.column("lineage_id").slice(part.start, part.stop - part.start).dictionary_encode("encode")
+                counts, first = _counts(ids.indices.to_numpy(zero_copy_only=False), [q for q, _ in pairs[part]], [g for _, g in pairs[part]])
+                for n, key in enumerate(ids.dictionary.to_pylist()):
+                    new, old = counts[first[n] : first[n + 1]], held.get(key)
+                    if old is None:
+                        held[key] = new.copy()
+                        size += len(new)
+                    elif len(old) >= len(new):
+                        old[: len(new)] += new
+                    else:
+                        held[key] = new.copy()
+                        held[key][: len(old)] += old
+                        size += len(new) - len(old)
+                if size > HELD_COLUMNS:
+                    yield rows()
+                    held.clear()
+                    size = 0
+        if held:
+            yield rows()
+
+    texts = anchored.select("lineage_id", F.col("aligned_read").alias("q"), F.col("aligned_germline").alias("g"))
+    parts = texts.mapInArrow(counted, f"lineage_id {kind.simpleString()}, `column` int, {', '.join(f'{v} long' for v in VOTES)}, coverage long")
+    return parts.groupBy("lineage_id", "column").agg(*[F.sum(c).alias(c) for c in (*VOTES, "coverage")])
+
+
+def column_votes(anchored: DataFrame) -> DataFrame:
+    """Base counts per lineage and column, for germline and read: one row per column, whatever the size of the lineage."""
+    return _tallies(anchored).filter(F.col("column") > 0)
 
 
 def _plurality(side: str) -> tuple[Column, Column, Column]:
@@ -134,8 +221,9 @@ def consensus_columns(anchored: DataFrame) -> DataFrame:
     A germline base needs 80 % of informative members, a read base 60 % where the
     germline is open; endpoints need coverage by a fifth of the members.
     """
-    members = anchored.groupBy("lineage_id").agg(F.count(F.lit(1)).alias("members"))
-    votes = column_votes(anchored).join(members, "lineage_id")
+    tallies = cut(_tallies(anchored))  # read twice
+    members = tallies.filter(F.col("column") == 0).select("lineage_id", F.col("coverage").alias("members"))
+    votes = tallies.filter(F.col("column") > 0).join(members, "lineage_id")
     g_base, g_top, g_votes = _plurality("g")
     q_base, q_top, q_votes = _plurality("q")
     known = g_base.isNotNull() & (F.try_divide(g_top, g_votes) >= 0.8)

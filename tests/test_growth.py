@@ -182,3 +182,30 @@ def test_taken_columns(spark):
     assert got == {1: "TéA", 2: "", 3: "", 4: "", 5: ""}
     chosen = spark.createDataFrame([(1, 2), (1, 1)], "id int, column int")
     assert {r.id: r.aligned for r in alignment_columns.take_columns(rows.drop("columns"), chosen, ["id"]).collect()} == {1: "AC", 2: "", 3: "", 4: "", 5: ""}
+
+
+def test_column_tallies_equal_plain_counts(spark):
+    pick = random.Random(11)
+    rows = [(pick.choice([1, 2, 40]), *["".join(pick.choices("ACGTN-", k=pick.choice([0, 3, 9]))) for _ in "qg"]) for _ in range(200)] + [(9, None, "ACGT")]
+    frame = spark.createDataFrame(rows, "lineage_id long, aligned_read string, aligned_germline string").repartition(3)
+    want: dict = {}
+    for lineage, q, g in rows:
+        for i in range(max(len(q), len(g)) if q is not None else 0):
+            a, b = q[i : i + 1], g[i : i + 1]
+            cell = want.setdefault((lineage, i + 1), [0] * 9)
+            for k, base in enumerate("ACGT"):
+                cell[k] += b == base
+                cell[4 + k] += a == base
+            cell[8] += a not in ("", "-") or b not in ("", "-")
+    got = {(r.lineage_id, r.column): [r[v] for v in (*consensus.VOTES, "coverage")] for r in consensus.column_votes(frame).collect()}
+    assert got == want
+    members = {r.lineage_id: r.coverage for r in consensus._tallies(frame).filter("column = 0").collect()}
+    assert members == {k: sum(r[0] == k for r in rows) for k in (1, 2, 40, 9)}
+
+
+def test_identity_counts_and_unequal_columns(spark):
+    rows = spark.createDataFrame([(1, "ACGU-N", "ACCT--ACGT"), (2, "", "A"), (3, None, "A"), (4, "RA.", "RAA")], "id int, q string, g string")
+    counts = rows.select("id", consensus.identity_counts("q", "g").alias("c")).collect()
+    assert {r.id: tuple(r.c) for r in counts} == {1: (3, 4), 2: (0, 0), 3: (0, 0), 4: (1, 1)}
+    unequal = rows.filter("q IS NOT NULL").select("id", letters.unequal_columns("q", "g").alias("n")).collect()
+    assert {r.id: r.n for r in unequal} == {1: 3, 2: 0, 4: 1}
