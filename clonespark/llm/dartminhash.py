@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
+from ..operators.components import contracted
 from .kernels import U, distinct_keys, mix, ngram_hashes, slices, stream, text_bytes, window_starts, words_in, words_of
-from .storage import stored
+from .storage import narrowed, stored
 
 BANDS, ROWS = 32, 5
 #: Bytes of text taken up at once; a few hundred bytes of arrays go with each shingle.
@@ -27,6 +27,8 @@ PIECE = 512 << 10
 #: Members of a bucket of which all pairs of different classes are compared if its pivot does not settle it: of
 #: bands, and of the buckets (pivot, shingle) that come after. Larger ones are split by a further pivot.
 SMALL, MEDIUM = 24, 128
+#: Rows with texts or lists of shingles that a task takes at least.
+WIDE_PART = 256
 
 
 def shingles(words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +136,7 @@ def sketch(docs: DataFrame, size: int = 5, bands: int = BANDS, rows: int = ROWS)
     return docs.mapInArrow(run, "doc_id long, c1 long, c2 long, bands array<long>")
 
 
-COMPARED = "left_id long, right_id long, similarity double, shared long, size long, novel array<struct<s:long,rest:long>>"
+COMPARED = "left_id long, right_id long, wide boolean, similarity double, shared long, size long, novel array<struct<s:long,rest:long>>"
 
 
 def similarity(pairs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -192,22 +194,24 @@ def compare(piece: pa.RecordBatch, size: int, threshold: float) -> pa.RecordBatc
     values = pa.StructArray.from_arrays([pa.array(codes[kept], pa.int64()), pa.array(rest[kept], pa.int64())], ["s", "rest"])
     lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
     return pa.RecordBatch.from_pydict({
-        "left_id": piece.column("left_id"), "right_id": piece.column("right_id"),
+        "left_id": piece.column("left_id"), "right_id": piece.column("right_id"), "wide": piece.column("wide"),
         "similarity": pa.array(np.divide(both, either, out=np.zeros(n_pairs), where=either > 0)),
         "shared": pa.array(both.astype(np.int64)), "size": pa.array(total.astype(np.int64)), "novel": lists,
     })
 
 
-def _relabel(label: DataFrame, links: DataFrame) -> DataFrame:
-    """Classes of all leads after links ``(left_id, right_id)`` between leads."""
+def _relabel(label: DataFrame, links: DataFrame, n_leads: int, n_links: int) -> DataFrame:
+    """Classes of all leads after links ``(left_id, right_id)`` between leads; ``n_links`` rows were read for them."""
     left = label.select(F.col("lead").alias("left_id"), F.col("class").alias("a"))
     right = label.select(F.col("lead").alias("right_id"), F.col("class").alias("b"))
-    edges = stored(links.join(left, "left_id").join(right, "right_id").filter("a <> b").select(F.col("a").alias("left_id"), F.col("b").alias("right_id")).distinct(), "dart-links")
-    if edges.isEmpty():
+    edges = links.join(left, "left_id").join(right, "right_id").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = stored(narrowed(edges.distinct(), n_links), "dart-links")
+    n = edges.count()
+    if not n:
         return label
-    ends = edges.select(F.explode(F.array("left_id", "right_id")).alias("id")).distinct()
-    merged = connected_components(ends, edges).select(F.col("id").alias("class"), "component")
-    return stored(label.join(merged, "class", "left").select("lead", F.coalesce("component", "class").alias("class")), "dart-classes")
+    merged = contracted(edges, n).select(F.col("id").alias("class"), "component")
+    changed = label.join(merged, "class", "left").select("lead", F.coalesce("component", "class").alias("class"))
+    return stored(narrowed(changed, n_leads), "dart-classes")
 
 
 def _joined_groups(large: DataFrame) -> DataFrame:
@@ -248,80 +252,101 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     known = texts.filter("doc_id is not null")
     sketches = stored(sketch(known, size, bands, rows), "dart-sketches")
     leads = sketches.groupBy("c1", "c2").agg(F.min("doc_id").alias("lead"), F.min_by("bands", "doc_id").alias("bands"))
-    leads = stored(leads, "dart-leads")
+    n_rows = sketches.count()
+    leads = stored(narrowed(leads, n_rows), "dart-leads")
     member = sketches.select("doc_id", "c1", "c2").join(leads.drop("bands"), ["c1", "c2"]).select(F.col("doc_id").alias("left_id"), F.col("lead").alias("right_id"))
     band_rows = leads.select("lead", F.posexplode("bands").alias("band", "h"))
     # a band hash is 64 bits; the band is mixed in, so one long is the bucket
     band_rows = band_rows.select("lead", F.xxhash64("band", "h").alias("bucket"))
     shared = band_rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     active = stored(band_rows.join(shared, "bucket"), "dart-buckets")
-    weight = active.groupBy("lead").agg(F.sum("n").alias("weight"))
-    members = stored(active.join(weight, "lead").select("bucket", "lead", "weight"), "dart-members")
     # rows that share an id are one document: their texts are linked
-    same = member.withColumn("first", F.min("right_id").over(Window.partitionBy("left_id"))).filter("first <> right_id")
-    label = _relabel(leads.select("lead").distinct().withColumn("class", F.col("lead")), same.select(F.col("first").alias("left_id"), "right_id"))
+    label = leads.select("lead", F.col("lead").alias("class"))
+    if sketches.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").count():
+        same = member.withColumn("first", F.min("right_id").over(Window.partitionBy("left_id"))).filter("first <> right_id")
+        label = _relabel(label.distinct(), same.select(F.col("first").alias("left_id"), "right_id"), n_rows, n_rows)
+    weight = active.groupBy("lead").agg(F.sum("n").alias("weight"))
+    members = active.join(weight, "lead").join(label, "lead").select("bucket", "lead", "weight", F.lit(True).alias("of band"), "class")
+    n_members = active.count()
+    members = stored(narrowed(members, n_members), "dart-members")
     direct, tested, pool, share, step = None, None, known, threshold / (1 + threshold), 0
     while True:
-        grouped = members.join(label, "lead")
         best = F.max_by(F.struct("lead", "class"), F.struct("weight", -F.col("lead"))).alias("p")
         parity = [F.bit_xor(F.xxhash64("lead", F.lit(k))).alias(f"h{k}") for k in range(2)]
-        sets = grouped.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("a"), F.max("class").alias("b"), best, *parity).filter("a < b")
+        sets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("a"), F.max("class").alias("b"), best, *parity).filter("a < b")
         sets = sets.groupBy("n", "h0", "h1").agg(F.min(F.struct("bucket", "p")).alias("one")).select("n", "one.bucket", "one.p")
-        sets = stored(sets.select("bucket", "n", F.col("p.lead").alias("pivot")), "dart-sets")
-        held = grouped.join(sets, "bucket")
+        sets = stored(narrowed(sets.select("bucket", "n", F.col("p.lead").alias("pivot")), n_members), "dart-sets")
+        held = members.join(sets, "bucket").select("bucket", "lead", "weight", "class", "n", "pivot")
+        held = stored(narrowed(held, n_members), "dart-held")
+        n_held = held.count()
         limit = SMALL if tested is None else MEDIUM
         small, large = held.filter(F.col("n") <= limit), held.filter(F.col("n") > limit)
         if tested is None:
-            around_pivot = small.filter("lead <> pivot").select(F.least("pivot", "lead").alias("left_id"), F.greatest("pivot", "lead").alias("right_id"))
-            pairs = around_pivot.distinct()
+            pairs = small.filter("lead <> pivot").select(F.least("pivot", "lead").alias("left_id"), F.greatest("pivot", "lead").alias("right_id"))
         else:
             some = small.select("bucket", "lead", "class")
             other = some.select("bucket", F.col("lead").alias("right_id"), F.col("class").alias("other"))
             pairs = some.join(other, "bucket").filter("lead < right_id and class <> other").select(F.col("lead").alias("left_id"), "right_id")
-            pairs = pairs.unionByName(direct).distinct().join(tested, ["left_id", "right_id"], "left_anti")
+            pairs = pairs.unionByName(direct)
         # large buckets: overlapping ones are one group in the first two rounds; from then on they only shrink
         step += 1
         if step <= 2:
-            stars = _joined_groups(stored(large.select("pivot", "lead").distinct(), "dart-large"))
+            stars = _joined_groups(stored(narrowed(large.select("pivot", "lead").distinct(), n_held), "dart-large"))
         else:
             stars = large.select(F.col("bucket").alias("group"), F.col("pivot").alias("left_id"), F.col("lead").alias("right_id"))
-        stars = stored(stars.filter("left_id <> right_id").distinct(), "dart-stars")
+        stars = stored(narrowed(stars.filter("left_id <> right_id").distinct(), n_held), "dart-stars")
+        n_stars = stars.count()
         pairs = pairs.withColumn("wide", F.lit(False)).unionByName(stars.select("left_id", "right_id").withColumn("wide", F.lit(True)))
-        pairs = stored(pairs.groupBy("left_id", "right_id").agg(F.max("wide").alias("wide")), "dart-pairs")
-        if pairs.isEmpty():
+        pairs = pairs.groupBy("left_id", "right_id").agg(F.max("wide").alias("wide"))
+        if tested is None:
+            pairs = narrowed(pairs, n_held)
+        else:
+            once = (F.col("left_id") == F.col("tested_left")) & (F.col("right_id") == F.col("tested_right")) & ~F.col("wide")
+            pairs = pairs.join(tested, once, "left_anti")
+        pairs = stored(pairs, "dart-pairs")
+        n_pairs = pairs.count()
+        if not n_pairs:
             break
         left = pool.select(F.col("doc_id").alias("left_id"), F.col("text").alias("left_text"))
         right = pool.select(F.col("doc_id").alias("right_id"), F.col("text").alias("right_text"))
-        checked = stored(similarity(pairs.join(left, "left_id").join(right, "right_id"), size, threshold), "dart-compared")
-        label = _relabel(label, checked.filter(F.col("similarity") >= threshold).select("left_id", "right_id"))
-        done = checked.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"))
+        # the pairs of all texts grow with the texts: one plan for tables of any size
+        known_pairs = pairs.hint("merge") if pool is known else pairs
+        texts_of_pairs = narrowed(known_pairs.join(left, "left_id").join(right, "right_id"), n_pairs, WIDE_PART)
+        checked = stored(similarity(texts_of_pairs, size, threshold), "dart-compared")
+        label = _relabel(label, checked.filter(F.col("similarity") >= threshold).select("left_id", "right_id"), n_rows, n_pairs)
+        done = checked.select(F.least("left_id", "right_id").alias("tested_left"), F.greatest("left_id", "right_id").alias("tested_right"))
         if tested is None:
-            tested, rest = done, stored(small.select("bucket", "lead", "weight"), "dart-small")
+            tested, rest = done, small.select("bucket", "lead", "weight", F.lit(True).alias("of band"))
         else:
             tested, rest = tested.unionByName(done), None  # all pairs of small buckets are decided
-            if stars.isEmpty():
+            if not n_stars:
                 break
         # what is left of a pivot's group: members of two or more classes
-        around = checked.join(stars, ["left_id", "right_id"]).join(label.withColumnRenamed("lead", "right_id"), "right_id")
+        around = checked.filter("wide")
+        around = around.withColumn("group", F.col("left_id")) if step <= 2 else around.join(stars, ["left_id", "right_id"])
+        around = around.join(label.withColumnRenamed("lead", "right_id"), "right_id")
         mixed = around.groupBy("group").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.collect_set("size").alias("sizes")).filter("a < b").select("group", "sizes")
         # the smallest text of the group that can be similar to this one; sizes are numbers of words, so there are few
         least = F.array_min(F.filter("sizes", lambda z: z >= threshold * F.col("size") - 1e-6))
-        around = stored(around.join(mixed, "group").withColumn("least", least).drop("sizes"), "dart-groups")
+        around = around.join(mixed, "group").withColumn("least", least).drop("sizes")
+        around = stored(narrowed(around, n_stars, WIDE_PART), "dart-groups")
         needed = F.greatest(F.lit(1.0), F.ceil(share * (F.col("size") + F.col("least")) - 1e-6) - F.col("shared"))
         left_over = F.transform(F.filter("novel", lambda e: e["rest"] >= needed), lambda e: e["s"])
         beyond = around.select(F.explode(left_over).alias("s"), "group", "right_id", F.col("shared").alias("weight"))
         beyond = stored(beyond.select(F.xxhash64("group", "s").alias("bucket"), F.col("right_id").alias("lead"), "weight"), "dart-beyond")
         again = beyond.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-        members = beyond.join(again, "bucket")
-        members = stored(members if rest is None else members.unionByName(rest), "dart-members")
+        members = beyond.join(again, "bucket").withColumn("of band", F.lit(False))
+        members = (members if rest is None else members.unionByName(rest)).join(label, "lead")
+        n_members = beyond.count() + n_held
+        members = stored(narrowed(members, n_members), "dart-members")
         # pairs for which the part shared with the pivot is enough
         near = around.filter(F.col("similarity") < threshold).filter(F.col("shared") >= share * (F.col("size") + F.col("least")) - 1e-6)
         x = near.select("group", F.col("right_id").alias("x"), F.col("class").alias("x_class"), F.col("shared").alias("x_shared"), F.col("size").alias("x_size"))
         y = around.select("group", F.col("right_id").alias("y"), F.col("class").alias("y_class"), F.col("shared").alias("y_shared"), F.col("size").alias("y_size"))
         enough = (F.col("x_class") != F.col("y_class")) & (F.least("x_shared", "y_shared") >= share * (F.col("x_size") + F.col("y_size")) - 1e-6)
-        direct = x.join(y, "group").filter(enough).select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id")).distinct()
+        direct = x.join(y, "group").filter(enough).select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"))
         if pool is known:
-            mixed_sets = rest.join(label, "lead").withColumn("low", F.min("class").over(Window.partitionBy("bucket"))).withColumn("high", F.max("class").over(Window.partitionBy("bucket")))
+            mixed_sets = members.filter("`of band`").withColumn("low", F.min("class").over(Window.partitionBy("bucket"))).withColumn("high", F.max("class").over(Window.partitionBy("bucket")))
             needed = around.select(F.col("right_id").alias("doc_id")).unionByName(mixed_sets.filter("low < high").select(F.col("lead").alias("doc_id"))).distinct()
             pool = stored(known.join(needed, "doc_id", "left_semi"), "dart-texts")
     lead_class = member.join(label, F.col("right_id") == F.col("lead"), "left").select(F.col("left_id").alias("doc_id"), F.coalesce("class", "right_id").alias("class_id"))

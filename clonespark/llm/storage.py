@@ -2,19 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
+from ..session import narrowed, stored
 
-from pyspark.sql import DataFrame
-
-from ..session import checkpoint_folder
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` and read it back.
-
-    Unlike a checkpoint the table is compressed, and readers see single columns. It
-    outlives any executor. The folder is the session's; whoever owns it clears it.
-    """
-    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["narrowed", "stored"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +58,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below ``spark.checkpoint.dir`` and read it back.
+
+    Unlike a checkpoint the table is written by one job, compressed, and readers see single columns. It
+    outlives any executor. The folder is the session's; whoever owns it clears it.
+    """
+    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that a task writes at least, where few rows are left of a table.
+PART = 4096
+
+
+def narrowed(df: DataFrame, rows: int, part: int = PART) -> DataFrame:
+    """``df`` in as many partitions as ``rows`` rows need, at most as many as it has.
+
+    ``rows`` are those that the step reads or returns. A table of some thousand rows is not worth hundreds of
+    tasks and files, which take longer than the rows; a table of many rows keeps its partitions.
+    """
+    return df.coalesce(max(1, -(-rows // part)))
+
+
 def default_parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(os.environ.get("CLONESPARK_MIN_PARTITIONS", "1")))
 

@@ -1,10 +1,12 @@
 import random
+from pathlib import Path
 
 import numpy as np
 
 from clonespark.llm import dartminhash
 from clonespark.llm.dartminhash import near_duplicates, signatures, weighted
 from clonespark.llm.substring_dedup import substring_dedup
+from clonespark.session import checkpoint_folder
 
 from . import brute
 
@@ -101,6 +103,25 @@ def test_size_of_small_buckets_plays_no_part(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in near_duplicates(rows).collect()} == brute.near_classes(texts)
 
 
+def test_few_rows_are_written_by_few_tasks(spark):
+    folder = Path(checkpoint_folder(spark).removeprefix("file:"))
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    known = {p.name for p in folder.iterdir()}
+    texts = variants()
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert {r.doc_id: r.class_id for r in near_duplicates(rows).collect()} == brute.near_classes(texts)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = {p.name: len(list(p.glob("part-*"))) for p in folder.iterdir() if p.name not in known}
+    small = {k: n for k, n in files.items() if k.startswith(("dart-leads", "dart-members", "dart-sets", "dart-links", "dart-classes"))}
+    assert len(small) > 4 and max(small.values()) <= 2, small
+
+
 def test_classes_of_odd_rows(odd, nothing):
     rows = near_duplicates(odd).collect()
     assert len(rows) == odd.count()

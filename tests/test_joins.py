@@ -210,3 +210,19 @@ def test_germline_neighbours_are_searched_for_a_source_set_that_grows(spark):
     expected = {(a[0], b[0]) for a in index for b in index if a[0] in sources and a[0] != b[0] and a[1:3] == b[1:3] and a[3] & b[3]}
     found = [(r.source_lineage_id, r.lineage_id) for r in catalog.QUERIES["germline_neighbours"](spark, d).collect()]
     assert set(found) == expected and len(found) == len(expected) and len({a for a, _ in found}) > 5
+
+
+def test_stars_take_few_rounds(spark):
+    hubs = {500: range(1, 1000), 2500: range(2001, 3000)}
+    pairs = [(hub, leaf) for hub, leaves in hubs.items() for leaf in leaves if leaf != hub]
+    edges = spark.createDataFrame(pairs, "left_id long, right_id long")
+    vertices = spark.createDataFrame([(k,) for k in [*range(1, 1000), *range(2001, 3001)]], "id long")
+    context = spark.sparkContext
+    context.setLocalProperty("spark.jobGroup.id", "stars")
+    try:
+        found = {r.id: r.component for r in connected_components(vertices, edges).collect()}
+        jobs = len(context.statusTracker().getJobIdsForGroup("stars"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert found == {k: 1 if k < 1000 else 2001 if k < 3000 else 3000 for k in [*range(1, 1000), *range(2001, 3001)]}
+    assert jobs <= 30, jobs
