@@ -325,13 +325,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
         around = checked.filter("wide")
         around = around.withColumn("group", F.col("left_id")) if step <= 2 else around.join(stars, ["left_id", "right_id"])
         around = around.join(label.withColumnRenamed("lead", "right_id"), "right_id")
-        mixed = around.groupBy("group").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.collect_set("size").alias("sizes")).filter("a < b").select("group", "sizes")
-        # the smallest text of the group that can be similar to this one; sizes are numbers of words, so there are few
-        least = F.array_min(F.filter("sizes", lambda z: z >= threshold * F.col("size") - 1e-6))
-        around = around.join(mixed, "group").withColumn("least", least).drop("sizes")
+        is_near = F.col("similarity") >= threshold
+        # the most that a member of a size shares with the pivot: any member, and one that isn't linked to it; sizes are numbers of words, so there are few
+        most = around.groupBy("group", "size").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.max(F.when(is_near, F.col("class"))).alias("own"), F.max("shared").alias("any"), F.max(F.when(~is_near, F.col("shared"))).alias("far"))
+        most = most.groupBy("group").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.max("own").alias("own"), F.collect_list(F.struct("size", "any", "far")).alias("most")).filter("a < b")
+        around = around.join(most.select("group", "own", "most"), "group")
+        # what a similar member of another class must at least share beyond the pivot; members of the pivot's class look for those not linked to it
+        partners = F.transform("most", lambda z: F.struct(z["size"].alias("size"), F.when(F.col("class") == F.col("own"), z["far"]).otherwise(z["any"]).alias("shared")))
+        partners = F.filter(partners, lambda z: z["shared"].isNotNull() & (z["size"] >= threshold * F.col("size") - 1e-6) & (z["size"] * threshold <= F.col("size") + 1e-6))
+        needed = F.array_min(F.transform(partners, lambda z: F.ceil(share * (F.col("size") + z["size"]) - 1e-6) - F.least(F.col("shared"), z["shared"])))
+        around = around.withColumn("needed", needed).drop("most", "own").filter("needed is not null")
         around = stored(narrowed(around, n_stars, WIDE_PART), "dart-groups")
-        needed = F.greatest(F.lit(1.0), F.ceil(share * (F.col("size") + F.col("least")) - 1e-6) - F.col("shared"))
-        left_over = F.transform(F.filter("novel", lambda e: e["rest"] >= needed), lambda e: e["s"])
+        left_over = F.transform(F.filter("novel", lambda e: e["rest"] >= F.greatest(F.lit(1), F.col("needed"))), lambda e: e["s"])
         beyond = around.select(F.explode(left_over).alias("s"), "group", "right_id", F.col("shared").alias("weight"))
         beyond = stored(beyond.select(F.xxhash64("group", "s").alias("bucket"), F.col("right_id").alias("lead"), "weight"), "dart-beyond")
         again = beyond.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
@@ -340,7 +345,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
         n_members = beyond.count() + n_held
         members = stored(narrowed(members, n_members), "dart-members")
         # pairs for which the part shared with the pivot is enough
-        near = around.filter(F.col("similarity") < threshold).filter(F.col("shared") >= share * (F.col("size") + F.col("least")) - 1e-6)
+        near = around.filter(F.col("similarity") < threshold).filter("needed <= 0")
         x = near.select("group", F.col("right_id").alias("x"), F.col("class").alias("x_class"), F.col("shared").alias("x_shared"), F.col("size").alias("x_size"))
         y = around.select("group", F.col("right_id").alias("y"), F.col("class").alias("y_class"), F.col("shared").alias("y_shared"), F.col("size").alias("y_size"))
         enough = (F.col("x_class") != F.col("y_class")) & (F.least("x_shared", "y_shared") >= share * (F.col("x_size") + F.col("y_size")) - 1e-6)
