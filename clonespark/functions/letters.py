@@ -266,3 +266,27 @@ def unequal_columns(query: pa.Array, germline: pa.Array) -> pa.Array:
         owner, nth = dealt(np.minimum(np.diff(q0), np.diff(g0)))
         found.append(np.bincount(owner[q[q0[owner] + nth] != g[g0[owner] + nth]], minlength=len(q0) - 1))
     return pa.array(np.concatenate(found), pa.int32())
+
+
+def flat_column(value: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As ``flat``, with no letters for a null. Plain ASCII is used where it lies, a byte for a letter."""
+    value = value.cast(pa.large_string()).fill_null("")
+    _, ends, data = value.buffers()
+    starts = np.frombuffer(ends, np.int64)[value.offset : value.offset + len(value) + 1] if len(value) else np.zeros(1, np.int64)
+    codes = np.frombuffer(data or b"", np.uint8)[starts[0] : starts[-1]]
+    if codes.size and codes.max() > 127:
+        return flat(value.to_pylist())
+    return codes, starts - starts[0]
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def ungapped_positions(value: pa.Array) -> pa.Array:
+    """The 1-based position of each letter without gaps, null for a gap; none for a null text."""
+    codes, starts = flat_column(value)
+    kept = codes != GAP
+    steps = kept.astype(np.int32)
+    first = starts[:-1][np.diff(starts) > 0]  # what a text has counted is taken off where the next one begins
+    if len(first):
+        steps[first[1:]] -= np.add.reduceat(steps, first)[:-1]
+    positions = pa.Array.from_buffers(pa.int32(), len(codes), [pa.py_buffer(np.packbits(kept, bitorder="little")), pa.py_buffer(np.cumsum(steps, dtype=np.int32))])
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), positions)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .letters import ungapped_positions
+
 
 # Not by Arrow: that makes a frame of its own for every call, and there is one call per sequence.
 @F.udtf(returnType="kmer string, position int, occurrence int", useArrow=False)
@@ -24,24 +26,21 @@ class Kmers:
             yield kmer, at + 1, seen[kmer]
 
 
-@F.udtf(returnType="`column` int, query string, reference string, query_position int, reference_position int", useArrow=False)
-class AlignmentColumns:
-    """``alignment_columns(query, reference)``: one row per column with the letters and their positions without gaps.
-
-    The position of a gap is null. The shorter text ends early: its letters are null behind its end.
-    """
-
-    def eval(self, query, reference):
-        q, r = query or "", reference or ""
-        at_q = at_r = 0
-        for column in range(max(len(q), len(r))):
-            a, b = (s[column] if column < len(s) else None for s in (q, r))
-            at_q += a not in (None, "-")
-            at_r += b not in (None, "-")
-            yield column + 1, a, b, at_q if a not in (None, "-") else None, at_r if b not in (None, "-") else None
+#: ``alignment_columns(query, reference)``: one row per column with the letters and their positions without gaps.
+#: The position of a gap is null. The shorter text ends early: its letters are null behind its end.
+#: One generator over the arguments alone: Spark puts it on top of the table that is read, where a body that first names
+#: its arrays in a subquery would be joined back to the table by the texts.
+ALIGNMENT_COLUMNS = """
+CREATE OR REPLACE TEMPORARY FUNCTION alignment_columns(query STRING, reference STRING)
+RETURNS TABLE (`column` INT, query STRING, reference STRING, query_position INT, reference_position INT)
+RETURN SELECT pos + 1, col.`0`, col.`1`, col.`2`, col.`3` FROM posexplode(arrays_zip(
+  CASE WHEN query <> '' THEN split(query, '') ELSE array() END, CASE WHEN reference <> '' THEN split(reference, '') ELSE array() END,
+  ungapped_positions(query), ungapped_positions(reference)))
+"""
 
 
 def register_tables(spark: SparkSession) -> None:
     """Make both callable from SQL as ``kmers`` and ``alignment_columns``."""
     spark.udtf.register("kmers", Kmers)
-    spark.udtf.register("alignment_columns", AlignmentColumns)
+    spark.udf.register("ungapped_positions", ungapped_positions)
+    spark.sql(ALIGNMENT_COLUMNS)

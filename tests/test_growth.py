@@ -209,3 +209,21 @@ def test_identity_counts_and_unequal_columns(spark):
     assert {r.id: tuple(r.c) for r in counts} == {1: (3, 4), 2: (0, 0), 3: (0, 0), 4: (1, 1)}
     unequal = rows.filter("q IS NOT NULL").select("id", letters.unequal_columns("q", "g").alias("n")).collect()
     assert {r.id: r.n for r in unequal} == {1: 3, 2: 0, 4: 1}
+
+
+def test_alignment_columns_are_made_by_a_generator(spark, capsys):
+    register_functions(spark)
+    pick = random.Random(13)
+    pairs = [(i, *(pick.choice([None, "", *["".join(pick.choices(letters, k=pick.randint(1, 9))) for letters in ("AC-", "-", "A-é𝄞")]]) for _ in "qr")) for i in range(300)]
+    spark.createDataFrame(pairs, "id long, q string, r string").createOrReplaceTempView("column_pairs")
+    found = spark.sql("SELECT * FROM column_pairs, LATERAL alignment_columns(q, r)")
+    plan = _plan(found, capsys)
+    assert "Generate posexplode" in plan and "EvalPythonUDTF" not in plan and "Join" not in plan
+    want = []
+    for pair in pairs:
+        texts = [t or "" for t in pair[1:]]
+        for i in range(max(map(len, texts))):
+            letter = [t[i] if i < len(t) else None for t in texts]
+            at = [None if c in (None, "-") else len(t[: i + 1].replace("-", "")) for c, t in zip(letter, texts, strict=True)]
+            want.append((*pair, i + 1, *letter, *at))
+    assert sorted(map(tuple, found.collect()), key=lambda r: (r[0], r[3])) == want
